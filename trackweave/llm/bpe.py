@@ -10,6 +10,7 @@ any length are encoded whole; repeated rows give repeated results; only doc_id a
 from __future__ import annotations
 
 import hashlib
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +37,7 @@ class Codec:
     """Encoder and decoder of one vocabulary file; one per worker process and path."""
 
     def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)

@@ -49,7 +49,7 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
-def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], dict[str, Sequence] | pa.RecordBatch]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], dict[str, Sequence] | pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with bounded slices; `run` gives columns by name, or a batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -59,7 +59,7 @@ def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], dict
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit):
                 out = run(part)
                 if isinstance(out, dict):
                     out = pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in ((f, out[f.name]) for f in arrow)], schema=arrow)
