@@ -1,0 +1,248 @@
+"""Queries that SQL can express, against DuckDB; the others against brute force."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from conftest import SMALL, same_rows
+
+from trackweave.llm import queries as Q
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql(spark, duck, name):
+    same_rows(Q.queries()[name](spark, SMALL), duck, Q.oracle_sql()[name])
+
+
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+def luhn(s):
+    d = [int(c) for c in digits(s)[::-1]]
+    return sum(d[::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10 == 0
+
+
+def brute_spans(t):
+    rules = [(EMAIL, lambda s: True), (IP, lambda s: all(int(x) <= 255 for x in s.split("."))), (CARD, lambda s: 12 <= len(digits(s)) <= 19 and luhn(s)), (PHONE, lambda s: 9 <= len(digits(s)) <= 15)]
+    return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(rules) for m in p.finditer(t) if ok(m.group()))
+
+
+def test_pii_whole_table(spark):
+    from trackweave.llm import pii
+
+    all_texts = texts(spark)
+    for r in Q.queries()["op7_pii_anchors"](spark, SMALL).collect():
+        want = brute_spans(all_texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[1] == k for s in want) for k in range(4)]
+        assert set(pii.joined(want).split(",")) <= set(r.spans.split(",")) | {""}
+
+
+@pytest.mark.parametrize("alphabet", ["0123.4 -+()a@", "12.9", "0 -4", "+0 ().-12", "a.@-b", "@.a0%"])
+def test_pii_random(alphabet):
+    from trackweave.llm import pii
+
+    draw = np.random.default_rng(4)
+    for _ in range(4000):
+        t = "".join(draw.choice(list(alphabet), draw.integers(1, 40)))
+        assert [s for s in pii.find(t) if s[1] < 4] == brute_spans(t), t
+
+
+def test_pii_added_kinds():
+    from trackweave.llm import pii
+
+    t = 'see https://a.example.org/x?y=1, token = "24be64439e3e49cf46b2d7c90f3602a3", iban: DE89370400440532013000 end'
+    assert [(pii.KINDS[k], t[a:b]) for a, k, b in pii.find(t)] == [("url", "https://a.example.org/x?y=1"), ("secret", "24be64439e3e49cf46b2d7c90f3602a3"), ("account", "DE89370400440532013000")]
+    assert pii.redacted("me@a.example or +1 (212) 555-0100!", pii.find("me@a.example or +1 (212) 555-0100!")) == "<EMAIL> or <PHONE>!"
+    assert pii.redacted(None, pii.find(None)) is None
+
+
+def test_telephony(spark):
+    all_texts = texts(spark)
+    for r in Q.queries()["op8_telephony"](spark, SMALL).collect():
+        b = (all_texts[r.doc_id] or "").encode()
+        p = b + bytes(-len(b) % 64 if b else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+
+
+def test_telephony_codecs():
+    from trackweave.llm import telephony as T
+
+    assert (T.MULAW[0], T.MULAW[0x80], T.MULAW[0xFF], T.MULAW[0x7F]) == (-32124, 32124, 0, 0)
+    assert (T.ALAW[0xD5], T.ALAW[0x55], T.ALAW[0x2A], T.ALAW[0xAA]) == (8, -8, -32256, 32256)
+    draw = np.random.default_rng(1)
+    blocks = draw.integers(0, 256, (7, 68), dtype=np.uint8)
+    blocks[:, 2:4] = [5, 0]
+
+    def slow(block):
+        value = int(np.int16(np.uint16(block[0] | int(block[1]) << 8)))
+        index, out = int(block[2]), [value]
+        for code in (c for b in block[4:] for c in (int(b) & 15, int(b) >> 4)):
+            s = int(T.STEPS[index])
+            move = s // 8 + (s if code & 4 else 0) + (s // 2 if code & 2 else 0) + (s // 4 if code & 1 else 0)
+            value = max(-32768, min(32767, value - move if code & 8 else value + move))
+            index = max(0, min(88, index + int(T.INDEX_MOVE[code])))
+            out.append(value)
+        return out
+
+    assert T.decode_ima(blocks).tolist() == [slow(b) for b in blocks]
+    assert T.resample(np.array([0, 10, -10], np.int16), 8000, 16000).tolist() == [0, 5, 10, 0, -10, -10]
+    assert T.read_wav(b"junk") is None and T.decode_all([None, b""]) == [None, None]
+
+
+def test_telephony_decode_frame(spark):
+    from trackweave.llm import telephony as T
+
+    rows = [(1, T.wav(bytes(64), "mulaw"), "kept"), (2, None, None), (3, b"broken", ""), (4, T.wav(bytes(range(64)) * 2, "ima"), "kept")]
+    got = {r.id: r for r in T.decode(spark.createDataFrame(rows, "id int, media binary, feature string")).collect()}
+    assert got[2].pcm is None and got[3].feature is None
+    assert len(got[1].pcm) == 2 * 128 and len(got[4].pcm) == 2 * 2 * 2 * 129 and got[4].pcm_rate == 16000
+
+
+def test_bpe(spark):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    all_texts = texts(spark)
+    for r in Q.queries()["op9_bpe"](spark, SMALL).collect():
+        t = all_texts[r.doc_id] or ""
+        ids = model.encode_ordinary(t)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_bpe_edges(spark):
+    from trackweave.llm import bpe
+
+    odd = ["", None, "<|endoftext|> a", "\U0001f642\U0001f642 éẞ", " \n\t  x  ", "a" * 5000, "\x00\x1c "]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    encoded = bpe.encode(docs, offsets=True)
+    back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(encoded).collect()}
+    assert back == {k: (t or "").encode() for k, t in enumerate(odd)}
+    for r in encoded.collect():
+        t = odd[r.doc_id] or ""
+        assert len(r.ids) == len(r.starts) == len(r.ends)
+        assert all(0 <= a < b <= len(t) for a, b in zip(r.starts, r.ends)) and (not t or (r.starts[0], r.ends[-1]) == (0, len(t)))
+
+
+def test_nbsvm_held_out(spark):
+    rows = {r.doc_id: r for r in Q.queries()["op1_nbsvm"](spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    held = [(rows[r.doc_id].score, r.quality) for r in labels if rows[r.doc_id].held_out]
+    good, bad = ([s for s, q in held if q == k] for k in (1, 0))
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) for r in rows.values())
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert np.mean([(s >= 0.5) == q for s, q in held]) > 0.95
+
+
+def test_nbsvm_edges(spark):
+    from trackweave.llm import nbsvm
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "c")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = nbsvm.score(docs, nbsvm.train(docs, none)).collect()
+    assert len(rows) == 5 and all(r.score == 0.5 and r.predicted == 1 for r in rows)
+    one = spark.createDataFrame([(1, 1, None), (2, 1, 0), (3, None, 0), (3, 7, 0)], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in nbsvm.score(docs, nbsvm.train(docs, one)).collect()} == {1}
+
+
+def sharded(spark, docs, shards):
+    from trackweave.llm import sharding
+
+    rows = sharding.shard(docs, shards=shards).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r)
+    for s, rs in by.items():
+        assert 0 <= s < shards and sorted(r.slot for r in rs) == list(range(len(rs)))
+    return rows, by
+
+
+def test_sharding(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows, by = sharded(spark, docs, 5)
+    all_texts = texts(spark)
+    assert sorted(r.doc_id for r in rows) == sorted(all_texts)
+    assert all(r.size == len((all_texts[r.doc_id] or "").encode()) + 16 and r.text_crc32 == zlib.crc32((all_texts[r.doc_id] or "").encode()) for r in rows)
+    mean, most = sum(r.size for r in rows) / 5, max(r.size for r in rows)
+    assert all(abs(sum(r.size for r in rs) - mean) <= most + mean / 50 for rs in by.values())
+
+
+def test_sharding_hot_and_odd(spark):
+    hot = [(k, "same text " * 20) for k in range(600)] + [(k, f"text {k}") for k in range(600, 900)] + [(None, None), (None, ""), (5, "same text " * 20)]
+    docs = spark.createDataFrame([(d, t, 9, "x") for d, t in hot], "doc_id long, text string, shard int, rng string")
+    rows, by = sharded(spark, docs, 4)
+    assert len(rows) == len(hot) and len(by) == 4
+    mean = sum(r.size for r in rows) / 4
+    assert all(abs(sum(r.size for r in rs) - mean) < 0.05 * mean for rs in by.values())
+    assert sharded(spark, docs.limit(0), 4)[0] == []
+
+
+def mixed_targets(sizes):
+    """Reshare the excess until no source is above twice its size."""
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    due, target, free = 1.5 * sum(sizes.values()), {}, set(order)
+    while free:
+        share = {s: due * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * sizes[s]}
+        if not over:
+            return target | share
+        target |= {s: 2.0 * sizes[s] for s in over}
+        due -= sum(target[s] for s in over)
+        free -= over
+    return target
+
+
+def check_mix(rows):
+    sizes, taken = {}, {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    want = mixed_targets(sizes)
+    for r in rows:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source])
+    most = max((r.size for r in rows), default=0)
+    assert all(abs(taken[s] - want[s]) <= most for s in sizes)
+
+
+def test_mix(spark):
+    rows = Q.queries()["op10_mix"](spark, SMALL).collect()
+    check_mix(rows)
+    assert sorted(map(str, rows)) == sorted(map(str, Q.queries()["op10_mix"](spark, SMALL).collect()))
+    all_texts = texts(spark)
+    assert all(r.size == len((all_texts[r.doc_id] or "").encode().split()) for r in rows)
+
+
+def test_mix_odd(spark):
+    from trackweave.llm import mixing
+
+    odd = [(k, "w " * (k % 7), ("a", "b", None, "é", "")[k % 5], 1) for k in range(100)] + [(1, None, "z", 0), (None, "a b", None, 0), (3, "x y", "a", 0), (3, "x y", "a", 0)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, source string, bucket int")
+    rows = mixing.mix(docs).collect()
+    check_mix(rows)
+    assert len(rows) == len(odd)
+    many = mixing.resample(docs)
+    assert many.columns == docs.columns
+    words = {}
+    for r in many.collect():
+        words[r.source] = words.get(r.source, 0) + len((r.text or "").encode().split())
+    want = mixed_targets({s: sum(r.size for r in rows if r.source == s) for s in {r.source for r in rows}})
+    assert all(abs(words.get(s, 0) - t) <= 13 for s, t in want.items())
+    assert mixing.mix(docs.limit(0)).collect() == [] and mixing.resample(docs.limit(0)).collect() == []

@@ -15,7 +15,8 @@ def _least(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is joined to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _least(both).select("a", F.least("a", "m").alias("m"))
+    # Written, so that both sides of the join are shuffled for it and a hub's edges can be split between tasks.
+    least = materialize(_least(both).select("a", F.least("a", "m").alias("m")), "cc-least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 

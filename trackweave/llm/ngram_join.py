@@ -31,7 +31,8 @@ from trackweave.llm.hashing import grams, mix, word_hashes
 WORDS, TOP, BOTTOM = 5, 4, 5  # a link: intersection * BOTTOM >= union * TOP
 BANDS, ROWS = 24, 4
 VALUES, STEP, TOLERANCE = BANDS * ROWS, 8, 1e-6
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Groups of more rows than LARGE are compared row by row against what isn't connected yet; blocks bound a task's memory.
+LARGE, BLOCK, BLOCK_SHINGLES = 64, 1024, 1 << 20
 #: A table of so few ids (16 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 _rng = np.random.default_rng(97)
@@ -152,20 +153,16 @@ def group_bounds(batch: pa.RecordBatch, keys: int) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
 
 
-def pairs_in(bounds: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of each group, in pieces of about `limit`."""
+def pairs_in(bounds: np.ndarray, largest: int, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each group of at most `largest` rows, in pieces of about `limit`."""
     sizes = np.diff(bounds)
-    for size in np.unique(sizes[sizes > 1]):
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= largest)]):
         starts = bounds[:-1][sizes == size]
         i, j = np.triu_indices(size, 1)
         each = max(1, limit // len(i))
         for at in range(0, len(starts), each):
             some = starts[at : at + each, None]
-            if len(i) <= limit:
-                yield (some + i).ravel(), (some + j).ravel()
-            else:
-                for k in range(0, len(i), limit):
-                    yield some[0] + i[k : k + limit], some[0] + j[k : k + limit]
+            yield (some + i).ravel(), (some + j).ravel()
 
 
 def plausible(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,17 +179,39 @@ def plausible(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarra
     return left, right
 
 
+def connect(sig: np.ndarray, n: np.ndarray, block: np.ndarray, across: bool) -> np.ndarray:
+    """Labels of the rows of one large group: each row in turn is compared with the later rows that it isn't connected to yet,
+    so a group of near copies takes few comparisons. `across`: only pairs of different blocks count."""
+    label = np.arange(len(n))
+    for i in range(len(n) - 1):
+        later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if across:
+            later = later[block[later] != block[i]]
+        if not len(later):
+            if not label.any():
+                break
+            continue
+        _, right = plausible(sig, n, np.full(len(later), i), later)
+        if len(right):
+            joined = np.unique(label[np.append(right, i)])
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
 def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, bi, bj, block, node, n, sig) sorted by the first three to forest edges (a, b) of plausible pairs."""
     for batch in runs_of(batches, 3):
         bi, bj, block, node, n = (batch.column(k).to_numpy() for k in range(1, 6))
         sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, VALUES)
-        found = []
-        for left, right in pairs_in(group_bounds(batch, 3)):
+        bounds, found = group_bounds(batch, 3), []
+        for left, right in pairs_in(bounds, LARGE):
             apart = (bi[left] == bj[left]) | (block[left] != block[right])
             found.append(plausible(sig, n, left[apart], right[apart]))
         left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
         label = least_labels(len(node), left, right)
+        for k in np.flatnonzero(np.diff(bounds) > LARGE):
+            a, b = bounds[k], bounds[k + 1]
+            label[a:b] = a + connect(sig[a:b], n[a:b], block[a:b], bi[a] != bj[a])
         moved = np.flatnonzero(label != np.arange(len(node)))
         yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["a", "b"])
 

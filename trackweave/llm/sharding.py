@@ -36,8 +36,11 @@ def range_of(splitters: list[Key]):
     def count(h1: pd.Series, h2: pd.Series) -> pd.Series:
         a, b = h1.to_numpy(), h2.to_numpy()
         low, high = np.searchsorted(first, a, "left"), np.searchsorted(first, a, "right")
-        for k in np.flatnonzero(low < high):
-            low[k] += np.searchsorted(second[low[k] : high[k]], b[k], "right")
+        inside = low < high
+        for at in np.unique(low[inside]):  # splitters within a group of equal texts
+            rows = inside & (low == at)
+            to = high[rows][0]
+            low[rows] = at + np.searchsorted(second[at:to], b[rows], "right")
         return pd.Series(low.astype(np.int32))
 
     return count
