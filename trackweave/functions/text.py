@@ -70,11 +70,3 @@ def color(track_id: Column) -> Column:
         F.when(sector == 0, rgb(full, up, none)).when(sector == 1, rgb(down, full, none)).when(sector == 2, rgb(none, full, up))
         .when(sector == 3, rgb(none, down, full)).when(sector == 4, rgb(up, none, full)).otherwise(rgb(full, none, down))
     )
-
-
-def log_kept(line: Column, prefixes: tuple[str, ...]) -> Column:
-    """Whether a log line begins with one of the prefixes."""
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | F.startswith(line, F.lit(p))
-    return out

@@ -5,7 +5,7 @@ Keys are (game_id, is_referee, track_id): a referee and a player may carry the s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
@@ -13,7 +13,11 @@ from trackweave.functions.geometry import box, box_distance, center, distance
 from trackweave.operators.matching import renamed
 
 TRACK = ("game_id", "is_referee", "track_id")
-OWN = Window.partitionBy(*TRACK).orderBy("frame_idx")
+
+
+def own() -> WindowSpec:
+    """A track's rows in order of frames."""
+    return Window.partitionBy(*TRACK).orderBy("frame_idx")
 
 
 def births(tracks: DataFrame) -> DataFrame:
@@ -26,7 +30,7 @@ def births(tracks: DataFrame) -> DataFrame:
 def edges(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Lifecycle rows (frame_idx, kind, n): new; recovered (n: frames since last seen); lost; removed (n: frames since birth, once for each id)."""
     last = tracks.groupBy("game_id").agg(F.max("frame_idx").alias("end"))
-    rows = tracks.select(*TRACK, "frame_idx").withColumn("before", F.lag("frame_idx").over(OWN)).withColumn("after", F.lead("frame_idx").over(OWN)).withColumn("birth", F.min("frame_idx").over(Window.partitionBy(*TRACK)))
+    rows = tracks.select(*TRACK, "frame_idx").withColumn("before", F.lag("frame_idx").over(own())).withColumn("after", F.lead("frame_idx").over(own())).withColumn("birth", F.min("frame_idx").over(Window.partitionBy(*TRACK)))
     rows = rows.join(last, "game_id")
     gap, removal = F.col("frame_idx") - F.col("before"), F.col("frame_idx") + cfg.buffer + 1
     upto = F.coalesce("after", F.col("end") + 1)
@@ -81,7 +85,7 @@ def most_recovered(events: DataFrame, n: int = 10) -> DataFrame:
 def switch_links(tracks: DataFrame, cfg: Config = DEFAULT, span: int = 64) -> DataFrame:
     """New tracks that continue a lost or removed one: near in place and time, the nearest by (distance, time), and none where
     the runner-up is about as near. An interval join on spans of frames, so that it stays an equality join."""
-    rows = tracks.select(*TRACK, "frame_idx", "x1", "y1", "x2", "y2").withColumn("before", F.lag("frame_idx").over(OWN)).withColumn("after", F.lead("frame_idx").over(OWN))
+    rows = tracks.select(*TRACK, "frame_idx", "x1", "y1", "x2", "y2").withColumn("before", F.lag("frame_idx").over(own())).withColumn("after", F.lead("frame_idx").over(own()))
     cx, cy = center(box())
     new = rows.where(F.col("before").isNull()).select("game_id", "is_referee", F.col("track_id").alias("new_id"), "frame_idx", cx.alias("cx"), cy.alias("cy"), F.floor(F.col("frame_idx") / span).alias("span"))
     gone = rows.where(F.col("after").isNull() | (F.col("after") > F.col("frame_idx") + 1)).select("game_id", "is_referee", F.col("track_id").alias("source_id"), cx.alias("sx"), cy.alias("sy"), "after", F.col("frame_idx").alias("seen"))

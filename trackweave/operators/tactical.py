@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
+from trackweave.functions.fold import running
 from trackweave.functions.geometry import box, foot, project
 
 KEY = ("game_id", "is_referee", "track_id")
@@ -45,13 +46,12 @@ def smooth(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     seq = F.array_sort(F.collect_list(F.struct("frame_idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
     grouped = stays(points, cfg).groupBy(*KEY, "stay").agg(seq.alias("pts"))
     out = lambda f, x, y, sx, sy: F.struct(f.alias("frame_idx"), x.alias("x"), y.alias("y"), sx.alias("sx"), sy.alias("sy"))
-    start = F.transform(F.slice("pts", 1, 1), lambda p: out(p["frame_idx"], p["x"], p["y"], p["x"], p["y"]))
 
-    def add(acc: Column, p: Column) -> Column:
-        s = step(F.element_at(acc, -1), p["x"], p["y"], cfg)
-        return F.concat(acc, F.array(out(p["frame_idx"], p["x"], p["y"], s["sx"], s["sy"])))
+    def add(last: Column, p: Column) -> Column:
+        n = step(last, p["x"], p["y"], cfg)
+        return out(p["frame_idx"], p["x"], p["y"], n["sx"], n["sy"])
 
-    folded = F.aggregate(F.slice("pts", F.lit(2), F.greatest(F.size("pts") - 1, F.lit(0))), start, add)
+    folded = running(F.col("pts"), lambda p: out(p["frame_idx"], p["x"], p["y"], p["x"], p["y"]), add)
     return grouped.select(*KEY, "stay", F.inline(folded))
 
 

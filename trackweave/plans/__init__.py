@@ -1,15 +1,14 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Registered queries over the driver's tables, with their SQL: one for each operator or group of operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from trackweave.plans import scans, tracking  # noqa: F401  they register their queries
+from trackweave.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

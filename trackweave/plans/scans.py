@@ -1,0 +1,103 @@
+"""Queries of scans, sinks and choices between projections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trackweave.config import DEFAULT as CFG
+from trackweave.functions import geometry as G
+from trackweave.functions import text as X
+from trackweave.functions.geometry import milli
+from trackweave.operators import court, jersey, lifecycle, matching, tactical
+from trackweave.plans import sql as S
+from trackweave.plans.registry import query
+from trackweave.sources import scans
+from trackweave.sources import tables as T
+
+HL = court.FIXED_H
+_X, _Y = S.project("x", "y", HL)
+
+
+@query("SELECT frame_idx AS src_idx, (frame_idx - 24) // 2 AS frame_idx FROM (SELECT DISTINCT frame_idx FROM det) WHERE frame_idx >= 24 AND (frame_idx - 24) % 2 = 0 AND (frame_idx - 24) // 2 < 300")
+def frame_scan(spark, d):
+    source = T.detections(spark, d).select(F.col("frame_idx").alias("src_idx")).distinct()
+    return scans.frames(source, scans.seconds_to_frame(0.8, 30), 300, 2).select("src_idx", "frame_idx")
+
+
+@query("SELECT det_id, x1, y1, x2, y2 FROM det WHERE det_id % 5 <> 4")
+def box_decode(spark, d):
+    t, kind = T.detections(spark, d), F.col("det_id") % 5
+    corner = lambda c: F.when(kind < 2, F.col(c))
+    middle = lambda a, b: F.when(kind.isin(2, 3), (F.col(a) + F.col(b)) / 2)
+    side = lambda a, b: F.when(kind != 4, F.col(b) - F.col(a))
+    raw = t.select("det_id", *(corner(c).alias(c) for c in ("x1", "y1", "x2", "y2")), middle("x1", "x2").alias("cx"), middle("y1", "y2").alias("cy"), side("x1", "x2").alias("w"), side("y1", "y2").alias("h"))
+    return scans.decoded_boxes(raw).select("det_id", "x1", "y1", "x2", "y2")
+
+
+@query("SELECT frame_idx, CAST(kp_idx % 2 AS BIGINT) AS instance, CAST(kp_idx // 2 AS BIGINT) AS kp_idx, CASE WHEN x <> 0 OR y <> 0 THEN CAST(x AS DOUBLE) END AS x, conf FROM kp")
+def nested_keypoints(spark, d):
+    k = T.keypoints(spark, d)
+    point = F.struct(F.floor(F.col("kp_idx") / 2).cast("int").alias("class_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "conf")
+    per = k.groupBy("game_id", "frame_idx", (F.col("kp_idx") % 2).alias("i")).agg(F.struct(F.array_sort(F.collect_list(point)).alias("keypoints")).alias("p"))
+    raw = per.groupBy("game_id", "frame_idx").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda v: v["p"]).alias("predictions"))).alias("json"))
+    return scans.nested_keypoints(raw).select("frame_idx", F.col("instance").cast("long").alias("instance"), F.col("kp_idx").cast("long").alias("kp_idx"), "x", "conf")
+
+
+@query("l AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[' || event_type || '] n' ELSE event_type || ' n' END AS line FROM events) SELECT event_id, nullif(regexp_extract(line, '^\\s*\\[([A-Za-z:-]+)', 1), '') AS tag FROM l WHERE starts_with(line, '[view') OR starts_with(line, '[click') OR starts_with(line, 'error')")
+def log_lines(spark, d):
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), F.col("event_type"), F.lit("] n"))).otherwise(F.concat(F.col("event_type"), F.lit(" n")))
+    rows = T.events(spark, d).select("event_id", line.alias("line"))
+    return scans.tagged_lines(rows.where(scans.starts_with_any(F.col("line"), ("[view", "[click", "error")))).select("event_id", "tag")
+
+
+_IN = "(tx BETWEEN -25 AND 325 AND ty BETWEEN -25 AND 186)"
+_REL = "point_id % 3 <> 0"
+
+
+@query(f"p AS (SELECT point_id, {_X} AS tx, {_Y} AS ty, CASE WHEN {_REL} THEN CAST(point_id % 300 AS DOUBLE) END AS rx, CASE WHEN {_REL} THEN CAST(point_id % 161 AS DOUBLE) END AS ry FROM pts) SELECT point_id, CASE WHEN {_IN} AND rx IS NOT NULL THEN 'blended' WHEN {_IN} THEN 'h_inside' WHEN rx IS NOT NULL THEN 'relative' ELSE 'h' END AS source, {S.milli(f'CASE WHEN {_IN} AND rx IS NOT NULL THEN tx * 0.85::double + rx * (1 - 0.85::double) WHEN {_IN} THEN tx WHEN rx IS NOT NULL THEN rx ELSE tx END')} AS x_milli FROM p")
+def projection_choice(spark, d):
+    p = court.projected(T.points(spark, d), HL)
+    there = F.col("point_id") % 3 != 0
+    rel = F.when(there, F.struct((F.col("point_id") % 300).cast("double").alias("x"), (F.col("point_id") % 161).cast("double").alias("y")))
+    got = G.choose_projection(rel, F.struct(F.col("tx").alias("x"), F.col("ty").alias("y")))
+    return p.withColumn("c", got).select("point_id", F.col("c.source").alias("source"), milli(F.col("c.x")).alias("x_milli"))
+
+
+@query(f"""{S.VOTES} SELECT t.frame_idx, t.track_id, t.is_referee, CASE WHEN t.is_referee THEN 'REF' WHEN t.frame_idx >= lock_frame AND owner <= 2 THEN '#' || voted ELSE CAST(t.track_id AS VARCHAR) END AS label, t.x1, t.y1, t.x2, t.y2 FROM trk t LEFT JOIN lk USING (track_id)""")
+def annotations(spark, d):
+    named = jersey.labelled(T.tracks(spark, d), jersey.locks(jersey.votes(T.ocr_reads(spark, d))))
+    return named.select("frame_idx", "track_id", "is_referee", X.display_label(F.col("track_id"), F.col("jersey"), F.col("is_referee")).alias("label"), "x1", "y1", "x2", "y2")
+
+
+@query("a AS (SELECT frame_idx, track_id, is_referee FROM trk), l AS (SELECT DISTINCT is_referee, frame_idx + g AS frame_idx, track_id FROM trk, (SELECT unnest(range(1, 11)) AS g)), c AS (SELECT frame_idx, count(*) AS n_active FROM a GROUP BY 1), z AS (SELECT frame_idx, count(*) AS n FROM (SELECT frame_idx, track_id, is_referee FROM l EXCEPT SELECT frame_idx, track_id, is_referee FROM a) GROUP BY 1) SELECT c.frame_idx, n_active, coalesce(z.n, 0) AS n_lost FROM c LEFT JOIN z USING (frame_idx)")
+def tracker_gauges(spark, d):
+    state = F.col("state") == "active"
+    return lifecycle.active_and_lost(T.tracks(spark, d)).groupBy("frame_idx").agg(F.count_if(state).alias("n_active"), F.count_if(~state).alias("n_lost"))
+
+
+@query()
+def candidate_text(spark, d):
+    return matching.candidate_text(matching.candidates(T.detections(spark, d), T.tracks(spark, d))).select("frame_idx", "det_id", "candidates")
+
+
+@query(f"{S.TEMPLATE} SELECT frame_idx, CAST(kp_idx AS BIGINT) AS kp_idx, CASE WHEN kp_idx % 3 = 0 THEN CAST(kp_idx // 3 AS BIGINT) ELSE -1 END AS legacy_idx FROM mt")
+def legacy_index(spark, d):
+    k = T.keypoints(spark, d).join(F.broadcast(court.template(spark).select("kp_idx", "label")), "kp_idx")
+    mapping = court.template(spark).where("kp_idx % 3 = 0").select("label", F.floor(F.col("kp_idx") / 3).cast("long").alias("legacy_idx"))
+    return court.legacy_index(k, mapping).select("frame_idx", F.col("kp_idx").cast("long").alias("kp_idx"), "legacy_idx")
+
+
+_H = [f"(({v!r})::double * (1 + event_id % 3))" for v in HL]
+_DET = f"({_H[0]} * ({_H[4]} * {_H[8]} - {_H[5]} * {_H[7]}) - {_H[1]} * ({_H[3]} * {_H[8]} - {_H[5]} * {_H[6]}) + {_H[2]} * ({_H[3]} * {_H[7]} - {_H[4]} * {_H[6]}))"
+
+
+@query(f"SELECT event_id, event_id % 7 >= 4 AND abs({_DET}) >= 1e-8 AND value <= 60 AS ok FROM events WHERE value IS NOT NULL")
+def homography_gate(spark, d):
+    h = [F.lit(float(v)) * (1 + F.col("event_id") % 3) for v in HL]
+    ok = G.valid_homography(F.col("event_id") % 7, h, F.col("value"), CFG)
+    return T.events(spark, d).where("value IS NOT NULL").select("event_id", ok.alias("ok"))
+
+
+@query(f"SELECT frame_idx, is_referee, track_id, {S.milli(S.project('((x1 + x2) / 2.0::double)', 'greatest(y1, y2 - 3)', HL)[0])} AS x_milli, {S.milli(S.project('((x1 + x2) / 2.0::double)', 'greatest(y1, y2 - 3)', HL)[1])} AS y_milli FROM trk")
+def tactical_points(spark, d):
+    return tactical.feet(T.tracks(spark, d), HL).select("frame_idx", "is_referee", "track_id", milli(F.col("x")).alias("x_milli"), milli(F.col("y")).alias("y_milli"))

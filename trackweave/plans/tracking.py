@@ -1,0 +1,486 @@
+"""Queries of the tracking operators, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trackweave.config import DEFAULT as CFG
+from trackweave.functions import geometry as G
+from trackweave.functions import text as X
+from trackweave.functions.geometry import milli
+from trackweave.operators import court, homography, jersey, keypoints, lifecycle, masks, matching, report, suppress, tactical
+from trackweave.plans import sql as S
+from trackweave.plans.registry import query
+from trackweave.sources import tables as T
+
+HL = court.FIXED_H
+
+
+@query(f"{S.TARGETS} SELECT x.frame_idx, k.det_id AS a_id, x.det_id AS b_id, {S.milli(S.iou('k.', 'x.'))} AS iou_milli FROM tg k JOIN tg x ON k.frame_idx = x.frame_idx AND k.det_id < x.det_id WHERE {S.BARS}")
+def det_iou_pairs(spark, d):
+    return matching.iou_pairs(T.detections(spark, d)).select("frame_idx", F.col("a_det_id").alias("a_id"), F.col("b_det_id").alias("b_id"), milli(F.col("iou")).alias("iou_milli"))
+
+
+@query(f"{S.NMS} SELECT frame_idx, det_id, is_referee, class_id, confidence FROM kept", recursive=True)
+def det_nms(spark, d):
+    return suppress.suppress_detections(T.detections(spark, d)).select("frame_idx", "det_id", "is_referee", "class_id", "confidence")
+
+
+@query(f"{S.NMS} SELECT g.frame_idx, g.det_id AS dropped_id, k.det_id AS kept_id FROM tg g JOIN kept k ON k.frame_idx = g.frame_idx WHERE NOT EXISTS (SELECT 1 FROM kept q WHERE q.det_id = g.det_id) AND {S.iou('g.', 'k.')} >= CASE WHEN g.is_referee = k.is_referee THEN 0.65::double ELSE 0.80::double END AND (k.confidence > g.confidence OR k.confidence = g.confidence AND k.det_id < g.det_id) QUALIFY row_number() OVER (PARTITION BY g.det_id ORDER BY k.confidence DESC, k.det_id) = 1", recursive=True)
+def det_ledger(spark, d):
+    return suppress.suppression_ledger(T.detections(spark, d)).select("frame_idx", "dropped_id", "kept_id")
+
+
+@query()
+def det_nms_bypass(spark, d):
+    t = T.tracks(spark, d)
+    return suppress.suppress_detections_by_track(T.detections(spark, d), t, lifecycle.births(t)).select("frame_idx", "det_id", "is_referee", "confidence")
+
+
+@query()
+def track_nms(spark, d):
+    t = T.tracks(spark, d)
+    return suppress.suppress_tracks(t, lifecycle.births(t)).select("frame_idx", "track_id", "is_referee", "confidence", "age")
+
+
+@query()
+def young_overlap_drop(spark, d):
+    t = T.tracks(spark, d)
+    return suppress.drop_young_overlaps(t, lifecycle.births(t)).select("frame_idx", "is_referee", "track_id", "confidence", "age")
+
+
+@query(f"{S.NMS}, r AS (SELECT frame_idx, is_referee, count(*) AS n_raw, count(*) FILTER (confidence >= 0.5) AS n_high, count(*) FILTER (confidence >= 0.1 AND confidence < 0.5) AS n_low, min(confidence) AS min_score, max(confidence) AS max_score FROM tg GROUP BY ALL), m AS (SELECT frame_idx, is_referee, count(*) AS n_nms FROM kept GROUP BY ALL), t AS (SELECT frame_idx, is_referee, count(*) AS n_tracks FROM trk GROUP BY ALL) SELECT frame_idx, is_referee, coalesce(n_raw, 0) AS n_raw, coalesce(n_high, 0) AS n_high, coalesce(n_low, 0) AS n_low, coalesce(n_nms, 0) AS n_nms, coalesce(n_tracks, 0) AS n_tracks, min_score, max_score FROM r FULL JOIN m USING (frame_idx, is_referee) FULL JOIN t USING (frame_idx, is_referee)", recursive=True)
+def funnel_counts(spark, d):
+    det = T.detections(spark, d)
+    return matching.funnel(det, suppress.suppress_detections(det), T.tracks(spark, d)).drop("game_id")
+
+
+@query(f"""{S.TARGETS}, s AS (SELECT *, lead(frame_idx) OVER (PARTITION BY is_referee, track_id ORDER BY frame_idx) AS nx FROM trk),
+l AS (SELECT is_referee, track_id, x1, y1, x2, y2, frame_idx + g AS at, CASE g WHEN 1 THEN 'active' ELSE 'lost' END AS state FROM s, (SELECT unnest([1, 2, 3]) AS g) WHERE frame_idx + g <= coalesce(nx, frame_idx + 3)),
+c AS (SELECT t.frame_idx, t.det_id, l.track_id, l.state, {S.iou('t.', 'l.')} AS i, {S.dist('t.', 'l.')} AS dd FROM tg t JOIN l ON l.at = t.frame_idx AND l.is_referee = t.is_referee),
+q AS (SELECT *, i + CASE state WHEN 'active' THEN 0.25::double ELSE 0::double END - least(dd, 500.0::double) / 5000.0::double AS score FROM c WHERE CASE state WHEN 'lost' THEN i >= 0.20 OR dd <= 160 ELSE i >= 0.30 END)
+SELECT frame_idx, det_id, track_id, state, {S.milli('i')} AS iou_milli, {S.milli('score')} AS score_milli, row_number() OVER (PARTITION BY det_id ORDER BY score DESC, state, track_id) AS rank FROM q""")
+def track_candidates(spark, d):
+    out = matching.candidates(T.detections(spark, d), T.tracks(spark, d))
+    return out.select("frame_idx", "det_id", "track_id", "state", milli(F.col("iou")).alias("iou_milli"), milli(F.col("score")).alias("score_milli"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""{S.TARGETS} SELECT t.frame_idx, t.is_referee, t.track_id, g.det_id, CAST(coalesce(g.class_id, 3) AS BIGINT) AS class_id, {S.milli('coalesce(' + S.iou('t.', 'g.') + ', 0)')} AS iou_milli FROM trk t LEFT JOIN tg g ON g.frame_idx = t.frame_idx AND g.is_referee = t.is_referee
+QUALIFY row_number() OVER (PARTITION BY t.frame_idx, t.is_referee, t.track_id ORDER BY coalesce({S.iou('t.', 'g.')}, 0) DESC, g.det_id NULLS LAST) = 1""")
+def source_match(spark, d):
+    return matching.source_match(T.tracks(spark, d), T.detections(spark, d)).select("frame_idx", "is_referee", "track_id", "det_id", F.col("class_id").cast("long").alias("class_id"), milli(F.col("iou")).alias("iou_milli"))
+
+
+@query(f"SELECT g.frame_idx, g.det_id FROM det g WHERE class_id IN (3, 4, 5, 6, 7) AND EXISTS (SELECT 1 FROM trk t WHERE NOT t.is_referee AND t.frame_idx + 1 = g.frame_idx AND ({S.iou('g.', 't.')} >= 0.10 OR {S.dist('g.', 't.')} <= 140))")
+def near_track(spark, d):
+    return matching.near_track(T.detections(spark, d), T.tracks(spark, d)).select("frame_idx", "det_id")
+
+
+@query("SELECT frame_idx, det_id, x2 - x1 AS w, y2 - y1 AS h, confidence FROM det WHERE class_id = 2 AND confidence >= 0.4 AND x2 - x1 >= 10 AND y2 - y1 >= 10")
+def number_boxes(spark, d):
+    return matching.number_boxes(T.detections(spark, d)).select("frame_idx", "det_id", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), "confidence")
+
+
+@query("n AS (SELECT frame_idx, det_id, (x1 + x2) // 2 AS cx, (y1 + y2) // 2 AS cy FROM det WHERE class_id = 2 AND confidence >= 0.4) SELECT n.frame_idx, n.det_id, n.cx, n.cy, t.track_id FROM n JOIN trk t ON t.frame_idx = n.frame_idx AND NOT t.is_referee AND cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2 QUALIFY row_number() OVER (PARTITION BY n.det_id ORDER BY t.obs_id) = 1")
+def box_contains(spark, d):
+    return matching.containing_track(matching.number_boxes(T.detections(spark, d)), T.tracks(spark, d)).drop("game_id")
+
+
+@query(f"SELECT p.frame_idx, p.track_id FROM trk p WHERE NOT p.is_referee AND NOT EXISTS (SELECT 1 FROM trk r WHERE r.is_referee AND r.frame_idx = p.frame_idx AND {S.iou('p.', 'r.')} >= 0.45 AND r.confidence >= p.confidence + 0.05::double)")
+def ref_conflict(spark, d):
+    return matching.without_referee_conflicts(T.tracks(spark, d)).select("frame_idx", "track_id")
+
+
+@query(f"""{S.BIRTHS}, t AS (SELECT trk.*, frame_idx - birth_frame AS age FROM trk JOIN births USING (is_referee, track_id)),
+c AS (SELECT a.frame_idx, a.is_referee, a.track_id, b.is_referee AS by_referee, b.track_id AS by_track, {S.iou('a.', 'b.')} AS i, {S.dist('a.', 'b.')} AS dd, greatest(55.0::double, 0.30::double * greatest(a.y2 - a.y1, b.y2 - b.y1)) AS lim FROM t a JOIN t b ON a.frame_idx = b.frame_idx AND (a.track_id <> b.track_id OR a.is_referee <> b.is_referee) AND b.age >= 8)
+SELECT frame_idx, is_referee, track_id, by_referee, by_track, {S.milli('i')} AS iou_milli, {S.milli('dd')} AS dist_milli FROM c WHERE i >= 0.08 OR dd <= lim QUALIFY row_number() OVER (PARTITION BY frame_idx, is_referee, track_id ORDER BY greatest(i / 0.08::double, lim / greatest(dd, 1.0::double)) DESC, by_referee, by_track) = 1""")
+def isolation_blockers(spark, d):
+    t = T.tracks(spark, d)
+    return matching.blockers(t, lifecycle.births(t)).select("frame_idx", "is_referee", "track_id", "by_referee", "by_track", milli(F.col("iou")).alias("iou_milli"), milli(F.col("dist")).alias("dist_milli"))
+
+
+@query("SELECT det_id, greatest(0, CAST(round_even(x1 - (x2 - x1) * 0.1::double, 0) AS BIGINT)) AS ex1, greatest(0, CAST(round_even(y1 - (y2 - y1) * 0.1::double, 0) AS BIGINT)) AS ey1, least(1280, CAST(round_even(x2 + (x2 - x1) * 0.1::double, 0) AS BIGINT)) AS ex2, least(720, CAST(round_even(y2 + (y2 - y1) * 0.1::double, 0) AS BIGINT)) AS ey2, greatest(0, (x1 + x2) // 2 - CAST(floor((x2 - x1) * 1.5::double) AS BIGINT) // 2) AS cx1, least(1280, (x1 + x2) // 2 + CAST(floor((x2 - x1) * 1.5::double) AS BIGINT) // 2) AS cx2, (x1 + x2) / 2.0::double AS foot_x, greatest(y1, y2 - 3) AS foot_y, y1 + CAST(floor((y2 - y1) * 0.20::double) AS BIGINT) AS jersey_top, y1 + CAST(floor((y2 - y1) * 0.65::double) AS BIGINT) AS jersey_end FROM det")
+def box_projections(spark, d):
+    b = G.box()
+    e, c, f, j = G.expand(b, CFG.expand_ratio, CFG.frame_w, CFG.frame_h), G.ocr_crop(b, CFG.ocr_scale, CFG.frame_w, CFG.frame_h), G.foot(b), G.jersey_crop(b)
+    return T.detections(spark, d).select("det_id", e[0].alias("ex1"), e[1].alias("ey1"), e[2].alias("ex2"), e[3].alias("ey2"), c[0].alias("cx1"), c[2].alias("cx2"), f[0].alias("foot_x"), f[1].alias("foot_y"), j[0].alias("jersey_top"), j[1].alias("jersey_end"))
+
+
+@query(f"SELECT a.det_id, {S.milli('CAST(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS DOUBLE) / greatest(1, greatest(1, (a.x2 - a.x1) * (a.y2 - a.y1)) + greatest(1, (b.x2 - b.x1) * (b.y2 - b.y1)) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))')} AS iou_milli FROM det a JOIN det b ON b.det_id = a.det_id + 1 AND b.frame_idx = a.frame_idx")
+def iou_tlwh_next(spark, d):
+    t = T.detections(spark, d).select("game_id", "frame_idx", "det_id", "x1", "y1", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    a, b = matching.renamed(t, "a_"), matching.renamed(t, "b_")
+    cols = lambda p: [F.col(f"{p}{c}") for c in ("x1", "y1", "w", "h")]
+    return a.join(b, ["game_id", "frame_idx"]).where("b_det_id = a_det_id + 1").select(F.col("a_det_id").alias("det_id"), milli(G.iou_tlwh(cols("a_"), cols("b_"))).alias("iou_milli"))
+
+
+@query("u AS (SELECT event_id, event_type, (user_id % 60) * 0.618033988749895::double AS h0, user_id FROM events), v AS (SELECT *, (h0 - floor(h0)) * 6 AS h6 FROM u), w AS (SELECT *, CAST(floor(h6) AS BIGINT) AS s, CAST(floor((h6 - floor(h6)) * 255) AS BIGINT) AS up, CAST(floor((1 - (h6 - floor(h6))) * 255) AS BIGINT) AS dn FROM v) SELECT event_id, CAST(CASE WHEN contains(event_type, 'ball') THEN 0 WHEN contains(event_type, 'sign') THEN 99 ELSE 99 END AS BIGINT) AS class_id, CASE event_type WHEN 'signup' THEN 'REF' ELSE coalesce('#' || nullif(CAST(event_id % 4 AS VARCHAR), '0'), CAST(user_id AS VARCHAR)) END AS label, CASE event_type WHEN 'signup' THEN user_id + 1000 ELSE user_id END AS role_id, CAST(CASE s WHEN 0 THEN 255 * 65536 + up * 256 WHEN 1 THEN dn * 65536 + 255 * 256 WHEN 2 THEN 255 * 256 + up WHEN 3 THEN dn * 256 + 255 WHEN 4 THEN up * 65536 + 255 ELSE 255 * 65536 + dn END AS BIGINT) AS color FROM w")
+def labels_and_colors(spark, d):
+    ref, e = F.col("event_type") == "signup", T.events(spark, d)
+    number = F.nullif((F.col("event_id") % 4).cast("string"), F.lit("0"))
+    return e.select("event_id", X.class_of(F.col("event_type"), F.lit(None).cast("int")).cast("long").alias("class_id"), X.display_label(F.col("user_id"), number, ref).alias("label"), X.role_id(F.col("user_id"), ref).alias("role_id"), X.color(F.col("user_id")).cast("long").alias("color"))
+
+
+@query("SELECT event_id, CASE WHEN length(regexp_replace(props, '[^0-9]', '', 'g')) < 2 THEN lpad(regexp_replace(props, '[^0-9]', '', 'g'), 2, '0') ELSE regexp_replace(props, '[^0-9]', '', 'g') END AS label, CAST(coalesce(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER), TRY_CAST(event_type AS INTEGER), event_id) - 1 AS BIGINT) AS idx, coalesce(TRY_CAST(event_type AS DOUBLE), 0::double) AS conf FROM events")
+def keypoint_labels(spark, d):
+    first = F.regexp_extract("props", "([0-9]+)", 1)
+    idx = F.coalesce(first.try_cast("int"), F.col("event_type").try_cast("int"), F.col("event_id")) - 1
+    return T.events(spark, d).select("event_id", X.keypoint_label(F.col("props")).alias("label"), idx.cast("long").alias("idx"), X.confidence_of(F.col("event_type"), F.lit(None).cast("string")).alias("conf"))
+
+
+@query(f"{S.BIRTHS} SELECT is_referee, track_id, birth_frame, birth_x, birth_y FROM births")
+def births(spark, d):
+    return lifecycle.births(T.tracks(spark, d)).drop("game_id")
+
+
+@query(f"{S.EDGES} SELECT * FROM ev")
+def lifecycle_edges(spark, d):
+    return lifecycle.edges(T.tracks(spark, d)).drop("game_id").select("is_referee", "track_id", "frame_idx", "kind", "n")
+
+
+@query(f"{S.EDGES} SELECT is_referee, track_id, frame_idx, n, n > 90 AS long_gap FROM ev WHERE kind = 'recovered'")
+def recovery_gaps(spark, d):
+    return lifecycle.recoveries(lifecycle.edges(T.tracks(spark, d))).select("is_referee", "track_id", "frame_idx", "n", "long_gap")
+
+
+@query(f"{S.EDGES} SELECT is_referee, count(*) FILTER (kind = 'new') AS n_new, count(*) FILTER (kind = 'lost') AS n_lost, count(*) FILTER (kind = 'recovered') AS n_recovered, count(*) FILTER (kind = 'removed') AS n_removed FROM ev GROUP BY 1")
+def lifecycle_summary(spark, d):
+    return lifecycle.summary(lifecycle.edges(T.tracks(spark, d))).drop("game_id")
+
+
+@query(f"{S.EDGES}, l AS (SELECT is_referee, list_sort(list(n)) AS s FROM ev WHERE kind = 'removed' GROUP BY 1), r AS (SELECT DISTINCT is_referee FROM ev) SELECT is_referee, CAST(coalesce(len(s), 0) AS BIGINT) AS n_removed, {S.milli('coalesce(list_avg(s), 0)')} AS mean_milli, coalesce(s[len(s) // 2 + 1], 0) AS median_life, coalesce(s[CAST(floor(len(s) * 0.9::double) AS BIGINT) + 1], 0) AS p90_life FROM r LEFT JOIN l USING (is_referee)")
+def lifetime_stats(spark, d):
+    out = lifecycle.lifetimes(lifecycle.edges(T.tracks(spark, d)))
+    return out.select("is_referee", "n_removed", milli(F.col("mean_life")).alias("mean_milli"), "median_life", "p90_life")
+
+
+@query(f"{S.EDGES} SELECT is_referee, track_id, frame_idx, n AS life, row_number() OVER w AS rank FROM ev WHERE kind = 'removed' WINDOW w AS (PARTITION BY is_referee ORDER BY n, frame_idx, track_id) QUALIFY rank <= 10")
+def shortest_lived(spark, d):
+    return lifecycle.shortest_lived(lifecycle.edges(T.tracks(spark, d))).select("is_referee", "track_id", "frame_idx", "life", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{S.EDGES}, c AS (SELECT is_referee, track_id, count(*) AS n_recovered, min(frame_idx) AS first_frame FROM ev WHERE kind = 'recovered' GROUP BY ALL) SELECT *, row_number() OVER w AS rank FROM c WINDOW w AS (PARTITION BY is_referee ORDER BY n_recovered DESC, first_frame, track_id) QUALIFY rank <= 10")
+def most_recovered(spark, d):
+    return lifecycle.most_recovered(lifecycle.edges(T.tracks(spark, d))).select("is_referee", "track_id", "n_recovered", "first_frame", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{S.LINKS} SELECT is_referee, frame_idx, source_kind, source_id, new_id, {S.milli('dist')} AS dist_milli, dt FROM links")
+def switch_links(spark, d):
+    return lifecycle.switch_links(T.tracks(spark, d)).select("is_referee", "frame_idx", "source_kind", "source_id", "new_id", milli(F.col("dist")).alias("dist_milli"), "dt")
+
+
+@query(f"{S.LINKS}, a AS (SELECT new_id, min(frame_idx) AS since, min_by(source_id, (frame_idx, source_id)) AS stable FROM links WHERE NOT is_referee GROUP BY 1) SELECT t.frame_idx, t.is_referee, t.track_id, CASE WHEN NOT t.is_referee AND since <= t.frame_idx THEN stable ELSE t.track_id END AS stable_id FROM trk t LEFT JOIN a ON a.new_id = t.track_id")
+def alias_apply(spark, d):
+    t = T.tracks(spark, d)
+    return lifecycle.apply_aliases(t, lifecycle.switch_links(t)).select("frame_idx", "is_referee", "track_id", "stable_id")
+
+
+_ADJ = "p AS (SELECT * FROM trk WHERE NOT is_referee), ad AS (SELECT p.*, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM p LEFT JOIN p b ON b.track_id = p.track_id AND b.frame_idx + 1 = p.frame_idx)"
+
+
+@query(f"{_ADJ}, j AS (SELECT frame_idx, track_id, bx1 IS NULL AS fresh, sqrt(power((x1 + x2 - bx1 - bx2) / 2.0::double, 2) + power((y1 + y2 - by1 - by2) / 2.0::double, 2)) >= 90 AS jump FROM ad), n AS (SELECT frame_idx, count(*) AS n_ids, count(*) FILTER (fresh) AS n_new, count(*) FILTER (jump) AS n_jumps, count(*) FILTER (NOT fresh) AS stay FROM j GROUP BY 1) SELECT n.frame_idx, n.n_ids, n.n_new, coalesce(b.n_ids, 0) - n.stay AS n_lost, n.n_jumps FROM n LEFT JOIN n b ON b.frame_idx + 1 = n.frame_idx")
+def id_jumps(spark, d):
+    return lifecycle.id_diagnostics(T.tracks(spark, d)).drop("game_id")
+
+
+def _cross(a: str, b: str) -> str:
+    return f"sqrt(power(({a}.bx1 + {a}.bx2) / 2.0::double - ({b}.x1 + {b}.x2) / 2.0::double, 2) + power(({a}.by1 + {a}.by2) / 2.0::double - ({b}.y1 + {b}.y2) / 2.0::double, 2))"
+
+
+@query(f"{_ADJ}, t AS (SELECT * FROM ad WHERE bx1 IS NOT NULL), s AS (SELECT a.frame_idx, a.track_id AS a_id, b.track_id AS b_id, {_cross('a', 'a')} + {_cross('b', 'b')} AS own, {_cross('a', 'b')} + {_cross('b', 'a')} AS crossed FROM t a JOIN t b ON a.frame_idx = b.frame_idx AND a.track_id < b.track_id) SELECT frame_idx, a_id, b_id, {S.milli('own')} AS own_milli, {S.milli('crossed')} AS crossed_milli FROM s WHERE crossed + 70 < own")
+def possible_swaps(spark, d):
+    return lifecycle.possible_swaps(T.tracks(spark, d)).select("frame_idx", "a_id", "b_id", milli(F.col("own")).alias("own_milli"), milli(F.col("crossed")).alias("crossed_milli"))
+
+
+@query("b AS (SELECT is_referee, frame_idx + 1 AS frame_idx, track_id FROM trk), n AS (SELECT is_referee, frame_idx, track_id FROM trk) SELECT *, 'came' AS kind FROM (SELECT * FROM n EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'went' FROM (SELECT * FROM b EXCEPT SELECT * FROM n) WHERE frame_idx IN (SELECT frame_idx FROM trk) UNION ALL SELECT *, 'stayed' FROM (SELECT * FROM n INTERSECT SELECT * FROM b)")
+def id_set_changes(spark, d):
+    return lifecycle.changes(T.tracks(spark, d)).select("is_referee", "frame_idx", "track_id", "kind")
+
+
+@query("a AS (SELECT is_referee, frame_idx, track_id, 0 AS r, frame_idx AS last_frame FROM trk), l AS (SELECT is_referee, frame_idx + g AS frame_idx, track_id, 1 AS r, frame_idx AS last_frame FROM trk, (SELECT unnest(range(1, 11)) AS g)), u AS (SELECT * FROM a UNION ALL SELECT * FROM l WHERE frame_idx IN (SELECT frame_idx FROM trk)) SELECT is_referee, frame_idx, track_id, CASE r WHEN 0 THEN 'active' ELSE 'lost' END AS state, last_frame FROM u QUALIFY row_number() OVER (PARTITION BY is_referee, frame_idx, track_id ORDER BY r, last_frame DESC) = 1")
+def active_and_lost(spark, d):
+    return lifecycle.active_and_lost(T.tracks(spark, d)).drop("game_id")
+
+
+@query(f"{S.VOTES} SELECT det_id, text, number FROM cl")
+def jersey_clean(spark, d):
+    return jersey.cleaned(T.ocr_reads(spark, d)).select("det_id", "text", "number")
+
+
+@query(f"{S.VOTES} SELECT track_id, number, count(*) AS n_votes, min(frame_idx) AS first_frame FROM vt GROUP BY ALL")
+def jersey_votes(spark, d):
+    return jersey.counts(jersey.votes(T.ocr_reads(spark, d))).drop("game_id")
+
+
+@query(f"{S.VOTES} SELECT track_id, lock_frame, owner, voted, CASE WHEN owner <= 2 THEN voted END AS jersey FROM lk")
+def jersey_final(spark, d):
+    return jersey.locks(jersey.votes(T.ocr_reads(spark, d))).select("track_id", "lock_frame", F.col("owner").cast("long").alias("owner"), "voted", "jersey")
+
+
+@query(f"{S.VOTES} SELECT voted AS jersey, track_id FROM lk WHERE owner = 1")
+def find_by_jersey(spark, d):
+    return jersey.by_number(jersey.locks(jersey.votes(T.ocr_reads(spark, d)))).select("jersey", "track_id")
+
+
+@query(f"{S.VOTES} SELECT t.frame_idx, t.is_referee, t.track_id, CASE WHEN NOT t.is_referee AND t.frame_idx >= lock_frame AND owner <= 2 THEN voted END AS jersey FROM trk t LEFT JOIN lk USING (track_id)")
+def jersey_labels(spark, d):
+    return jersey.labelled(T.tracks(spark, d), jersey.locks(jersey.votes(T.ocr_reads(spark, d)))).select("frame_idx", "is_referee", "track_id", "jersey")
+
+
+def _ledger(spark, d):
+    return T.tracks(spark, d).select("game_id", "frame_idx", F.nullif(F.col("track_id") % 12, F.lit(11)).alias("dropped_id"), F.nullif(F.col("obs_id") % 3, F.lit(2)).alias("kept_id"))
+
+
+@query(f"{S.LEDGER}, r AS (SELECT dropped_id, kept_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY dropped_id, kept_id ORDER BY frame_idx) AS g FROM (SELECT DISTINCT * FROM led)), i AS (SELECT dropped_id, kept_id, g, count(*) AS run, min(frame_idx) AS s FROM r GROUP BY ALL), b AS (SELECT dropped_id, kept_id, run, s FROM i QUALIFY row_number() OVER (PARTITION BY dropped_id, kept_id ORDER BY run DESC, s) = 1), t AS (SELECT dropped_id, kept_id, count(*) AS total FROM led GROUP BY ALL) SELECT t.dropped_id, t.kept_id, total, run AS longest_run, s AS run_start FROM t JOIN b ON t.dropped_id IS NOT DISTINCT FROM b.dropped_id AND t.kept_id IS NOT DISTINCT FROM b.kept_id WHERE run >= 5 OR total >= 10")
+def suppress_islands(spark, d):
+    return report.islands(_ledger(spark, d)).drop("game_id")
+
+
+@query("q AS (SELECT CAST(floor(event_id / 10) AS BIGINT) AS f, user_id % 40 AS track_id, count(*) AS c FROM events GROUP BY ALL HAVING count(*) > 1) SELECT track_id, count(*) AS total, min(f) AS first_frame, max(f) AS last_frame FROM q GROUP BY 1 ORDER BY total DESC, first_frame, track_id LIMIT 10")
+def duplicate_report(spark, d):
+    rows = T.events(spark, d).select(F.lit(0).alias("game_id"), F.floor(F.col("event_id") / 10).alias("frame_idx"), (F.col("user_id") % 40).alias("track_id"))
+    return report.duplicates(rows).drop("game_id")
+
+
+@query(f"{S.EDGES}, s AS (SELECT is_referee, count(*) FILTER (kind = 'new') AS n_new, count(*) FILTER (kind = 'lost') AS n_lost, count(*) FILTER (kind = 'recovered') AS n_recovered, count(*) FILTER (kind = 'removed') AS n_removed FROM ev GROUP BY 1) SELECT '{{\"is_referee\":' || CAST(is_referee AS VARCHAR) || ',\"n_new\":' || n_new || ',\"n_lost\":' || n_lost || ',\"n_recovered\":' || n_recovered || ',\"n_removed\":' || n_removed || '}}' AS json FROM s")
+def summary_json(spark, d):
+    return report.as_json(lifecycle.summary(lifecycle.edges(T.tracks(spark, d))).drop("game_id"))
+
+
+@query("n AS (SELECT frame_idx, count(*) AS n FROM trk GROUP BY 1) SELECT * FROM n WHERE frame_idx % 30 = 0 OR n < 7")
+def sampled_diagnostics(spark, d):
+    return report.sampled(T.tracks(spark, d).groupBy("frame_idx").agg(F.count("*").alias("n")), ["n"], low=7)
+
+
+_PX, _PY = S.project("x", "y", HL)
+
+
+@query(f"SELECT point_id, {S.milli(_PX)} AS tx_milli, {S.milli(_PY)} AS ty_milli, least(greatest(CAST(round_even({_PX}, 0) AS BIGINT), 0), 299) AS gx, 300 - x AS mirrored FROM pts")
+def project_h(spark, d):
+    return court.projected(T.points(spark, d), HL).select("point_id", milli(F.col("tx")).alias("tx_milli"), milli(F.col("ty")).alias("ty_milli"), G.clamp(F.col("tx"), CFG.court_w).alias("gx"), G.mirror_x(F.col("x")).alias("mirrored"))
+
+
+_FIVE = " + ".join("CAST({} BETWEEN 0 AND 300 AND {} BETWEEN 0 AND 161 AS BIGINT)".format(*S.project(f"(x1 + (x2 - x1) * {s}::double)", "(y2 - 3)", HL)) for s in (0.1, 0.3, 0.5, 0.7, 0.9))
+
+
+@query(f"SELECT frame_idx, is_referee, track_id, {_FIVE} AS n_inside FROM trk")
+def court_overlap5(spark, d):
+    return tactical.court_points(T.tracks(spark, d), HL).select("frame_idx", "is_referee", "track_id", F.col("n_inside").cast("long").alias("n_inside"))
+
+
+@query(f"SELECT frame_idx, is_referee, track_id, bool_or({_FIVE} >= 2) OVER (PARTITION BY is_referee, track_id ORDER BY frame_idx) AS active FROM trk")
+def court_active(spark, d):
+    return tactical.activated(tactical.court_points(T.tracks(spark, d), HL)).select("frame_idx", "is_referee", "track_id", "active")
+
+
+def _matched(spark, d):
+    return T.keypoints(spark, d).join(F.broadcast(court.template(spark)), "kp_idx")
+
+
+@query(f"{S.TEMPLATE}, b AS (SELECT p.vec_id AS point_id, p.x AS px, p.y AS py, mt.*, sqrt((p.x - mt.x) * (p.x - mt.x) + (p.y - mt.y) * (p.y - mt.y)) AS d FROM (SELECT vec_id, (vec_id * 7) % 1280 AS x, (vec_id * 11) % 720 AS y FROM embeddings) p JOIN mt ON mt.frame_idx = p.vec_id), n AS (SELECT *, power(d + 1, -1.35::double) * least(greatest(conf, 0.25::double), 1.0::double) AS w FROM b QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, kp_idx) <= 6) SELECT point_id, count(*) AS n, {S.milli('sum(w * tx) / sum(w)')} AS tx_milli, {S.milli('sum(w * ty) / sum(w)')} AS ty_milli FROM n GROUP BY 1")
+def idw_project(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit(0).alias("game_id"), F.col("vec_id").alias("frame_idx"), F.col("vec_id").alias("point_id"), ((F.col("vec_id") * 7) % 1280).alias("x"), ((F.col("vec_id") * 11) % 720).alias("y"))
+    out = court.weighted_projection(v, _matched(spark, d))
+    return out.select("point_id", "n", milli(F.col("tx")).alias("tx_milli"), milli(F.col("ty")).alias("ty_milli"))
+
+
+@query(f"p AS (SELECT a.frame_idx, CAST(b.x - a.x AS DOUBLE) / (b.y - a.y) AS s FROM kp a JOIN kp b ON a.frame_idx = b.frame_idx AND a.kp_idx % 8 = b.kp_idx % 8 AND a.kp_idx < b.kp_idx WHERE abs(b.y - a.y) >= 18), m AS (SELECT frame_idx, count(*) AS n_pairs, median(s) AS s FROM p GROUP BY 1) SELECT frame_idx, n_pairs, {S.milli('s')} AS slope_milli, CASE WHEN abs(s) < 0.08 THEN NULL WHEN s > 0 THEN 'right' ELSE 'left' END AS side FROM m")
+def layout_side(spark, d):
+    return court.layout_side(T.keypoints(spark, d)).select("frame_idx", "n_pairs", milli(F.col("slope")).alias("slope_milli"), "side")
+
+
+@query(f"{S.TEMPLATE} SELECT frame_idx, count(*) AS n, {S.milli('median(sqrt(power(' + _PX + ' - tx, 2) + power(' + _PY + ' - ty, 2)))')} AS err_milli FROM mt GROUP BY 1")
+def reprojection_error(spark, d):
+    return court.reprojection(_matched(spark, d), HL).select("frame_idx", "n", milli(F.col("median_err")).alias("err_milli"))
+
+
+@query(f"{S.TEMPLATE} SELECT frame_idx, kp_idx FROM mt WHERE sqrt(power({_PX} - tx, 2) + power({_PY} - ty, 2)) <= 50")
+def reprojection_inliers(spark, d):
+    return court.without_outliers(_matched(spark, d), HL, CFG.outlier_px).select("frame_idx", F.col("kp_idx").cast("long").alias("kp_idx"))
+
+
+@query(f"{S.TEMPLATE} SELECT frame_idx, count(*) FILTER (tx < 100) AS n_left, count(*) FILTER (tx BETWEEN 100 AND 200) AS n_center, count(*) FILTER (tx > 200) AS n_right, {S.milli('avg(tx)')} AS mean_milli, CASE WHEN avg(tx) < 129 THEN 'left' WHEN avg(tx) > 171 THEN 'right' ELSE 'center' END AS side FROM mt WHERE conf >= 0.5 GROUP BY 1")
+def side_counts(spark, d):
+    return court.observed_side(_matched(spark, d).where("conf >= 0.5")).select("frame_idx", "n_left", "n_center", "n_right", milli(F.col("mean_tx")).alias("mean_milli"), "side")
+
+
+_GRID = [(f"{x * 1280}::double", f"{y * 720}::double") for y in (0.25, 0.5, 0.75) for x in (0.25, 0.5, 0.75)]
+_SHIFT = ["sqrt(power({} - {}, 2) + power({} - {}, 2))".format(a[0], b[0], a[1], b[1]) for a, b in ((S.project(x, y, HL), S.project(x, y, court.OTHER_H)) for x, y in _GRID)]
+
+
+@query(f"SELECT DISTINCT frame_idx, {S.milli('(' + ' + '.join(_SHIFT) + ') / 9')} AS mean_milli, {S.milli('greatest(' + ', '.join(_SHIFT) + ')')} AS max_milli FROM kp")
+def h_shift(spark, d):
+    frames = T.keypoints(spark, d).select("frame_idx").distinct()
+    return court.homography_shift(frames, HL, court.OTHER_H).select("frame_idx", milli(F.col("mean_shift")).alias("mean_milli"), milli(F.col("max_shift")).alias("max_milli"))
+
+
+@query(f"dx AS (SELECT a.frame_idx, CAST(a.x - b.x AS DOUBLE) AS dx FROM kp a JOIN kp b ON b.frame_idx + 1 = a.frame_idx AND a.kp_idx = b.kp_idx), m AS (SELECT frame_idx, median(dx) AS med FROM dx GROUP BY 1) SELECT frame_idx, {S.milli('any_value(med)')} AS med_milli, {S.milli('median(abs(dx - med))')} AS mad_milli, {S.milli('avg(CAST(sign(dx) = sign(med) AS DOUBLE))')} AS agree_milli FROM dx JOIN m USING (frame_idx) GROUP BY 1")
+def pan_prior(spark, d):
+    return court.pan_prior(T.keypoints(spark, d)).select("frame_idx", milli(F.col("med")).alias("med_milli"), milli(F.col("mad")).alias("mad_milli"), milli(F.col("agree")).alias("agree_milli"))
+
+
+@query()
+def court_boundary(spark, d):
+    pts = T.keypoints(spark, d).select("game_id", "frame_idx", F.col("kp_idx").alias("point_id"), "x", "y")
+    return court.on_court(pts, court.boundaries(T.keypoints(spark, d).where("conf >= 0.3"))).select("frame_idx", "point_id", "inside")
+
+
+@query("i AS (SELECT frame_idx, kp_idx % 2 AS instance, count(*) AS n, count(*) FILTER (conf >= 0.1) + 0.01::double * sum(conf) AS score FROM kp GROUP BY ALL) SELECT frame_idx, CAST(instance AS BIGINT) AS instance, n FROM i QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY round(score, 6) DESC, instance) = 1")
+def kp_best_instance(spark, d):
+    return keypoints.best_instance(T.keypoints(spark, d).withColumn("instance", (F.col("kp_idx") % 2).cast("long"))).select("frame_idx", "instance", "n")
+
+
+@query("SELECT frame_idx, count(*) FILTER (x > 0 OR y > 0) AS n_valid, count(*) FILTER (conf >= 0.1) AS n_low, count(*) FILTER (conf >= 0.5) AS n_high, count(*) FILTER (x BETWEEN 10 AND 1270 AND y BETWEEN 10 AND 710) AS n_inside, count(*) FILTER (x < 384 OR x > 896) AS n_band FROM kp GROUP BY 1")
+def kp_validity(spark, d):
+    return keypoints.validity(T.keypoints(spark, d)).drop("game_id")
+
+
+@query("SELECT a.frame_idx, count(*) AS n_matched, count(*) FILTER (sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) > 150) AS n_moved, count(*) FILTER (sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) > 150) > 0.5 * count(*) AS reset FROM kp a JOIN kp b ON b.frame_idx + 1 = a.frame_idx AND a.kp_idx = b.kp_idx GROUP BY 1")
+def kp_jump_reset(spark, d):
+    return keypoints.jump_resets(T.keypoints(spark, d)).drop("game_id")
+
+
+@query("m AS (SELECT *, coalesce(CAST(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) > 300 AS INTEGER), 1) AS moved FROM kp WINDOW w AS (PARTITION BY kp_idx ORDER BY frame_idx)), r AS (SELECT *, sum(moved) OVER (PARTITION BY kp_idx ORDER BY frame_idx) AS run FROM m), s AS (SELECT *, row_number() OVER (PARTITION BY kp_idx, run ORDER BY frame_idx) - 1 AS still FROM r) SELECT frame_idx, CAST(kp_idx AS BIGINT) AS kp_idx, still, still >= 3 AND (x < 384 OR x > 896) AS dropped FROM s")
+def kp_still(spark, d):
+    from dataclasses import replace
+
+    out = keypoints.still_runs(T.keypoints(spark, d), replace(CFG, still_px=300.0, still_updates=3))
+    return out.select("frame_idx", F.col("kp_idx").cast("long").alias("kp_idx"), F.col("still").cast("long").alias("still"), "dropped")
+
+
+_GOOD = "g AS (SELECT frame_idx, kp_idx, CASE WHEN x BETWEEN 10 AND 1270 AND y BETWEEN 10 AND 710 THEN x END AS x, CASE WHEN x BETWEEN 10 AND 1270 AND y BETWEEN 10 AND 710 THEN y END AS y FROM kp)"
+
+
+@query(f"{_GOOD}, c AS (SELECT frame_idx, kp_idx, last_value(CASE WHEN x IS NOT NULL THEN frame_idx END IGNORE NULLS) OVER w AS gf, last_value(x IGNORE NULLS) OVER w AS gx, last_value(y IGNORE NULLS) OVER w AS gy FROM g WINDOW w AS (PARTITION BY kp_idx ORDER BY frame_idx)) SELECT frame_idx, CAST(kp_idx AS BIGINT) AS kp_idx, CASE WHEN frame_idx - gf <= 45 THEN gx END AS x, CASE WHEN frame_idx - gf <= 45 THEN gy END AS y, frame_idx - gf AS age FROM c")
+def kp_carry(spark, d):
+    return keypoints.carried(keypoints.inside_border(T.keypoints(spark, d))).select("frame_idx", F.col("kp_idx").cast("long").alias("kp_idx"), "x", "y", "age")
+
+
+@query(f"""{_GOOD}, s AS (SELECT *, row_number() OVER (PARTITION BY kp_idx ORDER BY frame_idx) AS n FROM g),
+r(kp_idx, n, frame_idx, x, y, missing) AS (SELECT kp_idx, n, frame_idx, CAST(x AS DOUBLE), CAST(y AS DOUBLE), CASE WHEN x IS NULL THEN 1 ELSE 0 END FROM s WHERE n = 1 UNION ALL
+SELECT s.kp_idx, s.n, s.frame_idx, CASE WHEN s.x IS NULL THEN CASE WHEN r.missing + 1 <= 45 THEN r.x END WHEN r.x IS NULL THEN s.x ELSE s.x * 0.6::double + r.x * 0.4::double END,
+CASE WHEN s.x IS NULL THEN CASE WHEN r.missing + 1 <= 45 THEN r.y END WHEN r.y IS NULL THEN s.y ELSE s.y * 0.6::double + r.y * 0.4::double END, CASE WHEN s.x IS NULL THEN r.missing + 1 ELSE 0 END FROM r JOIN s ON s.kp_idx = r.kp_idx AND s.n = r.n + 1)
+SELECT frame_idx, CAST(kp_idx AS BIGINT) AS kp_idx, {S.milli('x')} AS x_milli, {S.milli('y')} AS y_milli, CAST(missing AS BIGINT) AS missing FROM r""", recursive=True)
+def kp_smooth(spark, d):
+    out = keypoints.smoothed(keypoints.inside_border(T.keypoints(spark, d)))
+    return out.select("frame_idx", F.col("kp_idx").cast("long").alias("kp_idx"), milli(F.col("x")).alias("x_milli"), milli(F.col("y")).alias("y_milli"), F.col("missing").cast("long").alias("missing"))
+
+
+@query(f"{S.TEMPLATE}, u AS (SELECT frame_idx AS update_frame, count(*) FILTER (conf >= 0.5) AS n_high FROM kp WHERE frame_idx % 2 = 0 GROUP BY 1) SELECT f.frame_idx, f.frame_idx - f.frame_idx % 2 AS update_frame, n_high FROM (SELECT DISTINCT frame_idx FROM kp) f JOIN u ON u.update_frame = f.frame_idx - f.frame_idx % 2")
+def kp_hold(spark, d):
+    k = T.keypoints(spark, d)
+    updates = k.where(F.col("frame_idx") % 2 == 0).groupBy("game_id", "frame_idx").agg(F.count_if(F.col("conf") >= 0.5).alias("n_high"))
+    return keypoints.hold(k.select("game_id", "frame_idx").distinct(), updates).select("frame_idx", "update_frame", "n_high")
+
+
+@query()
+def side_hysteresis(spark, d):
+    return keypoints.side_state(court.layout_side(T.keypoints(spark, d))).select("frame_idx", "state", "streak")
+
+
+@query(f"{S.TEMPLATE}, o AS (SELECT frame_idx, CASE WHEN count(*) >= 17 THEN avg(tx) END AS m FROM mt WHERE conf >= 0.5 GROUP BY 1) SELECT frame_idx, {S.milli('last_value(m IGNORE NULLS) OVER (ORDER BY frame_idx)')} AS center_milli FROM o")
+def center_carry(spark, d):
+    seen = _matched(spark, d).where("conf >= 0.5").groupBy("game_id", "frame_idx").agg(F.when(F.count("*") >= 17, F.avg(F.col("tx").cast("double"))).alias("mean_tx"))
+    return keypoints.carried_center(seen).select("frame_idx", milli(F.col("center")).alias("center_milli"))
+
+
+_STAYS = "ft AS (SELECT frame_idx, is_referee, track_id, (x1 + x2) / 2.0::double AS x, CAST(greatest(y1, y2 - 3) AS DOUBLE) AS y FROM trk), sg AS (SELECT *, coalesce(CAST(frame_idx - lag(frame_idx) OVER w > 12 AS INTEGER), 0) AS f FROM ft WINDOW w AS (PARTITION BY is_referee, track_id ORDER BY frame_idx)), st AS (SELECT *, sum(f) OVER (PARTITION BY is_referee, track_id ORDER BY frame_idx) AS stay FROM sg), nn AS (SELECT *, row_number() OVER (PARTITION BY is_referee, track_id, stay ORDER BY frame_idx) AS n FROM st)"
+_STEP = "(CASE WHEN sqrt(power(n.x - e.sx, 2) + power(n.y - e.sy, 2)) > 18 THEN 18.0::double / greatest(sqrt(power(n.x - e.sx, 2) + power(n.y - e.sy, 2)), 1e-6::double) ELSE 1.0::double END)"
+_EMA = f"""{_STAYS}, ema(is_referee, track_id, stay, n, frame_idx, sx, sy) AS (SELECT is_referee, track_id, stay, n, frame_idx, x, y FROM nn WHERE n = 1 UNION ALL
+SELECT n.is_referee, n.track_id, n.stay, n.n, n.frame_idx, e.sx * 0.45::double + (e.sx + (n.x - e.sx) * {_STEP}) * 0.55::double, e.sy * 0.45::double + (e.sy + (n.y - e.sy) * {_STEP}) * 0.55::double
+FROM ema e JOIN nn n ON n.is_referee = e.is_referee AND n.track_id = e.track_id AND n.stay = e.stay AND n.n = e.n + 1)"""
+
+
+@query(f"{_EMA} SELECT frame_idx, is_referee, track_id, {S.milli('sx')} AS sx_milli, {S.milli('sy')} AS sy_milli FROM ema", recursive=True)
+def ema_tactical(spark, d):
+    return tactical.smooth(tactical.feet(T.tracks(spark, d))).select("frame_idx", "is_referee", "track_id", milli(F.col("sx")).alias("sx_milli"), milli(F.col("sy")).alias("sy_milli"))
+
+
+@query(f"{_EMA} SELECT frame_idx, is_referee, track_id, count(*) OVER w AS n, {S.milli('first_value(sx) OVER w')} AS tail_milli FROM ema WINDOW w AS (PARTITION BY is_referee, track_id, stay ORDER BY frame_idx ROWS BETWEEN 17 PRECEDING AND CURRENT ROW)", recursive=True)
+def trail18(spark, d):
+    out = tactical.trails(tactical.smooth(tactical.feet(T.tracks(spark, d))))
+    return out.select("frame_idx", "is_referee", "track_id", F.size("trail").cast("long").alias("n"), milli(F.element_at("trail", 1)["sx"]).alias("tail_milli"))
+
+
+@query(f"{_STAYS} SELECT is_referee, track_id, CAST(stay AS BIGINT) AS stay, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n FROM st GROUP BY ALL")
+def tactical_stays(spark, d):
+    out = tactical.stays(tactical.feet(T.tracks(spark, d)))
+    return out.groupBy("is_referee", "track_id", "stay").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count("*").alias("n"))
+
+
+def _runs(spark, d):
+    t = T.tracks(spark, d).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return t.select("game_id", "frame_idx", (F.col("obs_id") % 1000 + 1).alias("mask_id"), (F.col("y1") + 20 * F.col("r") + F.col("track_id") % 7).alias("y"), (F.col("x1") + 5 + 3 * (F.col("track_id") % 5)).alias("x_start"), (F.col("x1") + 45 + 3 * (F.col("obs_id") % 8)).alias("x_end"))
+
+
+_DOM = f"{S.RUNS}, ov AS (SELECT t.frame_idx, t.is_referee, t.track_id, t.x1, t.y1, t.x2, t.y2, mask_id, sum(least(x_end, x2) - greatest(x_start, x1)) AS inside FROM trk t JOIN mr ON mr.frame_idx = t.frame_idx AND y >= y1 AND y < y2 AND x_start < x2 AND x_end > x1 GROUP BY ALL), ar AS (SELECT frame_idx, mask_id, sum(x_end - x_start) AS area FROM mr GROUP BY ALL), dm AS (SELECT ov.*, area, CAST(inside AS DOUBLE) / greatest(1, (x2 - x1) * (y2 - y1)) AS fill, CAST(inside AS DOUBLE) / area AS inside_ratio FROM ov JOIN ar USING (frame_idx, mask_id) QUALIFY row_number() OVER (PARTITION BY frame_idx, is_referee, track_id ORDER BY inside DESC, mask_id) = 1)"
+
+
+@query(f"{_DOM} SELECT frame_idx, is_referee, track_id, mask_id, CAST(inside AS BIGINT) AS inside, CAST(area AS BIGINT) AS area, {S.milli('fill')} AS fill_milli, area >= 80 AND inside_ratio >= 0.35 AS ok FROM dm")
+def mask_dominant(spark, d):
+    out = masks.dominant(T.tracks(spark, d), _runs(spark, d))
+    ok = (F.col("area") >= CFG.mask_area) & (F.col("inside_ratio") >= CFG.mask_inside)
+    return out.select("frame_idx", "is_referee", "track_id", "mask_id", "inside", "area", milli(F.col("fill")).alias("fill_milli"), ok.alias("ok"))
+
+
+@query(f"{_DOM}, {S.BIRTHS}, q AS (SELECT dm.*, birth_frame, fill >= 0.005 AS shared FROM dm JOIN births USING (is_referee, track_id)), o AS (SELECT *, first_value(is_referee) OVER w AS orf, first_value(track_id) OVER w AS oid, first_value(x1) OVER w AS ox1, first_value(y1) OVER w AS oy1, first_value(x2) OVER w AS ox2, first_value(y2) OVER w AS oy2 FROM q WINDOW w AS (PARTITION BY frame_idx, mask_id ORDER BY birth_frame, is_referee, track_id, fill DESC)) SELECT frame_idx, is_referee, track_id, mask_id FROM o WHERE NOT shared OR (orf = is_referee AND oid = track_id) OR ({S.iou('', 'o')} < 0.5 AND {S.dist('', 'o')} > 40)")
+def mask_duplicates(spark, d):
+    t = T.tracks(spark, d)
+    return masks.without_duplicates(masks.dominant(t, _runs(spark, d)), lifecycle.births(t), 0.005).select("frame_idx", "is_referee", "track_id", "mask_id")
+
+
+@query(f"{S.RUNS} SELECT frame_idx, mask_id, CAST(sum(x_end - x_start) AS BIGINT) AS area, CAST(floor(CAST(sum((x_end - x_start) * (x_start + x_end - 1)) AS DOUBLE) / (2 * sum(x_end - x_start))) AS BIGINT) AS cx, CAST(floor(CAST(sum((x_end - x_start) * y) AS DOUBLE) / sum(x_end - x_start)) AS BIGINT) AS cy FROM mr GROUP BY ALL")
+def mask_sizes(spark, d):
+    return masks.sizes(_runs(spark, d)).drop("game_id")
+
+
+@query(f"{S.RUNS}, px AS (SELECT frame_idx, mask_id, y, unnest(range(x_start, x_end)) AS x FROM mr), o AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, mask_id ORDER BY y, x) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY frame_idx, mask_id) // 100) AS s FROM px) SELECT frame_idx, mask_id, count(*) AS n_sampled, count(*) FILTER ({_PX} BETWEEN 0 AND 300 AND {_PY} BETWEEN 0 AND 161) AS n_on FROM o WHERE k % s = 0 GROUP BY ALL")
+def mask_court_overlap(spark, d):
+    return masks.court_overlap(_runs(spark, d), HL, most=100).drop("game_id")
+
+
+@query(f"{S.RUNS}, px AS (SELECT frame_idx, mask_id, y, unnest(range(x_start, x_end)) AS x FROM mr), c AS (SELECT frame_idx, mask_id, quantile_cont(y, 0.88) AS cut FROM px GROUP BY ALL) SELECT frame_idx, mask_id, count(*) AS n, {S.milli('median(x)')} AS fx_milli, {S.milli('quantile_cont(y, 0.96)')} AS fy_milli FROM px JOIN c USING (frame_idx, mask_id) WHERE y >= cut GROUP BY ALL")
+def foot_percentile(spark, d):
+    return masks.feet(_runs(spark, d)).select("frame_idx", "mask_id", "n", milli(F.col("fx")).alias("fx_milli"), milli(F.col("fy")).alias("fy_milli"))
+
+
+@query(f"{S.RUNS} SELECT a.frame_idx, a.mask_id AS a_mask_id, b.mask_id AS b_mask_id, CAST(sum(least(a.x_end, b.x_end) - greatest(a.x_start, b.x_start)) AS BIGINT) AS shared FROM mr a JOIN mr b ON a.frame_idx = b.frame_idx AND a.y = b.y AND a.mask_id < b.mask_id AND a.x_start < b.x_end AND b.x_start < a.x_end GROUP BY ALL")
+def mask_pairs(spark, d):
+    return masks.iou_of_masks(_runs(spark, d)).drop("game_id")
+
+
+def _owners(spark, d):
+    return T.tracks(spark, d).where("obs_id % 4 <> 0").select("game_id", "frame_idx", "track_id", (F.col("obs_id") % 1000 + 1).alias("mask_id"))
+
+
+@query(f"ow AS (SELECT frame_idx, track_id, obs_id % 1000 + 1 AS mask_id FROM trk WHERE obs_id % 4 <> 0), h AS (SELECT t.*, ow.mask_id, CAST(ow.mask_id IS NOT NULL AS INTEGER) AS has FROM trk t LEFT JOIN ow USING (frame_idx, track_id)), g AS (SELECT *, sum(has) OVER (PARTITION BY is_referee, track_id ORDER BY frame_idx) AS grp FROM h) SELECT frame_idx, is_referee, track_id, CAST(sum(1 - has) OVER (PARTITION BY is_referee, track_id, grp ORDER BY frame_idx) AS BIGINT) AS n_missing FROM g")
+def mask_missing(spark, d):
+    return masks.missing_runs(T.tracks(spark, d), _owners(spark, d)).select("frame_idx", "is_referee", "track_id", "n_missing")
+
+
+@query(f"{_DOM}, ow AS (SELECT frame_idx, track_id, obs_id % 1000 + 1 AS mask_id FROM trk WHERE obs_id % 4 <> 0), ac AS (SELECT * FROM trk WHERE obs_id % 2 = 0) SELECT f.frame_idx, f.track_id, f.mask_id, ow.track_id AS owner_id FROM dm f JOIN ow ON ow.frame_idx = f.frame_idx AND ow.mask_id = f.mask_id WHERE f.fill >= 0.02 AND NOT EXISTS (SELECT 1 FROM ow q WHERE q.frame_idx = f.frame_idx AND q.track_id = f.track_id) AND NOT EXISTS (SELECT 1 FROM ac WHERE ac.frame_idx = ow.frame_idx AND ac.track_id = ow.track_id)")
+def mask_reuse(spark, d):
+    from dataclasses import replace
+
+    t = T.tracks(spark, d)
+    out = masks.reusable(masks.dominant(t, _runs(spark, d)), _owners(spark, d), t.where("obs_id % 2 = 0"), replace(CFG, mask_inside=0.02))
+    return out.select("frame_idx", "track_id", "mask_id", "owner_id")
+
+
+def _court_pairs(spark, d):
+    """Keypoint pairs that fit a known homography, a third of them wrong."""
+    k = _matched(spark, d)
+    x, y = G.project(F.col("tx").cast("double"), F.col("ty").cast("double"), [4.1, 0.3, 20.0, 0.1, 4.3, 15.0, 0.0001, 0.0002, 1.0])
+    off = F.when((F.col("frame_idx") * 7 + F.col("kp_idx") * 5) % 3 == 0, 60.0).otherwise(0.0)
+    return k.withColumn("x", x + off).withColumn("y", y - off)
+
+
+@query()
+def homography_estimates(spark, d):
+    out = homography.estimates(_court_pairs(spark, d))
+    return out.select("frame_idx", "mode", "n", "ok", F.round("residual", 3).alias("residual"))
+
+
+@query()
+def homography_machine(spark, d):
+    return homography.accept(homography.estimates(_court_pairs(spark, d))).select("frame_idx", "mode", "fresh", "streak", F.round("score", 3).alias("score"))
