@@ -89,7 +89,7 @@ def test_telephony_codecs():
     blocks[:, 2:4] = [5, 0]
 
     def slow(block):
-        value = int(np.int16(np.uint16(block[0] | int(block[1]) << 8)))
+        value = (int(block[0]) | int(block[1]) << 8) - (65536 if block[1] & 128 else 0)
         index, out = int(block[2]), [value]
         for code in (c for b in block[4:] for c in (int(b) & 15, int(b) >> 4)):
             s = int(T.STEPS[index])

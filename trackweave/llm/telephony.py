@@ -158,13 +158,14 @@ def decode(frame: DataFrame, media: str = "media", to: int = RESAMPLED) -> DataF
 
     base = frame.drop("pcm", "pcm_rate", "feature")
     schema = StructType([*base.schema.fields, *StructType.fromDDL("pcm binary, pcm_rate int, feature string").fields])
-    at = base.columns.index(media)
+    names = base.columns
+    at = names.index(media)
 
     def run(batch: pa.RecordBatch) -> dict:
         files = batch.column(at).to_pylist()
         pcm, kinds = decode_all(files), [read_wav(m) for m in files]
         new = [p and resample(p[1], p[0], to) for p in pcm]
-        return dict(zip(base.columns, batch.columns)) | {
+        return dict(zip(names, batch.columns)) | {
             "pcm": [None if x is None else x.astype("<i2").tobytes() for x in new],
             "pcm_rate": [None if x is None else to for x in new],
             "feature": [None if x is None else feature(k[0], p[1], x) for k, p, x in zip(kinds, pcm, new)],
