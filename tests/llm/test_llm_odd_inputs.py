@@ -196,3 +196,17 @@ def test_pii_and_telephony_and_bpe_odd(spark):
     empty = [r for r in telephony.store(docs).collect() if r.doc_id in (0, 1)]
     assert {r.payload_bytes for r in empty} == {64} and len({r.media_sha256 for r in empty}) == 1
     assert pii.redact(docs).columns == docs.columns and [r.text for r in pii.redact(docs).where("doc_id = 0").collect()] == [None]
+
+
+def test_clashing_columns(spark):
+    """Extra columns named like an operator's own pass through unharmed."""
+    from trackweave.llm import mixing, pii
+
+    names = ["_d", "_t", "_k", "_id", "_doc", "_key", "_tie", "_source", "_s", "_copies", "size", "key", "row", "bucket", "print", "sig", "kept", "shard", "count"]
+    docs = spark.createDataFrame([(k, f"some words of text {k} " * 30, "s") for k in range(6)], "doc_id long, text string, source string")
+    docs = docs.select("*", *(docs["doc_id"].alias(n) for n in names))
+    for run in (ngram_join.keep_one, mixing.resample, quality_rules.clean, pii.redact):
+        out = run(docs)
+        assert out.columns == docs.columns
+        assert all(r[n] == r.doc_id for r in out.collect() for n in names)
+    assert mixing.mix(docs).count() == ngram_join.classes(docs).count() == quality_rules.score(docs).count() == 6

@@ -123,8 +123,10 @@ def resample(docs: DataFrame, seed: int = SEED) -> DataFrame:
     two = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.k").alias("k"), F.col(f"{c}.t").alias("t")))
     goal = goal.select(F.col("source").alias("_s"), F.col("epochs").alias("_epochs"), F.col("end_bucket").alias("_end"), two("last").alias("_last"), two("closing").alias("_closing"))
     key = keyed(F.col("text"), F.col("doc_id"), seed)
-    both = docs.withColumns({"_key": key["key"], "_tie": key["tie"]}).join(goal, F.col("source").eqNullSafe(F.col("_s")))
+    # The document's own columns travel in a struct, so their names can't clash with those of the plan.
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("source").alias("_source"), key["key"].alias("_key"), key["tie"].alias("_tie"))
+    both = whole.join(goal, F.col("_source").eqNullSafe(F.col("_s")))
     order, at = order_of(F.col("_key"), F.col("_tie")), bucket(F.col("_key"))
     more = (at < F.col("_end")) | (at == F.col("_end")) & F.coalesce(order <= F.col("_last"), F.lit(False)) | F.coalesce(order == F.col("_closing"), F.lit(False))
-    copies = both.withColumn("_copies", (F.col("_epochs") + F.coalesce(more, F.lit(False)).cast("int")).cast("int")).where("_copies > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = both.select("_doc", (F.col("_epochs") + F.coalesce(more, F.lit(False)).cast("int")).cast("int").alias("_copies")).where("_copies > 0")
+    return copies.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

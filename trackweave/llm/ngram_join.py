@@ -332,13 +332,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     both = signed.select("doc_id", "tkey", "print").join(nodes.select("print", "keeper"), "print")
     away = both.where(~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("tkey") == F.col("keeper.tkey"))))
     away = materialize(away.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct(), "ngram-away")
-    with_key = docs.withColumn("_k", text_key(F.col("text")))
+    # The document's own columns travel in a struct, so their names can't clash with those of the join.
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_k"), F.coalesce(F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False)).alias("_words"))
     few = away.count() <= BROADCAST_ROWS
-    kept = with_key.join(F.broadcast(away) if few else away, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left_anti")
+    kept = whole.join(F.broadcast(away) if few else away, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left_anti")
     if repeats:
-        words = kept.where(F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]"))).dropDuplicates(["doc_id", "_k"])
-        kept = words.unionByName(kept.where("NOT coalesce(regexp_like(text, '[^\\\\x20\\\\x09-\\\\x0D]'), false)"))
-    return kept.select(*docs.columns)
+        kept = kept.where("_words").dropDuplicates(["_id", "_k"]).unionByName(kept.where("NOT _words"))
+    return kept.select("_doc.*")
 
 
 SQL = r"""
