@@ -174,3 +174,18 @@ def test_smoothing_properties(spark, world):
         if k in last:
             assert math.hypot(r.sx - last[k].sx, r.sy - last[k].sy) <= C.max_step * (1 - C.smooth_prev) + 1e-9
         last[k] = r
+
+
+def test_association(spark):
+    """Two players that pass each other slowly keep their ids; a weak detection continues a track; a weak one begins none."""
+    from trackweave.operators import association
+
+    rows = []
+    for f in range(20):
+        rows += [(0, f, 2 * f, 100 + 3 * f, 100, 160 + 3 * f, 250, 3, 0.3 if f == 9 else 0.9), (0, f, 2 * f + 1, 400 - 3 * f, 100, 460 - 3 * f, 250, 3, 0.9)]
+    rows.append((0, 5, 1000, 900, 100, 960, 250, 3, 0.4))
+    got = association.associate(spark.createDataFrame(rows, "game_id int, frame_idx long, det_id long, x1 long, y1 long, x2 long, y2 long, class_id int, confidence double")).collect()
+    ids = {}
+    for r in got:
+        ids.setdefault(r.track_id, set()).add(r.det_id % 2 if r.det_id < 1000 else "weak")
+    assert sorted(map(sorted, ids.values())) == [[0], [1]] and len(got) == 40

@@ -93,6 +93,16 @@ class Config:
     mask_fill: float = 0.45
     dup_iou: float = 0.50
     dup_dist: float = 40.0
+    reinit_missing: int = 6
+    reinit_cooldown: int = 20
+    # Pan prior and side transitions
+    pan_min_conf: float = 0.35
+    pan_keep: float = 0.55
+    pan_decay: float = 0.75
+    transition_updates: int = 8
+    # Association
+    new_score: float = 0.7
+    match_iou: float = 0.2
     # Court activation and reports
     activate_points: int = 2
     islands_run: int = 5

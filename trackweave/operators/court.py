@@ -112,3 +112,22 @@ def pan_prior(matched: DataFrame) -> DataFrame:
     med = d.groupBy(*FRAME).agg(F.median("dx").alias("med"))
     both = d.join(med, list(FRAME))
     return both.groupBy(*FRAME).agg(F.first("med").alias("med"), F.median(F.abs(F.col("dx") - F.col("med"))).alias("mad"), F.avg((F.signum("dx") == F.signum("med")).cast("double")).alias("agree"))
+
+
+def template_mode(layout: Column, court_side: Column, normal_mean: Column, last_mode: Column, cfg: Config = DEFAULT) -> Column:
+    """Which template a frame's keypoints go to: the one whose side is the wanted one (of the layout, or else of the court), else the last.
+
+    `normal_mean` is the mean court x of the keypoints under the normal template; the mirrored one has it from the other end."""
+    want = F.coalesce(layout, court_side)
+    normal, mirrored = side_of(normal_mean, cfg), side_of(F.lit(cfg.court_w) - normal_mean, cfg)
+    return F.when(want.isin("left", "right") & (normal == want), "normal").when(want.isin("left", "right") & (mirrored == want), "mirrored").otherwise(F.coalesce(last_mode, F.lit("normal")))
+
+
+def keep_on_court(detections: DataFrame, bounds: DataFrame, near: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Detections that aren't players, stand on the court, or are near a track of the frame before."""
+    foot = detections.select(*FRAME, F.col("det_id").alias("point_id"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), F.col("y2").alias("y"))
+    inside = on_court(foot, bounds).where("inside").select(*FRAME, F.col("point_id").alias("det_id"))
+    players = detections.where(F.col("class_id").isin(*cfg.player_classes))
+    kept = inside.unionByName(near.select(*FRAME, "det_id")).distinct()
+    others = detections.where(~F.col("class_id").isin(*cfg.player_classes))
+    return others.unionByName(players.join(kept, [*FRAME, "det_id"], "left_semi"))

@@ -42,20 +42,29 @@ def apply(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q[:, :2] / w
 
 
+def from_fours(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """A homography for each set of four pairs (arrays of shape tries, 4, 2), by one batched decomposition."""
+    x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
+    zero, one = np.zeros_like(x), np.ones_like(x)
+    upper = np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], axis=-1)
+    lower = np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], axis=-1)
+    return np.linalg.svd(np.concatenate([upper, lower], axis=1))[2][:, -1].reshape(-1, 3, 3)
+
+
 def estimate(src: np.ndarray, dst: np.ndarray, cfg: Config = DEFAULT, seed: int = 0, tries: int = 64) -> tuple[np.ndarray, float] | None:
     """(H, median residual) by RANSAC; None if there are under four points or the result fails the gates."""
     n = len(src)
     if n < 4:
         return None
-    draw, best = np.random.default_rng(seed), np.zeros(n, bool)
-    for _ in range(1 if n == 4 else tries):
-        pick = np.arange(4) if n == 4 else draw.choice(n, 4, replace=False)
-        h = direct_linear(src[pick], dst[pick])
-        if h is None or not np.isfinite(h).all():
-            continue
-        good = np.sqrt(((apply(h, src) - dst) ** 2).sum(1)) <= cfg.ransac_px
-        if good.sum() > best.sum():
-            best = good
+    draw = np.random.default_rng(seed)
+    picks = np.arange(4)[None] if n == 4 else np.argsort(draw.random((tries, n)), axis=1)[:, :4]
+    size = max(1.0, float(np.abs(src).max()), float(np.abs(dst).max()))
+    maps = from_fours(src[picks] / size, dst[picks] / size)
+    image = np.c_[src / size, np.ones(n)] @ maps.transpose(0, 2, 1)
+    with np.errstate(all="ignore"):
+        err = np.sqrt(((image[..., :2] / image[..., 2:] * size - dst) ** 2).sum(-1))
+    good = np.nan_to_num(err, nan=np.inf) <= cfg.ransac_px
+    best = good[int(good.sum(1).argmax())]
     h = direct_linear(src[best], dst[best]) if best.sum() >= 4 else None
     if h is None or not np.isfinite(h).all() or abs(np.linalg.det(h)) < 1e-8:
         return None
@@ -65,18 +74,21 @@ def estimate(src: np.ndarray, dst: np.ndarray, cfg: Config = DEFAULT, seed: int
 
 def estimates(matched: DataFrame, cfg: Config = DEFAULT, bucket: int = BUCKET) -> DataFrame:
     """Per frame of (x, y, tx, ty) pairs: points, validity, H, its residual, and those of the mirrored template."""
-    schema = "game_id int, frame_idx long, mode string, n int, ok boolean, residual double, " + ", ".join(f"{h} double" for h in H)
+    schema = "game_id int, frame_idx long, mode string, n int, ok boolean, residual double, mean_tx double, " + ", ".join(f"{h} double" for h in H)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (game, frame), g in pdf.dropna(subset=["x", "y"]).groupby(["game_id", "frame_idx"], sort=True):
             g = g.sort_values("kp_idx")
             src, dst = g[["x", "y"]].to_numpy(float), g[["tx", "ty"]].to_numpy(float)
+            found = estimate(src, dst, cfg, seed=int(frame))
+            # Mirroring the template keeps all distances, so its homography is the same one, mirrored.
+            flip = np.array([[-1.0, 0, cfg.court_w], [0, 1, 0], [0, 0, 1]])
             for mode in ("normal", "mirrored"):
-                to = dst if mode == "normal" else np.c_[cfg.court_w - dst[:, 0], dst[:, 1]]
-                found = estimate(src, to, cfg, seed=int(frame))
-                out.append((game, frame, mode, len(g), found is not None, found[1] if found else None, *(found[0].ravel() if found else [None] * 9)))
-        return pd.DataFrame(out, columns=["game_id", "frame_idx", "mode", "n", "ok", "residual", *H])
+                h = None if found is None else found[0] if mode == "normal" else flip @ found[0]
+                mean = float(dst[:, 0].mean())
+                out.append((game, frame, mode, len(g), found is not None, found and found[1], mean if mode == "normal" else cfg.court_w - mean, *(h.ravel() if h is not None else [None] * 9)))
+        return pd.DataFrame(out, columns=["game_id", "frame_idx", "mode", "n", "ok", "residual", "mean_tx", *H])
 
     keyed = matched.select("game_id", "frame_idx", "kp_idx", "x", "y", "tx", "ty").withColumn("_b", F.floor(F.col("frame_idx") / bucket))
     return keyed.groupBy("game_id", "_b").applyInPandas(run, schema)
@@ -88,8 +100,11 @@ def accept(found: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     schema = "game_id int, frame_idx long, mode string, fresh boolean, streak int, score double, " + ", ".join(f"{h} double" for h in H)
     grid = np.array([(x * cfg.frame_w, y * cfg.frame_h) for y in (0.25, 0.5, 0.75) for x in (0.25, 0.5, 0.75)])
 
+    def side(mean: float) -> str:
+        return "left" if mean < cfg.side_low * cfg.court_w else "right" if mean > cfg.side_high * cfg.court_w else "center"
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, mode, streak, out = None, None, 0, []
+        last, mode, held, streak, out = None, None, "center", 0, []
         for frame, g in pdf.sort_values(["frame_idx", "mode"], ascending=[True, False]).groupby("frame_idx", sort=True):
             best = None
             for r in g[g.ok].itertuples(index=False):
@@ -98,11 +113,13 @@ def accept(found: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                 if last is not None:
                     shift = np.sqrt(((apply(h, grid) - apply(last, grid)) ** 2).sum(1))
                     score += MEAN_WEIGHT * shift.mean() + MAX_WEIGHT * shift.max() + MODE_SWITCH * (mode != r.mode)
+                    score += WRONG_SIDE * ("center" not in (held, side(r.mean_tx)) and held != side(r.mean_tx))
                 if best is None or score < best[0]:
-                    best = (score, h, r.mode)
+                    best = (score, h, r.mode, side(r.mean_tx))
             fresh = best is not None
             if fresh:
-                score, last, mode, streak = best[0], best[1], best[2], 0
+                score, last, mode, streak = *best[:3], 0
+                held = best[3] if best[3] != "center" else held
             else:
                 score, streak = None, streak + 1
             if last is not None:

@@ -94,20 +94,41 @@ def hold(per_frame: DataFrame, updates: DataFrame, cfg: Config = DEFAULT) -> Dat
 
 
 def side_state(sides: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Court side with hysteresis: another side must be observed a number of updates in a row before it holds. One game's updates
-    are one fold."""
+    """Court side with hysteresis: another side must be observed a number of updates in a row before it holds; the center, no side, or
+    the side that holds end the count. `transition` counts updates down after a change. One game's updates are one fold."""
     seq = F.array_sort(F.collect_list(F.struct("frame_idx", "side")))
-    item = lambda f, s, c, n: F.struct(f.alias("frame_idx"), s.alias("state"), c.alias("next"), n.alias("streak"))
+    item = lambda f, s, c, n, t: F.struct(f.alias("frame_idx"), s.alias("state"), c.alias("next"), n.alias("streak"), t.alias("transition"))
+    ahead = lambda s: F.when(s.isin("left", "right"), s)
 
     def add(last: Column, p: Column) -> Column:
-        side = F.coalesce(p["side"], last["state"])
-        streak = F.when(side == last["state"], 0).when(side == last["next"], last["streak"] + 1).otherwise(1)
+        side = ahead(p["side"])
+        other = side.isNotNull() & F.coalesce(side != last["state"], F.lit(True))
+        streak = F.when(~other, 0).when(side == last["next"], last["streak"] + 1).otherwise(1)
         turn = (streak >= cfg.hysteresis) | last["state"].isNull()
-        return item(p["frame_idx"], F.when(turn, side).otherwise(last["state"]), side, F.when(turn, 0).otherwise(streak))
+        fresh = turn & last["state"].isNotNull()
+        left = F.when(fresh, cfg.transition_updates).otherwise(F.greatest(F.lit(0), last["transition"] - 1))
+        return item(p["frame_idx"], F.when(turn, F.coalesce(side, last["state"])).otherwise(last["state"]), F.when(other & ~turn, side), F.when(turn, 0).otherwise(streak), left)
 
-    grouped = sides.groupBy("game_id").agg(seq.alias("s"))
-    folded = running(F.col("s"), lambda p: item(p["frame_idx"], p["side"], p["side"], F.lit(0)), add)
-    return grouped.select("game_id", F.inline(folded))
+    folded = running(F.col("s"), lambda p: item(p["frame_idx"], ahead(p["side"]), F.lit(None).cast("string"), F.lit(0), F.lit(0)), add)
+    return sides.groupBy("game_id").agg(seq.alias("s")).select("game_id", F.inline(folded))
+
+
+def pan_state(priors: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The camera's pan over updates (frame_idx, dx, conf): sure updates are blended into a sure state or replace another; unsure ones let
+    it decay to nothing."""
+    seq = F.array_sort(F.collect_list(F.struct("frame_idx", F.col("dx").cast("double").alias("dx"), F.col("conf").cast("double").alias("conf"))))
+    item = lambda f, d, c: F.struct(f.alias("frame_idx"), d.alias("pan_dx"), c.alias("pan_conf"))
+
+    def add(last: Column, p: Column) -> Column:
+        sure, was = p["conf"] >= cfg.pan_min_conf, last["pan_conf"] >= cfg.pan_min_conf
+        mixed = F.when(was, last["pan_dx"] * cfg.pan_keep + p["dx"] * (1 - cfg.pan_keep)).otherwise(p["dx"])
+        faded = last["pan_dx"] * cfg.pan_decay
+        gone = F.abs(faded) < 0.05
+        return item(p["frame_idx"], F.when(sure, mixed).when(gone, 0.0).otherwise(faded), F.when(sure, p["conf"]).when(gone, 0.0).otherwise(last["pan_conf"] * cfg.pan_decay))
+
+    sure = lambda p: p["conf"] >= cfg.pan_min_conf
+    folded = running(F.col("s"), lambda p: item(p["frame_idx"], F.when(sure(p), p["dx"]).otherwise(0.0), F.when(sure(p), p["conf"]).otherwise(0.0)), add)
+    return priors.groupBy("game_id").agg(seq.alias("s")).select("game_id", F.inline(folded))
 
 
 def carried_center(sides: DataFrame) -> DataFrame:

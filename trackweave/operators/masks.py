@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
+from trackweave.functions.fold import running
 from trackweave.functions.geometry import box, box_distance, iou, project
 from trackweave.operators.matching import FRAME, renamed
 
@@ -98,3 +99,24 @@ def iou_of_masks(runs: DataFrame) -> DataFrame:
     """Shared pixels of pairs of masks in a frame, row by row of the image."""
     both = renamed(runs, "a_", (*FRAME, "y")).join(renamed(runs, "b_", (*FRAME, "y")), [*FRAME, "y"]).where("a_mask_id < b_mask_id AND a_x_start < b_x_end AND b_x_start < a_x_end")
     return both.groupBy(*FRAME, "a_mask_id", "b_mask_id").agg(F.sum(F.least("a_x_end", "b_x_end") - F.greatest("a_x_start", "b_x_start")).alias("shared"))
+
+
+def requests(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """When masks are asked for anew: (frame_idx, has_mask, blocked) of each track to the same with `missing`, `cooldown`, `waiting` and
+    `request`. A track without a mask for some frames asks; while another stands in its way it waits, from the first such frame on; after
+    asking it rests."""
+    seq = F.array_sort(F.collect_list(F.struct("frame_idx", "has_mask", "blocked")))
+    item = lambda f, m, c, w, r: F.struct(f.alias("frame_idx"), m.alias("missing"), c.alias("cooldown"), w.alias("waiting"), r.alias("request"))
+
+    def add(last: Column, p: Column) -> Column:
+        cool = F.greatest(F.lit(0), last["cooldown"] - 1)
+        has, rest = p["has_mask"], cool > 0
+        missing = F.when(has, 0).when(rest, last["missing"]).otherwise(last["missing"] + 1)
+        due = ~has & ~rest & (missing >= cfg.reinit_missing)
+        ask = due & ~p["blocked"]
+        waiting = F.when(has | ask, F.lit(None)).when(due, F.coalesce(last["waiting"], p["frame_idx"])).otherwise(last["waiting"])
+        return item(p["frame_idx"], missing, F.when(ask, cfg.reinit_cooldown).otherwise(cool), waiting, ask)
+
+    first = lambda p: item(p["frame_idx"], F.when(p["has_mask"], 0).otherwise(1), F.lit(0), F.lit(None).cast("long"), F.lit(False))
+    key = ["game_id", "is_referee", "track_id"]
+    return rows.groupBy(*key).agg(seq.alias("s")).select(*key, F.inline(running(F.col("s"), first, add)))

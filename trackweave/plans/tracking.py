@@ -8,6 +8,7 @@ from trackweave.config import DEFAULT as CFG
 from trackweave.functions import geometry as G
 from trackweave.functions import text as X
 from trackweave.functions.geometry import milli
+from trackweave.operators import association as _association
 from trackweave.operators import court, homography, jersey, keypoints, lifecycle, masks, matching, report, suppress, tactical
 from trackweave.plans import sql as S
 from trackweave.plans.registry import query
@@ -484,3 +485,40 @@ def homography_estimates(spark, d):
 @query()
 def homography_machine(spark, d):
     return homography.accept(homography.estimates(_court_pairs(spark, d))).select("frame_idx", "mode", "fresh", "streak", F.round("score", 3).alias("score"))
+
+
+@query()
+def court_filter(spark, d):
+    det = T.detections(spark, d)
+    bounds = court.boundaries(T.keypoints(spark, d).where("conf >= 0.3"))
+    return court.keep_on_court(det, bounds, matching.near_track(det, T.tracks(spark, d))).select("frame_idx", "det_id", "class_id")
+
+
+@query(f"{S.TEMPLATE}, m AS (SELECT frame_idx, avg(tx) AS mean FROM mt WHERE conf >= 0.5 GROUP BY 1), w AS (SELECT *, CASE frame_idx % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'center' END AS want, CASE WHEN mean < 129 THEN 'left' WHEN mean > 171 THEN 'right' ELSE 'center' END AS ns, CASE WHEN 300 - mean < 129 THEN 'left' WHEN 300 - mean > 171 THEN 'right' ELSE 'center' END AS ms FROM m) SELECT frame_idx, CASE WHEN want IN ('left', 'right') AND ns = want THEN 'normal' WHEN want IN ('left', 'right') AND ms = want THEN 'mirrored' WHEN frame_idx % 3 = 0 THEN 'mirrored' ELSE 'normal' END AS mode FROM w")
+def template_mode(spark, d):
+    m = _matched(spark, d).where("conf >= 0.5").groupBy("frame_idx").agg(F.avg(F.col("tx").cast("double")).alias("mean"))
+    side = F.when(F.col("frame_idx") % 4 == 0, "left").when(F.col("frame_idx") % 4 == 1, "right").when(F.col("frame_idx") % 4 == 2, "center")
+    return m.select("frame_idx", court.template_mode(side, F.lit(None).cast("string"), F.col("mean"), F.when(F.col("frame_idx") % 3 == 0, "mirrored")).alias("mode"))
+
+
+_PAN = "pr AS (SELECT frame_idx, CAST((frame_idx * 7) % 41 - 20 AS DOUBLE) AS dx, CAST((frame_idx * 13) % 100 AS DOUBLE) / 100 AS conf FROM (SELECT DISTINCT frame_idx FROM kp)), pn AS (SELECT *, row_number() OVER (ORDER BY frame_idx) AS n FROM pr)"
+
+
+@query(f"""{_PAN}, ps(n, frame_idx, d, c) AS (SELECT n, frame_idx, CASE WHEN conf >= 0.35 THEN dx ELSE 0::double END, CASE WHEN conf >= 0.35 THEN conf ELSE 0::double END FROM pn WHERE n = 1 UNION ALL
+SELECT p.n, p.frame_idx, CASE WHEN p.conf >= 0.35 THEN CASE WHEN s.c >= 0.35 THEN s.d * 0.55::double + p.dx * (1 - 0.55::double) ELSE p.dx END WHEN abs(s.d * 0.75::double) < 0.05 THEN 0::double ELSE s.d * 0.75::double END,
+CASE WHEN p.conf >= 0.35 THEN p.conf WHEN abs(s.d * 0.75::double) < 0.05 THEN 0::double ELSE s.c * 0.75::double END FROM ps s JOIN pn p ON p.n = s.n + 1) SELECT frame_idx, {S.milli('d')} AS dx_milli, {S.milli('c')} AS conf_milli FROM ps""", recursive=True)
+def pan_state(spark, d):
+    k = T.keypoints(spark, d).select("game_id", "frame_idx").distinct()
+    rows = k.select("game_id", "frame_idx", ((F.col("frame_idx") * 7) % 41 - 20).alias("dx"), (((F.col("frame_idx") * 13) % 100).cast("double") / 100).alias("conf"))
+    return keypoints.pan_state(rows).select("frame_idx", milli(F.col("pan_dx")).alias("dx_milli"), milli(F.col("pan_conf")).alias("conf_milli"))
+
+
+@query("rq AS (SELECT *, obs_id % 9 = 0 AS has, obs_id % 4 = 1 AS blk, row_number() OVER (PARTITION BY is_referee, track_id ORDER BY frame_idx) AS n FROM trk), st(is_referee, track_id, n, frame_idx, missing, cool, waiting, ask) AS (SELECT is_referee, track_id, n, frame_idx, CASE WHEN has THEN 0 ELSE 1 END, 0, CAST(NULL AS BIGINT), false FROM rq WHERE n = 1 UNION ALL SELECT q.is_referee, q.track_id, q.n, q.frame_idx, q.m, CASE WHEN q.due AND NOT q.blk THEN 20 ELSE q.c END, CASE WHEN q.has OR (q.due AND NOT q.blk) THEN NULL WHEN q.due THEN coalesce(q.w, q.frame_idx) ELSE q.w END, q.due AND NOT q.blk FROM (SELECT *, NOT has AND c = 0 AND m >= 6 AS due FROM (SELECT r.is_referee, r.track_id, r.n, r.frame_idx, r.has, r.blk, s.waiting AS w, greatest(0, s.cool - 1) AS c, CASE WHEN r.has THEN 0 WHEN greatest(0, s.cool - 1) > 0 THEN s.missing ELSE s.missing + 1 END AS m FROM st s JOIN rq r ON r.is_referee = s.is_referee AND r.track_id = s.track_id AND r.n = s.n + 1)) q) SELECT frame_idx, is_referee, track_id, CAST(missing AS BIGINT) AS missing, CAST(cool AS BIGINT) AS cooldown, waiting, ask AS request FROM st", recursive=True)
+def mask_requests(spark, d):
+    rows = T.tracks(spark, d).select("game_id", "is_referee", "track_id", "frame_idx", (F.col("obs_id") % 9 == 0).alias("has_mask"), (F.col("obs_id") % 4 == 1).alias("blocked"))
+    return masks.requests(rows).select("frame_idx", "is_referee", "track_id", F.col("missing").cast("long").alias("missing"), F.col("cooldown").cast("long").alias("cooldown"), "waiting", "request")
+
+
+@query()
+def association(spark, d):
+    return _association.associate(T.detections(spark, d)).select("frame_idx", "is_referee", "track_id", "det_id", "confidence")

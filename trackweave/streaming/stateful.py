@@ -23,8 +23,8 @@ def event_time(ts: Column) -> Column:
 
 
 def with_time(df: DataFrame, fps: int = FPS) -> DataFrame:
-    """Frames as timestamps from the epoch."""
-    return df.withColumn("ts", F.timestamp_millis((F.col("frame_idx") * 1000 / fps).cast("long")))
+    """Frames as timestamps; frame 0 is one frame after the epoch, for a row at the first watermark (the epoch) would be late."""
+    return df.withColumn("ts", F.timestamp_millis(((F.col("frame_idx") + 1) * 1000 / fps).cast("long")))
 
 
 def smooth_stream(points: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late: str = "2 seconds") -> DataFrame:
@@ -53,7 +53,7 @@ def smooth_stream(points: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late
             last = int(x.frame_idx)
             rows.append((*key, last, sx, sy))
         state.update((last, sx, sy))
-        state.setTimeoutTimestamp(max(int(last * 1000 / fps) + int((cfg.gap + 1) * 1000 / fps), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int((last + cfg.gap + 2) * 1000 / fps), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["game_id", "is_referee", "track_id", "frame_idx", "sx", "sy"])
 
     return (
