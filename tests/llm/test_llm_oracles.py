@@ -246,3 +246,17 @@ def test_mix_odd(spark):
     want = mixed_targets({s: sum(r.size for r in rows if r.source == s) for s in {r.source for r in rows}})
     assert all(abs(words.get(s, 0) - t) <= 13 for s, t in want.items())
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.resample(docs.limit(0)).collect() == []
+
+
+def test_bpe_generations():
+    """A table of a few pieces gives the same ids as a large one."""
+    import public_tokenizers
+
+    from trackweave.llm import bpe
+
+    path, pattern = public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN
+    small, large = bpe.Codec(path, pattern), bpe.Codec(path, pattern)
+    small.known = bpe.Pieces(3)
+    draw = np.random.default_rng(0)
+    lines = [" ".join(f"w{k}" for k in draw.integers(0, 12, 6)) + "x" * int(draw.integers(0, 80)) for _ in range(200)]
+    assert small.encode(lines) == large.encode(lines) and len(small.known) <= 20

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from trackweave.llm.common import map_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces kept by a worker before its table is emptied, and the longest that is kept.
-PIECES, PIECE_CHARS = 400_000, 48
+#: Pieces of a generation of a worker's table, and the longest that is kept.
+PIECES, PIECE_CHARS = 120_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -33,6 +33,27 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Pieces(dict):
+    """Ids of pieces, in two generations: a full one becomes the older one, whose pieces come back when they are used. So memory is
+    bounded, and frequent pieces stay."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older = size, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.older[piece]
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+
+    def unseen(self, pieces: list[str]) -> list[str]:
+        return [p for p in set(pieces) if p not in self and p not in self.older]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file; one per worker process and path."""
 
@@ -46,7 +67,7 @@ class Codec:
         back = {c: b for b, c in enumerate(byte_characters())}
         special = {t.content for t in self.model.get_added_tokens_decoder().values()}
         self.token_bytes: dict[int, bytes] = {i: t.encode() if t in special else bytes(back[c] for c in t) for t, i in self.model.get_vocab().items()}
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(PIECES)
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian uint32 bytes, by one call of the library."""
@@ -56,12 +77,9 @@ class Codec:
         """Ids of each text as little-endian uint32 bytes."""
         known, out = self.known, []
         for text in texts:
+            known.turn()
             parts = self.split(text)
-            new = [p for p in set(parts) if p not in known]
-            if new:
-                if len(known) > PIECES:
-                    known.clear()
-                    new = list(set(parts))
+            if new := known.unseen(parts):
                 known.update(zip(new, self.pieces(new)))
             out.append(b"".join(map(known.__getitem__, parts)))
             for p in new:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these ASCII blanks; `bytes.split()` splits on exactly the same six.
 BLANKS = "\\x20\\x09-\\x0D"
 #: Python code works on slices of an Arrow batch of about so many bytes, so long texts can't pile up.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
