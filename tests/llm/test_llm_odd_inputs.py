@@ -76,6 +76,41 @@ def test_ngram_blocks(spark, monkeypatch):
     assert sorted(got) == sorted(brute_classes(rows))
 
 
+def test_least_labels():
+    """Against union-find, on paths, trees and sparse graphs whose rows are in any order."""
+    assert ngram_join.least_labels(4, np.array([0, 2, 3]), np.array([2, 3, 1])).tolist() == [0, 0, 0, 0]
+    assert ngram_join.least_labels(3, np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == [0, 1, 2]
+    draw = np.random.default_rng(5)
+    for n in [2, 4, 5, 9, 40, 200] * 20:
+        path = np.stack([np.arange(n - 1), np.arange(1, n)])
+        tree = np.stack([draw.integers(0, np.arange(1, n)), np.arange(1, n)])
+        for pairs in (path, tree, draw.integers(0, n, (2, n // 2)), draw.integers(0, n, (2, n))):
+            left, right = draw.permutation(n)[pairs]
+            want = list(range(n))
+
+            def find(x):
+                while want[x] != x:
+                    x = want[x]
+                return x
+
+            for a, b in zip(left.tolist(), right.tolist()):
+                a, b = sorted((find(a), find(b)))
+                want[b] = a
+            assert ngram_join.least_labels(n, left, right).tolist() == [find(x) for x in range(n)]
+
+
+def chains(count, length=6):
+    """Chains of edits in any order: neighbours are at 0.87, all others below 0.8."""
+    ids = np.random.default_rng(6).permutation(count * length).tolist()
+    return sorted((ids[c * length + k], " ".join(f"c{c}w{w}" for w in range(3 * k, 3 * k + 50)), None, "s", 0, None, 0) for c in range(count) for k in range(length))
+
+
+def test_ngram_chains(spark):
+    rows = chains(40)
+    got = [(r.doc_id, r.class_id, r.n_copies, r.n_links) for r in ngram_join.classes(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got) == sorted(brute_classes(rows))
+
+
 def test_bayes_bounds():
     """A pair at the threshold is hardly ever dropped; one far below is dropped early."""
     least = ngram_join.LEAST

@@ -108,16 +108,16 @@ def sign(docs: DataFrame) -> DataFrame:
 def least_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of n rows the least row that the pairs connect it to."""
     label = np.arange(n)
-    while len(left):
-        low = np.minimum(label[left], label[right])
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        label = label[label]
-        apart = label[left] != label[right]
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
         if not apart.any():
-            break
-        left, right = left[apart], right[apart]
-    return label
+            return label
+        # Roots are hung on lesser roots, so a pair whose ends have met stays met and can go.
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, up := label[label]):
+            label = up
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
