@@ -42,6 +42,19 @@ def test_stages(spark):
     assert out[5].count() == out[4].count()
 
 
+@pytest.mark.parametrize("made", [False, True])
+def test_one_of_each_component(spark, made):
+    """Of each connected component of similar documents exactly one stays; `made`: chains of edits in any order."""
+    import corpus_pipeline as P
+    from test_llm_odd_inputs import DOCS, brute_classes, chains
+    from trackweave.llm.common import documents, materialize
+
+    docs = spark.createDataFrame(chains(40), DOCS) if made else materialize(P.quality(spark, documents(spark, SMALL), SMALL), "test")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = [r.doc_id for r in P.near_duplicates(spark, docs, SMALL).collect()]
+    assert sorted(kept) == sorted({c for _, c, _, _ in brute_classes(rows)})
+
+
 def test_run_is_the_stages(spark):
     import corpus_pipeline as P
 
