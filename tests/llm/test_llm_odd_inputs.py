@@ -137,6 +137,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_settle(spark, monkeypatch):
+    """Stars that take 50 rounds are waited for: here each round joins one more node of a path to its least node."""
+    from trackweave.llm import components as C
+
+    tables = [[(b + 1, 0 if b < done else b) for b in range(50)] for done in range(1, 51)]
+    rounds = iter([*tables, tables[-1]])
+    monkeypatch.setattr(C, "materialize", lambda df, name: df)
+    monkeypatch.setattr(C, "_large_star", lambda edges: edges)
+    monkeypatch.setattr(C, "_small_star", lambda edges: spark.createDataFrame(next(rounds), "a long, b long").coalesce(1))
+    got = {r.node: r.comp for r in components(spark.createDataFrame(tables[0], "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(51), 0) and next(rounds, None) is None
+
+
 def test_quality_rules_odd(spark):
     docs, rows = odd_docs(spark)
     got = {r.doc_id: r for r in quality_rules.score(docs).collect()}

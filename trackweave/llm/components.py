@@ -28,11 +28,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, comp) for every node of the edges (a, b): comp is the least node that can be reached. A table without edges gives none."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for every node of the edges (a, b): comp is the least node that can be reached. A table without edges gives none.
+
+    Stars alternate until a round changes nothing; there is no other end."""
     now = materialize(edges.where("a <> b").select("a", "b").distinct(), "cc")
     sign = None
-    for _ in range(rounds):
+    while True:
         now = materialize(_small_star(_large_star(now)), "cc")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == sign:
