@@ -199,6 +199,16 @@ def test_chat_events(spark):
     assert chat.digests(chat.render(chat.rebuild(frame.limit(0)))).collect() == []
 
 
+def test_chat_reset_without_number(spark):
+    """Numbered deltas come after a reset whose sequence number is null; deltas without one come before a numbered reset."""
+    log = [(c, None, event, 1, "assistant", said) for c, (event, said) in enumerate((("message", "a"), ("edit", "b"), ("regenerate", None)))]
+    log += [(c, seq, "delta", 1, None, said) for c in range(3) for seq, said in ((2, "z"), (1, "y"), (None, "x"))]
+    log += [(4, None, "delta", 1, "assistant", "gone"), (4, 1, "edit", 1, None, "c"), (4, 2, "delta", 1, None, "d"), (5, None, "delete", 1, "user", None), (5, 1, "delta", 1, None, "no")]
+    frame = spark.createDataFrame(log, "conv_id long, seq long, event string, message_id long, role string, text string")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.rebuild(frame).collect()}
+    assert got == {k: [("assistant", t)] for k, t in {0: "axyz", 1: "bxyz", 2: "xyz", 4: "cd"}.items()}
+
+
 def test_chat_probe(spark):
     from trackweave.llm import queries as Q
 

@@ -11,8 +11,8 @@ lengths in code points, for each turn: template, text under loss, text not under
 
 Defined results: null texts and roles count as empty; events without a conversation form one of their own; an event that a log has
 twice (all columns equal) counts once; messages of equal first sequence number are ordered by role, then text; null sequence
-numbers come first; an empty log gives no rows. A conversation is one output row, so its own messages meet in one task, after
-streamed events have been folded apart by message."""
+numbers come first, so numbered deltas are joined to a reset without one; an empty log gives no rows. A conversation is one
+output row, so its own messages meet in one task, after streamed events have been folded apart by message."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ def rebuild(log: DataFrame) -> DataFrame:
     by_message = log.select("conv_id", "message_id", event.alias("e")).groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_set("e")).alias("es"))
     sets = F.filter("es", lambda e: e["event"].isin(*RESETS))
     last = F.try_element_at(sets, F.lit(-1))
-    tail = F.filter("es", lambda e: F.col("last").isNull() | (e["event"] == "delta") & (e["seq"].isNull() & F.col("last.seq").isNull() | (e["seq"] > F.col("last.seq"))))
+    tail = F.filter("es", lambda e: F.col("last").isNull() | (e["event"] == "delta") & (F.col("last.seq").isNull() | (e["seq"] > F.col("last.seq"))))
     messages = by_message.withColumn("last", last).withColumn("tail", tail).where("last IS NULL OR last.event <> 'delete'")
     text = F.concat(F.coalesce("last.text", F.lit("")), F.array_join(F.transform("tail", lambda e: e["text"]), ""))
     role = F.coalesce(F.try_element_at(F.filter("es", lambda e: e["role"] != ""), F.lit(1))["role"], F.lit(""))
