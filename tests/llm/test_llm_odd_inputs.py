@@ -1,9 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, with brute force where there is a choice."""
 
 import hashlib
+from pathlib import Path
 
 import numpy as np
-from conftest import SMALL
+from conftest import ROOT, SMALL
 
 from trackweave.llm import chat, ngram_join, quality_rules, revisits
 from trackweave.llm.components import components
@@ -122,6 +123,25 @@ def test_bayes_bounds():
     assert (low < least[ngram_join.STEP :: ngram_join.STEP]).any(1).mean() > 0.999
 
 
+def test_stated_miss_chance():
+    """What bands and pruning miss of pairs at the threshold, counted step by step, is what README and docstring say."""
+    j = ngram_join
+
+    def missed(t):
+        bands = (1 - t**j.ROWS) ** j.BANDS
+        at, pruned = {0: 1.0}, 0.0
+        for n in range(1, j.VALUES + 1):
+            at = {m: at.get(m, 0.0) * (1 - t) + at.get(m - 1, 0.0) * t for m in range(n + 1)}
+            if n % j.STEP == 0:
+                pruned += sum(p for m, p in at.items() if m < j.LEAST[n])
+                at = {m: p for m, p in at.items() if m >= j.LEAST[n]}
+        return bands, pruned, bands + pruned
+
+    assert [f"{p:.1e}" for p in missed(j.TOP / j.BOTTOM)] == ["3.2e-06", "1.3e-05", "1.6e-05"]
+    assert missed(0.85)[2] < missed(0.8)[2]
+    assert "1.6e-5" in j.__doc__ and "1.6e-5" in Path(ROOT, "README.md").read_text()
+
+
 def test_components(spark):
     draw = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in draw.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 430)] + [(500, k) for k in range(501, 560)]
