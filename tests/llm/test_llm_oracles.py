@@ -193,6 +193,28 @@ def test_sharding_hot_and_odd(spark):
     assert sharded(spark, docs.limit(0), 4)[0] == []
 
 
+def test_sharding_whole_groups(spark):
+    """Groups of equal texts up to the stated share of a shard are whole; one larger group costs no balance."""
+    from pathlib import Path
+
+    from conftest import ROOT
+    from trackweave.llm import sharding
+
+    assert f"at most 1/{sharding.WHOLE_GROUP} of a shard is never cut" in Path(ROOT, "README.md").read_text()
+    said = [f"group {g} " * 10 for g in range(300) for _ in range(6)] + ["hot group " * 10] * 90
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    rows, by = sharded(spark, docs, 4)
+    mean = sum(r.size for r in rows) / 4
+    shards, sizes = {}, {}
+    for r in rows:
+        shards.setdefault(said[r.doc_id], set()).add(r.shard)
+        sizes[said[r.doc_id]] = sizes.get(said[r.doc_id], 0) + r.size
+    small = [t for t in sizes if sizes[t] * sharding.WHOLE_GROUP <= mean]
+    assert len(small) == 300 and all(len(shards[t]) == 1 for t in small)
+    most = max(r.size for r in rows)
+    assert all(abs(sum(r.size for r in rs) - mean) <= most + mean / sharding.WHOLE_GROUP for rs in by.values())
+
+
 def mixed_targets(sizes):
     """Reshare the excess until no source is above twice its size."""
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]

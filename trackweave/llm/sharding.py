@@ -63,12 +63,29 @@ def quantiles(keys: list[Key], parts: int) -> list[Key]:
     return sorted(out)
 
 
+def stats_of(rows: DataFrame, splitters: list[Key]) -> list:
+    """(rng, bytes, rows) of all ranges."""
+    return rows.groupBy(range_of(splitters)("h1", "h2").alias("rng")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+
+
+def around_groups(rows: DataFrame, splitters: list[Key], stats: list, shards: int) -> tuple[list[Key], list]:
+    """Splitters within a group that must stay whole are moved before it, so that a range has all of the group."""
+    inner = sorted({s[0] for s in splitters if s[1] != LOWEST})
+    total = sum(s.b for s in stats)
+    sums = rows.where(F.col("h1").isin(inner)).groupBy("h1").agg(F.sum("size").alias("b")).collect() if inner else []
+    whole = {s.h1 for s in sums if s.b * shards * WHOLE_GROUP <= total}
+    if not whole:
+        return splitters, stats
+    splitters = sorted({(h1, LOWEST if h1 in whole else h2) for h1, h2 in splitters})
+    return splitters, stats_of(rows, splitters)
+
+
 def split(rows: DataFrame, shards: int, ranges_per_shard: int, samples: int, rounds: int = 3) -> tuple[list[Key], list]:
     """Splitters, and (range, bytes, rows) of all ranges, after overfull ranges have been subdivided."""
     keys = sample(rows, samples)
     splitters = quantiles(keys, min(len(keys), shards * ranges_per_shard)) if keys else []
     while True:
-        stats = rows.groupBy(range_of(splitters)("h1", "h2").alias("rng")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+        stats = stats_of(rows, splitters)
         mean = sum(s.b for s in stats) / max(1, shards * ranges_per_shard)
         over = {s.rng: s.b for s in stats if s.b > 3 * mean and s.n > 1}
         if not over or rounds == 0:
@@ -95,7 +112,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every document."""
     spark = docs.sparkSession
     rows = materialize(sized(docs), "shard-rows")
-    splitters, stats = split(rows, shards, ranges_per_shard, samples)
+    splitters, stats = around_groups(rows, *split(rows, shards, ranges_per_shard, samples), shards)
     offsets, at, count = [], 0, 0
     for s in sorted(stats, key=lambda s: s.rng):
         offsets.append((s.rng, at, count))
