@@ -37,7 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a table that `materialize` wrote and that nothing reads any more, so long loops don't fill the shared folder."""
+    spark = written.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(written.written_at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -49,6 +58,11 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches between Spark and Python hold about SLICE_BYTES at most, in this session from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], dict[str, Sequence] | pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with bounded slices; `run` gives columns by name, or a batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,6 +79,7 @@ def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], dict
                     out = pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in ((f, out[f.name]) for f in arrow)], schema=arrow)
                 yield out
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(go, spark_schema)
 
 
