@@ -1,61 +1,117 @@
 """Quality rules, line first: each line is judged by its punctuation, navigation marks and boilerplate phrases; failing
 lines are removed, and a document that loses too much of its text is rejected.
 
+A line fails if it is short and has no terminal punctuation; is a chain of separators (bars, breadcrumbs) or of navigation words; is
+shouted; is made of symbols; or is short and holds a phrase of site furniture in English, German, French or Spanish. A long line
+without terminal punctuation is prose that was cut, and stays.
+
 Defined results: a null text has no words (all counts 0), so it fails the base rule and isn't kept; so does an empty text.
-Lines are split at \\n only; a line without a word never fails and never counts as a repeated line. Repeated rows give
+Lines are split at \n only; a line without a word never fails and never counts as a repeated line. Repeated rows give
 repeated results. Other columns of the input, whatever their names, pass through `clean` unchanged."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackweave.llm.common import map_batches
+from trackweave.llm.common import BLANKS, map_batches
 
 SYMBOLS = "#*$%&|<>"
+#: Characters that end a sentence, or close one that has ended.
+TERMINAL = ".!?\u2026:;\"'\u201d\u201c\u2019\u00bb)]"
+#: Words that only separate; bars are counted wherever they are.
+SEPARATORS = (">", "\u00bb", "\u203a", "/", "\u00b7", "\u2022", "\u2192", "::")
+#: What may surround a navigation word.
+AROUND = ".,:;!?()[]{}\"'\u00bb\u00ab<>|/\u00b7\u2022\u2192-"
 #: Phrases of site furniture, matched in lower case in lines of few words.
 BOILERPLATE = (
-    "accept all cookies", "we use cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
-    "all rights reserved", "sign in to continue", "log in to continue", "subscribe to our newsletter",
-    "enable javascript", "click here to", "share on facebook", "back to top", "skip to content",
+    "accept all cookies", "we use cookies", "cookie policy", "cookie settings", "privacy policy", "terms of use", "terms of service",
+    "terms and conditions", "all rights reserved", "copyright \u00a9", "copyright (c)", "copyright 19", "copyright 20", "\u00a9 19", "\u00a9 20",
+    "sign in to continue", "log in to continue", "subscribe to our newsletter", "sign up for our newsletter", "enable javascript",
+    "javascript must be enabled", "javascript is disabled", "click here to", "share on facebook", "share on twitter", "back to top", "skip to content",
+    "alle rechte vorbehalten", "datenschutzerkl\u00e4rung", "nutzungsbedingungen", "gesch\u00e4ftsbedingungen", "wir verwenden cookies",
+    "cookies akzeptieren", "newsletter abonnieren", "javascript aktivieren", "zum seitenanfang", "zum inhalt springen",
+    "tous droits r\u00e9serv\u00e9s", "politique de confidentialit\u00e9", "mentions l\u00e9gales", "conditions d'utilisation", "nous utilisons des cookies",
+    "accepter les cookies", "inscrivez-vous \u00e0 notre newsletter", "activer javascript", "retour en haut", "aller au contenu",
+    "todos los derechos reservados", "pol\u00edtica de privacidad", "pol\u00edtica de cookies", "aviso legal", "condiciones de uso",
+    "t\u00e9rminos y condiciones", "utilizamos cookies", "aceptar cookies", "suscr\u00edbete a nuestro bolet\u00edn", "habilitar javascript", "volver arriba", "ir al contenido",
+)
+#: Calls to follow a link, matched in lower case in lines of hardly more words than the call.
+CALLS = ("read more", "learn more", "see more", "load more", "weiterlesen", "mehr erfahren", "mehr lesen", "lire la suite", "en savoir plus", "leer m\u00e1s", "ver m\u00e1s")
+#: Words of menus and share bars, matched in lower case.
+NAVIGATION = (
+    "home", "login", "logout", "register", "help", "contact", "about", "search", "menu", "share", "tweet", "pin", "email", "print", "cart", "checkout",
+    "account", "subscribe", "sitemap", "faq", "news", "blog", "products", "next", "previous", "facebook", "twitter", "instagram", "youtube", "linkedin", "rss",
+    "startseite", "anmelden", "registrieren", "hilfe", "kontakt", "suche", "impressum", "datenschutz", "agb", "teilen", "drucken", "warenkorb",
+    "accueil", "connexion", "inscription", "aide", "recherche", "partager", "imprimer", "panier", "suivant", "pr\u00e9c\u00e9dent",
+    "inicio", "registro", "ayuda", "contacto", "buscar", "compartir", "carrito", "siguiente", "anterior",
 )
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """Shares are in percent of a line's words; a rule needs `least_marks` marks before it applies."""
+    """Shares are in percent of a line's words; lines of at most `short_words` words are short; marks are separators or shouts."""
 
-    least_marks: int = 3
+    short_words: int = 30
+    least_marks: int = 2
+    least_symbols: int = 3
     symbol_share: int = 50
-    pipe_share: int = 25
+    separator_share: int = 25
     shout_share: int = 25
-    boilerplate_words: int = 30
+    call_words: int = 5
+    navigation_words: int = 8
+    navigation_share: int = 60
     lost_share: int = 50
     min_words: int = 20
     repeat_share: int = 30
 
 
 RULES = LineRules()
-_PHRASE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_MENU = frozenset(NAVIGATION)
+_BETWEEN = frozenset(SEPARATORS)
+
 
+@lru_cache(maxsize=1)
+def phrases() -> ahocorasick.Automaton:
+    """All phrases, each with whether it is a call."""
+    out = ahocorasick.Automaton()
+    for call, some in ((False, BOILERPLATE), (True, CALLS)):
+        for phrase in some:
+            out.add_word(phrase, call)
+    out.make_automaton()
+    return out
 
-def line_fails(line: str, words: int, rules: LineRules = RULES) -> bool:
-    """Whether a line of so many words breaks a rule: symbols, shouted marks (punctuation), bars (navigation), phrases."""
-    if words == 0:
+
+def line_fails(line: str, words: list[bytes], rules: LineRules = RULES) -> bool:
+    """Whether a line of these words breaks a rule."""
+    n = len(words)
+    if n == 0:
         return False
-    bars, shouts = line.count("|"), line.count("!!")
-    if bars >= rules.least_marks and bars * 100 >= rules.pipe_share * words:
+    short = n <= rules.short_words
+    if short and line.rstrip(" \t\n\x0b\x0c\r")[-1] not in TERMINAL:
+        return True
+    marks = line.count("|") + sum(w.decode() in _BETWEEN for w in words if len(w) <= 3)
+    if marks >= rules.least_marks and marks * 100 >= rules.separator_share * n:
         return True
-    if shouts >= rules.least_marks and shouts * 100 >= rules.shout_share * words:
+    shouts = line.count("!!")
+    if shouts >= rules.least_marks and shouts * 100 >= rules.shout_share * n:
         return True
-    symbols = sum(line.count(c) for c in SYMBOLS)
-    if symbols >= rules.least_marks and symbols * 100 >= rules.symbol_share * words:
+    symbols = sum(map(line.count, SYMBOLS))
+    if symbols >= rules.least_symbols and symbols * 100 >= rules.symbol_share * n:
         return True
-    return words <= rules.boilerplate_words and _PHRASE.search(line.lower()) is not None
+    if not short:
+        return False
+    if n <= rules.navigation_words:
+        menu = sum(w.decode().lower().strip(AROUND) in _MENU for w in words)
+        if menu >= 2 and menu * 100 >= rules.navigation_share * n:
+            return True
+    return any(not call or n <= rules.call_words for _, call in phrases().iter(line.lower()))
 
 
 def repeated_words(words: list[bytes], width: int = 8) -> int:
@@ -95,14 +151,14 @@ def judge(text: str | None, rules: LineRules = RULES) -> tuple[int, int, int, in
     good: list[str] = []
     dup = lost = removed = 0
     for line in text.split("\n"):
-        here = len(line.encode().split())
+        here = line.encode().split()
         if here:
             if line in seen:
                 dup += 1
             else:
                 seen.add(line)
         if line_fails(line, here, rules):
-            lost += here
+            lost += len(here)
             removed += 1
         else:
             good.append(line)
@@ -142,27 +198,39 @@ def clean(docs: DataFrame, rules: LineRules = RULES) -> DataFrame:
     return map_batches(docs, docs.schema, run)
 
 
+def _quoted(values: tuple[str, ...]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _pattern(values: tuple[str, ...]) -> str:
+    return "|".join(re.escape(v).replace("'", "''") for v in values)
+
+
 #: The same in SQL: lines and words are unnested, windows of eight words counted per document.
-SQL = r"""
+SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d),
-lm AS (SELECT rid, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-  length(line) - length(replace(line, '|', '')) AS bars,
+ls AS (SELECT *, regexp_extract_all(line, '[^{BLANKS}]+') AS ws FROM l),
+lm AS (SELECT rid, line, pos, len(ws) AS words,
+  right(regexp_replace(line, '[{BLANKS}]+$', ''), 1) AS ending,
+  length(line) - length(replace(line, '|', '')) + len(list_filter(ws, lambda w: w IN ({_quoted(SEPARATORS)}))) AS marks,
   (length(line) - length(replace(line, '!!', ''))) // 2 AS shouts,
   length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
-  regexp_matches(lower(line), 'accept all cookies|we use cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|sign in to continue|log in to continue|subscribe to our newsletter|enable javascript|click here to|share on facebook|back to top|skip to content') AS phrase,
-  row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS nth FROM l),
-lf AS (SELECT *, words > 0 AND ((bars >= 3 AND bars * 100 >= 25 * words) OR (shouts >= 3 AND shouts * 100 >= 25 * words)
-  OR (symbols >= 3 AND symbols * 100 >= 50 * words) OR (words <= 30 AND phrase)) AS fails FROM lm),
+  len(list_filter(ws, lambda w: trim(lower(w), {_quoted((AROUND,))}) IN ({_quoted(NAVIGATION)}))) AS menu,
+  regexp_matches(lower(line), '{_pattern(BOILERPLATE)}') AS phrase, regexp_matches(lower(line), '{_pattern(CALLS)}') AS call,
+  row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS nth FROM ls),
+lf AS (SELECT *, words > 0 AND ((words <= 30 AND ending NOT IN ({_quoted(tuple(TERMINAL))}))
+  OR (marks >= 2 AND marks * 100 >= 25 * words) OR (shouts >= 2 AND shouts * 100 >= 25 * words) OR (symbols >= 3 AND symbols * 100 >= 50 * words)
+  OR (words <= 8 AND menu >= 2 AND menu * 100 >= 60 * words) OR (words <= 30 AND phrase) OR (words <= 5 AND call)) AS fails FROM lm),
 la AS (SELECT rid, sum(words) AS n_words, count(*) FILTER (WHERE words > 0 AND nth > 1) AS n_dup_lines,
   coalesce(sum(words) FILTER (WHERE fails), 0) AS lost, count(*) FILTER (WHERE fails) AS removed FROM lf GROUP BY rid),
-w AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+w AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT rid, regexp_extract_all(t, '[^{BLANKS}]+') AS ws FROM d)),
 g AS (SELECT rid, pos, count(*) OVER last8 AS k, string_agg(word, ' ') OVER last8 AS win FROM w
   WINDOW last8 AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
 r AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, win) AS c FROM g WHERE k = 8) WHERE c > 1),
 c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(pos - 7, pos + 1)) AS p FROM r) GROUP BY rid)
 SELECT d.doc_id, CAST(n_words AS BIGINT) AS n_words,
-  CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[{BLANKS}]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
   n_words < 20 OR 100 * coalesce(c.n, 0) > 30 * n_words AS base_failed,
