@@ -2,8 +2,11 @@
 parsers expand each anchor to a span and validate it.
 
 Base kinds are email, ip, card and phone, each leftmost and without overlaps of its own kind. The method adds url (after a
-scheme), secret (a long key after a cue such as `token =`) and account (a number after a cue such as `iban`). Spans are code
-points, end exclusive, ordered by start, then kind.
+scheme; one inside another is part of it), secret (a long key after a cue such as `token =`), account (a number after a cue such as
+`iban`: IBANs, also in blocks of four, by their check digits, social security numbers by area, group and serial) and ip6 (addresses
+of six characters or more with a digit). Cues and schemes are met in any letter case. Spans are code points, end exclusive, ordered by
+start, then kind. Every parser either moves the floor of its kind beyond what it has read or reads a bounded number of
+characters, so the work is linear in the text.
 
 Defined results: a null text counts as empty and has no spans (`redact` leaves it null); spans of different kinds may overlap, and
 `redact` then replaces their union by the tag of the earliest; repeated rows give repeated results; texts are read whole."""
@@ -11,7 +14,9 @@ Defined results: a null text counts as empty and has no spans (`redact` leaves i
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 
 import ahocorasick
 import pyarrow as pa
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from trackweave.llm.common import map_batches
 
-KINDS = ("email", "ip", "card", "phone", "url", "secret", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "secret", "account", "ip6")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _DIGIT = frozenset("0123456789")
 _LOCAL, _LABEL = _ALNUM | frozenset("._%+-"), _ALNUM | frozenset("-")
@@ -28,14 +33,22 @@ _URL_END = frozenset(" \t\n\x0b\x0c\r<>\"'`|{}")
 SCHEMES = ("http://", "https://", "ftp://", "www.")
 SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key")
 SECRET_PREFIXES = ("AKIA", "ghp_", "sk-")
-ACCOUNT_CUES = ("iban", "account", "acct", "passport", "ssn", "customer no", "member id")
+IBAN_CUES, SOCIAL_CUES = ("iban",), ("ssn", "social security")
+ACCOUNT_CUES = ("account", "acct", "passport", "customer no", "member id", "member no")
+#: Characters between a cue and its number or key, at most so many; the longest number after an account cue that is looked at.
+MARKS, MOST_MARKS, LONGEST = frozenset(" =:#\"'"), 4, 64
+_KEY = _LABEL | frozenset("_/+")
+_HEX = frozenset("0123456789abcdefABCDEF:")
+_CUE_WORDS = re.compile(r"(?:\s*(?:no|nr|number|num|id|code)\b\.?)?", re.ASCII | re.IGNORECASE)
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}", re.ASCII)
+_SOCIAL = re.compile(r"([0-9]{3})([- ]?)([0-9]{2})\2([0-9]{4})(?![0-9])", re.ASCII)
 
 Span = tuple[int, int, int]
 
 
 @lru_cache(maxsize=1)
 def anchors() -> ahocorasick.Automaton:
-    """Anchor strings with the parser each calls and its length."""
+    """Anchor strings in lower case, with the parser each calls and its length."""
     out = ahocorasick.Automaton()
     out.add_word("@", ("email", 1))
     for d in "0123456789":
@@ -44,14 +57,25 @@ def anchors() -> ahocorasick.Automaton:
             out.add_word(f"{d}.{e}", ("ip", 3))
             for between in ("", " ", "-"):
                 out.add_word(f"{d}{between}{e}", ("card", 2 + len(between)))
-    for kind, words in (("url", SCHEMES), ("secret", SECRET_CUES), ("prefix", SECRET_PREFIXES), ("account", ACCOUNT_CUES)):
+    for d in "0123456789abcdef":
+        out.add_word(f"{d}::", ("ip6", 3))
+        for e in "0123456789abcdef":
+            out.add_word(f"{d}:{e}", ("ip6", 3))
+    out.add_word("::", ("ip6", 2))
+    kinds = (("url", SCHEMES), ("secret", SECRET_CUES), ("prefix", SECRET_PREFIXES), ("iban", IBAN_CUES), ("social", SOCIAL_CUES), ("account", ACCOUNT_CUES))
+    for kind, words in kinds:
         for w in words:
-            for form in {w, w.upper(), w.capitalize()} if kind != "prefix" else {w}:
-                out.add_word(form, (kind, len(form)))
+            out.add_word(w.lower(), (kind, len(w)))
     out.make_automaton()
     return out
 
 
+def lowered(text: str) -> str:
+    """The text in lower case with every code point in its place: a letter whose lower form is longer stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 def _run(text: str, at: int, chars: frozenset) -> int:
     """The end of the run of chars that begins at `at`."""
     n = len(text)
@@ -131,46 +155,116 @@ def parse_phone(text: str, plus: int) -> Span | None:
     return (plus, 3, end) if 9 <= sum(map(text[plus:end].count, "0123456789")) <= 15 else None
 
 
-def parse_url(text: str, start: int, after: int) -> Span | None:
+def parse_url(text: str, start: int, after: int) -> tuple[Span | None, int]:
+    """From a scheme to the next blank or mark that ends a URL, without punctuation at its end; and where reading ended."""
     if start and text[start - 1] in _ALNUM:
-        return None
+        return None, after
     end, n = after, len(text)
     while end < n and text[end] not in _URL_END:
         end += 1
+    stop = end
     while end > after and text[end - 1] in ".,;:!?)]":
         end -= 1
-    return (start, 4, end) if "." in text[start:end].rpartition("/")[0] + text[after:end] else None
+    return ((start, 4, end) if "." in text[start:end].rpartition("/")[0] + text[after:end] else None), stop
 
 
-def _value(text: str, at: int) -> tuple[int, int]:
-    """Skip up to 4 marks such as ` = "` after a cue; the run of key characters that follows."""
+def _value(text: str, at: int) -> int:
+    """Where the number or key after a cue begins: a few marks such as ` = "` are skipped."""
     start = at
-    while start < len(text) and start - at < 4 and text[start] in " =:#\"'":
+    while start < len(text) and start - at < MOST_MARKS and text[start] in MARKS:
         start += 1
-    return start, _run(text, start, _LABEL | frozenset("_/+"))
+    return start
 
 
-def parse_secret(text: str, start: int, after: int) -> Span | None:
-    """A key of 16 or more characters with a digit, after a cue and a mark."""
-    at, end = _value(text, after)
-    if not set(text[after:at]) & set("=:") or end - at < 16 or not any(c in _DIGIT for c in text[at:end]):
-        return None
-    return (at, 5, end)
+def parse_secret(text: str, after: int) -> tuple[Span | None, int]:
+    """A key of 16 or more characters with a digit, after a cue and a mark; and where reading ended."""
+    at = _value(text, after)
+    if not set(text[after:at]) & set("=:"):
+        return None, after
+    end = _run(text, at, _KEY)
+    return ((at, 5, end) if end - at >= 16 and any(c in _DIGIT for c in text[at:end]) else None), end
 
 
-def parse_prefixed(text: str, start: int, after: int) -> Span | None:
+def parse_prefixed(text: str, start: int, after: int) -> tuple[Span | None, int]:
+    """A key of 20 or more characters that begins with a known prefix, in its own letter case."""
+    if start and text[start - 1] in _ALNUM or text[start:after] not in SECRET_PREFIXES:
+        return None, after
     end = _run(text, after, _LABEL | frozenset("_"))
-    return (start, 5, end) if end - start >= 20 and not (start and text[start - 1] in _ALNUM) else None
+    return ((start, 5, end) if end - start >= 20 else None), end
+
+
+def iban_fits(number: str) -> bool:
+    """The check digits: the number, its first four characters last and letters as 10 to 35, is 1 modulo 97."""
+    moved = number[4:] + number[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def _stands_alone(text: str, start: int, after: int) -> bool:
+    return not (start and text[start - 1] in _ALNUM or after < len(text) and text[after] in _ALNUM)
+
+
+def _after_words(text: str, after: int) -> int:
+    """Beyond words such as `no.` or `number` that may follow a cue."""
+    return _CUE_WORDS.match(text, after, after + LONGEST).end()
+
+
+def parse_iban(text: str, start: int, after: int) -> Span | None:
+    """The longest number after the cue that ends at a word's end and whose check digits fit."""
+    if not _stands_alone(text, start, after):
+        return None
+    at = _value(text, _after_words(text, after))
+    found = _IBAN.match(text, at, at + LONGEST) if at > after else None
+    end = found.end() if found else at
+    while end > at:
+        number = text[at:end].replace(" ", "")
+        if len(number) < 15:
+            return None
+        if text[end - 1] != " " and not (end < len(text) and text[end] in _ALNUM) and iban_fits(number):
+            return at, 6, end
+        end -= 1
+    return None
+
+
+def parse_social(text: str, start: int, after: int) -> Span | None:
+    """Nine digits, in one piece or parted alike; area 000, 666 and 900 on, group 00 and serial 0000 are never issued."""
+    if not _stands_alone(text, start, after):
+        return None
+    at = _value(text, _after_words(text, after))
+    found = _SOCIAL.match(text, at, at + LONGEST) if at > after else None
+    if not found or found[1] in ("000", "666") or found[1] >= "900" or found[3] == "00" or found[4] == "0000":
+        return None
+    return at, 6, found.end()
 
 
 def parse_account(text: str, start: int, after: int) -> Span | None:
     """A number of 6 to 34 letters and digits, half of them digits, after a cue that stands alone."""
-    if start and text[start - 1] in _ALNUM or after < len(text) and text[after] in _ALNUM:
+    if not _stands_alone(text, start, after):
+        return None
+    at = _value(text, _after_words(text, after))
+    if at == after:
         return None
-    at, end = _value(text, after)
-    body = text[at:end].strip("-_/+")
+    end = at
+    while end < len(text) and end - at < LONGEST and text[end] in _KEY:
+        end += 1
+    body = text[at:end].rstrip("-_/+")
     digits = sum(map(body.count, "0123456789"))
-    return (at, 6, at + len(body)) if at > after and 6 <= len(body) <= 34 and 2 * digits >= len(body) and text[at : at + len(body)] == body else None
+    return (at, 6, at + len(body)) if 6 <= len(body) <= 34 and 2 * digits >= len(body) and body[0] in _ALNUM else None
+
+
+def parse_ip6(text: str, at: int) -> tuple[Span | None, int]:
+    """The run of hexadecimal digits and colons around a position, if it is an address; and the run's end."""
+    start = at
+    while start > 0 and text[start - 1] in _HEX:
+        start -= 1
+    stop = _run(text, at, _HEX)
+    end = stop - 1 if text[stop - 1] == ":" and text[stop - 2] != ":" else stop
+    if end - start < 6 or end - start > 39 or start and text[start - 1] in _ALNUM or stop < len(text) and text[stop] in _ALNUM:
+        return None, stop
+    try:
+        IPv6Address(text[start:end])
+    except AddressValueError:
+        return None, stop
+    return ((start, 7, end) if any(c in _DIGIT for c in text[start:end]) else None), stop
 
 
 def find(text: str | None) -> list[Span]:
@@ -178,27 +272,31 @@ def find(text: str | None) -> list[Span]:
     if not text:
         return []
     out: set[Span] = set()
-    done = {"email": 0, "ip": 0, "card": 0}
-    for last, (kind, size) in anchors().iter(text):
+    done = dict.fromkeys(("email", "ip", "card", "url", "secret", "prefix", "ip6"), 0)
+    for last, (kind, size) in anchors().iter(lowered(text)):
         start, span = last - size + 1, None
+        if kind in done and kind != "email" and start < done[kind]:
+            continue
         if kind == "card":
-            if start >= done["card"]:
-                span, done["card"] = parse_card(text, start)
+            span, done["card"] = parse_card(text, start)
         elif kind == "ip":
-            if start >= done["ip"]:
-                spans, done["ip"] = parse_ips(text, start)
-                out.update(spans)
+            spans, done["ip"] = parse_ips(text, start)
+            out.update(spans)
         elif kind == "email":
             if span := parse_email(text, start, done["email"]):
                 done["email"] = span[2]
         elif kind == "phone":
             span = parse_phone(text, start)
         elif kind == "url":
-            span = parse_url(text, start, last + 1)
+            span, done["url"] = parse_url(text, start, last + 1)
+        elif kind == "secret":
+            span, done["secret"] = parse_secret(text, last + 1)
         elif kind == "prefix":
-            span = parse_prefixed(text, start, last + 1)
+            span, done["prefix"] = parse_prefixed(text, start, last + 1)
+        elif kind == "ip6":
+            span, done["ip6"] = parse_ip6(text, start)
         else:
-            span = (parse_secret if kind == "secret" else parse_account)(text, start, last + 1)
+            span = {"iban": parse_iban, "social": parse_social, "account": parse_account}[kind](text, start, last + 1)
         if span:
             out.add(span)
     return sorted(out)
