@@ -3,7 +3,7 @@
 A log holds events of conversations: `message` (a whole text), `delta` (more of a streamed text), `edit` (a new text), `regenerate`
 (the text starts anew, with what the event carries), `delete`. Events are gathered by (conversation, message), sorted by sequence
 number and folded: the last event that sets the text counts, and the deltas after it are joined to it. Messages are then ordered by
-their first event and rendered.
+their first event and rendered. Sequence numbers may be of any type that has an order, pairs included.
 
 The template is `<turn:ROLE>\\n TEXT </turn>\\n` without the blanks. In texts a backslash is doubled and `<` becomes `\\l`; in roles also `>`
 becomes `\\g`. So `<` and `>` in the output belong to the template alone, and reading back is exact. The loss mask is a list of run
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESETS, LOSS_ROLES = ("message", "edit", "regenerate", "delete"), ("assistant",)
+#: The query's log streams each text in so many pieces.
+PIECES = 4
 LOG = ("conv_id", "seq", "event", "message_id", "role", "text")
 
 
@@ -85,8 +87,24 @@ def digests(rendered: DataFrame) -> DataFrame:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """A log in which each row of a conversation table is one streamed message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("delta").alias("event"), F.monotonically_increasing_id().alias("message_id"), "role", "text")
+    """A log in which each row of a conversation table is one message, streamed in pieces that come in any order.
+
+    Sequence numbers are pairs (turn, step). By hash, a third of the messages are streamed alone, a third have a draft and more of it
+    before they are regenerated, and a third have a draft that an edit replaces with the first piece."""
+    text, way = F.coalesce("text", F.lit("")), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    size = F.greatest(F.lit(1), F.ceil(F.length(text) / PIECES)).cast("int")
+
+    def event(step: int, kind: Column | str, said: Column, role: Column | None = None) -> Column:
+        number = F.struct("turn", F.lit(step).alias("step"))
+        return F.struct(number.alias("seq"), (F.lit(kind) if isinstance(kind, str) else kind).alias("event"), (F.lit(None).cast("string") if role is None else role).alias("role"), said.alias("text"))
+
+    none, role = F.lit(None).cast("string"), F.col("role")
+    pieces = [F.substring(text, size * k + 1, size) for k in range(PIECES)]
+    events = [event(3 + k, "delta", pieces[k]) for k in range(PIECES - 1, 0, -1)]
+    events += [event(3, F.when(way == 2, "edit").otherwise("delta"), pieces[0], role), F.when(way == 1, event(2, "regenerate", none))]
+    events += [F.when(way > 0, event(1, "delta", F.lit(" <dropped>"))), F.when(way > 0, event(0, "message", F.lit("a draft"), role))]
+    told = conversations.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.array_compact(F.array(*events)).alias("events"))
+    return told.select("conv_id", "message_id", F.inline("events")).select(*LOG)
 
 
 def probe(spark: SparkSession) -> DataFrame:
