@@ -4,7 +4,8 @@ Indicators of byte trigrams and of runs of one and two words are hashed to 2**20
 ratios; a linear model with hinge loss is fitted to them by dual coordinate descent, and its margin becomes a probability by a
 logistic curve fitted on labelled rows that the model hasn't seen, weighted to the labels' own class shares.
 
-The fit uses a bounded sample of labelled rows (`PER_CLASS` of each class, those of the smallest hash); every text is scored whole.
+The fit uses a bounded sample of labelled rows: of each class those of the smallest hash, `PER_CLASS` rows and `CLASS_BYTES` bytes of
+indicators at most, for these come to the driver. Every text is scored whole.
 
 Defined results: null and empty texts have no indicators and get the score of the bias alone; labels other than 0 and 1 are ignored; a
 doc_id with both labels counts as 0; without rows of both classes the score is the smoothed share of label 1; repeated
@@ -16,13 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import map_batches
 from trackweave.llm.hashing import grams, word_hashes
 
-BITS, PER_CLASS, SMOOTH, COST, EPOCHS = 20, 4000, 1.0, 1.0, 12
+BITS, PER_CLASS, CLASS_BYTES, SMOOTH, COST, EPOCHS = 20, 4000, 64 << 20, 1.0, 1.0, 12
 
 
 def indicators(texts: list[str | None]) -> list[np.ndarray]:
@@ -122,8 +123,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, shares: tuple[int, int]) -> Model
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on at most `per_class` labelled rows of each class among those whose crc32(doc_id) mod 3 isn't 1."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+    """Fit on the bounded sample of each class among the labelled rows whose crc32(doc_id) mod 3 isn't 1."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 3 <> 1").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     by_hash = F.xxhash64("doc_id", F.lit(3))
     sample = [known.where(F.col("quality") == q).orderBy(by_hash, "doc_id").limit(per_class) for q in (0, 1)]
@@ -131,9 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     joined = docs.select("doc_id", "text").join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"quality": batch.column(0), "x": [x.tobytes() for x in indicators(batch.column(1).to_pylist())]}
+        return {"quality": batch.column(0), "doc_id": batch.column(1), "x": [x.tobytes() for x in indicators(batch.column(2).to_pylist())]}
 
-    got = map_batches(joined.orderBy(by_hash).select("quality", "text"), "quality int, x binary", run, 1 << 20).collect()
+    found = map_batches(joined.select("quality", "doc_id", "text"), "quality int, doc_id long, x binary", run, 1 << 20)
+    upto = F.sum(F.octet_length("x")).over(Window.partitionBy("quality").orderBy(by_hash, "doc_id"))
+    got = found.withColumn("upto", upto).where(F.col("upto") <= class_bytes).orderBy(by_hash, "doc_id").select("quality", "x").collect()
     return fit([np.frombuffer(r.x, np.int32) for r in got], np.array([r.quality for r in got], np.int64), (count.get(0, 0), count.get(1, 0)))
 
 
