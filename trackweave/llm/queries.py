@@ -41,7 +41,7 @@ def op7_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.store(documents(spark, sf_dir))
+    return telephony.store(documents(spark, sf_dir), files=False)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,8 +174,10 @@ def decode(frame: DataFrame, media: str = "media", to: int = RESAMPLED) -> DataF
     return map_batches(base, schema, run)
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """Store each text's payload as WAV, in the codec that the payload's checksum picks, read it back, and describe both."""
+def store(docs: DataFrame, files: bool = True) -> DataFrame:
+    """Store each text's payload as WAV, in the codec that the payload's checksum picks, read it back, decode and resample it, and
+    describe all of it; columns media (the WAV file) and pcm (16-bit little-endian samples at 16 kHz) hold the stored bytes themselves.
+    Without `files` these two are left out and their digests stay."""
 
     def run(batch: pa.RecordBatch) -> dict:
         pay = [payload(t) for t in batch.column(1).to_pylist()]
@@ -183,6 +185,7 @@ def store(docs: DataFrame) -> DataFrame:
         read = [read_wav(m) for m in media]
         back = [stored_payload(r[0], r[2], r[3]) for r in read]
         pcm = decode_all(media)
+        new = [resample(p, rate, RESAMPLED).astype("<i2") for rate, p in pcm]
         return {
             "doc_id": batch.column(0),
             "n_bytes": [n for n, _ in pay],
@@ -191,7 +194,10 @@ def store(docs: DataFrame) -> DataFrame:
             "tail_crc32": [zlib.crc32(b[-PAD:]) for b in back],
             "media_bytes": [len(m) for m in media],
             "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-            "feature": [feature(r[0], p, resample(p, rate, RESAMPLED)) for r, (rate, p) in zip(read, pcm)],
-        }
+            "feature": [feature(r[0], p, x) for r, (_, p), x in zip(read, pcm, new)],
+            "pcm_bytes": [x.nbytes for x in new],
+            "pcm_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in new],
+        } | ({"media": media, "pcm": [x.tobytes() for x in new]} if files else {})
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", run)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+    return map_batches(docs.select("doc_id", "text"), schema + (", media binary, pcm binary" if files else ""), run)
