@@ -180,7 +180,7 @@ def test_quality_rules_odd(spark):
 
 def test_quality_rules_lines(spark):
     plain = " ".join(f"word{k}" for k in range(40))
-    other = " ".join(f"next{k}" for k in range(30))
+    other = " ".join(f"next{k}" for k in range(30)) + "."
     text = "\n".join([plain, "a | b | c | d", "We use cookies here", "x### y### z###", "WOW!! NOW!! HOW!!", other])
     bad = "\n".join(["few words here", "a | b | c | d | e | f | g | h | i | j | k | l | m"])
     docs = spark.createDataFrame([(1, text, "en", "s", 5, None, 0), (2, bad, "en", "s", 5, None, 0), (3, None, None, None, None, None, 0)], DOCS)
@@ -188,6 +188,18 @@ def test_quality_rules_lines(spark):
     assert kept.doc_id == 1 and kept.text == plain + "\n" + other and kept.n_chars == len(kept.text)
 
 
+def test_quality_line_probes():
+    """Menus, breadcrumbs, share bars, notices and lines without an end, in four languages; sentences stay."""
+    fails = lambda t: quality_rules.line_fails(t, t.encode().split())
+    bad = (
+        "Home > Products > Shoes > Red", "Home » Schuhe » Rot.", "Login Register Help Contact", "Share Tweet Pin Email", "Share, Tweet, Pin, Email.", "Copyright 2020 Foo Inc.",
+        "Read more...", "javascript must be enabled", "Home | News | Contact", "BUY!! NOW!!", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Aviso legal.", "Lire la suite...",
+        "Accueil Connexion Panier", "a b c", "x### y### z###.",
+    )
+    good = ("This is a sentence.", "Das ist ein Satz!", "C'est une phrase?", 'He said "go."', "I like this news.", "Es una frase (corta).", "", "  ", "word " * 31, "We read more books than they do in a year.")
+    assert [t for t in bad if not fails(t)] == [] and [t for t in good if fails(t)] == []
+
+
 def test_repeated_words_brute():
     draw = np.random.default_rng(6)
     for n in [0, 7, 8, 9, 20, 60, 200]:
@@ -238,6 +250,17 @@ def test_chat_probe(spark):
     assert r.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
 
 
+def test_chat_log(spark):
+    """The query's log folds edits, regenerations and several deltas into the texts of the table; long, empty and null ones too."""
+    rows = [(1, t, ("user", "assistant")[t % 2], said) for t, said in enumerate(["", None, "a", "ab", "é" * 7, "x" * 70_001, "<b>\\", *(f"turn {k}" for k in range(12))])]
+    rows += [(None, None, None, None), (2, None, "user", "one"), (3, 4, "user", "same"), (3, 4, "user", "same")]
+    table = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, seq int")
+    log = chat.log_of(table)
+    assert {r.event for r in log.select("event").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.rebuild(log).collect()}
+    assert got == {1: [(r, s or "") for _, _, r, s in rows[:19]], None: [("", "")], 2: [("user", "one")], 3: [("user", "same")] * 2}
+
+
 def test_chat_is_native(spark):
     from trackweave.llm import queries as Q
 
@@ -260,11 +283,43 @@ def test_revisits_odd(spark):
     assert got[2].response_id == 1 and got[2].headers == h(content_type="t", date="2", etag="n") and got[2].payload_sha256 == "p1"
     assert (got[4].candidate_id, got[4].resolved, got[4].response_id) == (3, False, None) and got[5].response_id == 3
     assert not got[6].resolved and got[7].candidate_id is None and (got[8].candidate_id, got[8].resolved) == (3, False)
-    for span in (1, 10, 10**6):
-        assert sorted(map(str, revisits.resolve(frame, span).collect())) == sorted(map(str, revisits.resolve(frame).collect()))
     assert revisits.resolve(frame.limit(0)).collect() == []
 
 
+def test_revisit_headers(spark):
+    """Names in any letter case, weak tags, and dates where a tag is missing."""
+    stored = {"Date": "1", "ETag": '"e1"', "Content-Location": "/a", "Server": "s"}
+    rows = [
+        (1, "u", 1, "response", '"e1"', 7, stored, "p1"), (2, "u", 2, "revisit", 'W/"e1"', None, {"date": "2", "ETAG": 'W/"e1"', "content-location": "/b", "server": "t"}, None),
+        (3, "v", 1, "response", None, 7, stored, "p2"), (4, "v", 2, "revisit", '"e9"', 7, {"Date": "2"}, None), (5, "v", 2, "revisit", '"e9"', 8, None, None),
+    ]
+    frame = spark.createDataFrame(rows, "record_id long, url string, fetched long, kind string, etag string, modified long, headers map<string,string>, payload_sha256 string")
+    got = {r.record_id: r for r in revisits.resolve(frame).collect()}
+    assert got[2].headers == {"Server": "s", "date": "2", "ETAG": 'W/"e1"', "content-location": "/b"} and got[2].payload_sha256 == "p1"
+    assert got[4].response_id == 3 and got[4].headers == {"Date": "2", "ETag": '"e1"', "Content-Location": "/a", "Server": "s"}
+    assert not got[5].resolved
+
+
+def test_revisits_brute(spark):
+    """One URL with most records, many of them at one time, over many ranges, against a plain search."""
+    draw = np.random.default_rng(9)
+    rows = [(k, ("hot", "b", "c", None)[min(3, int(draw.integers(0, 9)) // 2)] if k % 3 else "hot", int(draw.choice((5, 5, 5, int(draw.integers(0, 40))))), ("response", "revisit")[k % 2], f'"{draw.integers(0, 3)}"', None, None, f"p{k}") for k in range(1200)]
+    frame = spark.createDataFrame(rows, "record_id long, url string, fetched long, kind string, etag string, modified long, headers map<string,string>, payload_sha256 string").repartition(7)
+    want = {}
+    for k, url, at, kind, etag, *_ in rows:
+        if kind == "revisit":
+            earlier = [r for r in rows if r[3] == "response" and url is not None and r[1] == url and (r[2], r[0]) < (at, k)]
+            last = max(earlier, key=lambda r: (r[2], r[0]), default=None)
+            want[k] = (last and last[0], bool(last) and last[4] == etag)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert {r.record_id: (r.candidate_id, r.resolved) for r in revisits.resolve(frame).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_pii_and_telephony_and_bpe_odd(spark):
     from trackweave.llm import bpe, pii, telephony
 
