@@ -4,6 +4,7 @@ import hashlib
 from pathlib import Path
 
 import numpy as np
+import pytest
 from conftest import ROOT, SMALL
 
 from trackweave.llm import chat, ngram_join, quality_rules, revisits
@@ -77,6 +78,22 @@ def test_ngram_blocks(spark, monkeypatch):
     assert sorted(got) == sorted(brute_classes(rows))
 
 
+@pytest.mark.parametrize("block", [8, 20, 1000])
+def test_ngram_large_groups(spark, monkeypatch, block):
+    """Large bands and families, of near copies and of chains, with some that aren't linked to the first: the same classes in blocks."""
+    base = [f"t{k}" for k in range(80)]
+    near = [" ".join([*base[:74], f"x{k % 40}", f"y{k}"]) for k in range(60)]
+    far = [" ".join([*base[:60], *(f"z{g}w{w}" for w in range(14)), f"v{k}"]) for g in range(3) for k in range(12)]
+    rows = [(k, t, None, None, 0, None, 0) for k, t in enumerate([*near, *far, near[3], None, ""])] + [(1000 + r[0], *r[1:]) for r in chains(6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3 if block == 8 else 200_000)
+    want = brute_classes(rows)
+    got = [(r.doc_id, r.class_id, r.n_copies, r.n_links) for r in ngram_join.classes(docs).collect()]
+    assert sorted(got) == sorted(want)
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == sorted({c for _, c, _, _ in want})
+
+
 def test_least_labels():
     """Against union-find, on paths, trees and sparse graphs whose rows are in any order."""
     assert ngram_join.least_labels(4, np.array([0, 2, 3]), np.array([2, 3, 1])).tolist() == [0, 0, 0, 0]
@@ -164,6 +181,7 @@ def test_components_settle(spark, monkeypatch):
     tables = [[(b + 1, 0 if b < done else b) for b in range(50)] for done in range(1, 51)]
     rounds = iter([*tables, tables[-1]])
     monkeypatch.setattr(C, "materialize", lambda df, name: df)
+    monkeypatch.setattr(C, "discard", lambda df: None)
     monkeypatch.setattr(C, "_large_star", lambda edges: edges)
     monkeypatch.setattr(C, "_small_star", lambda edges: spark.createDataFrame(next(rounds), "a long, b long").coalesce(1))
     got = {r.node: r.comp for r in components(spark.createDataFrame(tables[0], "a long, b long")).collect()}

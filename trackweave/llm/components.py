@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import materialize
+from trackweave.llm.common import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select("a", "b").distinct(), "cc")
     sign = None
     while True:
-        now = materialize(_small_star(_large_star(now)), "cc")
+        before, now = now, materialize(_small_star(_large_star(now)), "cc")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == sign:
             break

@@ -4,11 +4,13 @@
 2. Nodes that share a band of 4 values (24 bands: a pair at 0.8 is missed with a chance of 3e-6) are compared value by value, 8 at a time:
    with a uniform prior, a pair is dropped once the posterior chance of a similarity of 0.8 or more is below 1e-6. Over its 12 steps this
    drops a pair at 0.8 with a chance of 1.3e-5, so bands and pruning together miss one with a chance of 1.6e-5, unless other pairs bring
-   both into one family. Bands of many nodes are compared in pairs of blocks. What leaves a task is a spanning forest of the pairs that
-   are left, at most an edge a row.
-3. The forests' components are families of candidates. Their shingle sets are gathered once, and within a family all pairs are
-   verified exactly, again in pairs of blocks. What leaves a task is a count of links and a forest, so copies and dense families
-   are never expanded into pairs of rows; no link within a family is dropped, sampled or capped.
+   both into one family. The nodes of a large band are first compared with one of them, which connects near copies without pairs; only
+   the others are then compared with each other and with the rest, in pairs of blocks. What leaves a task is a spanning forest of
+   the pairs that are left, at most an edge a row.
+3. The forests' components are families of candidates. Their shingle sets are gathered once. Where links are counted, all pairs of a
+   family are verified exactly, in pairs of blocks. Where one document of each class is kept, the members of a large family are first
+   verified against one of them, and only those that aren't linked to it against all. What leaves a task is a count of links
+   and a forest, so copies and dense families are never expanded into pairs of rows; no link is dropped, sampled or capped.
 4. Components of the verified links are the classes.
 
 Defined results: a text of 1 to 4 words is one shingle of all its words; null texts and texts without words have no shingles, no links and a
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from trackweave.llm.common import map_batches, materialize, slices, text_key
+from trackweave.llm.common import bounded_batches, map_batches, materialize, text_key
 from trackweave.llm.components import components
 from trackweave.llm.hashing import grams, mix, word_hashes
 
@@ -218,22 +221,59 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["a", "b"])
 
 
-def blocked(df: DataFrame, blocks: str) -> DataFrame:
-    """Rows of a group of several blocks go to each pair of blocks that has theirs: columns block, bi, bj."""
-    own = df.withColumn("block", F.when(F.col(blocks) > 1, F.pmod(F.xxhash64("node"), F.col(blocks))).otherwise(0).cast("int"))
-    other = F.explode(F.when(F.col(blocks) > 1, F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))).otherwise(F.array(F.lit(0))))
-    return own.withColumn("other", other).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other")
+def blocked(df: DataFrame) -> DataFrame:
+    """Rows of a group go to the pairs of blocks in which they are compared: columns block, bi, bj.
+
+    Open rows lie in the first `open_blocks` blocks and meet all of the group's; the others, in `tied_blocks` further ones, are known to be
+    connected to each other and only meet open ones."""
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
+    number = F.when(F.col("tied"), F.col("open_blocks") + spread(F.col("tied_blocks"))).otherwise(spread(F.col("open_blocks")))
+    meets = F.when(F.col("tied"), F.col("open_blocks")).otherwise(F.col("open_blocks") + F.col("tied_blocks"))
+    own = df.where(meets > 0).withColumn("block", number.cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), (meets - 1).cast("int"))))
+    return own.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows of some ids each."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n, sig, first, first_n, first_sig) to (key, node, tied): whether the comparison with the first node leaves the pair."""
+    for batch in batches:
+        if batch.num_rows:
+            count = batch.num_rows
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist() + batch.column(6).to_pylist()), np.uint8).reshape(-1, VALUES)
+            n = np.concatenate([batch.column(2).to_numpy(), batch.column(5).to_numpy()])
+            left, _ = plausible(sig, n, np.arange(count), np.arange(count) + count)
+            tied = np.zeros(count, bool)
+            tied[left] = True
+            tied |= batch.column(1).to_numpy() == batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(tied)], ["key", "node", "first", "tied"])
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
     """Forests of the pairs that share a band and aren't pruned."""
-    from pyspark.sql import Window
-
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    met = keys.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    rows = met.join(nodes.select("node", "n", "sig"), "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
-    dealt = blocked(rows, "blocks").select("key", "bi", "bj", "block", "node", "n", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return dealt.mapInArrow(prune, "a long, b long")
+    bounded_batches(nodes.sparkSession)
+    keys, signs = nodes.select("node", F.explode("bands").alias("key")), nodes.select("node", "n", "sig")
+    met = materialize(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1"), "ngram-bands")
+    shared = keys.join(few(met), "key")
+    small = shared.where(F.col("m") <= BLOCK).select("key", "node", F.lit(False).alias("tied"), F.lit(1).alias("open_blocks"), F.lit(0).alias("tied_blocks"))
+    large = materialize(shared.where(F.col("m") > BLOCK).join(signs, "node"), "ngram-large")
+    if large.isEmpty():
+        rows, known = small, None
+    else:
+        firsts = met.where(F.col("m") > BLOCK).select("key", "first").join(signs.select(F.col("node").alias("first"), F.col("n").alias("first_n"), F.col("sig").alias("first_sig")), "first")
+        first = large.select("key", "node", "n", "sig").join(few(materialize(firsts, "ngram-firsts")), "key").select("key", "node", "n", "sig", "first", "first_n", "first_sig")
+        told = materialize(first.mapInArrow(against_first, "key long, node long, first long, tied boolean"), "ngram-told")
+        blocks = lambda c: F.ceil(F.count_if(c) / BLOCK)
+        counts = materialize(told.groupBy("key").agg(blocks(~F.col("tied")).alias("open_blocks"), blocks(F.col("tied")).alias("tied_blocks")).where("open_blocks > 0"), "ngram-open")
+        rows = small.unionByName(told.join(few(counts), "key").select("key", "node", "tied", "open_blocks", "tied_blocks"))
+        known = told.where("tied AND node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    dealt = blocked(rows.join(signs, "node")).select("key", "bi", "bj", "block", "node", "n", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    edges = dealt.mapInArrow(prune, "a long, b long")
+    return edges if known is None else edges.unionByName(known)
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -283,29 +323,76 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_texts(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
     """The members with their texts: ids are broadcast where they are few, and shuffled with the texts beyond that."""
     rows = docs.select(F.col("doc_id").alias("d"), "text", text_key(F.col("text")).alias("t"))
-    few = members.count() <= BROADCAST_ROWS
-    both = rows.join(F.broadcast(members) if few else members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tkey")))
+    both = rows.join(few(members), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tkey")))
     return both.dropDuplicates(["node"]) if repeats else both
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Signed rows, nodes with their class (node, print, doc_id, tkey, copies, class_id, keeper, links), and whether rows repeat."""
+def shingle_rows(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
+    """The members with their shingle sets in place of ids."""
+    names = [c for c in members.columns if c not in ("doc_id", "tkey")]
+
+    def shingles(batch: pa.RecordBatch) -> dict:
+        return dict(zip(names, batch.columns)) | {"shingles": [s.tobytes() for s in shingle_sets(batch.column(len(names)).to_pylist())]}
+
+    schema = StructType([members.schema[c] for c in names]).add("shingles", "binary")
+    return map_batches(with_texts(docs, members, repeats).select(*names, "text"), schema, shingles, 1 << 20)
+
+
+def verified(sets: DataFrame) -> DataFrame:
+    """(node, root, links) of all pairs of blocks in which rows are to be compared; node and root are linked, and links are counted."""
+    dealt = blocked(sets).select("comp", "bi", "bj", "block", "node", "copies", "shingles").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
+    return dealt.mapInArrow(verify, "node long, root long, links long")
+
+
+def linked_to_first(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
+    """(comp, node, first, tied) of large families: whether a member is linked to the first one. Each block gets a copy of the first."""
+    every = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), (F.col("open_blocks") - 1).cast("int")))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("open_blocks")).cast("int"))
+    rows = shingle_rows(docs, members, repeats).withColumn("block", F.explode(F.coalesce(every, own)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs_of(batches, 2):
+            bounds, raw = group_bounds(part, 2), part.column(4)
+            comp, node, first = (part.column(k).to_numpy() for k in (0, 2, 3))
+            tied = np.zeros(part.num_rows, bool)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                sets = [np.frombuffer(x, np.uint64) for x in raw.slice(a, b - a).to_pylist()]
+                base = sets[int(np.flatnonzero(node[a:b] == first[a])[0])]
+                for k, s in enumerate(sets):
+                    both = len(np.intersect1d(base, s, assume_unique=True))
+                    tied[a + k] = BOTTOM * both >= TOP * (len(base) + len(s) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(comp), pa.array(node), pa.array(first), pa.array(tied)], ["comp", "node", "first", "tied"])
+
+    dealt = rows.select("comp", "block", "node", "first", "shingles").repartition("comp", "block").sortWithinPartitions("comp", "block")
+    return dealt.mapInArrow(run, "comp long, node long, first long, tied boolean").distinct()
+
+
+def join(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, DataFrame, bool]:
+    """Signed rows, nodes with their class (node, print, doc_id, tkey, copies, class_id, keeper, links), and whether rows repeat.
+
+    Without `count_links` classes are the same, but links are only counted as far as they were met."""
     signed = materialize(sign(docs), "ngram-signed")
     repeats = not signed.groupBy("doc_id", "tkey").count().where("count > 1").limit(1).isEmpty()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("rep")
     nodes = signed.where("print IS NOT NULL").groupBy("print").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "rep.doc_id", "rep.tkey", "copies", "n", "sig", "bands"), "ngram-nodes")
     families = components(candidate_edges(nodes))
-    sizes = families.join(nodes.select("node", "n"), "node").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    sizes = families.join(nodes.select("node", "n"), "node").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("open_blocks"))
     members = families.join(nodes.select("node", "doc_id", "tkey", "copies"), "node").join(sizes, "comp")
-    members = materialize(members.select("node", "comp", "blocks", "doc_id", "tkey", "copies"), "ngram-members")
-
-    def shingles(batch: pa.RecordBatch) -> dict:
-        return dict(zip(("node", "comp", "blocks", "copies"), batch.columns)) | {"shingles": [s.tobytes() for s in shingle_sets(batch.column(4).to_pylist())]}
-
-    sets = map_batches(with_texts(docs, members, repeats).select("node", "comp", "blocks", "copies", "text"), "node long, comp long, blocks long, copies long, shingles binary", shingles, 1 << 20)
-    dealt = blocked(sets, "blocks").select("comp", "bi", "bj", "block", "node", "copies", "shingles").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    checked = materialize(dealt.mapInArrow(verify, "node long, root long, links long"), "ngram-checked")
+    members = members.select("node", "comp", "doc_id", "tkey", "copies", F.lit(False).alias("tied"), "open_blocks", F.lit(0).cast("long").alias("tied_blocks"))
+    members = materialize(members, "ngram-members")
+    if count_links or members.where("open_blocks > 1").isEmpty():
+        checked = materialize(verified(shingle_rows(docs, members, repeats)), "ngram-checked")
+    else:
+        large = members.where("open_blocks > 1").withColumn("first", F.col("comp"))  # a component is named after its least node
+        told = materialize(linked_to_first(docs, large.drop("tied", "tied_blocks", "copies"), repeats), "ngram-told")
+        part = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_SHINGLES))
+        of_comp = told.join(nodes.select("node", "n"), "node")
+        counts = of_comp.groupBy("comp").agg(part(~F.col("tied")).alias("open_blocks"), part(F.col("tied")).alias("tied_blocks"))
+        rest = large.drop("tied", "open_blocks", "tied_blocks", "first").join(told.select("node", "tied"), "node").join(counts.where("open_blocks > 0"), "comp")
+        rest = materialize(rest.select("node", "comp", "doc_id", "tkey", "copies", "tied", "open_blocks", "tied_blocks"), "ngram-open")
+        found = verified(shingle_rows(docs, members.where("open_blocks = 1").unionByName(rest), repeats))
+        checked = materialize(found.unionByName(told.where("tied").select("node", F.col("first").alias("root"), F.lit(0).cast("long").alias("links"))), "ngram-checked")
     linked = components(checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     named = linked.join(nodes.select("node", "doc_id", "tkey"), "node")
@@ -330,14 +417,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that link to a kept one's class: of each class the one of least doc_id stays."""
-    signed, nodes, repeats = join(docs)
+    signed, nodes, repeats = join(docs, count_links=False)
     both = signed.select("doc_id", "tkey", "print").join(nodes.select("print", "keeper"), "print")
     away = both.where(~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("tkey") == F.col("keeper.tkey"))))
     away = materialize(away.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct(), "ngram-away")
     # The document's own columns travel in a struct, so their names can't clash with those of the join.
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_k"), F.coalesce(F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False)).alias("_words"))
-    few = away.count() <= BROADCAST_ROWS
-    kept = whole.join(F.broadcast(away) if few else away, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left_anti")
+    kept = whole.join(few(away), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left_anti")
     if repeats:
         kept = kept.where("_words").dropDuplicates(["_id", "_k"]).unionByName(kept.where("NOT _words"))
     return kept.select("_doc.*")
