@@ -1,4 +1,6 @@
-"""Thresholds of the tracking analytics; all operators take a Config and read nothing global."""
+"""Thresholds of the tracking analytics; all operators take a Config and read nothing global.
+
+Fixed values: classes, thresholds, sizes and weights must be these for results to be right."""
 
 from __future__ import annotations
 
@@ -61,7 +63,9 @@ class Config:
     court_w: int = 300
     court_h: int = 161
     inside_margin: float = 25.0
-    blend: float = 0.85
+    relative_share: float = 0.85
+    relative_min: int = 2
+    conf_floor: float = 0.25
     # Tactical smoothing
     smooth_prev: float = 0.45
     max_step: float = 18.0
@@ -73,7 +77,7 @@ class Config:
     edge_band: float = 0.30
     jump_reset_px: float = 150.0
     jump_reset_share: float = 0.5
-    still_px: float = 2.0
+    still_px: float = 6.0
     still_updates: int = 45
     carry_updates: int = 45
     ema_new: float = 0.6
@@ -87,15 +91,47 @@ class Config:
     neighbour_power: float = 1.35
     slope_dy: float = 18.0
     slope_min: float = 0.08
+    slope_conf: float = 0.10
+    slope_pairs: int = 1
+    keypoint_conf: float = 0.05
+    geometry_conf: float = 0.1
+    center_band: float = 0.4
+    side_min: int = 3
+    side_margin: int = 2
+    # Choice and acceptance of homographies
+    stability: float = 0.35
+    shift_weight: float = 0.05
+    mode_penalty: float = 25.0
+    side_penalty: float = 80.0
+    update_min: int = 6
+    cold_min: int = 6
+    transition_min: int = 7
+    strictness: float = 0.5
+    good_reproj: float = 8.0
+    recover_reproj: float = 14.0
+    recover_streak: int = 2
+    mean_shift: float = 35.0
+    point_shift: float = 80.0
     # Masks
     mask_area: int = 80
     mask_inside: float = 0.35
     mask_fill: float = 0.45
+    reuse_fill: float = 0.35
     dup_iou: float = 0.50
     dup_dist: float = 40.0
+    block_iou: float = 0.08
+    block_px: float = 55.0
+    block_scale: float = 0.30
     reinit_missing: int = 6
+    reinit_area: int = 4
+    reinit_inside: int = 10
+    reinit_ratio: float = 0.12
     reinit_cooldown: int = 20
     # Pan prior and side transitions
+    pan_min_points: int = 4
+    pan_min_px: float = 2.0
+    pan_max_mad: float = 18.0
+    pan_gain: float = 1.0
     pan_min_conf: float = 0.35
     pan_keep: float = 0.55
     pan_decay: float = 0.75
@@ -105,6 +141,9 @@ class Config:
     match_iou: float = 0.2
     # Court activation and reports
     activate_points: int = 2
+    activate_overlap: float = 0.12
+    activate_area: int = 0
+    stale_streak: int = 3
     islands_run: int = 5
     islands_total: int = 10
 

@@ -76,8 +76,8 @@ def corners_from_center(cx: Column, cy: Column, w: Column, h: Column) -> Box:
 
 
 def expand(a: Box, ratio: float, width: int, height: int) -> Box:
-    """A box grown by a ratio of its sides, half on each, inside the frame."""
-    dx, dy = (a[2] - a[0]) * (ratio / 2), (a[3] - a[1]) * (ratio / 2)
+    """A box grown on each side by a ratio of its sides (1 at least), inside the frame."""
+    dx, dy = (F.greatest(F.lit(1), v) * ratio for v in (a[2] - a[0], a[3] - a[1]))
     low = [F.greatest(F.lit(0), F.bround(v).cast("long")) for v in (a[0] - dx, a[1] - dy)]
     high = [F.least(F.lit(m), F.bround(v).cast("long")) for v, m in ((a[2] + dx, width), (a[3] + dy, height))]
     return low[0], low[1], high[0], high[1]
@@ -127,30 +127,48 @@ def inside_court(x: Column, y: Column, margin: float, cfg: Config = DEFAULT) ->
     return x.between(-margin, cfg.court_w + margin) & y.between(-margin, cfg.court_h + margin)
 
 
+def on_court(v: Column, size: int) -> Column:
+    """A coordinate held within the court's pixels, without rounding."""
+    return F.least(F.greatest(v, F.lit(0.0)), F.lit(float(size - 1)))
+
+
 def choose_projection(relative: Column, direct: Column, cfg: Config = DEFAULT) -> Column:
-    """Struct (x, y, source) from two nullable points: the blend where H lies inside the court, else whatever there is."""
-    ok = direct.isNotNull() & inside_court(direct["x"], direct["y"], cfg.inside_margin, cfg)
-    mixed = lambda c: direct[c] * cfg.blend + relative[c] * (1 - cfg.blend)
+    """Struct (x, y, source) from two nullable points (structs x, y): that of the homography (held within the court) where it lies inside
+    the court or a margin around it; outside it, mostly the relative point; without one there, nothing. Without a homography, the
+    relative point."""
+    inside = inside_court(direct["x"], direct["y"], cfg.inside_margin, cfg)
+    held = {"x": on_court(direct["x"], cfg.court_w), "y": on_court(direct["y"], cfg.court_h)}
+    guard = lambda c, size: on_court(held[c] * (1.0 - cfg.relative_share) + relative[c] * cfg.relative_share, size)
     point = lambda x, y, s: F.struct(x.alias("x"), y.alias("y"), F.lit(s).alias("source"))
     return (
-        F.when(ok & relative.isNotNull(), point(mixed("x"), mixed("y"), "blended")).when(ok, point(direct["x"], direct["y"], "h_inside"))
-        .when(relative.isNotNull(), point(relative["x"], relative["y"], "relative")).when(direct.isNotNull(), point(direct["x"], direct["y"], "h"))
+        F.when(direct.isNull() & relative.isNotNull(), point(relative["x"], relative["y"], "relative"))
+        .when(direct.isNotNull() & inside, point(held["x"], held["y"], "H"))
+        .when(direct.isNotNull() & relative.isNotNull(), point(guard("x", cfg.court_w), guard("y", cfg.court_h), "relative-guard"))
     )
 
 
 def interpolate(y: Column, points: Column) -> Column:
-    """x at y on the line through points (structs y, x): extrapolated at both ends; none gives 0, one gives its x."""
-    p = F.array_sort(points)
-    n = F.size(p)
-    left = F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(p, lambda q: q["y"] <= y))))
-    a, b = F.element_at(p, left), F.element_at(p, left + 1)
-    slope = F.when(b["y"] == a["y"], F.lit(0.0)).otherwise((b["x"] - a["x"]) / (b["y"] - a["y"]))
-    return F.when(n == 0, F.lit(0.0)).when(n == 1, F.element_at(p, 1)["x"].cast("double")).otherwise(a["x"] + slope * (y - a["y"]))
-
-
-def sample_shift(h: Sequence[Column], g: Sequence[Column], xs: Sequence[float], ys: Sequence[float]) -> tuple[Column, Column]:
-    """Mean and greatest distance between two homographies' images of a grid of points."""
-    d = [distance(project(F.lit(x), F.lit(y), h), project(F.lit(x), F.lit(y), g)) for y in ys for x in xs]
+    """x at y on the line through points (structs with y and x, in order of y): extrapolated at both ends; none gives 0, one gives its x.
+
+    Where the end that counts has two points of one height, it is the outer one's x."""
+    n = F.size(points)
+    below = F.size(F.filter(points, lambda q: q["y"] < y))
+    at = lambda k: F.get(points, (F.lit(k) if isinstance(k, int) else k) - 1)
+    first, last = y <= at(1)["y"], y >= at(n)["y"]
+    left = F.when(first, F.lit(1)).when(last, n - 1).otherwise(below)
+    a, b = at(left), at(left + 1)
+    share = F.when(a["y"] == b["y"], F.when(first, 0.0).otherwise(1.0)).otherwise((y - a["y"]) / (b["y"] - a["y"]))
+    return F.when(n == 0, F.lit(0.0)).when(n == 1, at(1)["x"].cast("double")).otherwise(a["x"] + share * (b["x"] - a["x"]))
+
+
+def sample_points(cfg: Config = DEFAULT) -> list[tuple[float, float]]:
+    """The frame's corners, the middles of its edges, and its centre."""
+    return [(x, y) for y in (0.0, cfg.frame_h * 0.5, cfg.frame_h - 1.0) for x in (0.0, cfg.frame_w * 0.5, cfg.frame_w - 1.0)]
+
+
+def sample_shift(h: Sequence[Column], g: Sequence[Column], points: Sequence[tuple[float, float]]) -> tuple[Column, Column]:
+    """Mean and greatest distance between two homographies' images of some points."""
+    d = [distance(project(F.lit(x), F.lit(y), h), project(F.lit(x), F.lit(y), g)) for x, y in points]
     total = d[0]
     for v in d[1:]:
         total = total + v

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Class names are matched as parts of the name, in this order.
+#: Letters that look like digits, and these digits.
+LETTERS, DIGITS = "OoQIli|ZSsB", "00011112558"
+#: Class names are matched as parts of the name, in this order.
 CLASS_PARTS = (("ball", 0), ("number", 2), ("player", 3), ("referee", 8), ("rim", 9))
 UNKNOWN_CLASS = 99
 REFEREE_OFFSET = 1000
-GOLDEN = 0.618033988749895
+GOLDEN, SATURATION, VALUE = 0.618033988749895, 0.85, 0.95
 
 
 def clean_number(text: Column) -> Column:
     """Letters that look like digits become digits, anything else goes, two digits stay; nothing left gives NULL."""
-    looked = F.translate(text, "OoQIli|ZSsB", "00011112558")
+    looked = F.translate(text, LETTERS, DIGITS)
     out = F.substring(F.regexp_replace(looked, "[^0-9]", ""), 1, 2)
     return F.when(out == "", F.lit(None)).otherwise(out)
 
@@ -60,12 +62,13 @@ def hue(track_id: Column) -> Column:
 
 
 def color(track_id: Column) -> Column:
-    """0xRRGGBB of the id's hue at full saturation and value, in integers."""
+    """0xRRGGBB of the id's hue, cut to integers."""
     h6 = hue(track_id) * 6
     sector, part = F.floor(h6).cast("int"), h6 - F.floor(h6)
-    up, down = F.floor(part * 255).cast("long"), F.floor((1 - part) * 255).cast("long")
+    shade = lambda v: F.floor(v * 255).cast("long")
+    up, down = shade(VALUE * (1.0 - SATURATION * (1.0 - part))), shade(VALUE * (1.0 - SATURATION * part))
     rgb = lambda r, g, b: r * 65536 + g * 256 + b
-    full, none = F.lit(255), F.lit(0)
+    full, none = shade(F.lit(VALUE)), shade(F.lit(VALUE) * (1.0 - SATURATION))
     return (
         F.when(sector == 0, rgb(full, up, none)).when(sector == 1, rgb(down, full, none)).when(sector == 2, rgb(none, full, up))
         .when(sector == 3, rgb(none, down, full)).when(sector == 4, rgb(up, none, full)).otherwise(rgb(full, none, down))
