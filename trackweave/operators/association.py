@@ -1,19 +1,23 @@
 """Baseline track association: two stages of overlap matching, sure detections first, with constant velocity between frames.
 
 It stands in for an external tracker and follows the published two-stage scheme: detections above the high score are matched to predicted
-boxes, then the leftover tracks to weak detections; unmatched sure ones above the new-track score begin tracks. Each frame depends on
-the last one's result, so a game and role is one group, read in order of frames; games run in parallel."""
+boxes, then the leftover tracks to weak detections; unmatched sure ones above the new-track score begin tracks. Optionally each frame's
+detections are first suppressed by the tracks known before it, and young tracks that lie on established ones are held back, as in a
+run of the whole. Each frame depends on the last one's result, so a game is one machine, fed in order of frames; games run apart."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from trackweave.config import DEFAULT, Config
 from trackweave.operators.matching import targets
+from trackweave.operators.ordered import in_order
 
-OUT = "game_id int, frame_idx long, is_referee boolean, track_id long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double"
+OUT = "game_id int, frame_idx long, is_referee boolean, track_id long, det_id long, x1 long, y1 long, x2 long, y2 long, confidence double"
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -24,6 +28,13 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inter / (area(a)[:, None] + area(b)[None, :] - inter)
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix of distances between centres."""
+    middle = lambda r: (r[:, :2] + r[:, 2:]) / 2
+    d = middle(a)[:, None] - middle(b)[None]
+    return np.sqrt((d * d).sum(2))
+
+
 def greedy_pairs(score: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs by falling score, each row and column once; ties by row, then column."""
     out, rows, cols = [], set(), set()
@@ -38,36 +49,118 @@ def greedy_pairs(score: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def associate(detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Tracks of players and referees from detections alone."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[dict] = []
-        out, next_id = [], 1
-        for frame, g in pdf.sort_values(["frame_idx", "det_id"]).groupby("frame_idx", sort=True):
-            tracks = [t for t in tracks if frame - t["seen"] <= cfg.buffer]
-            boxes, conf = g[["x1", "y1", "x2", "y2"]].to_numpy(float), g.confidence.to_numpy()
-            free = list(range(len(tracks)))
-            taken: dict[int, dict] = {}
-            for pool in (np.flatnonzero(conf >= cfg.high_score), np.flatnonzero((conf >= cfg.low_score) & (conf < cfg.high_score))):
-                if not len(pool) or not free:
-                    continue
-                ahead = np.array([tracks[k]["box"] + tracks[k]["speed"] * (frame - tracks[k]["seen"]) for k in free])
-                for i, j in greedy_pairs(overlaps(ahead, boxes[pool]), cfg.match_iou):
-                    taken[int(pool[j])] = tracks[free[i]]
-                free = [k for k in free if not any(tracks[k] is t for t in taken.values())]
-            for j in np.flatnonzero(conf >= cfg.new_score):
-                if int(j) not in taken:
-                    taken[int(j)] = dict(id=next_id, box=boxes[j], speed=np.zeros(4), seen=frame)
-                    tracks.append(taken[int(j)])
-                    next_id += 1
-            for j, t in taken.items():
-                if frame > t["seen"]:
-                    t["speed"] = 0.5 * t["speed"] + 0.5 * (boxes[j] - t["box"]) / (frame - t["seen"])
-                t["box"], t["seen"] = boxes[j], frame
-                r = g.iloc[j]
-                out.append((r.game_id, frame, r.is_referee, t["id"], r.det_id, *boxes[j], conf[j]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+@dataclass
+class Track:
+    id: int
+    box: np.ndarray
+    speed: np.ndarray
+    seen: int
+
+
+class Tracker:
+    """Tracks of both roles of one game."""
+
+    def __init__(self, game: int, cfg: Config = DEFAULT, whole: bool = False):
+        self.game, self.cfg, self.whole = game, cfg, whole
+        self.tracks: dict[bool, list[Track]] = {False: [], True: []}
+        self.next_id = {False: 1, True: 1}
+        self.born: dict[tuple[bool, int], int] = {}
+
+    def age(self, frame: int, role: bool, track: int) -> int:
+        return max(0, frame - self.born.get((role, track), frame))
+
+    def candidates(self, frame: int, role: bool, boxes: np.ndarray) -> list[list[tuple[float, int]]]:
+        """(score, track) of the tracks that each box may continue, best first: active ones, seen in the frame before, and lost ones."""
+        cfg, known = self.cfg, self.tracks[role]
+        if not known or not len(boxes):
+            return [[] for _ in boxes]
+        last = np.array([t.box for t in known])
+        v, d = overlaps(boxes, last), distances(boxes, last)
+        active = np.array([t.seen == frame - 1 for t in known])
+        fits = np.where(active, v >= cfg.active_iou, (v >= cfg.lost_iou) | (d <= cfg.lost_dist))
+        score = v + 0.25 * active - np.minimum(d, 500.0) / 5000.0
+        ranked = (sorted((-float(s[k]), not active[k], known[k].id) for k in np.flatnonzero(f)) for s, f in zip(score, fits))
+        return [[(-s, track) for s, _, track in r] for r in ranked]
+
+    def suppressed(self, frame: int, boxes: np.ndarray, conf: np.ndarray, ref: np.ndarray) -> np.ndarray:
+        """Which detections stay: in order of the age of the track that each continues, and confidence, unless a kept one bars it."""
+        cfg, found = self.cfg, [[] for _ in boxes]
+        for role in (False, True):
+            at = np.flatnonzero(ref == role)
+            for k, c in zip(at, self.candidates(frame, role, boxes[at])):
+                found[k] = c
+        age = [self.age(frame, bool(ref[k]), c[0][1]) if c else 0 for k, c in enumerate(found)]
+        order = sorted(range(len(boxes)), key=lambda k: (-min(age[k], cfg.max_age_key), -conf[k], k))
+        v, kept = overlaps(boxes, boxes), []
+        for k in order:
+            if not any(v[k, j] >= cfg.cross_role_iou if ref[k] != ref[j] else v[k, j] >= cfg.same_role_iou and not self.others(frame, bool(ref[k]), found[k], found[j]) for j in kept):
+                kept.append(k)
+        return np.array(sorted(kept), int)
+
+    def others(self, frame: int, role: bool, a: list, b: list) -> bool:
+        """Whether two detections continue different tracks, neither young beside an established one."""
+        best = None
+        for s, i in a:
+            for t, j in b:
+                if i != j and (best is None or s + t > best[0]):
+                    best = (s + t, i, j)
+        if best is None:
+            return False
+        x, y = sorted(self.age(frame, role, i) for i in best[1:])
+        return not (x <= self.cfg.young_age and y >= self.cfg.old_age)
+
+    def matched(self, frame: int, role: bool, boxes: np.ndarray, conf: np.ndarray) -> dict[int, Track]:
+        """The track of each detection that has one, by number of the detection."""
+        cfg = self.cfg
+        tracks = self.tracks[role]
+        free, taken = list(range(len(tracks))), {}
+        for pool in (np.flatnonzero(conf >= cfg.high_score), np.flatnonzero((conf >= cfg.low_score) & (conf < cfg.high_score))):
+            if not len(pool) or not free:
+                continue
+            ahead = np.array([tracks[k].box + tracks[k].speed * (frame - tracks[k].seen) for k in free])
+            pairs = greedy_pairs(overlaps(ahead, boxes[pool]), cfg.match_iou)
+            for i, j in pairs:
+                taken[int(pool[j])] = tracks[free[i]]
+            used = {i for i, _ in pairs}
+            free = [k for n, k in enumerate(free) if n not in used]
+        for j in np.flatnonzero(conf >= cfg.new_score).tolist():
+            if j not in taken:
+                taken[j] = Track(self.next_id[role], boxes[j], np.zeros(4), frame)
+                tracks.append(taken[j])
+                self.next_id[role] += 1
+        for j, t in taken.items():
+            if frame > t.seen:
+                t.speed = 0.5 * t.speed + 0.5 * (boxes[j] - t.box) / (frame - t.seen)
+            t.box, t.seen = boxes[j], frame
+        return taken
+
+    def steady(self, frame: int, role: bool, taken: dict[int, Track], boxes: np.ndarray, conf: np.ndarray) -> list[int]:
+        """Detections whose tracks are shown: not young ones that lie on, or overlap and stand near, an established one that is shown."""
+        cfg, kept = self.cfg, []
+        age = {j: self.age(frame, role, t.id) for j, t in taken.items()}
+        v, d = overlaps(boxes, boxes), distances(boxes, boxes)
+        for j in sorted(taken, key=lambda j: (-min(age[j], cfg.max_age_key), -conf[j], taken[j].id)):
+            near = [v[j, k] >= cfg.overlap_drop_iou or v[j, k] >= cfg.overlap_near_iou and d[j, k] <= cfg.overlap_near_dist for k in kept if age[j] <= cfg.young_age and age[k] >= cfg.old_age]
+            if not any(near):
+                kept.append(j)
+        return sorted(kept)
+
+    def step(self, frame: int, rows: pd.DataFrame) -> list[tuple]:
+        boxes, conf = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows.confidence.to_numpy(float)
+        ref, ids, out = rows.is_referee.to_numpy(bool), rows.det_id.to_numpy(), []
+        self.tracks = {role: [t for t in some if frame - t.seen <= self.cfg.buffer + 1] for role, some in self.tracks.items()}
+        stay = self.suppressed(frame, boxes, conf, ref) if self.whole else np.arange(len(rows))
+        for role in (False, True):
+            at = stay[ref[stay] == role]
+            taken = self.matched(frame, role, boxes[at], conf[at])
+            for j in self.steady(frame, role, taken, boxes[at], conf[at]) if self.whole else sorted(taken):
+                t, k = taken[j], at[j]
+                self.born.setdefault((role, t.id), frame)
+                out.append((self.game, frame, role, t.id, int(ids[k]), *boxes[k].astype(int).tolist(), float(conf[k])))
+        return out
+
 
+def associate(detections: DataFrame, cfg: Config = DEFAULT, whole: bool = False) -> DataFrame:
+    """Tracks of players and referees from detections alone; `whole`: with suppression by known tracks before, and of young overlaps after."""
     rows = targets(detections, cfg).select("game_id", "frame_idx", "is_referee", "det_id", "x1", "y1", "x2", "y2", "confidence")
-    return rows.groupBy("game_id", "is_referee").applyInPandas(run, OUT)
+    return in_order(rows, ["game_id"], "frame_idx", ["det_id"], lambda key: Tracker(key[0], cfg, whole).step, OUT)

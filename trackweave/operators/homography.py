@@ -1,7 +1,7 @@
-"""Homographies from keypoint pairs: direct linear transform with seeded RANSAC, and the machine that accepts or keeps one over time.
+"""Homographies from keypoint pairs: direct linear transform with seeded RANSAC, of many frames at once.
 
-No SQL form exists, so both run in Arrow-batched pandas. Estimates depend on their frame alone and are grouped in coarse buckets of frames,
-for a group costs more than its work. The machine depends on its own last choice and runs once for each game, in order of frames."""
+No SQL form exists, so it runs in Arrow-batched pandas: frames are grouped in coarse buckets, for a group costs more than its work, and a
+bucket's frames are one set of arrays. The results agree with those of other RANSACs by tolerance only."""
 
 from __future__ import annotations
 
@@ -13,117 +13,122 @@ from pyspark.sql import functions as F
 from trackweave.config import DEFAULT, Config
 
 H = [f"h{k}" for k in range(9)]
-BUCKET = 256
-MODE_SWITCH, WRONG_SIDE, MEAN_WEIGHT, MAX_WEIGHT = 25.0, 80.0, 0.35, 0.05
+BUCKET, TRIES = 256, 64
 
 
-def direct_linear(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """The homography of least squares, of normalized points."""
+def normalizer(p: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """For each frame the similarity that moves its used points to the origin, at a mean distance of sqrt(2)."""
+    n = np.maximum(1, use.sum(1))
+    c = (p * use[..., None]).sum(1) / n[:, None]
+    far = np.sqrt((((p - c[:, None]) ** 2).sum(2) * use).sum(1) / n)
+    s = np.sqrt(2) / np.maximum(far, 1e-9)
+    out = np.zeros((len(p), 3, 3))
+    out[:, 0, 0] = out[:, 1, 1] = s
+    out[:, 0, 2], out[:, 1, 2], out[:, 2, 2] = -s * c[:, 0], -s * c[:, 1], 1
+    return out
 
-    def norm(p):
-        c = p.mean(0)
-        s = np.sqrt(2) / max(1e-9, np.sqrt(((p - c) ** 2).sum(1)).mean())
-        return np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
 
-    a, b = norm(src), norm(dst)
-    p, q = (np.c_[x, np.ones(len(x))] @ m.T for x, m in ((src, a), (dst, b)))
-    zero = np.zeros_like(p)
-    rows = np.r_[np.c_[p, zero, -p * q[:, :1]], np.c_[zero, p, -p * q[:, 1:2]]]
-    try:
-        h = np.linalg.inv(b) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ a
-    except np.linalg.LinAlgError:
-        return None
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+def equations(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Two rows of the linear system for each pair of points (arrays of shape ..., n, 2), of shape ..., 2 n, 9."""
+    x, y, u, v = p[..., 0], p[..., 1], q[..., 0], q[..., 1]
+    zero, one = np.zeros_like(x), np.ones_like(x)
+    upper = np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], axis=-1)
+    lower = np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], axis=-1)
+    return np.concatenate([upper, lower], axis=-2)
 
 
 def apply(h: np.ndarray, p: np.ndarray) -> np.ndarray:
-    q = np.c_[p, np.ones(len(p))] @ h.T
-    w = np.where(np.abs(q[:, 2:]) < 1e-12, 1e-12, q[:, 2:])
-    return q[:, :2] / w
+    """Images of points (..., n, 2) under homographies (..., 3, 3)."""
+    q = np.concatenate([p, np.ones((*p.shape[:-1], 1))], axis=-1) @ np.swapaxes(h, -1, -2)
+    w = np.where(np.abs(q[..., 2:]) < 1e-12, 1e-12, q[..., 2:])
+    return q[..., :2] / w
+
+
+def least_squares(p: np.ndarray, q: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The homography of least squares of each frame's used, normalized points."""
+    a, b = normalizer(p, use), normalizer(q, use)
+    rows = equations(apply(a, p), apply(b, q)) * np.concatenate([use, use], axis=1)[..., None]
+    _, vectors = np.linalg.eigh(np.swapaxes(rows, 1, 2) @ rows)
+    return np.linalg.inv(b) @ vectors[:, :, 0].reshape(-1, 3, 3) @ a
+
+
+def of_fours(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The homography through each set of four pairs (arrays of shape ..., 4, 2) whose last entry is 1; nonsense for degenerate sets."""
+    rows = equations(p, q)
+    a, b = rows[..., :8], -rows[..., 8:]
+    turned = np.swapaxes(a, -1, -2)
+    solved = np.linalg.solve(turned @ a + 1e-9 * np.eye(8), turned @ b)
+    return np.concatenate([solved[..., 0], np.ones((*solved.shape[:-2], 1))], axis=-1).reshape(*solved.shape[:-2], 3, 3)
+
+
+def estimate_all(src: np.ndarray, dst: np.ndarray, use: np.ndarray, seeds: np.ndarray, cfg: Config = DEFAULT, tries: int = TRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(H, whether it passes the gates, median residual) of each frame: src and dst of shape (frames, points, 2), `use` says which pairs count.
+
+    RANSAC takes the inliers of the best of some random fours, the same for a frame whatever its company, and fits all of them; a result
+    needs four points, finite entries, a determinant away from 0 and a small median residual."""
+    enough = np.flatnonzero(use.sum(1) >= 4)
+    h, ok, residual = np.zeros((len(use), 3, 3)), np.zeros(len(use), bool), np.full(len(use), np.inf)
+    if len(enough):
+        h[enough], ok[enough], residual[enough] = _estimate(src[enough], dst[enough], use[enough], seeds[enough], cfg, tries)
+    return h, ok, residual
+
+
+def _estimate(src: np.ndarray, dst: np.ndarray, use: np.ndarray, seeds: np.ndarray, cfg: Config, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    frames, points = use.shape
+    src, dst = np.where(use[..., None], src, 0.0), np.where(use[..., None], dst, 0.0)
+    draws = np.stack([np.random.default_rng(int(s)).random((tries, points)) for s in seeds]) + 2.0 * ~use[:, None, :]
+    picks = np.argsort(draws, axis=2, kind="stable")[:, :, :4]
+    at = np.arange(frames)[:, None, None]
+    a, b = normalizer(src, use), normalizer(dst, use)
+    p, q = apply(a, src), apply(b, dst)
+    with np.errstate(all="ignore"):
+        tried = np.linalg.inv(b)[:, None] @ of_fours(p[at, picks], q[at, picks]) @ a[:, None]
+        err = np.sqrt(((apply(tried, src[:, None]) - dst[:, None]) ** 2).sum(-1))
+        good = (np.nan_to_num(err, nan=np.inf) <= cfg.ransac_px) & use[:, None]
+        best = good[np.arange(frames), good.sum(2).argmax(1)]
+        h = least_squares(src, dst, best)
+        h = h / np.where(np.abs(h[:, 2:, 2:]) < 1e-12, 1e-12, h[:, 2:, 2:])
+        residual = np.nanmedian(np.where(use, np.sqrt(((apply(h, src) - dst) ** 2).sum(-1)), np.nan), axis=1)
+        ok = (best.sum(1) >= 4) & np.isfinite(h).all((1, 2)) & (np.abs(np.linalg.det(h)) >= 1e-8) & (residual <= cfg.max_reproj)
+    return h, ok, residual
 
 
-def from_fours(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """A homography for each set of four pairs (arrays of shape tries, 4, 2), by one batched decomposition."""
-    x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
-    zero, one = np.zeros_like(x), np.ones_like(x)
-    upper = np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], axis=-1)
-    lower = np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], axis=-1)
-    return np.linalg.svd(np.concatenate([upper, lower], axis=1))[2][:, -1].reshape(-1, 3, 3)
-
-
-def estimate(src: np.ndarray, dst: np.ndarray, cfg: Config = DEFAULT, seed: int = 0, tries: int = 64) -> tuple[np.ndarray, float] | None:
-    """(H, median residual) by RANSAC; None if there are under four points or the result fails the gates."""
-    n = len(src)
-    if n < 4:
-        return None
-    draw = np.random.default_rng(seed)
-    picks = np.arange(4)[None] if n == 4 else np.argsort(draw.random((tries, n)), axis=1)[:, :4]
-    size = max(1.0, float(np.abs(src).max()), float(np.abs(dst).max()))
-    maps = from_fours(src[picks] / size, dst[picks] / size)
-    image = np.c_[src / size, np.ones(n)] @ maps.transpose(0, 2, 1)
-    with np.errstate(all="ignore"):
-        err = np.sqrt(((image[..., :2] / image[..., 2:] * size - dst) ** 2).sum(-1))
-    good = np.nan_to_num(err, nan=np.inf) <= cfg.ransac_px
-    best = good[int(good.sum(1).argmax())]
-    h = direct_linear(src[best], dst[best]) if best.sum() >= 4 else None
-    if h is None or not np.isfinite(h).all() or abs(np.linalg.det(h)) < 1e-8:
-        return None
-    residual = float(np.median(np.sqrt(((apply(h, src) - dst) ** 2).sum(1))))
-    return (h, residual) if residual <= cfg.max_reproj else None
+def estimate(src: np.ndarray, dst: np.ndarray, cfg: Config = DEFAULT, seed: int = 0) -> tuple[np.ndarray, float] | None:
+    """(H, median residual) of one frame's pairs; None if the gates aren't passed."""
+    h, ok, residual = estimate_all(src[None], dst[None], np.ones((1, len(src)), bool), np.array([seed]), cfg)
+    return (h[0], float(residual[0])) if ok[0] else None
+
+
+def mirror(cfg: Config = DEFAULT) -> np.ndarray:
+    """The court seen from its other side. It keeps distances, so a homography to the mirrored template is the mirrored homography."""
+    return np.array([[-1.0, 0, cfg.court_w], [0, 1, 0], [0, 0, 1]])
 
 
 def estimates(matched: DataFrame, cfg: Config = DEFAULT, bucket: int = BUCKET) -> DataFrame:
-    """Per frame of (x, y, tx, ty) pairs: points, validity, H, its residual, and those of the mirrored template."""
+    """Per frame of (x, y, tx, ty) pairs: points, validity, H, its residual, and those of the mirrored template. Missing points don't count."""
     schema = "game_id int, frame_idx long, mode string, n int, ok boolean, residual double, mean_tx double, " + ", ".join(f"{h} double" for h in H)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame_idx", "kp_idx"])
+        ids, row = np.unique(pdf.frame_idx.to_numpy(), return_inverse=True)
+        place = np.arange(len(pdf)) - np.searchsorted(row, row)
+        shape = (len(ids), int(place.max()) + 1)
+        src, dst, use = np.zeros((*shape, 2)), np.zeros((*shape, 2)), np.zeros(shape, bool)
+        src[row, place], dst[row, place] = pdf[["x", "y"]].to_numpy(float), pdf[["tx", "ty"]].to_numpy(float)
+        use[row, place] = (pdf.x > 0).to_numpy(bool) & (pdf.y > 0).to_numpy(bool)
+        h, ok, residual = estimate_all(np.nan_to_num(src), dst, use, ids, cfg)
+        n = use.sum(1)
+        mean = np.where(n > 0, (dst[..., 0] * use).sum(1) / np.maximum(n, 1), np.nan)
         out = []
-        for (game, frame), g in pdf.dropna(subset=["x", "y"]).groupby(["game_id", "frame_idx"], sort=True):
-            g = g.sort_values("kp_idx")
-            src, dst = g[["x", "y"]].to_numpy(float), g[["tx", "ty"]].to_numpy(float)
-            found = estimate(src, dst, cfg, seed=int(frame))
-            # Mirroring the template keeps all distances, so its homography is the same one, mirrored.
-            flip = np.array([[-1.0, 0, cfg.court_w], [0, 1, 0], [0, 0, 1]])
-            for mode in ("normal", "mirrored"):
-                h = None if found is None else found[0] if mode == "normal" else flip @ found[0]
-                mean = float(dst[:, 0].mean())
-                out.append((game, frame, mode, len(g), found is not None, found and found[1], mean if mode == "normal" else cfg.court_w - mean, *(h.ravel() if h is not None else [None] * 9)))
-        return pd.DataFrame(out, columns=["game_id", "frame_idx", "mode", "n", "ok", "residual", "mean_tx", *H])
+        for mode, map_, side in (("normal", np.eye(3), mean), ("mirrored", mirror(cfg), cfg.court_w - mean)):
+            values = np.where(ok[:, None], (map_ @ h).reshape(-1, 9), np.nan)
+            part = pd.DataFrame(values, columns=H)
+            part.insert(0, "game_id", pdf.game_id.iloc[0])
+            for k, (name, v) in enumerate((("frame_idx", ids), ("mode", mode), ("n", n), ("ok", ok), ("residual", np.where(ok, residual, np.nan)), ("mean_tx", side))):
+                part.insert(k + 1, name, v)
+            out.append(part)
+        both = pd.concat(out)
+        return both.astype(object).where(both.notna(), None)
 
     keyed = matched.select("game_id", "frame_idx", "kp_idx", "x", "y", "tx", "ty").withColumn("_b", F.floor(F.col("frame_idx") / bucket))
     return keyed.groupBy("game_id", "_b").applyInPandas(run, schema)
-
-
-def accept(found: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The homography that holds at each update: the candidate with the lower score (residual, shift from the last, penalties for a change
-    of mode or the wrong side), or the last good one while none passes; `streak` counts updates without a fresh one."""
-    schema = "game_id int, frame_idx long, mode string, fresh boolean, streak int, score double, " + ", ".join(f"{h} double" for h in H)
-    grid = np.array([(x * cfg.frame_w, y * cfg.frame_h) for y in (0.25, 0.5, 0.75) for x in (0.25, 0.5, 0.75)])
-
-    def side(mean: float) -> str:
-        return "left" if mean < cfg.side_low * cfg.court_w else "right" if mean > cfg.side_high * cfg.court_w else "center"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, mode, held, streak, out = None, None, "center", 0, []
-        for frame, g in pdf.sort_values(["frame_idx", "mode"], ascending=[True, False]).groupby("frame_idx", sort=True):
-            best = None
-            for r in g[g.ok].itertuples(index=False):
-                h = np.array([getattr(r, c) for c in H]).reshape(3, 3)
-                score = r.residual
-                if last is not None:
-                    shift = np.sqrt(((apply(h, grid) - apply(last, grid)) ** 2).sum(1))
-                    score += MEAN_WEIGHT * shift.mean() + MAX_WEIGHT * shift.max() + MODE_SWITCH * (mode != r.mode)
-                    score += WRONG_SIDE * ("center" not in (held, side(r.mean_tx)) and held != side(r.mean_tx))
-                if best is None or score < best[0]:
-                    best = (score, h, r.mode, side(r.mean_tx))
-            fresh = best is not None
-            if fresh:
-                score, last, mode, streak = *best[:3], 0
-                held = best[3] if best[3] != "center" else held
-            else:
-                score, streak = None, streak + 1
-            if last is not None:
-                out.append((int(g.game_id.iloc[0]), frame, mode, fresh, streak, score, *last.ravel()))
-        return pd.DataFrame(out, columns=["game_id", "frame_idx", "mode", "fresh", "streak", "score", *H])
-
-    return found.groupBy("game_id").applyInPandas(run, schema)

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
 from trackweave.functions.geometry import box, box_distance, center, distance
-from trackweave.operators.matching import renamed
-
-TRACK = ("game_id", "is_referee", "track_id")
+from trackweave.operators.matching import BOX, FRAME, SPAN, TRACK, known, renamed, spans
 
 
 def own() -> WindowSpec:
@@ -28,7 +26,7 @@ def births(tracks: DataFrame) -> DataFrame:
 
 
 def edges(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Lifecycle rows (frame_idx, kind, n): new; recovered (n: frames since last seen); lost; removed (n: frames since birth, once for each id)."""
+    """Lifecycle rows (frame_idx, kind, n): new; recovered (n: frames that it was lost for); lost; removed (n: frames since birth, once for each id)."""
     last = tracks.groupBy("game_id").agg(F.max("frame_idx").alias("end"))
     rows = tracks.select(*TRACK, "frame_idx").withColumn("before", F.lag("frame_idx").over(own())).withColumn("after", F.lead("frame_idx").over(own())).withColumn("birth", F.min("frame_idx").over(Window.partitionBy(*TRACK)))
     rows = rows.join(last, "game_id")
@@ -38,7 +36,7 @@ def edges(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     zero = F.lit(0)
     found = F.array_compact(F.array(
         F.when(F.col("before").isNull() | (gap > cfg.buffer + 1), event(F.col("frame_idx"), "new", zero)),
-        F.when((gap > 1) & (gap <= cfg.buffer + 1), event(F.col("frame_idx"), "recovered", gap)),
+        F.when((gap > 1) & (gap <= cfg.buffer + 1), event(F.col("frame_idx"), "recovered", gap - 1)),
         F.when(F.col("frame_idx") + 1 < upto, event(F.col("frame_idx") + 1, "lost", zero)),
         F.when(removal < upto, event(removal, "removed", removal - F.col("birth"))),
     ))
@@ -51,10 +49,31 @@ def recoveries(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return events.where("kind = 'recovered'").withColumn("long_gap", F.col("n") > cfg.long_gap)
 
 
-def summary(events: DataFrame) -> DataFrame:
-    """Totals of each role."""
+def summary(events: DataFrame, switches: DataFrame) -> DataFrame:
+    """Totals of each role, identity switches (a row each) among them."""
     kinds = ("new", "lost", "recovered", "removed")
-    return events.groupBy("game_id", "is_referee").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    totals = events.groupBy("game_id", "is_referee").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    turned = switches.groupBy("game_id", "is_referee").agg(F.count("*").alias("n_switches"))
+    return totals.join(turned, ["game_id", "is_referee"], "left").withColumn("n_switches", F.coalesce("n_switches", F.lit(0)))
+
+
+def recovered_switches(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Recoveries that look like another identity: far from where the track was last seen, or, where that place is forgotten (it is kept for
+    `switch_dt` frames), after a long gap. They count as switches and make no alias."""
+    rows = tracks.select(*TRACK, "frame_idx", *BOX, F.struct("frame_idx", *BOX).alias("b")).withColumn("b", F.lag("b").over(own()))
+    lost_for = F.col("frame_idx") - F.col("b.frame_idx") - 1
+    rows = rows.withColumn("lost_for", lost_for).where((F.col("lost_for") > 0) & (F.col("lost_for") <= cfg.buffer))
+    there = F.col("lost_for") - 1 <= cfg.switch_dt
+    dist = F.when(there, box_distance(box(), tuple(F.col(f"b.{c}") for c in BOX)))
+    rows = rows.withColumn("dist", dist).where((F.col("dist") > cfg.switch_dist) | (F.col("lost_for") > cfg.long_gap))
+    return rows.select(*TRACK, "frame_idx", "lost_for", "dist")
+
+
+def switches(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """All identity switches: links of new tracks to lost or removed ones, and recoveries that look like another identity."""
+    links = switch_links(tracks, cfg).select("game_id", "is_referee", "frame_idx", "source_kind", "source_id", "new_id", "dist")
+    none = F.lit(None).cast("long").alias("new_id")
+    return links.unionByName(recovered_switches(tracks, cfg).select("game_id", "is_referee", "frame_idx", F.lit("rec").alias("source_kind"), F.col("track_id").alias("source_id"), none, "dist"))
 
 
 def lifetimes(events: DataFrame) -> DataFrame:
@@ -84,28 +103,32 @@ def most_recovered(events: DataFrame, n: int = 10) -> DataFrame:
 
 def switch_links(tracks: DataFrame, cfg: Config = DEFAULT, span: int = 64) -> DataFrame:
     """New tracks that continue a lost or removed one: near in place and time, the nearest by (distance, time), and none where
-    the runner-up is about as near. An interval join on spans of frames, so that it stays an equality join."""
-    rows = tracks.select(*TRACK, "frame_idx", "x1", "y1", "x2", "y2").withColumn("before", F.lag("frame_idx").over(own())).withColumn("after", F.lead("frame_idx").over(own()))
+    the runner-up is about as near. An interval join on spans of frames, so that it stays an equality join.
+
+    A track is new when first seen, and when seen again after its removal. A removed one can be continued from the frame after its removal on."""
+    rows = tracks.select(*TRACK, "frame_idx", *BOX).withColumn("before", F.lag("frame_idx").over(own())).withColumn("after", F.lead("frame_idx").over(own()))
     cx, cy = center(box())
-    new = rows.where(F.col("before").isNull()).select("game_id", "is_referee", F.col("track_id").alias("new_id"), "frame_idx", cx.alias("cx"), cy.alias("cy"), F.floor(F.col("frame_idx") / span).alias("span"))
+    fresh = F.col("before").isNull() | (F.col("frame_idx") - F.col("before") > cfg.buffer + 1)
+    new = rows.where(fresh).select("game_id", "is_referee", F.col("track_id").alias("new_id"), "frame_idx", cx.alias("cx"), cy.alias("cy"), F.floor(F.col("frame_idx") / span).alias("span"))
     gone = rows.where(F.col("after").isNull() | (F.col("after") > F.col("frame_idx") + 1)).select("game_id", "is_referee", F.col("track_id").alias("source_id"), cx.alias("sx"), cy.alias("sy"), "after", F.col("frame_idx").alias("seen"))
     kind = lambda name, frame: F.struct(F.lit(name).alias("source_kind"), frame.alias("since"))
     gone = gone.withColumn("k", F.explode(F.array(kind("lost", F.col("seen") + 1), kind("rm", F.col("seen") + cfg.buffer + 1)))).select("*", "k.*").drop("k")
     gone = gone.where("source_kind = 'lost' OR after IS NULL OR since < after")
     gone = gone.withColumn("span", F.explode(F.sequence(F.floor(F.col("since") / span), F.floor((F.col("since") + cfg.switch_dt) / span))))
     both = new.join(gone, ["game_id", "is_referee", "span"]).withColumn("dt", F.col("frame_idx") - F.col("since")).withColumn("dist", distance((F.col("cx"), F.col("cy")), (F.col("sx"), F.col("sy"))))
-    both = both.where(f"dt BETWEEN 0 AND {cfg.switch_dt} AND dist <= {cfg.switch_dist} AND new_id <> source_id AND (after IS NULL OR source_kind = 'rm' OR frame_idx < after)")
-    order = Window.partitionBy("game_id", "is_referee", "new_id").orderBy("dist", "dt", "source_kind", "source_id")
+    open_ = "after IS NULL OR frame_idx < after"
+    both = both.where(f"dt <= {cfg.switch_dt} AND dist <= {cfg.switch_dist} AND new_id <> source_id AND (source_kind = 'rm' AND dt >= 1 OR source_kind = 'lost' AND dt >= 0 AND ({open_}))")
+    order = Window.partitionBy("game_id", "is_referee", "new_id", "frame_idx").orderBy("dist", "dt", "source_kind", "source_id")
     ranked = both.withColumn("rank", F.row_number().over(order)).withColumn("second", F.lead("dist").over(order))
     return ranked.where(f"rank = 1 AND (second IS NULL OR second - dist >= {cfg.switch_margin})").select("game_id", "is_referee", "frame_idx", "source_kind", "source_id", "new_id", "dist", "dt")
 
 
 def apply_aliases(tracks: DataFrame, links: DataFrame) -> DataFrame:
-    """One hop: from a link's frame on, its new track has the source's id; referees keep theirs."""
-    a = links.where("NOT is_referee").groupBy("game_id", F.col("new_id").alias("track_id")).agg(F.min(F.struct("frame_idx", "source_id")).alias("l"))
-    a = a.select("game_id", "track_id", F.col("l.frame_idx").alias("since"), F.col("l.source_id").alias("stable"))
-    use = ~F.col("is_referee") & F.col("since").isNotNull() & (F.col("frame_idx") >= F.col("since"))
-    return tracks.join(a, ["game_id", "track_id"], "left").withColumn("stable_id", F.when(use, F.col("stable")).otherwise(F.col("track_id"))).drop("since", "stable")
+    """One hop: from a link's frame on, until its next link, a new track has the source's id; referees keep theirs."""
+    a = links.where("NOT is_referee").groupBy("game_id", F.col("new_id").alias("track_id")).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "source_id"))).alias("_links"))
+    upto = F.filter("_links", lambda l: l["frame_idx"] <= F.col("frame_idx"))
+    stable = F.when(~F.col("is_referee"), F.try_element_at(upto, F.lit(-1))["source_id"])
+    return tracks.join(a, ["game_id", "track_id"], "left").withColumn("stable_id", F.coalesce(stable, F.col("track_id"))).drop("_links")
 
 
 def adjacent(tracks: DataFrame) -> DataFrame:
@@ -116,14 +139,23 @@ def adjacent(tracks: DataFrame) -> DataFrame:
 
 
 def id_diagnostics(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per frame: ids that weren't in the frame before, ids that were and are gone, and ids that jumped."""
-    now = adjacent(tracks)
-    jump = F.col("b_x1").isNotNull() & (box_distance(box(), box("b_")) >= cfg.jump_px)
-    per = now.groupBy("game_id", "frame_idx").agg(F.count("*").alias("n_ids"), F.count_if(F.col("b_x1").isNull()).alias("n_new"), F.count_if(jump).alias("n_jumps"))
-    stay = now.where("b_x1 IS NOT NULL").groupBy("game_id", "frame_idx").agg(F.count("*").alias("n_stay"))
-    prior = per.select("game_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("n_ids").alias("n_prior"))
-    both = per.join(prior, ["game_id", "frame_idx"], "left").join(stay, ["game_id", "frame_idx"], "left")
-    return both.select("game_id", "frame_idx", "n_ids", "n_new", (F.coalesce("n_prior", F.lit(0)) - F.coalesce("n_stay", F.lit(0))).alias("n_lost"), "n_jumps")
+    """Per frame of players with raw and stable ids: ids shown, those that weren't in the frame before, those that are gone since, those that
+    jumped, those whose raw id has changed, and raw ids that now show as another. Where two raw ids show as one, the greater stands for it."""
+    p = tracks.where("NOT is_referee").select("game_id", "frame_idx", "track_id", "stable_id", *BOX)
+    next_frame = (F.col("frame_idx") + 1).alias("frame_idx")
+    shown = p.groupBy("game_id", "frame_idx", "stable_id").agg(F.max(F.struct("track_id", *BOX)).alias("b"))
+    was = shown.select("game_id", next_frame, "stable_id", "b")
+    mapped = p.select("game_id", next_frame, "track_id", F.col("stable_id").alias("old_stable"))
+    now = p.join(was, ["game_id", "frame_idx", "stable_id"], "left").join(mapped, ["game_id", "frame_idx", "track_id"], "left")
+    known_ = F.col("b").isNotNull()
+    jump = known_ & (box_distance(box(), tuple(F.col(f"b.{c}") for c in BOX)) >= cfg.jump_px)
+    per = now.groupBy("game_id", "frame_idx").agg(
+        F.count("*").alias("n_ids"), F.count_if(~known_).alias("n_new"), F.count_if(jump).alias("n_jumps"), F.count_if(known_ & (F.col("b.track_id") != F.col("track_id"))).alias("n_raw_changed"),
+        F.count_if(F.col("old_stable") != F.col("stable_id")).alias("n_map_changed"), F.count_distinct(F.when(known_, F.col("stable_id"))).alias("stay"),
+    )
+    prior = was.groupBy("game_id", "frame_idx").agg(F.count("*").alias("n_prior"))
+    both = per.join(prior, ["game_id", "frame_idx"], "left")
+    return both.withColumn("n_lost", F.coalesce("n_prior", F.lit(0)) - F.col("stay")).drop("n_prior", "stay")
 
 
 def possible_swaps(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -146,11 +178,28 @@ def changes(tracks: DataFrame) -> DataFrame:
     return came.unionByName(went).unionByName(now.intersect(before).withColumn("kind", F.lit("stayed")))
 
 
-def active_and_lost(tracks: DataFrame, frames: int = 10) -> DataFrame:
-    """Candidates of each frame: its own tracks (active), then tracks seen within some frames before (lost); an id counts once, active first."""
-    active = tracks.select("game_id", "is_referee", "frame_idx", "track_id", F.lit(0).alias("rank"), F.col("frame_idx").alias("last_frame"))
-    lost = active.withColumn("frame_idx", F.explode(F.sequence(F.col("frame_idx") + 1, F.col("frame_idx") + frames))).withColumn("rank", F.lit(1))
-    lost = lost.join(tracks.select("game_id", "frame_idx").distinct(), ["game_id", "frame_idx"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("game_id", "is_referee", "frame_idx", "track_id").orderBy("rank", F.col("last_frame").desc()))
-    both = active.unionByName(lost).withColumn("_n", first).where("_n = 1")
-    return both.select("game_id", "is_referee", "frame_idx", "track_id", F.when(F.col("rank") == 0, "active").otherwise("lost").alias("state"), "last_frame")
+def active_and_lost(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The tracker's candidates after each frame: its own tracks (active), then those that are kept as lost, each once, with the frame in which it was
+    last seen. An interval join of lost stretches with frames, on spans."""
+    active = tracks.select("game_id", "is_referee", "frame_idx", "track_id", F.lit("active").alias("state"), F.col("frame_idx").alias("last_frame"))
+    frames = tracks.select(*FRAME).distinct().withColumn("span", F.floor(F.col("frame_idx") / SPAN))
+    gone = known(tracks, cfg).where("since < upto").withColumn("span", spans(F.col("since"), F.col("upto") - 1))
+    lost = frames.join(gone, ["game_id", "span"]).where("frame_idx >= since AND frame_idx < upto")
+    return active.unionByName(lost.select("game_id", "is_referee", "frame_idx", "track_id", F.lit("lost").alias("state"), F.col("seen").alias("last_frame")))
+
+
+def gauges(tracks: DataFrame, owners: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Per frame: tracks that are active, lost and removed so far, and masks. Lost stretches are summed as steps up and down, never spread over
+    their frames; the running sums are windows over one row for each frame of a game."""
+    active = tracks.groupBy(*FRAME).agg(F.count("*").alias("n_active"))
+    masks = owners.groupBy(*FRAME).agg(F.count("*").alias("n_masks"))
+    end = F.col("seen") + cfg.buffer + 1
+    step = lambda frame, lost, removed: F.struct(frame.alias("frame_idx"), F.lit(lost).alias("lost"), F.lit(removed).alias("removed"))
+    again = F.lead("frame_idx").over(own())
+    gone = tracks.select(*TRACK, F.col("frame_idx").alias("seen"), again.alias("again"))
+    falls = F.array(step(F.col("seen") + 1, 1, 0), F.when(F.coalesce(F.col("again") <= end, F.lit(False)), step(F.col("again"), -1, 0)).otherwise(step(end, -1, 1)))
+    steps = gone.select("game_id", F.inline(falls)).groupBy(*FRAME).agg(F.sum("lost").alias("lost"), F.sum("removed").alias("removed"))
+    order = Window.partitionBy("game_id").orderBy("frame_idx")
+    run = active.join(steps, list(FRAME), "full").withColumn("n_lost", F.sum("lost").over(order)).withColumn("n_removed", F.sum("removed").over(order)).where("n_active IS NOT NULL")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return run.join(masks, list(FRAME), "left").select(*FRAME, "n_active", count("n_lost"), count("n_removed"), count("n_masks"))

@@ -1,4 +1,7 @@
-"""Masks as run-length rows (game_id, frame_idx, mask_id, y, x_start, x_end; the end is exclusive) against boxes and the court."""
+"""Masks as run-length rows (game_id, frame_idx, mask_id, y, x_start, x_end; the end is exclusive) against boxes and the court.
+
+A pixel belongs to one mask at most, so a mask's runs don't overlap. Sums and percentiles weigh runs by their pixels; pixels are never spread
+out into rows, but for a bounded sample of each mask."""
 
 from __future__ import annotations
 
@@ -7,16 +10,31 @@ from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
 from trackweave.functions.fold import running
-from trackweave.functions.geometry import box, box_distance, iou, project
-from trackweave.operators.matching import FRAME, renamed
+from trackweave.functions.geometry import box, box_distance, expand, iou_tlwh, project
+from trackweave.operators.matching import BOX, FRAME, TRACK, as_tlwh, renamed
+
+WIDE = ("wx1", "wy1", "wx2", "wy2")
+
+
+def with_wide(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Tracks with their grown boxes."""
+    wide = expand(box(), cfg.expand_ratio, cfg.frame_w, cfg.frame_h)
+    return tracks.select(*FRAME, "is_referee", "track_id", *BOX, *(v.alias(c) for v, c in zip(wide, WIDE)))
+
+
+def clipped(low: Column, high: Column) -> Column:
+    """Pixels of a run within an interval of x."""
+    return F.greatest(F.lit(0), F.least(F.col("x_end"), high) - F.greatest(F.col("x_start"), low))
 
 
-def overlaps(tracks: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pixels of each mask inside each box of its frame: clipped runs, summed; masks of no pixel inside give no row."""
-    t = tracks.select(*FRAME, "is_referee", "track_id", "x1", "y1", "x2", "y2")
-    both = t.join(runs, list(FRAME)).where("y >= y1 AND y < y2 AND x_start < x2 AND x_end > x1")
-    inside = F.least("x_end", "x2") - F.greatest("x_start", "x1")
-    return both.groupBy(*FRAME, "is_referee", "track_id", "mask_id", "x1", "y1", "x2", "y2").agg(F.sum(inside).alias("inside"))
+def overlaps(tracks: DataFrame, runs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Pixels of each mask inside each box of its frame (`inside`) and inside the grown box (`wide`): clipped runs, summed."""
+    x1, y1, x2, y2, wx1, wy1, wx2, wy2 = map(F.col, (*BOX, *WIDE))
+    both = with_wide(tracks, cfg).join(runs, list(FRAME)).where((F.col("y") >= F.least(y1, wy1)) & (F.col("y") < F.greatest(y2, wy2)) & (F.col("x_start") < F.greatest(x2, wx2)) & (F.col("x_end") > F.least(x1, wx1)))
+    low, high = F.greatest(F.lit(0), x1), F.least(F.lit(cfg.frame_w), x2)
+    inside = F.when((F.col("y") >= y1) & (F.col("y") < y2) & F.col("y").between(0, cfg.frame_h - 1), clipped(low, high)).otherwise(0)
+    wide = F.when((F.col("y") >= wy1) & (F.col("y") < wy2), clipped(wx1, wx2)).otherwise(0)
+    return both.groupBy(*FRAME, "is_referee", "track_id", "mask_id", *BOX).agg(F.sum(inside).alias("inside"), F.sum(wide).alias("wide"))
 
 
 def sizes(runs: DataFrame) -> DataFrame:
@@ -26,72 +44,132 @@ def sizes(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*FRAME, "mask_id").agg(F.sum(n).alias("area"), mx.cast("long").alias("cx"), (F.sum(n * F.col("y")).cast("double") / F.sum(n)).cast("long").alias("cy"))
 
 
-def dominant(tracks: DataFrame, runs: DataFrame) -> DataFrame:
-    """The mask with most pixels in each box (the lowest id of equals): share of the box filled, and share of the mask inside."""
-    per = overlaps(tracks, runs)
+def dominant(tracks: DataFrame, runs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The mask with most pixels in each box (the lowest id of equals): share of the box within the frame that it fills, its area, its pixels in the
+    grown box and their share of it."""
+    per = overlaps(tracks, runs, cfg).where("inside > 0")
     first = F.row_number().over(Window.partitionBy(*FRAME, "is_referee", "track_id").orderBy(F.col("inside").desc(), "mask_id"))
     best = per.withColumn("_n", first).where("_n = 1").drop("_n").join(sizes(runs).select(*FRAME, "mask_id", "area"), [*FRAME, "mask_id"])
-    return best.withColumn("fill", F.col("inside").cast("double") / F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))).withColumn("inside_ratio", F.col("inside").cast("double") / F.col("area"))
+    wide, high = (F.least(F.lit(m), F.col(b)) - F.greatest(F.lit(0), F.col(a)) for m, a, b in ((cfg.frame_w, "x1", "x2"), (cfg.frame_h, "y1", "y2")))
+    return best.withColumn("fill", F.col("inside").cast("double") / F.greatest(F.lit(1), wide * high)).withColumn("inside_ratio", F.col("wide").cast("double") / F.greatest(F.lit(1), F.col("area")))
 
 
 def valid(found: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return found.where(f"area >= {cfg.mask_area} AND inside_ratio >= {cfg.mask_inside}")
+    """Masks of which enough pixels, and enough of all, lie in the grown box."""
+    return found.where((F.col("wide") >= cfg.mask_area) & (F.col("inside_ratio") >= cfg.mask_inside))
 
 
-def without_duplicates(found: DataFrame, births: DataFrame, fill: float | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Tracks that share a dominant mask: the earliest stays, and others only if they overlap it little and stand apart."""
-    low = cfg.mask_fill if fill is None else fill
-    t = found.join(births.select("game_id", "is_referee", "track_id", "birth_frame"), ["game_id", "is_referee", "track_id"])
-    owner = Window.partitionBy(*FRAME, "mask_id").orderBy("birth_frame", "is_referee", "track_id", F.col("fill").desc())
-    s = F.first(F.struct("is_referee", "track_id", "x1", "y1", "x2", "y2")).over(owner)
-    t = t.withColumn("shared", F.col("fill") >= low).withColumn("first", F.when(F.col("shared"), s))
-    b = (F.col("first.x1"), F.col("first.y1"), F.col("first.x2"), F.col("first.y2"))
-    own = (F.col("first.track_id") == F.col("track_id")) & (F.col("first.is_referee") == F.col("is_referee"))
-    apart = (iou(box(), b) < cfg.dup_iou) & (box_distance(box(), b) > cfg.dup_dist)
-    return t.where(~F.col("shared") | own | apart).select(*FRAME, "is_referee", "track_id", "mask_id", "fill")
+def without_duplicates(tracks: DataFrame, found: DataFrame, births: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Tracks of a role without those that share a valid dominant mask, well filled, with an earlier one, unless they overlap it little and
+    stand apart."""
+    t = valid(found, cfg).where(F.col("fill") >= cfg.mask_fill).join(births.select(*TRACK, "birth_frame"), list(TRACK))
+    owner = Window.partitionBy(*FRAME, "is_referee", "mask_id").orderBy("birth_frame", "track_id", F.col("fill").desc())
+    t = t.withColumn("first", F.first(F.struct("track_id", *BOX)).over(owner)).select("*", *(F.col(f"first.{c}").alias(f"o_{c}") for c in ("track_id", *BOX)))
+    apart = (iou_tlwh(as_tlwh(), as_tlwh("o_")) < cfg.dup_iou) & (box_distance(box(), box("o_")) > cfg.dup_dist)
+    gone = t.where((F.col("track_id") != F.col("o_track_id")) & ~apart)
+    return tracks.join(gone.select(*FRAME, "is_referee", "track_id"), [*FRAME, "is_referee", "track_id"], "left_anti")
 
 
-def court_overlap(runs: DataFrame, h: list[float], cfg: Config = DEFAULT, most: int = 2500) -> DataFrame:
-    """Share of a systematic sample of each mask's pixels that lies on the court: every (n // most)-th pixel in row order."""
+def lookup(tracks: DataFrame, owners: DataFrame) -> DataFrame:
+    """Player tracks with the mask that is theirs in the frame."""
+    return tracks.where("NOT is_referee").join(owners.select(*FRAME, "track_id", "mask_id"), [*FRAME, "track_id"])
+
+
+def track_masks(tracks: DataFrame, owners: DataFrame, runs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Runs of each player's own mask, clipped to its grown box (columns as of runs, and track_id); only of masks that stay valid so."""
+    t = lookup(with_wide(tracks, cfg), owners)
+    both = t.join(runs, [*FRAME, "mask_id"])
+    inside = F.when((F.col("y") >= F.col("wy1")) & (F.col("y") < F.col("wy2")), clipped(F.col("wx1"), F.col("wx2"))).otherwise(0)
+    cut = both.withColumn("_in", inside).withColumn("x_start", F.greatest("x_start", "wx1")).withColumn("x_end", F.col("x_start") + F.col("_in"))
+    per = both.withColumn("_in", inside).groupBy(*FRAME, "track_id").agg(F.sum("_in").alias("wide"), F.sum(F.col("x_end") - F.col("x_start")).alias("area"))
+    good = valid(per.withColumn("inside_ratio", F.col("wide").cast("double") / F.greatest(F.lit(1), F.col("area"))), cfg).select(*FRAME, "track_id", "inside_ratio")
+    return cut.where("_in > 0").join(good, [*FRAME, "track_id"]).select(*FRAME, "track_id", "mask_id", "y", "x_start", "x_end", "inside_ratio")
+
+
+def court_overlap(runs: DataFrame, h: list[float], key: str = "mask_id", cfg: Config = DEFAULT, most: int = 2500) -> DataFrame:
+    """Share of a systematic sample of each mask's pixels that lies on the court (every (n // most)-th pixel in row order), and the pixels
+    that this stands for. `key` says what has a mask: mask_id or track_id."""
     n = F.col("x_end") - F.col("x_start")
-    w = Window.partitionBy(*FRAME, "mask_id").orderBy("y", "x_start")
-    rows = runs.withColumn("upto", F.sum(n).over(w)).withColumn("total", F.sum(n).over(Window.partitionBy(*FRAME, "mask_id")))
+    w = Window.partitionBy(*FRAME, key).orderBy("y", "x_start")
+    rows = runs.withColumn("upto", F.sum(n).over(w)).withColumn("total", F.sum(n).over(Window.partitionBy(*FRAME, key)))
     step = F.greatest(F.lit(1), F.floor(F.col("total") / most))
     begin = F.col("upto") - n
     first = F.when(begin % F.col("step") == 0, begin).otherwise(begin + F.col("step") - begin % F.col("step"))
     rows = rows.withColumn("step", step).withColumn("at", first).where("at < upto")
     picked = rows.withColumn("k", F.explode(F.sequence("at", F.col("upto") - 1, "step")))
     px, py = project(F.col("x_start") + F.col("k") - begin, F.col("y"), h)
-    on = px.between(0.0, float(cfg.court_w)) & py.between(0.0, float(cfg.court_h))
-    return picked.groupBy(*FRAME, "mask_id").agg(F.count("*").alias("n_sampled"), F.count_if(on).alias("n_on"))
-
-
-def feet(runs: DataFrame) -> DataFrame:
-    """Foot point of each mask: of the pixels at or below the 88th percentile of y, the median x and the 96th percentile of y."""
-    px = runs.select(*FRAME, "mask_id", "y", F.explode(F.sequence("x_start", F.col("x_end") - 1)).alias("x"))
-    low = px.groupBy(*FRAME, "mask_id").agg(F.percentile("y", 0.88).alias("cut"))
-    return px.join(low, [*FRAME, "mask_id"]).where("y >= cut").groupBy(*FRAME, "mask_id").agg(F.count("*").alias("n"), F.median("x").alias("fx"), F.percentile("y", 0.96).alias("fy"))
-
-
-def lookup(tracks: DataFrame, owners: DataFrame) -> DataFrame:
-    """Tracks with the mask that is theirs in the frame."""
-    return tracks.join(owners, [*FRAME, "track_id"])
-
-
-def reusable(found: DataFrame, owners: DataFrame, active: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Tracks without a mask whose dominant mask belongs to an inactive track and fills their box enough."""
-    free = found.join(owners.select(*FRAME, "track_id"), [*FRAME, "track_id"], "left_anti").where(F.col("fill") >= cfg.mask_inside)
+    on = (px >= 0) & (px < cfg.court_w) & (py >= 0) & (py < cfg.court_h)
+    per = picked.groupBy(*FRAME, key).agg(F.count("*").alias("n_sampled"), F.count_if(on).alias("n_on"), F.first("total").alias("area"))
+    return per.withColumn("overlap", F.col("n_on") / F.col("n_sampled")).withColumn("inside_area", F.bround(F.col("area") * F.col("overlap")).cast("long"))
+
+
+def pick(values: Column, share: float) -> Column:
+    """A percentile, linear between neighbours, of an array of structs (v, n, upto: running sum of n) in order of v."""
+    total = F.element_at(values, -1)["upto"]
+    place = (total - 1) * share
+    low = F.floor(place)
+    at = lambda k: F.get(values, F.size(F.filter(values, lambda p: p["upto"] <= k)))["v"]
+    return at(low) + (at(F.least(low + 1, total - 1)) - at(low)) * (place - low)
+
+
+def summed(pairs: Column) -> Column:
+    """An array of structs (v, n), sorted, with running sums."""
+    item = lambda p, upto: F.struct(p["v"].cast("double").alias("v"), p["n"].alias("n"), upto.alias("upto"))
+    return running(pairs, lambda p: item(p, p["n"]), lambda last, p: item(p, last["upto"] + p["n"]))
+
+
+def middle(runs: Column) -> Column:
+    """The median x of the pixels of an array of runs (x_start, x_end): the mean of the two middle pixels, found among the runs' ends."""
+    total = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["x_end"] - r["x_start"])
+    below = lambda x: F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + F.greatest(F.lit(0), F.least(r["x_end"], x) - r["x_start"]))
+    ends = F.array_distinct(F.array_sort(F.concat(F.transform(runs, lambda r: r["x_start"]), F.transform(runs, lambda r: r["x_end"]))))
+    marks = F.transform(ends, lambda x: F.struct(x.alias("x"), below(x).alias("n")))
+
+    def pixel(k: Column) -> Column:
+        """The k-th pixel's x: between two ends every x has the same number of runs."""
+        left = F.element_at(F.filter(marks, lambda m: m["n"] <= k), -1)
+        right = F.get(F.filter(marks, lambda m: m["n"] > k), F.lit(0))
+        return left["x"] + F.floor((k - left["n"]) * (right["x"] - left["x"]) / (right["n"] - left["n"]))
+
+    return (pixel(F.floor((total - 1) / 2)) + pixel(F.floor(total / 2))) / 2.0
+
+
+def feet(runs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Foot point of each mask: of the pixels at or below the 88th percentile of y, the median x and the 96th percentile of y. Where that leaves under
+    four pixels, those of the mask's last rows count (as far as 3 above the last).
+
+    All of it is windows over a mask's own runs, weighed by their lengths; only the runs at its foot become an array."""
+    n = (F.col("x_end") - F.col("x_start")).alias("n")
+    own = Window.partitionBy(*FRAME, "mask_id")
+    rows = runs.select(*FRAME, "mask_id", "y", "x_start", "x_end", n).where("n > 0")
+    rows = rows.withColumn("upto", F.sum("n").over(own.orderBy("y", "x_start").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(own)).withColumn("last", F.max("y").over(own))
+    place = (F.col("total") - 1) * 0.88
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("y"))).over(own)
+    low, high = at(F.floor(place)), at(F.least(F.floor(place) + 1, F.col("total") - 1))
+    rows = rows.withColumn("low", low).withColumn("high", high).withColumn("cut", F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place)))
+    rows = rows.withColumn("few", F.sum(F.when(F.col("y") >= F.col("cut"), F.col("n")).otherwise(0)).over(own) < 4)
+    foot = rows.where(F.when(F.col("few"), F.col("y") >= F.greatest(F.col("last") - 3, F.lit(0))).otherwise(F.col("y") >= F.col("cut")))
+    per = foot.groupBy(*FRAME, "mask_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("y", "x_start", "x_end", "n"))).alias("runs"))
+    tall = summed(F.transform("runs", lambda r: F.struct(r["y"].alias("v"), r["n"].alias("n"))))
+    return per.select(*FRAME, "mask_id", "n", middle(F.col("runs")).alias("fx"), pick(tall, 0.96).alias("fy"))
+
+
+def reusable(tracks: DataFrame, found: DataFrame, owners: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Players without a mask whose valid dominant mask belongs to a track that isn't in the frame and fills their box enough: that mask becomes
+    theirs, and they are taken for its owner (an identity switch)."""
+    players = tracks.where("NOT is_referee").select(*FRAME, "track_id")
+    free = valid(found, cfg).where("NOT is_referee").join(owners.select(*FRAME, "track_id"), [*FRAME, "track_id"], "left_anti").where(F.col("fill") >= cfg.reuse_fill)
     held = owners.select(*FRAME, "mask_id", F.col("track_id").alias("owner_id"))
-    idle = held.join(active.select(*FRAME, F.col("track_id").alias("owner_id")), [*FRAME, "owner_id"], "left_anti")
+    idle = held.join(players.withColumnRenamed("track_id", "owner_id"), [*FRAME, "owner_id"], "left_anti")
     return free.join(idle, [*FRAME, "mask_id"]).select(*FRAME, "track_id", "mask_id", "owner_id", "fill")
 
 
 def missing_runs(tracks: DataFrame, owners: DataFrame) -> DataFrame:
     """For each track row how many of its rows in a row, up to this one, have had no mask."""
     rows = tracks.join(owners.select(*FRAME, "track_id", "mask_id"), [*FRAME, "track_id"], "left").withColumn("has", F.col("mask_id").isNotNull().cast("int"))
-    w = Window.partitionBy("game_id", "is_referee", "track_id").orderBy("frame_idx")
+    w = Window.partitionBy(*TRACK).orderBy("frame_idx")
     rows = rows.withColumn("grp", F.sum("has").over(w))
-    n = F.sum(1 - F.col("has")).over(Window.partitionBy("game_id", "is_referee", "track_id", "grp").orderBy("frame_idx"))
+    n = F.sum(1 - F.col("has")).over(Window.partitionBy(*TRACK, "grp").orderBy("frame_idx"))
     return rows.withColumn("n_missing", n).drop("grp", "has")
 
 
@@ -104,19 +182,43 @@ def iou_of_masks(runs: DataFrame) -> DataFrame:
 def requests(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """When masks are asked for anew: (frame_idx, has_mask, blocked) of each track to the same with `missing`, `cooldown`, `waiting` and
     `request`. A track without a mask for some frames asks; while another stands in its way it waits, from the first such frame on; after
-    asking it rests."""
+    asking it rests for some frames. A frame without the track ends its count and its waiting.
+
+    A fold's array is a track's rows in a game."""
     seq = F.array_sort(F.collect_list(F.struct("frame_idx", "has_mask", "blocked")))
     item = lambda f, m, c, w, r: F.struct(f.alias("frame_idx"), m.alias("missing"), c.alias("cooldown"), w.alias("waiting"), r.alias("request"))
 
     def add(last: Column, p: Column) -> Column:
-        cool = F.greatest(F.lit(0), last["cooldown"] - 1)
+        passed = p["frame_idx"] - last["frame_idx"]
+        cool, there = F.greatest(F.lit(0), last["cooldown"] - passed.cast("int")), passed == 1
+        counted, waited = F.when(there, last["missing"]).otherwise(0), F.when(there, last["waiting"])
         has, rest = p["has_mask"], cool > 0
-        missing = F.when(has, 0).when(rest, last["missing"]).otherwise(last["missing"] + 1)
+        missing = F.when(has, 0).when(rest, counted).otherwise(counted + 1)
         due = ~has & ~rest & (missing >= cfg.reinit_missing)
         ask = due & ~p["blocked"]
-        waiting = F.when(has | ask, F.lit(None)).when(due, F.coalesce(last["waiting"], p["frame_idx"])).otherwise(last["waiting"])
+        waiting = F.when(has | ask, F.lit(None)).when(due, F.coalesce(waited, p["frame_idx"])).otherwise(waited)
         return item(p["frame_idx"], missing, F.when(ask, cfg.reinit_cooldown).otherwise(cool), waiting, ask)
 
     first = lambda p: item(p["frame_idx"], F.when(p["has_mask"], 0).otherwise(1), F.lit(0), F.lit(None).cast("long"), F.lit(False))
-    key = ["game_id", "is_referee", "track_id"]
-    return rows.groupBy(*key).agg(seq.alias("s")).select(*key, F.inline(running(F.col("s"), first, add)))
+    return rows.groupBy(*TRACK).agg(seq.alias("s")).select(*TRACK, F.inline(running(F.col("s"), first, add)))
+
+
+def cut_failures(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """How often in a row a track's mask failed to be cut to its box, and when that asks for a new one: (frame_idx, has_mask, wide, inside_ratio)
+    of each track to (frame_idx, fails, cooldown, reinit).
+
+    Too small a mask asks after some failures, one mostly outside after more of them and only where hardly any of it is inside; then it
+    rests. Frames without a mask change nothing."""
+    seq = F.array_sort(F.collect_list(F.struct("frame_idx", "has_mask", "wide", "inside_ratio")))
+    item = lambda f, n, c, r: F.struct(f.alias("frame_idx"), n.cast("long").alias("fails"), c.cast("long").alias("cooldown"), r.alias("reinit"))
+
+    def add(last: Column, p: Column) -> Column:
+        cool = F.greatest(F.lit(0), last["cooldown"] - (p["frame_idx"] - last["frame_idx"]))
+        small = p["wide"] < cfg.mask_area
+        fails = p["has_mask"] & (small | (p["inside_ratio"] < cfg.mask_inside))
+        n = F.when(~p["has_mask"], last["fails"]).when(fails, last["fails"] + 1).otherwise(0)
+        due = fails & ((small & (n >= cfg.reinit_area)) | (~small & (p["inside_ratio"] <= cfg.reinit_ratio) & (n >= cfg.reinit_inside))) & (cool == 0)
+        return item(p["frame_idx"], F.when(due, 0).otherwise(n), F.when(due, cfg.reinit_cooldown).otherwise(cool), due)
+
+    start = lambda p: add(item(p["frame_idx"] - 1, F.lit(0), F.lit(0), F.lit(False)), p)
+    return rows.groupBy(*TRACK).agg(seq.alias("s")).select(*TRACK, F.inline(running(F.col("s"), start, add)))

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
-from trackweave.functions.geometry import box, box_distance, center, iou
+from trackweave.functions.geometry import MILLI_SHIFT, box, box_distance, iou, iou_tlwh
 
-FRAME = ("game_id", "frame_idx")
+FRAME, TRACK = ("game_id", "frame_idx"), ("game_id", "is_referee", "track_id")
+BOX = ("x1", "y1", "x2", "y2")
+#: Interval joins are equality joins on spans of so many frames.
+SPAN = 16
 
 
 def renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = FRAME) -> DataFrame:
@@ -34,35 +37,44 @@ def iou_pairs(detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return pairs.withColumn("iou", iou(box("a_"), box("b_"))).where(F.col("iou") >= F.when(same, cfg.same_role_iou).otherwise(cfg.cross_role_iou))
 
 
-def track_table(tracks: DataFrame) -> DataFrame:
-    """Tracks of a frame as the state that the next frame sees, each with its last box before that frame: active ones from
-    the frame before, and lost ones not seen since."""
-    return tracks.select(*FRAME, "track_id", "is_referee", "x1", "y1", "x2", "y2")
+def known(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Each row of a track with the frames (`since` to `upto`) before which it is the track's last: up to the frame in which the track is seen again,
+    or in which it has been removed, for it is kept as lost for `buffer` frames."""
+    end = F.col("frame_idx") + cfg.buffer + 1
+    again = F.lead("frame_idx").over(Window.partitionBy(*TRACK).orderBy("frame_idx"))
+    return tracks.select(*TRACK, F.col("frame_idx").alias("seen"), (F.col("frame_idx") + 1).alias("since"), F.least(end, F.coalesce(again, end)).alias("upto"), *BOX)
 
 
-def candidates(detections: DataFrame, tracks: DataFrame, cfg: Config = DEFAULT, lost_frames: int = 3) -> DataFrame:
-    """Tracks that each detection may continue, ranked: active ones of the frame before by overlap, and lost ones (last seen
-    2 to `lost_frames` frames before) by overlap or distance."""
-    seen = track_table(tracks).withColumn("next_frame", F.lead("frame_idx").over(Window.partitionBy("game_id", "is_referee", "track_id").orderBy("frame_idx")))
-    last = seen.withColumn("at", F.explode(F.sequence(F.col("frame_idx") + 1, F.least(F.col("frame_idx") + lost_frames, F.coalesce(F.col("next_frame"), F.col("frame_idx") + lost_frames)))))
-    state = F.when(F.col("at") == F.col("frame_idx") + 1, "active").otherwise("lost")
-    known = last.select("game_id", F.col("at").alias("frame_idx"), "is_referee", F.col("track_id").alias("t_track_id"), state.alias("state"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
-    d = targets(detections, cfg).select(*FRAME, "det_id", "is_referee", "x1", "y1", "x2", "y2")
-    both = d.join(known, [*FRAME, "is_referee"]).withColumn("iou", iou(box(), box("t_"))).withColumn("dist", box_distance(box(), box("t_")))
-    hit = F.when(F.col("state") == "lost", (F.col("iou") >= cfg.lost_iou) | (F.col("dist") <= cfg.lost_dist)).otherwise(F.col("iou") >= cfg.active_iou)
-    score = F.col("iou") + F.when(F.col("state") == "active", 0.25).otherwise(0.0) - F.least("dist", F.lit(500.0)) / 5000.0
-    rank = F.row_number().over(Window.partitionBy(*FRAME, "det_id").orderBy(F.col("score").desc(), F.col("state"), F.col("t_track_id")))
-    return both.where(hit).withColumn("score", score).withColumn("rank", rank).withColumnRenamed("t_track_id", "track_id").select(*FRAME, "det_id", "is_referee", "track_id", "state", "iou", "dist", "score", "rank")
+def spans(low: Column, high: Column) -> Column:
+    """All spans that an interval of frames touches."""
+    return F.explode(F.sequence(F.floor(low / SPAN), F.floor(high / SPAN)))
+
+
+def candidates(detections: DataFrame, tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Tracks that each detection may continue, ranked: active ones (seen in the frame before) by overlap, and lost ones, as long as they are
+    kept, by overlap or distance. Each track stands where it was last seen before the frame."""
+    last = known(tracks, cfg).select("game_id", "is_referee", F.col("track_id"), "since", "upto", *(F.col(c).alias(f"t_{c}") for c in BOX)).withColumn("span", spans(F.col("since"), F.col("upto")))
+    d = targets(detections, cfg).select(*FRAME, "det_id", "is_referee", *BOX, F.floor(F.col("frame_idx") / SPAN).alias("span"))
+    both = d.join(last, ["game_id", "is_referee", "span"]).where("frame_idx BETWEEN since AND upto").withColumn("iou", iou(box(), box("t_"))).withColumn("dist", box_distance(box(), box("t_")))
+    active = F.col("frame_idx") == F.col("since")
+    both = both.where(F.when(active, F.col("iou") >= cfg.active_iou).otherwise((F.col("iou") >= cfg.lost_iou) | (F.col("dist") <= cfg.lost_dist)))
+    score = F.col("iou") + F.when(active, 0.25).otherwise(0.0) - F.least("dist", F.lit(500.0)) / 5000.0
+    rank = F.row_number().over(Window.partitionBy(*FRAME, "det_id").orderBy(F.col("score").desc(), "state", "track_id"))
+    found = both.withColumn("state", F.when(active, "active").otherwise("lost")).withColumn("score", score).withColumn("rank", rank)
+    return found.select(*FRAME, "det_id", "is_referee", "track_id", "state", "iou", "dist", "score", "rank")
 
 
 def nearest_track(detections: DataFrame, tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return candidates(detections, tracks, cfg).where("rank = 1")
 
 
-def candidate_text(found: DataFrame) -> DataFrame:
-    """The five best candidates of each detection in one line."""
-    one = F.format_string("%d:%s", F.col("track_id"), F.col("state"))
-    return found.where("rank <= 5").groupBy(*FRAME, "det_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))), lambda x: x["s"]), ","), F.lit("]")).alias("candidates"))
+def candidate_text(detections: DataFrame, found: DataFrame, most: int = 5) -> DataFrame:
+    """The best candidates of each target in one line: `[id:state:iou=0.00:d=0,...]`, `[]` without any. Numbers are cut beside decimal midpoints."""
+    cents, whole = F.floor(F.col("iou") * 100 + MILLI_SHIFT), F.floor(F.col("dist") + MILLI_SHIFT)
+    one = F.format_string("%d:%s:iou=%d.%02d:d=%d", F.col("track_id"), F.col("state"), F.floor(cents / 100), cents % 100, whole)
+    lines = found.where(F.col("rank") <= most).groupBy(*FRAME, "det_id").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))).alias("all"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("all", lambda v: v["s"]), ","), F.lit("]"))
+    return targets(detections).select(*FRAME, "det_id").join(lines, [*FRAME, "det_id"], "left").select(*FRAME, "det_id", F.coalesce(text, F.lit("[]")).alias("candidates"))
 
 
 def source_match(tracks: DataFrame, detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -75,7 +87,7 @@ def source_match(tracks: DataFrame, detections: DataFrame, cfg: Config = DEFAULT
 
 def near_track(detections: DataFrame, tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Player detections close to a player track of the frame before."""
-    t = track_table(tracks).where("NOT is_referee").select("game_id", (F.col("frame_idx") + 1).alias("frame_idx"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2"))).alias("t")
+    t = tracks.where("NOT is_referee").select("game_id", (F.col("frame_idx") + 1).alias("frame_idx"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2"))).alias("t")
     d = detections.where(F.col("class_id").isin(*cfg.player_classes)).alias("d")
     b, o = (tuple(F.col(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")) for p in ("d.", "t.t_"))
     close = (iou(b, o) >= cfg.near_iou) | (box_distance(b, o) <= cfg.near_dist)
@@ -95,14 +107,15 @@ def containing_track(numbers: DataFrame, tracks: DataFrame) -> DataFrame:
     return both.withColumn("_n", first).where("_n = 1").select(*FRAME, "det_id", "cx", "cy", "track_id")
 
 
-def without_referee_conflicts(tracks: DataFrame, cfg: Config = DEFAULT, fill: Column | None = None) -> DataFrame:
-    """Player tracks without those that overlap a referee of the frame who is surer by a margin (and whose masks coincide, if known)."""
-    p, r = tracks.where("NOT is_referee").alias("p"), tracks.where("is_referee").alias("r")
-    b, o = (tuple(F.col(f"{k}.{c}") for c in ("x1", "y1", "x2", "y2")) for k in ("p", "r"))
-    hit = (iou(b, o) >= cfg.ref_iou) & (F.col("r.confidence") >= F.col("p.confidence") + cfg.ref_conf_gain)
-    if fill is not None:
-        hit = hit & (fill >= cfg.ref_fill)
-    return p.join(r, (F.col("p.game_id") == F.col("r.game_id")) & (F.col("p.frame_idx") == F.col("r.frame_idx")) & hit, "left_anti")
+def without_referee_conflicts(tracks: DataFrame, masks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Player tracks without those whose box a mask fills and that overlap a referee of the frame who is surer by a margin.
+
+    `masks` has the fill of each player's dominant mask, where that is valid; a player without one is never in conflict."""
+    f = masks.where("NOT is_referee").where(F.col("fill") >= cfg.ref_fill).select(*FRAME, "track_id")
+    p, r = renamed(tracks.where("NOT is_referee"), "p_"), renamed(tracks.where("is_referee"), "r_")
+    hit = (iou(box("p_"), box("r_")) >= cfg.ref_iou) & (F.col("r_confidence") >= F.col("p_confidence") + cfg.ref_conf_gain)
+    gone = p.join(f.withColumnRenamed("track_id", "p_track_id"), [*FRAME, "p_track_id"], "left_semi").join(r, list(FRAME)).where(hit)
+    return tracks.where("NOT is_referee").join(gone.select(*FRAME, F.col("p_track_id").alias("track_id")).distinct(), [*FRAME, "track_id"], "left_anti")
 
 
 def funnel(detections: DataFrame, kept: DataFrame, tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -119,18 +132,23 @@ def funnel(detections: DataFrame, kept: DataFrame, tracks: DataFrame, cfg: Confi
     return joined.select(*FRAME, "is_referee", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_raw", "n_high", "n_low", "n_nms", "n_tracks")), "min_score", "max_score")
 
 
-def blockers(tracks: DataFrame, births: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """For each track the other old track of its frame that stands in its way most: overlap 0.08 or a distance that grows with size."""
-    age = F.col("frame_idx") - F.col("birth_frame")
-    t = tracks.join(births.select("game_id", "is_referee", "track_id", "birth_frame"), ["game_id", "is_referee", "track_id"]).select(*FRAME, "is_referee", "track_id", "x1", "y1", "x2", "y2", age.alias("age"))
-    both = renamed(t, "a_").join(renamed(t, "b_"), list(FRAME)).where(f"(a_track_id <> b_track_id OR a_is_referee <> b_is_referee) AND b_age >= {cfg.old_age}")
-    limit = F.greatest(F.lit(55.0), 0.30 * F.greatest(F.col("a_y2") - F.col("a_y1"), F.col("b_y2") - F.col("b_y1")))
-    both = both.withColumn("iou", iou(box("a_"), box("b_"))).withColumn("dist", box_distance(box("a_"), box("b_"))).withColumn("limit", limit).where("iou >= 0.08 OR dist <= limit")
-    power = F.greatest(F.col("iou") / 0.08, F.col("limit") / F.greatest("dist", F.lit(1.0)))
-    best = F.row_number().over(Window.partitionBy(*FRAME, "a_is_referee", "a_track_id").orderBy(F.col("power").desc(), "b_is_referee", "b_track_id"))
-    return both.withColumn("power", power).withColumn("_n", best).where("_n = 1").select(*FRAME, F.col("a_is_referee").alias("is_referee"), F.col("a_track_id").alias("track_id"), F.col("b_is_referee").alias("by_referee"), F.col("b_track_id").alias("by_track"), "iou", "dist")
-
-
-def foot_centers(tracks: DataFrame) -> DataFrame:
-    cx, cy = center(box())
-    return tracks.withColumn("cx", cx).withColumn("cy", cy)
+def as_tlwh(prefix: str = "") -> tuple[Column, ...]:
+    a = box(prefix)
+    return a[0], a[1], a[2] - a[0], a[3] - a[1]
+
+
+def blockers(tracks: DataFrame, births: DataFrame, owners: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """For each track the other track of its frame and role that stands most in the way of a mask of its own: one that has a mask or is
+    old, and overlaps it or is near, by a distance that grows with size. Of equals the first observed."""
+    age = F.greatest(F.lit(0), F.col("frame_idx") - F.coalesce("birth_frame", "frame_idx"))
+    masked = owners.select(*FRAME, "track_id", F.lit(True).alias("masked")).distinct()
+    t = tracks.join(births.select(*TRACK, "birth_frame"), list(TRACK), "left").join(masked, [*FRAME, "track_id"], "left")
+    t = t.select(*FRAME, "is_referee", "track_id", "obs_id", *BOX, (F.coalesce("masked", F.lit(False)) | (age >= cfg.old_age)).alias("bars"))
+    keep = (*FRAME, "is_referee")
+    both = renamed(t, "a_", keep).join(renamed(t, "b_", keep).where("b_bars"), list(keep)).where("a_track_id <> b_track_id")
+    limit = F.greatest(F.lit(cfg.block_px), cfg.block_scale * F.greatest(F.col("a_y2") - F.col("a_y1"), F.col("b_y2") - F.col("b_y1")))
+    both = both.withColumn("iou", iou_tlwh(as_tlwh("a_"), as_tlwh("b_"))).withColumn("dist", box_distance(box("a_"), box("b_"))).withColumn("limit", limit)
+    both = both.where((F.col("iou") >= cfg.block_iou) | (F.col("dist") <= F.col("limit")))
+    power = F.greatest(F.col("iou") / cfg.block_iou, F.col("limit") / F.greatest("dist", F.lit(1.0)))
+    best = F.row_number().over(Window.partitionBy(*keep, "a_track_id").orderBy(F.col("power").desc(), "b_obs_id"))
+    return both.withColumn("power", power).withColumn("_n", best).where("_n = 1").select(*keep, F.col("a_track_id").alias("track_id"), F.col("b_track_id").alias("by_track"), "iou", "dist")

@@ -1,4 +1,4 @@
-"""Reports: runs in the suppression ledger, tracks that occur twice in a frame, and summaries as JSON."""
+"""Reports: runs and same-track entries in the suppression ledger, and summaries as JSON."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from trackweave.config import DEFAULT, Config
 
 def islands(ledger: DataFrame, cfg: Config = DEFAULT, every: bool = False) -> DataFrame:
     """(dropped_id, kept_id): entries in all, and the longest run of successive frames (the earliest of equals) with its first frame.
-    Null ids are ids of their own. Pairs with few entries and short runs are left out unless `every`."""
+    Null ids are ids of their own; entries of one track twice belong to `duplicates`. Pairs with few entries and short runs are left out unless `every`."""
     pair = ["game_id", "dropped_id", "kept_id"]
+    ledger = ledger.where("dropped_id IS NULL OR kept_id IS NULL OR dropped_id <> kept_id")
     totals = ledger.groupBy(*pair).agg(F.count("*").alias("total"))
     frames = ledger.select(*pair, "frame_idx").distinct()
     runs = frames.withColumn("island", F.col("frame_idx") - F.row_number().over(Window.partitionBy(*pair).orderBy("frame_idx")))
@@ -23,11 +24,11 @@ def islands(ledger: DataFrame, cfg: Config = DEFAULT, every: bool = False) -> Da
     return out if every else out.where(f"longest_run >= {cfg.islands_run} OR total >= {cfg.islands_total}")
 
 
-def duplicates(rows: DataFrame, n: int = 10) -> DataFrame:
-    """Tracks that occur more than once in a frame: how often, first and last, the n with most."""
-    twice = rows.groupBy("game_id", "frame_idx", "track_id").agg(F.count("*").alias("c")).where("c > 1")
-    per = twice.groupBy("game_id", "track_id").agg(F.count("*").alias("total"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
-    return per.orderBy(F.col("total").desc(), "first_frame", "track_id").limit(n)
+def duplicates(ledger: DataFrame, n: int = 10) -> DataFrame:
+    """Pairs of the suppression ledger in which both detections continue one track: entries in all, first and last frame, each game's n with most."""
+    per = ledger.where("dropped_id = kept_id").groupBy("game_id", F.col("dropped_id").alias("track_id")).agg(F.count("*").alias("total"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
+    order = F.row_number().over(Window.partitionBy("game_id").orderBy(F.col("total").desc(), "first_frame", "track_id"))
+    return per.withColumn("rank", order).where(F.col("rank") <= n)
 
 
 def as_json(report: DataFrame) -> DataFrame:

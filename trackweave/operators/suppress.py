@@ -6,12 +6,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
 from trackweave.functions.geometry import box_distance, center, box, distance, iou, iou_tlwh, of_struct
-from trackweave.operators.matching import FRAME, candidates, renamed, targets
+from trackweave.operators.matching import FRAME, candidates, targets
+
+
+def folded(rows: DataFrame, order: list[Column], fields: list[str], bars: Callable[[Column, Column], Column], keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """Each group with arrays `kept` and `gone` (structs of a dropped row and `by`, the first kept row that bars it).
+
+    `bars(kept, row)` says whether a kept row suppresses another; `order` comes first in the structs."""
+    item = F.struct(*(o.alias(f"_o{k}") for k, o in enumerate(order)), *fields)
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    pair = lambda x, by: F.struct(x.alias("row"), by.alias("by"))
+    none, first = F.filter("_all", lambda _: F.lit(False)), F.get("_all", F.lit(0))
+    start = F.struct(none.alias("kept"), F.filter(F.array(pair(first, first)), lambda _: F.lit(False)).alias("gone"))
+
+    def add(acc: Column, x: Column) -> Column:
+        found = F.filter(acc["kept"], lambda k: bars(k, x))
+        free = F.size(found) == 0
+        kept = F.when(free, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"])
+        gone = F.when(free, acc["gone"]).otherwise(F.concat(acc["gone"], F.array(pair(x, F.get(found, F.lit(0))))))
+        return F.struct(kept.alias("kept"), gone.alias("gone"))
+
+    return grouped.select(*keys, F.aggregate("_all", start, add).alias("_r")).select(*keys, "_r.kept", "_r.gone")
 
 
 def greedy(rows: DataFrame, order: list[Column], fields: list[str], bars: Callable[[Column, Column], Column], keys: tuple[str, ...] = FRAME) -> DataFrame:
@@ -45,24 +65,55 @@ def aged(found: DataFrame, births: DataFrame) -> DataFrame:
     return found.join(b, ["game_id", "is_referee", "track_id"], "left").withColumn("age", F.greatest(F.lit(0), F.col("frame_idx") - F.coalesce("birth_frame", "frame_idx")))
 
 
+def with_candidates(detections: DataFrame, tracks: DataFrame, births: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Targets with their two best candidates (columns t1, t2: track, s1, s2: score, a1, a2: age; NULL where there is none)."""
+    found = aged(candidates(detections, tracks, cfg).where("rank <= 2"), births)
+    of = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
+    two = found.groupBy(*FRAME, "det_id").agg(*(of(n, c).alias(f"{a}{n}") for n in (1, 2) for a, c in (("t", "track_id"), ("s", "score"), ("a", "age"))))
+    return targets(detections, cfg).join(two, [*FRAME, "det_id"], "left")
+
+
+CANDS = ["t1", "s1", "a1", "t2", "s2", "a2"]
+
+
+def young_pair(a: Column, b: Column, cfg: Config = DEFAULT) -> Column:
+    """Whether one age is young and the other established."""
+    return ((a <= cfg.young_age) & (b >= cfg.old_age)) | ((b <= cfg.young_age) & (a >= cfg.old_age))
+
+
+def continues_others(x: Column, k: Column, cfg: Config = DEFAULT) -> Column:
+    """Whether a row and a kept row of its role continue different tracks, neither young beside an established one.
+
+    The pair of different tracks with the greatest sum of scores counts; the first in order of the row's candidates, then the kept row's,
+    of equals. If the best candidates differ, it is these; else one of them with the other's second best: no other can be better."""
+    differ = F.coalesce(x["t1"] != k["t1"], F.lit(False))
+    theirs, own = x["s1"] + k["s2"], x["s2"] + k["s1"]
+    second = F.coalesce(theirs >= own, theirs.isNotNull())
+    ages = lambda a, b: ~young_pair(a, b, cfg)
+    some = x["t1"].isNotNull() & k["t1"].isNotNull()
+    return some & F.when(differ, ages(x["a1"], k["a1"])).when(second, ages(x["a1"], k["a2"])).when(own.isNotNull(), ages(x["a2"], k["a1"])).otherwise(F.lit(False))
+
+
+def by_track(cfg: Config = DEFAULT) -> tuple[list[Column], Callable[[Column, Column], Column]]:
+    """Priority of detections by (age of the matched track, confidence), and what bars one."""
+    order = [-F.least(F.coalesce("a1", F.lit(0)), F.lit(cfg.max_age_key)), -F.col("confidence"), F.col("det_id")]
+    return order, lambda k, x: _roles(k, x, cfg.same_role_iou, cfg.cross_role_iou, continues_others(x, k, cfg))
+
+
 def suppress_detections_by_track(detections: DataFrame, tracks: DataFrame, births: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Suppression in order of (age of the matched track, confidence). Two detections of one role that continue different tracks are
     both kept, unless one of these tracks is young and the other established."""
-    found = aged(candidates(detections, tracks, cfg), births)
-    lists = found.groupBy(*FRAME, "det_id").agg(F.array_sort(F.collect_list(F.struct("rank", "track_id", "score", "age"))).alias("cands"))
-    t = targets(detections, cfg).join(lists, [*FRAME, "det_id"], "left")
-    none = F.array().cast("array<struct<rank:int,track_id:bigint,score:double,age:bigint>>")
-    t = t.withColumn("cands", F.coalesce("cands", none))
-    age = F.coalesce(F.try_element_at("cands", F.lit(1))["age"], F.lit(0))
+    order, bars = by_track(cfg)
+    return greedy(with_candidates(detections, tracks, births, cfg), order, ["det_id", "is_referee", "class_id", "confidence", *CANDS, *BOX], bars).drop(*CANDS)
 
-    def bypass(k: Column, x: Column) -> Column:
-        pairs = F.flatten(F.transform(x["cands"], lambda a: F.transform(F.filter(k["cands"], lambda b: a["track_id"] != b["track_id"]), lambda b: F.struct((-(a["score"] + b["score"])).alias("s"), a["rank"].alias("ra"), b["rank"].alias("rb"), a["age"].alias("aa"), b["age"].alias("ab")))))
-        best = F.array_min(pairs)
-        young = ((best["aa"] <= cfg.young_age) & (best["ab"] >= cfg.old_age)) | ((best["ab"] <= cfg.young_age) & (best["aa"] >= cfg.old_age))
-        return F.coalesce(best.isNotNull() & ~young, F.lit(False))
 
-    order = [-F.least(age, F.lit(cfg.max_age_key)), -F.col("confidence"), F.col("det_id")]
-    return greedy(t, order, ["det_id", "is_referee", "class_id", "confidence", "cands", *BOX], lambda k, x: _roles(k, x, cfg.same_role_iou, cfg.cross_role_iou, bypass(k, x))).drop("cands")
+def tracked_ledger(detections: DataFrame, tracks: DataFrame, births: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(frame, det_id, by_det, dropped_id, kept_id): each detection that suppression by track drops, the kept one that bars it, and the
+    tracks that both would continue best (NULL: none)."""
+    order, bars = by_track(cfg)
+    out = folded(with_candidates(detections, tracks, births, cfg), order, ["det_id", "is_referee", *CANDS, *BOX], bars)
+    gone = out.select(*FRAME, F.explode("gone").alias("g"))
+    return gone.select(*FRAME, F.col("g.row.det_id").alias("det_id"), F.col("g.by.det_id").alias("by_det"), F.col("g.row.t1").alias("dropped_id"), F.col("g.by.t1").alias("kept_id"))
 
 
 def with_births(tracks: DataFrame, births: DataFrame) -> DataFrame:
@@ -76,7 +127,7 @@ def suppress_tracks(tracks: DataFrame, births: DataFrame, cfg: Config = DEFAULT)
 
     def bypass(k: Column, x: Column) -> Column:
         v = iou(of_struct(k), of_struct(x))
-        young = ((k["age"] <= cfg.young_age) & (x["age"] >= cfg.old_age)) | ((x["age"] <= cfg.young_age) & (k["age"] >= cfg.old_age))
+        young = young_pair(k["age"], x["age"], cfg)
         far = distance((k["birth_x"], k["birth_y"]), (x["birth_x"], x["birth_y"])) > cfg.birth_dist
         apart = (k["track_id"] != x["track_id"]) & ((F.abs(k["birth_frame"] - x["birth_frame"]) > cfg.birth_gap) | far)
         return ~(young & (v >= cfg.track_young_iou)) & apart
@@ -100,11 +151,7 @@ def drop_young_overlaps(tracks: DataFrame, births: DataFrame, cfg: Config = DEFA
 
 
 def suppression_ledger(detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(frame, dropped_id, kept_id): each suppressed detection with the first kept one, in priority order, that bars it."""
-    kept = suppress_detections(detections, cfg).select(*FRAME, F.col("det_id"), "is_referee", "confidence", *BOX)
-    gone = targets(detections, cfg).select(*FRAME, "det_id", "is_referee", "confidence", *BOX).join(kept.select(*FRAME, "det_id"), [*FRAME, "det_id"], "left_anti")
-    both = renamed(gone, "a_").join(renamed(kept, "b_"), list(FRAME)).withColumn("iou", iou(box("a_"), box("b_")))
-    both = both.where(F.col("iou") >= F.when(F.col("a_is_referee") == F.col("b_is_referee"), cfg.same_role_iou).otherwise(cfg.cross_role_iou))
-    both = both.where("b_confidence > a_confidence OR b_confidence = a_confidence AND b_det_id < a_det_id")
-    first = F.row_number().over(Window.partitionBy(*FRAME, "a_det_id").orderBy(F.col("b_confidence").desc(), "b_det_id"))
-    return both.withColumn("_n", first).where("_n = 1").select(*FRAME, F.col("a_det_id").alias("dropped_id"), F.col("b_det_id").alias("kept_id"))
+    """(frame, dropped_id, kept_id): each detection suppressed in order of confidence, with the first kept one that bars it."""
+    t = targets(detections, cfg)
+    out = folded(t, [-F.col("confidence"), F.col("det_id")], ["det_id", "is_referee", *BOX], lambda k, x: _roles(k, x, cfg.same_role_iou, cfg.cross_role_iou))
+    return out.select(*FRAME, F.explode("gone").alias("g")).select(*FRAME, F.col("g.row.det_id").alias("dropped_id"), F.col("g.by.det_id").alias("kept_id"))

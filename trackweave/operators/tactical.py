@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trackweave.config import DEFAULT, Config
 from trackweave.functions.fold import running
 from trackweave.functions.geometry import box, foot, project
+from trackweave.operators.matching import FRAME
 
 KEY = ("game_id", "is_referee", "track_id")
 
@@ -62,18 +63,25 @@ def trails(smoothed: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def court_points(tracks: DataFrame, h: list[float], cfg: Config = DEFAULT) -> DataFrame:
-    """How many of five points at each box's foot lie on the court."""
-    w = F.col("x2") - F.col("x1")
-    y = F.col("y2") - cfg.foot_lift
+    """How many of five points of each box lie on the court: three along its foot, two up its middle."""
+    w, high = (F.greatest(F.lit(1), F.col(b) - F.col(a)) for a, b in (("x1", "x2"), ("y1", "y2")))
     on = F.lit(0)
-    for share in (0.1, 0.3, 0.5, 0.7, 0.9):
-        px, py = project(F.col("x1") + w * share, y, h)
-        on = on + (px.between(0.0, float(cfg.court_w)) & py.between(0.0, float(cfg.court_h))).cast("int")
+    for x, y in ((0.50, None), (0.25, None), (0.75, None), (0.50, 0.80), (0.50, 0.65)):
+        px, py = project(F.col("x1") + w * x, F.col("y2") if y is None else F.col("y1") + high * y, h)
+        on = on + ((px >= 0) & (px < cfg.court_w) & (py >= 0) & (py < cfg.court_h)).cast("int")
     return tracks.withColumn("n_inside", on)
 
 
-def activated(counted: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Sticky activation: a track is active from its first frame with enough points on the court."""
-    hit = (F.col("n_inside") >= cfg.activate_points).cast("int")
+def activated(counted: DataFrame, masked: DataFrame, stale: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Sticky activation: a player is active from the first frame in which its mask or enough points of its box lie on the court; referees always are.
+
+    `counted` has the tracks with n_inside, `masked` the court overlap of each player's clipped mask (overlap, inside_area), and `stale` the frames whose
+    homography is missing or old. A track without a mask on the court is put off in these, and where one is missing its box counts for nothing
+    (the caller gives n_inside 0)."""
+    m = masked.select(*FRAME, "track_id", "overlap", "inside_area", F.lit(False).alias("is_referee"))
+    rows = counted.join(m, [*FRAME, "is_referee", "track_id"], "left").join(stale.select(*FRAME, F.lit(True).alias("stale")), list(FRAME), "left")
+    by_mask = F.coalesce((F.col("overlap") >= cfg.activate_overlap) & (F.col("inside_area") >= cfg.activate_area), F.lit(False))
+    absent = F.coalesce(F.col("inside_area"), F.lit(0)) == 0
+    hit = (by_mask | (F.col("n_inside") >= cfg.activate_points)) & ~(absent & F.coalesce("stale", F.lit(False)))
     w = Window.partitionBy(*KEY).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("active", F.max(hit).over(w) == 1)
+    return rows.withColumn("active", F.col("is_referee") | (F.max(hit.cast("int")).over(w) == 1)).drop("overlap", "inside_area", "stale")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackweave.plans import scans, tracking  # noqa: F401  they register their queries
+from trackweave.plans import courts, detections, mask_queries, runs, tracks  # noqa: F401  they register their queries
 from trackweave.plans.registry import QUERIES, SQL, Query
 
 

@@ -13,13 +13,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(body: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
+def query(body: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL if there is one."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if body:
-            SQL[f.__name__] = S.with_tables(body, recursive)
+            SQL[f.__name__] = S.with_tables(body)
         return f
 
     return add

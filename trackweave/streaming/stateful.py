@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trackweave.config import DEFAULT, Config
 
 FPS = 30
+#: Frames of a game at most: four hours.
+GAME = 4 * 3600 * FPS
 
 
 def event_time(ts: Column) -> Column:
@@ -62,27 +64,36 @@ def smooth_stream(points: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late
     )
 
 
-def jersey_stream(reads: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def jersey_stream(reads: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late: str = "2 seconds") -> DataFrame:
     """Locks of tracks as votes come: a row when a track's first number has its votes. The cap on owners is applied downstream, where
-    locks of all tracks meet. A locked track's state is one flag."""
+    locks of all tracks meet. A locked track's state is one flag; it expires once the track's game is over, which the caller bounds by `GAME`
+    frames without a read, for a removed id doesn't come back within a game."""
     from trackweave.operators.jersey import cleaned
 
     accepted = cleaned(reads).where((F.col("conf") > cfg.ocr_conf) & F.col("number").isNotNull() & (F.col("frame_idx") % cfg.ocr_every == 0))
 
     def vote(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        locked, names, counts = state.get if state.exists else (False, [], [])
-        if locked:
+        if state.hasTimedOut:
+            state.remove()
             return
-        bank = dict(zip(names, counts))
+        locked, names, counts = state.get if state.exists else (False, [], [])
+        bank, found, last = dict(zip(names, counts)), None, 0
         for x in pd.concat(list(frames)).sort_values(["frame_idx", "det_id"]).itertuples(index=False):
+            last = int(x.frame_idx)
+            if locked:
+                continue
             bank[x.number] = bank.get(x.number, 0) + 1
             if bank[x.number] >= cfg.votes:
-                state.update((True, [], []))
-                yield pd.DataFrame([(*key, int(x.frame_idx), int(x.det_id), x.number)], columns=["game_id", "track_id", "frame_idx", "det_id", "number"])
-                return
-        state.update((False, list(bank), list(bank.values())))
+                locked, found = True, (*key, last, int(x.det_id), x.number)
+        state.update((True, [], []) if locked else (False, list(bank), list(bank.values())))
+        state.setTimeoutTimestamp(max(int((last + GAME) * 1000 / fps), state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame([found], columns=["game_id", "track_id", "frame_idx", "det_id", "number"])
 
-    return accepted.groupBy("game_id", "track_id").applyInPandasWithState(vote, "game_id int, track_id long, frame_idx long, det_id long, number string", "locked boolean, names array<string>, counts array<int>", "append", GroupStateTimeout.NoTimeout)
+    return (
+        with_time(accepted, fps).withWatermark("ts", late).groupBy("game_id", "track_id")
+        .applyInPandasWithState(vote, "game_id int, track_id long, frame_idx long, det_id long, number string", "locked boolean, names array<string>, counts array<int>", "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def activation_stream(counted: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
