@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import geometry as G
 from trackweave.functions import text as X
-from trackweave.operators import court, lifecycle, masks, report
+from trackweave.operators import lifecycle, masks, report
 from trackweave.sources import scans
 
 
@@ -90,6 +90,46 @@ def test_unreadable_keypoints(spark):
 
 def test_empty_tables(spark):
     tracks = spark.createDataFrame([], "game_id int, frame_idx long, track_id long, obs_id long, is_referee boolean, x1 long, y1 long, x2 long, y2 long, confidence double")
-    for f in (lifecycle.births, lifecycle.edges, lifecycle.switch_links, lifecycle.id_diagnostics, lifecycle.changes):
+    for f in (lifecycle.births, lifecycle.edges, lifecycle.switch_links, lifecycle.switches, lifecycle.changes, lifecycle.active_and_lost):
         assert f(tracks).count() == 0
-    assert court.template(spark).count() == 32
+    assert lifecycle.id_diagnostics(lifecycle.apply_aliases(tracks, lifecycle.switch_links(tracks))).count() == 0
+
+
+def test_template(spark):
+    from trackweave.sources import court_template as C
+
+    assert len(C.TEMPLATE) == 33 and len(C.old_template()) == 18
+    new = {old: (tx, ty) for _, tx, ty, old in C.TEMPLATE if old >= 0}
+    assert sorted(new) == list(range(18))
+    assert all(abs(a - b) <= 2 for k, p in enumerate(C.old_template()) for a, b in zip(p, new[k]))
+
+
+def test_colors(spark):
+    """As the usual conversion of hue, saturation and value gives, cut to whole numbers."""
+    import colorsys
+
+    got = spark.range(130).select("id", X.color(F.col("id")).alias("c")).collect()
+    for r in got:
+        red, green, blue = (int(v * 255) for v in colorsys.hsv_to_rgb((r.id % 60) * 0.618033988749895 % 1.0, 0.85, 0.95))
+        assert r.c == red * 65536 + green * 256 + blue, r
+
+
+def test_projection_choice(spark):
+    """Each branch: inside, outside with and without a relative point, no homography, nothing at all."""
+    rows = [(1, 100.0, 100.0, 50.0, 50.0), (2, 310.0, -20.0, None, None), (3, 400.0, 50.0, 100.0, 100.0), (4, 400.0, 50.0, None, None), (5, None, None, 7.0, 8.0), (6, None, None, None, None)]
+    p = spark.createDataFrame(rows, "id int, hx double, hy double, rx double, ry double")
+    pair = lambda k: F.when(F.col(f"{k}x").isNotNull(), F.struct(F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y")))
+    got = {r.id: r.c and (round(r.c.x, 6), round(r.c.y, 6), r.c.source) for r in p.select("id", G.choose_projection(pair("r"), pair("h")).alias("c")).collect()}
+    assert got == {1: (100.0, 100.0, "H"), 2: (299.0, 0.0, "H"), 3: (129.85, 92.5, "relative-guard"), 4: None, 5: (7.0, 8.0, "relative"), 6: None}
+
+
+def test_old_homography_puts_off(spark):
+    """A player without a mask isn't activated under a stale homography; one with a mask on the court is; referees always are."""
+    from trackweave.operators import tactical
+
+    rows = [(0, f, ref, t, n) for f, ref, t, n in ((0, False, 1, 5), (1, False, 1, 5), (2, False, 1, 0), (0, False, 2, 0), (1, False, 2, 0), (0, True, 3, 0))]
+    counted = spark.createDataFrame(rows, "game_id int, frame_idx long, is_referee boolean, track_id long, n_inside int")
+    masked = spark.createDataFrame([(0, 0, 2, 0.2, 50)], "game_id int, frame_idx long, track_id long, overlap double, inside_area long")
+    stale = spark.createDataFrame([(0, 0)], "game_id int, frame_idx long")
+    got = {(r.frame_idx, r.track_id): r.active for r in tactical.activated(counted, masked, stale).collect()}
+    assert got == {(0, 1): False, (1, 1): True, (2, 1): True, (0, 2): True, (1, 2): True, (0, 3): True}

@@ -24,10 +24,10 @@ def dist(a, b):
 
 @pytest.fixture(scope="module")
 def world(spark):
-    """Detections and tracks of 60 frames, crowded so that all rules are met."""
+    """Detections and tracks of 96 frames in stretches, crowded so that all rules are met, with gaps shorter and longer than the buffer."""
     draw = random.Random(3)
     dets, tracks = [], []
-    for f in range(60):
+    for f in (37 * b + k for b in range(12) for k in range(8)):
         for k in range(14):
             x, y = draw.choice((100, 130, 400)) + draw.randrange(25), 100 + draw.randrange(25)
             dets.append(dict(game_id=0, frame_idx=f, det_id=f * 14 + k, x1=x, y1=y, x2=x + 60 + draw.randrange(8), y2=y + 150 + draw.randrange(8), class_id=draw.choice((3, 3, 3, 8)), confidence=draw.randrange(20) / 20))
@@ -82,7 +82,7 @@ def candidates_of(r, tracks):
     for t in last.values():
         gap = r["frame_idx"] - t["frame_idx"]
         v, q = iou(r, t), dist(r, t)
-        if gap > 3 or not (v >= 0.30 if gap == 1 else v >= 0.20 or q <= 160):
+        if gap > 121 or not (v >= 0.30 if gap == 1 else v >= 0.20 or q <= 160):
             continue
         out.append((v + 0.25 * (gap == 1) - min(q, 500) / 5000, "active" if gap == 1 else "lost", t["track_id"]))
     return sorted(out, key=lambda c: (-c[0], c[1], c[2]))
@@ -133,9 +133,13 @@ def test_tracks(spark, world):
 
 
 def test_side_hysteresis(spark):
-    sides = ["left"] * 3 + ["right"] * 5 + ["left"] + ["right"] * 7 + [None] * 3 + ["left"] * 6
-    got = [r.state for r in keypoints.side_state(spark.createDataFrame([(0, k, s) for k, s in enumerate(sides)], "game_id int, frame_idx long, side string")).orderBy("frame_idx").collect()]
-    assert got == ["left"] * 14 + ["right"] * 10 + ["left"]
+    """Nothing holds before a homography is accepted; then six updates in a row turn the side, and an accepted one sets it at once."""
+    sides = ["left"] * 8 + ["right"] * 5 + ["left"] + ["right"] * 7 + [None] * 3 + ["left"] * 3
+    rows = [(0, k, s, k in (2, 26)) for k, s in enumerate(sides)]
+    got = keypoints.side_state(spark.createDataFrame(rows, "game_id int, frame_idx long, side string, accepted boolean")).orderBy("frame_idx").collect()
+    assert [r.state for r in got] == [None] * 2 + ["left"] * 17 + ["right"] * 7 + ["left"]
+    assert [r.frame_idx for r in got if r.switched] == [19] and [r.transition for r in got[19:22]] == [7, 6, 5]
+    assert [r.frame_idx for r in got if r.reseed] == list(range(19, 26))
 
 
 def test_court_boundary(spark):

@@ -46,8 +46,9 @@ def test_jersey(spark, as_stream):
 
 def test_activation(spark, as_stream):
     counted = tactical.court_points(T.tracks(spark, SMALL), [0.21, 0.05, -12.0, 0.01, 0.33, -20.0, 0.0001, 0.0003, 1.0])
-    want = {(r.is_referee, r.track_id, r.f) for r in tactical.activated(counted).where("active").groupBy("is_referee", "track_id").agg(F.min("frame_idx").alias("f")).collect()}
-    got = {(r.is_referee, r.track_id, r.active_from) for r in drained(spark, stateful.activation_stream(as_stream(counted, "frame_idx")), "active", "complete").collect()}
+    none = spark.createDataFrame([], "game_id int, frame_idx long, track_id long, overlap double, inside_area long")
+    want = {(r.is_referee, r.track_id, r.f) for r in tactical.activated(counted, none, none.select("game_id", "frame_idx")).where("active AND NOT is_referee").groupBy("is_referee", "track_id").agg(F.min("frame_idx").alias("f")).collect()}
+    got = {(r.is_referee, r.track_id, r.active_from) for r in drained(spark, stateful.activation_stream(as_stream(counted.where("NOT is_referee"), "frame_idx")), "active", "complete").collect()}
     assert got == want
 
 
