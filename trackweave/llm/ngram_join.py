@@ -37,7 +37,7 @@ WORDS, TOP, BOTTOM = 5, 4, 5  # a link: intersection * BOTTOM >= union * TOP
 BANDS, ROWS = 24, 4
 VALUES, STEP, TOLERANCE = BANDS * ROWS, 8, 1e-6
 #: Groups of more rows than LARGE are compared row by row against what isn't connected yet; blocks bound a task's memory.
-LARGE, BLOCK, BLOCK_SHINGLES = 64, 1024, 1 << 20
+LARGE, BLOCK, BLOCK_SHINGLES = 64, 1024, 1 << 19
 #: A table of so few ids (16 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 _rng = np.random.default_rng(97)
