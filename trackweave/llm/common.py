@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.sources.written import discard, materialize  # noqa: F401  the operators take them from here
+
 #: A word is a run of anything but these ASCII blanks; `bytes.split()` splits on exactly the same six.
 BLANKS = "\\x20\\x09-\\x0D"
 #: Python code works on slices of an Arrow batch of about so many bytes, so long texts can't pile up.
@@ -19,36 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    return at
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, and the files outlive executors.
-
-    The folder is removed when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def discard(written: DataFrame) -> None:
-    """Remove a table that `materialize` wrote and that nothing reads any more, so long loops don't fill the shared folder."""
-    spark = written.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(written.written_at)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `limit` bytes; a single longer row stays whole."""
     rows, step = batch.num_rows, 0
