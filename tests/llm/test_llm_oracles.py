@@ -204,6 +204,12 @@ def test_bpe(spark):
         t = all_texts[r.doc_id] or ""
         ids = model.encode_ordinary(t)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        owner, at, starts, ends = [k for k, c in enumerate(t) for _ in c.encode()], 0, [], []
+        for token in model.decode_tokens_bytes(ids):
+            starts.append(owner[at])
+            at += len(token)
+            ends.append(owner[at - 1] + 1)
+        assert r.offsets_crc32 == zlib.crc32(np.array(starts + ends, "<i4").tobytes())
 
 
 def test_bpe_edges(spark):

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -73,6 +74,8 @@ class Codec:
         back = {c: b for b, c in enumerate(byte_characters())}
         special = {t.content for t in self.model.get_added_tokens_decoder().values()}
         self.token_bytes: dict[int, bytes] = {i: t.encode() if t in special else bytes(back[c] for c in t) for t, i in self.model.get_vocab().items()}
+        self.lengths = np.zeros(max(self.token_bytes) + 1, np.int64)
+        self.lengths[list(self.token_bytes)] = [len(t) for t in self.token_bytes.values()]
         if ranks and {t: i for i, t in self.token_bytes.items() if i < len(self.token_bytes) - len(special)} != read_ranks(ranks):
             raise ValueError(f"{path} and {ranks} aren't the same vocabulary")
         self.known = Pieces(PIECES)
@@ -110,8 +113,8 @@ class Codec:
         """Start and end of each token in code points; a token of part of a character covers all of it."""
         data = np.frombuffer(text.encode(), np.uint8)
         of_byte = np.cumsum((data & 0xC0) != 0x80) - 1
-        ends = np.cumsum([len(self.token_bytes[i]) for i in ids.tolist()], dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)]
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
         return of_byte[starts], of_byte[ends - 1] + 1
 
 
@@ -158,16 +161,19 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str = pub
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Encode each document, decode its ids, and return the counts and digests of both in one pass over the texts."""
+    """Encode each document, decode its ids, and return the counts and digests of both in one pass over the texts; `offsets_crc32` is the checksum of
+    the tokens' starts and ends in code points, as little-endian 32-bit integers, all starts first."""
 
     def run(batch: pa.RecordBatch) -> dict:
         c = codec(vocabulary, pattern)
-        ids = c.encode([t or "" for t in batch.column(1).to_pylist()])
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        ids = c.encode(texts)
         return {
             "doc_id": batch.column(0),
             "n_tokens": [len(x) // 4 for x in ids],
             "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
             "decoded_sha256": [digest(c.decoded(np.frombuffer(x, "<u4"))) for x in ids],
+            "offsets_crc32": [zlib.crc32(np.concatenate(c.offsets(t, np.frombuffer(x, "<u4"))).astype("<i4").tobytes()) for t, x in zip(texts, ids)],
         }
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long", run)

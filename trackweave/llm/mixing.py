@@ -12,7 +12,7 @@ prefix sums over the buckets find the one where the budget ends; the same is don
 cell's documents are sorted. Buckets are equal steps of the key's logarithm: an exponential variable of any rate, and so any mixture of
 weights, has at most 1/(256 e) = 0.15 % of its mass in one, and a cell is 1/4096 of a bucket.
 
-Defined results: a null text has size 0; the null source is a source, last in order; a source of size 0 has target 0; a null weight
+Defined results: a null text has size 0; the null source is a source, last in order; a source of size 0 has target 0, and its documents, of no words, all fit; a null weight
 counts as 0.05; rows that repeat are separate documents in `mix` and go in or out together in `resample`; an empty table gives no
 rows; reruns agree, for the keys depend on doc_id, text and weight alone. Targets are computed in one task over a row for each source."""
 
