@@ -32,7 +32,7 @@ def milli(v: Column) -> Column:
 def overlap_area(a: Box, b: Box) -> Column:
     w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
     h = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
-    return F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0))
+    return F.greatest(F.lit(0), w) * F.greatest(F.lit(0), h)
 
 
 def area(a: Box) -> Column:
@@ -42,7 +42,7 @@ def area(a: Box) -> Column:
 def iou(a: Box, b: Box) -> Column:
     """Intersection over union of corner boxes; 0 without overlap, each area at least 1."""
     inter = overlap_area(a, b)
-    return F.when(inter > 0, inter.cast("double") / (area(a) + area(b) - inter)).otherwise(F.lit(0.0))
+    return inter.cast("double") / (area(a) + area(b) - inter)
 
 
 def iou_tlwh(a: Sequence[Column], b: Sequence[Column]) -> Column:

@@ -103,21 +103,6 @@ def court_overlap(runs: DataFrame, h: list[float], key: str = "mask_id", cfg: Co
     return per.withColumn("overlap", F.col("n_on") / F.col("n_sampled")).withColumn("inside_area", F.bround(F.col("area") * F.col("overlap")).cast("long"))
 
 
-def pick(values: Column, share: float) -> Column:
-    """A percentile, linear between neighbours, of an array of structs (v, n, upto: running sum of n) in order of v."""
-    total = F.element_at(values, -1)["upto"]
-    place = (total - 1) * share
-    low = F.floor(place)
-    at = lambda k: F.get(values, F.size(F.filter(values, lambda p: p["upto"] <= k)))["v"]
-    return at(low) + (at(F.least(low + 1, total - 1)) - at(low)) * (place - low)
-
-
-def summed(pairs: Column) -> Column:
-    """An array of structs (v, n), sorted, with running sums."""
-    item = lambda p, upto: F.struct(p["v"].cast("double").alias("v"), p["n"].alias("n"), upto.alias("upto"))
-    return running(pairs, lambda p: item(p, p["n"]), lambda last, p: item(p, last["upto"] + p["n"]))
-
-
 def middle(runs: Column) -> Column:
     """The median x of the pixels of an array of runs (x_start, x_end): the mean of the two middle pixels, found among the runs' ends."""
     total = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["x_end"] - r["x_start"])
@@ -138,20 +123,16 @@ def feet(runs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Foot point of each mask: of the pixels at or below the 88th percentile of y, the median x and the 96th percentile of y. Where that leaves under
     four pixels, those of the mask's last rows count (as far as 3 above the last).
 
-    All of it is windows over a mask's own runs, weighed by their lengths; only the runs at its foot become an array."""
-    n = (F.col("x_end") - F.col("x_start")).alias("n")
-    own = Window.partitionBy(*FRAME, "mask_id")
-    rows = runs.select(*FRAME, "mask_id", "y", "x_start", "x_end", n).where("n > 0")
-    rows = rows.withColumn("upto", F.sum("n").over(own.orderBy("y", "x_start").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(own)).withColumn("last", F.max("y").over(own))
-    place = (F.col("total") - 1) * 0.88
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("y"))).over(own)
-    low, high = at(F.floor(place)), at(F.least(F.floor(place) + 1, F.col("total") - 1))
-    rows = rows.withColumn("low", low).withColumn("high", high).withColumn("cut", F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place)))
-    rows = rows.withColumn("few", F.sum(F.when(F.col("y") >= F.col("cut"), F.col("n")).otherwise(0)).over(own) < 4)
-    foot = rows.where(F.when(F.col("few"), F.col("y") >= F.greatest(F.col("last") - 3, F.lit(0))).otherwise(F.col("y") >= F.col("cut")))
-    per = foot.groupBy(*FRAME, "mask_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("y", "x_start", "x_end", "n"))).alias("runs"))
-    tall = summed(F.transform("runs", lambda r: F.struct(r["y"].alias("v"), r["n"].alias("n"))))
-    return per.select(*FRAME, "mask_id", "n", middle(F.col("runs")).alias("fx"), pick(tall, 0.96).alias("fy"))
+    Runs are weighed by their lengths; only those at a mask's foot become an array."""
+    key, y, n = [*FRAME, "mask_id"], F.col("y"), F.col("n")
+    rows = runs.select(*key, "y", "x_start", "x_end", (F.col("x_end") - F.col("x_start")).alias("n")).where("n > 0").repartition(*key)
+    ends = rows.groupBy(*key).agg(F.percentile("y", 0.88, n).alias("cut"), F.max("y").alias("last"))
+    foot = rows.join(ends, key).withColumn("low", y >= F.col("cut")).withColumn("end", y >= F.greatest(F.col("last") - 3, F.lit(0))).where("low OR end")
+    of = lambda c: (F.sum(F.when(F.col(c), n).otherwise(0)).alias(f"n_{c}"), F.percentile(F.when(F.col(c), y), 0.96, n).alias(f"y_{c}"), F.collect_list(F.when(F.col(c), F.struct("x_start", "x_end"))).alias(f"runs_{c}"))
+    per = foot.groupBy(*key).agg(*of("low"), *of("end"))
+    few = F.col("n_low") < 4
+    pick = lambda c: F.when(few, F.col(f"{c}_end")).otherwise(F.col(f"{c}_low"))
+    return per.select(*key, pick("n").alias("n"), middle(pick("runs")).alias("fx"), pick("y").alias("fy"))
 
 
 def reusable(tracks: DataFrame, found: DataFrame, owners: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -55,7 +55,12 @@ def candidates(detections: DataFrame, tracks: DataFrame, cfg: Config = DEFAULT)
     kept, by overlap or distance. Each track stands where it was last seen before the frame."""
     last = known(tracks, cfg).select("game_id", "is_referee", F.col("track_id"), "since", "upto", *(F.col(c).alias(f"t_{c}") for c in BOX)).withColumn("span", spans(F.col("since"), F.col("upto")))
     d = targets(detections, cfg).select(*FRAME, "det_id", "is_referee", *BOX, F.floor(F.col("frame_idx") / SPAN).alias("span"))
-    both = d.join(last, ["game_id", "is_referee", "span"]).where("frame_idx BETWEEN since AND upto").withColumn("iou", iou(box(), box("t_"))).withColumn("dist", box_distance(box(), box("t_")))
+    both = d.join(last, ["game_id", "is_referee", "span"]).where("frame_idx BETWEEN since AND upto")
+    # Only boxes that touch, or whose centres (doubled here) are near, can match; the costly numbers are made once, of these, beyond the join.
+    dx, dy = (F.col(f"{c}1") + F.col(f"{c}2") - F.col(f"t_{c}1") - F.col(f"t_{c}2") for c in "xy")
+    touch = (F.col("x1") < F.col("t_x2")) & (F.col("t_x1") < F.col("x2")) & (F.col("y1") < F.col("t_y2")) & (F.col("t_y1") < F.col("y2"))
+    both = both.where(touch | (dx * dx + dy * dy <= int((2 * cfg.lost_dist) ** 2) + 1))
+    both = both.select("*", F.inline(F.array(F.struct(iou(box(), box("t_")).alias("iou"), box_distance(box(), box("t_")).alias("dist")))))
     active = F.col("frame_idx") == F.col("since")
     both = both.where(F.when(active, F.col("iou") >= cfg.active_iou).otherwise((F.col("iou") >= cfg.lost_iou) | (F.col("dist") <= cfg.lost_dist)))
     score = F.col("iou") + F.when(active, 0.25).otherwise(0.0) - F.least("dist", F.lit(500.0)) / 5000.0
