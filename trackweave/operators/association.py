@@ -10,12 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from trackweave.config import DEFAULT, Config
 from trackweave.operators.matching import targets
-from trackweave.operators.ordered import in_order
+from trackweave.operators.ordered import Rows, in_order
 
 OUT = "game_id int, frame_idx long, is_referee boolean, track_id long, det_id long, x1 long, y1 long, x2 long, y2 long, confidence double"
 
@@ -69,45 +68,57 @@ class Tracker:
     def age(self, frame: int, role: bool, track: int) -> int:
         return max(0, frame - self.born.get((role, track), frame))
 
-    def candidates(self, frame: int, role: bool, boxes: np.ndarray) -> list[list[tuple[float, int]]]:
-        """(score, track) of the tracks that each box may continue, best first: active ones, seen in the frame before, and lost ones."""
+    def ages(self, frame: int, role: bool) -> np.ndarray:
+        return np.array([self.age(frame, role, t.id) for t in self.tracks[role]], int)
+
+    def candidates(self, frame: int, role: bool, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(track, score, age), of shape (boxes, 2): the two best of the tracks that each box may continue (-1: none): active ones, seen in the frame
+        before, and lost ones."""
         cfg, known = self.cfg, self.tracks[role]
-        if not known or not len(boxes):
-            return [[] for _ in boxes]
-        last = np.array([t.box for t in known])
-        v, d = overlaps(boxes, last), distances(boxes, last)
-        active = np.array([t.seen == frame - 1 for t in known])
-        fits = np.where(active, v >= cfg.active_iou, (v >= cfg.lost_iou) | (d <= cfg.lost_dist))
-        score = v + 0.25 * active - np.minimum(d, 500.0) / 5000.0
-        ranked = (sorted((-float(s[k]), not active[k], known[k].id) for k in np.flatnonzero(f)) for s, f in zip(score, fits))
-        return [[(-s, track) for s, _, track in r] for r in ranked]
+        track, best, age = np.full((len(boxes), 2), -1), np.full((len(boxes), 2), -np.inf), np.zeros((len(boxes), 2), int)
+        if known and len(boxes):
+            active, ids = np.array([t.seen == frame - 1 for t in known]), np.array([t.id for t in known])
+            order = np.lexsort((ids, ~active))  # of equal scores active ones come first, then lower ids
+            active, ids = active[order], ids[order]
+            last = np.array([t.box for t in known])[order]
+            v, d = overlaps(boxes, last), distances(boxes, last)
+            fits = np.where(active, v >= cfg.active_iou, (v >= cfg.lost_iou) | (d <= cfg.lost_dist))
+            score = np.where(fits, v + 0.25 * active - np.minimum(d, 500.0) / 5000.0, -np.inf)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :2]
+            n = top.shape[1]
+            best[:, :n] = np.take_along_axis(score, top, 1)
+            track[:, :n] = np.where(np.isfinite(best[:, :n]), ids[top], -1)
+            age[:, :n] = np.where(np.isfinite(best[:, :n]), self.ages(frame, role)[order][top], 0)
+        return track, best, age
 
     def suppressed(self, frame: int, boxes: np.ndarray, conf: np.ndarray, ref: np.ndarray) -> np.ndarray:
         """Which detections stay: in order of the age of the track that each continues, and confidence, unless a kept one bars it."""
-        cfg, found = self.cfg, [[] for _ in boxes]
+        cfg, n = self.cfg, len(boxes)
+        track, score, age = np.full((n, 2), -1), np.full((n, 2), -np.inf), np.zeros((n, 2), int)
         for role in (False, True):
             at = np.flatnonzero(ref == role)
-            for k, c in zip(at, self.candidates(frame, role, boxes[at])):
-                found[k] = c
-        age = [self.age(frame, bool(ref[k]), c[0][1]) if c else 0 for k, c in enumerate(found)]
-        order = sorted(range(len(boxes)), key=lambda k: (-min(age[k], cfg.max_age_key), -conf[k], k))
-        v, kept = overlaps(boxes, boxes), []
+            track[at], score[at], age[at] = self.candidates(frame, role, boxes[at])
+        order = np.lexsort((np.arange(n), -conf, -np.minimum(age[:, 0], cfg.max_age_key))).tolist()
+        close, kept = overlaps(boxes, boxes) >= np.where(ref[:, None] == ref[None], cfg.same_role_iou, cfg.cross_role_iou), []
         for k in order:
-            if not any(v[k, j] >= cfg.cross_role_iou if ref[k] != ref[j] else v[k, j] >= cfg.same_role_iou and not self.others(frame, bool(ref[k]), found[k], found[j]) for j in kept):
+            if not any(close[k, j] and (ref[k] != ref[j] or not self.others(track[k], score[k], age[k], track[j], score[j], age[j])) for j in kept):
                 kept.append(k)
         return np.array(sorted(kept), int)
 
-    def others(self, frame: int, role: bool, a: list, b: list) -> bool:
-        """Whether two detections continue different tracks, neither young beside an established one."""
-        best = None
-        for s, i in a:
-            for t, j in b:
-                if i != j and (best is None or s + t > best[0]):
-                    best = (s + t, i, j)
-        if best is None:
+    def others(self, track, score, age, its_track, its_score, its_age) -> bool:
+        """Whether two detections continue different tracks, neither young beside an established one: the best pair of different tracks counts,
+        the first of equals by the first detection's order."""
+        if track[0] < 0 or its_track[0] < 0:
+            return False
+        if track[0] != its_track[0]:
+            x, y = age[0], its_age[0]
+        elif its_track[1] >= 0 and score[0] + its_score[1] >= score[1] + its_score[0]:
+            x, y = age[0], its_age[1]
+        elif track[1] >= 0:
+            x, y = age[1], its_age[0]
+        else:
             return False
-        x, y = sorted(self.age(frame, role, i) for i in best[1:])
-        return not (x <= self.cfg.young_age and y >= self.cfg.old_age)
+        return not (min(x, y) <= self.cfg.young_age and max(x, y) >= self.cfg.old_age)
 
     def matched(self, frame: int, role: bool, boxes: np.ndarray, conf: np.ndarray) -> dict[int, Track]:
         """The track of each detection that has one, by number of the detection."""
@@ -145,11 +156,11 @@ class Tracker:
                 kept.append(j)
         return sorted(kept)
 
-    def step(self, frame: int, rows: pd.DataFrame) -> list[tuple]:
-        boxes, conf = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows.confidence.to_numpy(float)
-        ref, ids, out = rows.is_referee.to_numpy(bool), rows.det_id.to_numpy(), []
+    def step(self, frame: int, rows: Rows) -> list[tuple]:
+        boxes, conf = np.stack([rows[c] for c in ("x1", "y1", "x2", "y2")], axis=1).astype(float), rows["confidence"]
+        ref, ids, out = rows["is_referee"].astype(bool), rows["det_id"], []
         self.tracks = {role: [t for t in some if frame - t.seen <= self.cfg.buffer + 1] for role, some in self.tracks.items()}
-        stay = self.suppressed(frame, boxes, conf, ref) if self.whole else np.arange(len(rows))
+        stay = self.suppressed(frame, boxes, conf, ref) if self.whole else np.arange(len(conf))
         for role in (False, True):
             at = stay[ref[stay] == role]
             taken = self.matched(frame, role, boxes[at], conf[at])

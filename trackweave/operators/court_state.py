@@ -8,12 +8,11 @@ on what earlier ones accepted, so a game is one machine, fed in order; games run
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from trackweave.config import DEFAULT, Config
 from trackweave.operators.homography import H, apply, estimate_all, mirror
-from trackweave.operators.ordered import in_order
+from trackweave.operators.ordered import Rows, in_order
 from trackweave.sources import court_template as T
 
 COUNT = len(T.TEMPLATE)
@@ -171,10 +170,10 @@ class Court:
         shift, part = self.shift(h), cfg.strictness if strict else 1.0
         return bool(np.isfinite(shift).all() and shift.mean() <= cfg.mean_shift * part and shift.max() <= cfg.point_shift * part)
 
-    def step(self, frame: int, rows: pd.DataFrame) -> list[tuple]:
+    def step(self, frame: int, rows: Rows) -> list[tuple]:
         cfg, xy, conf = self.cfg, np.zeros((COUNT, 2)), np.zeros(COUNT)
-        at = rows.kp_idx.to_numpy()
-        xy[at], conf[at] = np.nan_to_num(rows[["x", "y"]].to_numpy(float)), rows.conf.to_numpy(float)
+        at = rows["kp_idx"]
+        xy[at], conf[at] = np.nan_to_num(np.stack([rows["x"], rows["y"]], axis=1).astype(float)), rows["conf"]
         xy[~self.inner(xy)] = 0.0
         observed = self.observe(xy, conf)
         switched, reset = self.turn(observed), self.jumped(xy)

@@ -131,4 +131,5 @@ def estimates(matched: DataFrame, cfg: Config = DEFAULT, bucket: int = BUCKET) -
         return both.astype(object).where(both.notna(), None)
 
     keyed = matched.select("game_id", "frame_idx", "kp_idx", "x", "y", "tx", "ty").withColumn("_b", F.floor(F.col("frame_idx") / bucket))
-    return keyed.groupBy("game_id", "_b").applyInPandas(run, schema)
+    parts = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, "game_id", "_b").groupBy("game_id", "_b").applyInPandas(run, schema)

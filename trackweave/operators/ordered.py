@@ -8,12 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+Rows = dict[str, np.ndarray]
 
-def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make: Callable[[tuple], Callable[[int, pd.DataFrame], list[tuple]]], schema: str) -> DataFrame:
+
+def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make: Callable[[tuple], Callable[[int, Rows], list[tuple]]], schema: str) -> DataFrame:
     """Rows of each key, in order of `step` and then `order`, through one machine each: `make(key)` gives a function of a step's number and rows
-    that returns output rows.
+    (arrays by column) that returns output rows.
 
-    Keys are dealt to tasks and sorted there, so a task streams its keys' rows in batches and never gathers a key; different keys run apart."""
+    Keys are dealt to all shuffle partitions, however few bytes they have, for a key is much work, and sorted there, so a task streams its keys' rows in batches and never gathers a key; different keys run apart."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -21,7 +23,8 @@ def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make
 
         def feed(part: pd.DataFrame) -> pd.DataFrame:
             nonlocal key, machine
-            columns = [part[c].to_numpy() for c in (*keys, step)]
+            arrays = {c: part[c].to_numpy() for c in part.columns}
+            columns = [arrays[c] for c in (*keys, step)]
             change = np.zeros(len(part), bool)
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
@@ -30,7 +33,7 @@ def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make
                 now = tuple(c[a].item() for c in columns[:-1])
                 if machine is None or now != key:
                     key, machine = now, make(now)
-                out += machine(int(columns[-1][a]), part.iloc[a:b])
+                out += machine(int(columns[-1][a]), {c: v[a:b] for c, v in arrays.items()})
             return pd.DataFrame(out, columns=names)
 
         for batch in frames:
@@ -47,4 +50,5 @@ def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make
         if kept is not None:
             yield feed(kept)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, step, *order).mapInPandas(run, schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, step, *order).mapInPandas(run, schema)
