@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackweave.sources.court_template import TEMPLATE
+
 #: Letters that look like digits, and these digits.
 LETTERS, DIGITS = "OoQIli|ZSsB", "00011112558"
 #: Class names are matched as parts of the name, in this order.
-CLASS_PARTS = (("ball", 0), ("number", 2), ("player", 3), ("referee", 8), ("rim", 9))
+CLASS_PARTS = (("player", 3), ("referee", 8), ("ref", 8), ("ball", 0), ("basketball", 0), ("rim", 9), ("hoop", 9))
 UNKNOWN_CLASS = 99
 REFEREE_OFFSET = 1000
 GOLDEN, SATURATION, VALUE = 0.618033988749895, 0.85, 0.95
@@ -29,15 +31,32 @@ def class_of(name: Column, raw: Column) -> Column:
     return F.coalesce(out, raw, F.lit(UNKNOWN_CLASS))
 
 
-def keypoint_label(label: Column) -> Column:
-    """Digits of a label, padded to two; longer ones stay whole."""
-    digits = F.regexp_replace(label, "[^0-9]", "")
-    return F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
+def keypoint_label(*fields: Column) -> Column:
+    """The label of a keypoint: the digits of the first of its name fields that has any, padded to two; longer ones stay whole."""
+    def padded(field: Column) -> Column:
+        digits = F.regexp_replace(field, "[^0-9]", "")
+        return F.when(digits == "", F.lit(None)).when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
+
+    return F.coalesce(*(padded(f) for f in fields), F.lit(None).cast("string"))
+
+
+def raw_index(class_id: Column, name: Column, keypoint_id: Column, position: Column, base: int = 0) -> Column:
+    """The index that a model gives a keypoint: the first of its fields that is there, or its position if that is no whole number."""
+    first = F.coalesce(*(c.cast("string") for c in (class_id, name, keypoint_id)))
+    return F.coalesce(first.try_cast("bigint"), position.cast("bigint")) - base
+
+
+def keypoint_index(label: Column, raw: Column, values: Column | None = None) -> Column:
+    """The template's index of a keypoint, by its label, or else by the raw index where that is one of the template's; -1 if neither is.
+    With `values` (an array over the template) the entry there instead."""
+    labels = F.array(*(F.lit(row[0]) for row in TEMPLATE))
+    at = F.coalesce(F.when(F.array_position(labels, label) > 0, F.array_position(labels, label) - 1), F.when(raw.between(0, len(TEMPLATE) - 1), raw), F.lit(-1)).cast("bigint")
+    return at if values is None else F.when(at < 0, F.lit(-1)).otherwise(F.get(values, at.cast("int"))).cast("bigint")
 
 
-def keypoint_index(class_id: Column, name: Column, keypoint_id: Column, position: Column, base: int = 0) -> Column:
-    first = F.coalesce(class_id.try_cast("int"), name.try_cast("int"), keypoint_id.try_cast("int"))
-    return F.coalesce(first - base, position)
+def old_index(label: Column, raw: Column) -> Column:
+    """The index of a keypoint in the older model; -1 if it has none there."""
+    return keypoint_index(label, raw, F.array(*(F.lit(row[3]) for row in TEMPLATE)))
 
 
 def confidence_of(confidence: Column, conf: Column) -> Column:

@@ -33,10 +33,13 @@ def in_edge_band(cfg: Config = DEFAULT) -> Column:
     return F.coalesce((x > 0) & (y > 0) & ((x <= bx) | (x >= cfg.frame_w - bx) | (y <= by) | (y >= cfg.frame_h - by)), F.lit(False))
 
 
-def best_instance(instances: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The instance of each frame with most valid points that are sure enough, confidences deciding; the first of equals."""
-    good = F.coalesce((F.col("x") > 0) & (F.col("y") > 0) & (F.col("conf") >= cfg.geometry_conf), F.lit(False))
-    per = instances.groupBy(*FRAME, "instance").agg(F.count("*").alias("n"), (F.count_if(good) + 0.01 * F.sum("conf")).alias("score"))
+def best_instance(instances: DataFrame, cfg: Config = DEFAULT, by_confidence: bool = False) -> DataFrame:
+    """The instance of each frame with most valid points that are sure enough, confidences deciding; the first of equals. `by_confidence`: with
+    most points that are sure enough, wherever they lie, as results in columns are judged."""
+    sure = F.col("conf") >= cfg.geometry_conf
+    good = F.coalesce((F.col("x") > 0) & (F.col("y") > 0) & sure, F.lit(False))
+    score = F.count_if(sure) if by_confidence else F.count_if(good) + 0.01 * F.sum("conf")
+    per = instances.groupBy(*FRAME, "instance").agg(F.count("*").alias("n"), score.alias("score"))
     first = F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.col("score").desc(), "instance"))
     return per.withColumn("_n", first).where("_n = 1").drop("_n")
 

@@ -123,18 +123,19 @@ def without_referee_conflicts(tracks: DataFrame, masks: DataFrame, cfg: Config =
     return tracks.where("NOT is_referee").join(gone.select(*FRAME, F.col("p_track_id").alias("track_id")).distinct(), [*FRAME, "track_id"], "left_anti")
 
 
-def funnel(detections: DataFrame, kept: DataFrame, tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per frame and role: detections, those left after suppression, tracks, and tracks without conflicts; score tiers beside."""
+def funnel(detections: DataFrame, stages: dict[str, DataFrame], cfg: Config = DEFAULT) -> DataFrame:
+    """Per frame and role: detections with their score tiers, and the rows of each further stage (`n_` and its name) that are players or referees."""
     t = targets(detections, cfg)
-    raw = t.groupBy(*FRAME, "is_referee").agg(
+    key = [*FRAME, "is_referee"]
+    out = t.groupBy(*key).agg(
         F.count("*").alias("n_raw"), F.count_if(F.col("confidence") >= cfg.high_score).alias("n_high"),
         F.count_if((F.col("confidence") >= cfg.low_score) & (F.col("confidence") < cfg.high_score)).alias("n_low"),
         F.min("confidence").alias("min_score"), F.max("confidence").alias("max_score"),
     )
-    nms = kept.groupBy(*FRAME, "is_referee").agg(F.count("*").alias("n_nms"))
-    out = tracks.groupBy(*FRAME, "is_referee").agg(F.count("*").alias("n_tracks"))
-    joined = raw.join(nms, [*FRAME, "is_referee"], "full").join(out, [*FRAME, "is_referee"], "full")
-    return joined.select(*FRAME, "is_referee", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_raw", "n_high", "n_low", "n_nms", "n_tracks")), "min_score", "max_score")
+    for name, rows in stages.items():
+        out = out.join(rows.groupBy(*key).agg(F.count("*").alias(f"n_{name}")), key, "full")
+    counts = ["n_raw", "n_high", "n_low", *(f"n_{name}" for name in stages)]
+    return out.select(*key, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), "min_score", "max_score")
 
 
 def as_tlwh(prefix: str = "") -> tuple[Column, ...]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
-from trackweave.functions.geometry import box_distance, center, box, distance, iou, iou_tlwh, of_struct
+from trackweave.functions.geometry import box_distance, distance, iou, iou_tlwh, of_struct
 from trackweave.operators.matching import FRAME, candidates, targets
 
 

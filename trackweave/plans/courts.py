@@ -8,9 +8,9 @@ from trackweave.config import DEFAULT as CFG
 from trackweave.functions import geometry as G
 from trackweave.functions import text as X
 from trackweave.functions.geometry import milli
-from trackweave.operators import court, homography, keypoints, lifecycle, masks, tactical
+from trackweave.operators import court, homography, keypoints, masks, tactical
 from trackweave.plans import sql as S
-from trackweave.plans.detections import OWNERS, owners
+from trackweave.plans.detections import FIVE, OWNERS, owners
 from trackweave.plans.registry import query
 from trackweave.sources import scans
 from trackweave.sources import tables as T
@@ -65,14 +65,7 @@ def tactical_points(spark, d):
     return tactical.feet(T.tracks(spark, d), HL).select("frame_idx", "is_referee", "track_id", milli(F.col("x")).alias("x_milli"), milli(F.col("y")).alias("y_milli"))
 
 
-#: Five points of a box: at the foot in the middle and at a quarter from each side, and in the middle at 0.80 and 0.65 of the height.
-_FIVE = " + ".join(
-    f"CAST({S.inside(S.project(f'(x1 + {x}::double * greatest(1, x2 - x1))', y, HL))} AS BIGINT)"
-    for x, y in ((0.50, "y2"), (0.25, "y2"), (0.75, "y2"), (0.50, "(y1 + 0.80::double * greatest(1, y2 - y1))"), (0.50, "(y1 + 0.65::double * greatest(1, y2 - y1))"))
-)
-
-
-@query(f"SELECT frame_idx, is_referee, track_id, {_FIVE} AS n_inside FROM trk")
+@query(f"SELECT frame_idx, is_referee, track_id, {FIVE} AS n_inside FROM trk")
 def court_overlap5(spark, d):
     return tactical.court_points(T.tracks(spark, d), HL).select("frame_idx", "is_referee", "track_id", F.col("n_inside").cast("long").alias("n_inside"))
 
@@ -108,7 +101,7 @@ def mask_court_overlap(spark, d):
 #: of five points of its box make it active for good.
 @query(f"""
 {_OWN_MASK}, {_ON_COURT},
-hit AS (SELECT c.game_id, c.frame_idx, c.is_referee, c.track_id, NOT (coalesce(n_on, 0) = 0 AND c.frame_idx % 10 >= 3) AND (coalesce(CAST(n_on AS DOUBLE) / n_sampled >= 0.12, false) OR {_FIVE} >= 2) AS hit
+hit AS (SELECT c.game_id, c.frame_idx, c.is_referee, c.track_id, NOT (coalesce(n_on, 0) = 0 AND c.frame_idx % 10 >= 3) AND (coalesce(CAST(n_on AS DOUBLE) / n_sampled >= 0.12, false) OR {FIVE} >= 2) AS hit
   FROM crw c LEFT JOIN oc ON oc.frame_idx = c.frame_idx AND oc.track_id = c.track_id AND NOT c.is_referee)
 SELECT frame_idx, is_referee, track_id, is_referee OR bool_or(hit) OVER (PARTITION BY game_id, is_referee, track_id ORDER BY frame_idx) AS active FROM hit
 """)
@@ -235,13 +228,31 @@ def kp_best_instance(spark, d):
 
 
 @query("""
-SELECT event_id, CASE WHEN length(regexp_replace(props, '[^0-9]', '', 'g')) < 2 THEN lpad(regexp_replace(props, '[^0-9]', '', 'g'), 2, '0') ELSE regexp_replace(props, '[^0-9]', '', 'g') END AS label,
-  CAST(coalesce(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER), TRY_CAST(event_type AS INTEGER), event_id) - 1 AS BIGINT) AS idx, coalesce(TRY_CAST(event_type AS DOUBLE), 0::double) AS conf FROM events
+i AS (SELECT frame_idx, kp_idx % 3 AS instance, count(*) AS n, count(*) FILTER (conf >= 0.1) AS score FROM kp GROUP BY ALL)
+SELECT frame_idx, instance, n FROM i QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY score DESC, instance) = 1
+""")
+def kp_best_columnar(spark, d):
+    return keypoints.best_instance(T.keypoints(spark, d).withColumn("instance", (F.col("kp_idx") % 3).cast("long")), by_confidence=True).select("frame_idx", "instance", "n")
+
+
+#: Names, class ids, keypoint ids and positions by turns there, bad or missing.
+@query("""
+f AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'kp ' || event_id % 45 WHEN 2 THEN 'corner' WHEN 3 THEN CAST(event_id % 45 AS VARCHAR) END AS name, CASE WHEN event_id % 7 = 0 THEN '2' || event_id % 3 END AS alias,
+  CASE event_id % 3 WHEN 0 THEN CAST(event_id % 40 AS VARCHAR) WHEN 1 THEN 'x' END AS class_id, event_id % 36 AS keypoint_id, event_id % 50 AS position, CASE event_id % 5 WHEN 0 THEN 'bad' WHEN 1 THEN '0.5' END AS conf FROM events),
+g AS (SELECT *, coalesce(nullif(regexp_replace(name, '[^0-9]', '', 'g'), ''), nullif(regexp_replace(alias, '[^0-9]', '', 'g'), '')) AS digits, coalesce(TRY_CAST(coalesce(class_id, CAST(keypoint_id AS VARCHAR)) AS BIGINT), position) AS raw FROM f),
+h AS (SELECT *, CASE WHEN length(digits) < 2 THEN lpad(digits, 2, '0') ELSE digits END AS label FROM g)
+SELECT event_id, h.label, raw, coalesce(t.kp_idx, r.kp_idx, -1) AS idx, CASE WHEN t.kp_idx IS NOT NULL THEN t.legacy_idx ELSE coalesce(r.legacy_idx, -1) END AS old_idx, CASE WHEN conf IS NULL THEN 1 ELSE coalesce(TRY_CAST(conf AS DOUBLE), 0) END::double AS conf
+FROM h LEFT JOIN tpl t ON t.label = h.label LEFT JOIN tpl r ON r.kp_idx = h.raw
 """)
 def keypoint_labels(spark, d):
-    first = F.regexp_extract("props", "([0-9]+)", 1)
-    idx = F.coalesce(first.try_cast("int"), F.col("event_type").try_cast("int"), F.col("event_id")) - 1
-    return T.events(spark, d).select("event_id", X.keypoint_label(F.col("props")).alias("label"), idx.cast("long").alias("idx"), X.confidence_of(F.col("event_type"), F.lit(None).cast("string")).alias("conf"))
+    e, none = F.col("event_id"), F.lit(None).cast("string")
+    name = F.when(e % 4 == 0, F.concat(F.lit("kp "), (e % 45).cast("string"))).when(e % 4 == 2, "corner").when(e % 4 == 3, (e % 45).cast("string"))
+    alias = F.when(e % 7 == 0, F.concat(F.lit("2"), (e % 3).cast("string")))
+    label = X.keypoint_label(name, alias)
+    raw = X.raw_index(F.when(e % 3 == 0, (e % 40).cast("string")).when(e % 3 == 1, "x"), none, (e % 36).cast("string"), e % 50)
+    conf = X.confidence_of(F.when(e % 5 == 0, "bad").when(e % 5 == 1, "0.5"), none)
+    rows = T.events(spark, d).select("event_id", label.alias("label"), raw.alias("raw"), conf.alias("conf"))
+    return rows.select("event_id", "label", "raw", X.keypoint_index(F.col("label"), F.col("raw")).alias("idx"), X.old_index(F.col("label"), F.col("raw")).alias("old_idx"), "conf")
 
 
 @query("SELECT v.frame_idx, v.kp_idx, coalesce(t.legacy_idx, -1) AS legacy_idx FROM vw v JOIN tpl l ON l.kp_idx = v.kp_idx LEFT JOIN tpl t ON t.label = l.label AND t.kp_idx % 4 <> 3")

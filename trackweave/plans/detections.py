@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackweave.config import DEFAULT as CFG
 from trackweave.functions import geometry as G
 from trackweave.functions.geometry import milli
-from trackweave.operators import court, lifecycle, masks, matching, suppress
+from trackweave.operators import court, lifecycle, masks, matching, report, suppress, tactical
 from trackweave.plans import sql as S
 from trackweave.plans.registry import query
 from trackweave.sources import scans
@@ -103,19 +103,6 @@ def young_overlap_drop(spark, d):
     return suppress.drop_young_overlaps(t, lifecycle.births(t)).select("frame_idx", "is_referee", "track_id", "confidence", "age")
 
 
-@query(f"""
-{S.NMS},
-r AS (SELECT frame_idx, is_referee, count(*) AS n_raw, count(*) FILTER (confidence >= 0.5) AS n_high, count(*) FILTER (confidence >= 0.1 AND confidence < 0.5) AS n_low,
-  min(confidence) AS min_score, max(confidence) AS max_score FROM tg GROUP BY ALL),
-m AS (SELECT frame_idx, is_referee, count(*) AS n_nms FROM kept GROUP BY ALL), t AS (SELECT frame_idx, is_referee, count(*) AS n_tracks FROM trk GROUP BY ALL)
-SELECT frame_idx, is_referee, coalesce(n_raw, 0) AS n_raw, coalesce(n_high, 0) AS n_high, coalesce(n_low, 0) AS n_low, coalesce(n_nms, 0) AS n_nms, coalesce(n_tracks, 0) AS n_tracks, min_score, max_score
-FROM r FULL JOIN m USING (frame_idx, is_referee) FULL JOIN t USING (frame_idx, is_referee)
-""")
-def funnel_counts(spark, d):
-    det = T.detections(spark, d)
-    return matching.funnel(det, suppress.suppress_detections(det), T.tracks(spark, d)).drop("game_id")
-
-
 @query(f"{S.candidates()} SELECT frame_idx, det_id, track_id, state, {S.milli('i')} AS iou_milli, {S.milli('score')} AS score_milli, rank FROM cand")
 def track_candidates(spark, d):
     out = matching.candidates(T.detections(spark, d), T.tracks(spark, d))
@@ -281,3 +268,42 @@ SELECT p.frame_idx, p.track_id FROM crw p WHERE NOT p.is_referee AND NOT EXISTS
 def ref_conflict(spark, d):
     t = T.crowd(spark, d)
     return matching.without_referee_conflicts(t, masks.valid(masks.dominant(t, T.mask_runs(spark, d)))).select("frame_idx", "track_id")
+
+
+#: Five points of a box: at the foot in the middle and at a quarter from each side, and in the middle at 0.80 and 0.65 of the height.
+FIVE = " + ".join(
+    f"CAST({S.inside(S.project(f'(x1 + {x}::double * greatest(1, x2 - x1))', y, court.FIXED_H))} AS BIGINT)"
+    for x, y in ((0.50, "y2"), (0.25, "y2"), (0.75, "y2"), (0.50, "(y1 + 0.80::double * greatest(1, y2 - y1))"), (0.50, "(y1 + 0.65::double * greatest(1, y2 - y1))"))
+)
+#: Stages: detections, those on the court, those left by suppression, tracks, those left by suppression, and those that have been active by then (two of five box points on the court).
+_FUNNEL = f"""{S.TARGETS}, {_inside('tg')},
+crt AS (SELECT g.* FROM ins g WHERE is_referee OR inside OR {_NEAR}), {S.greedy('crt', 'confidence DESC, det_id', S.ROLES, prefix='d_')},
+{S.births()}, tb AS (SELECT trk.*, birth_frame, birth_x, birth_y, frame_idx - birth_frame AS age FROM trk JOIN births USING (game_id, is_referee, track_id)),
+{S.greedy('tb', 'least(age, 60) DESC, confidence DESC, obs_id', _TRACK_BARS, prefix='t_')},
+act AS (SELECT *, is_referee OR bool_or({FIVE} >= 2) OVER (PARTITION BY game_id, is_referee, track_id ORDER BY frame_idx) AS active FROM t_kept),
+n AS (SELECT frame_idx, is_referee, count(*) AS n_raw, count(*) FILTER (confidence >= 0.5) AS n_high, count(*) FILTER (confidence >= 0.1 AND confidence < 0.5) AS n_low,
+  min(confidence) AS min_score, max(confidence) AS max_score, 0 AS n_court, 0 AS n_nms, 0 AS n_tracker, 0 AS n_dedupe, 0 AS n_active FROM tg GROUP BY ALL
+  UNION ALL SELECT frame_idx, is_referee, 0, 0, 0, NULL, NULL, count(*), 0, 0, 0, 0 FROM crt GROUP BY ALL UNION ALL SELECT frame_idx, is_referee, 0, 0, 0, NULL, NULL, 0, count(*), 0, 0, 0 FROM d_kept GROUP BY ALL
+  UNION ALL SELECT frame_idx, is_referee, 0, 0, 0, NULL, NULL, 0, 0, count(*), 0, 0 FROM trk GROUP BY ALL UNION ALL SELECT frame_idx, is_referee, 0, 0, 0, NULL, NULL, 0, 0, 0, count(*), 0 FROM t_kept GROUP BY ALL
+  UNION ALL SELECT frame_idx, is_referee, 0, 0, 0, NULL, NULL, 0, 0, 0, 0, count(*) FROM act WHERE active GROUP BY ALL),
+fn AS (SELECT frame_idx, is_referee, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('n_raw', 'n_high', 'n_low', 'n_court', 'n_nms', 'n_tracker', 'n_dedupe', 'n_active'))}, min(min_score) AS min_score, max(max_score) AS max_score FROM n GROUP BY ALL)"""
+
+
+def _funnel(spark, d):
+    det, t = T.detections(spark, d), T.tracks(spark, d)
+    on_court = court.keep_on_court(det, court.boundaries(T.views(spark, d).where("conf >= 0.3")), matching.near_track(det, t))
+    dedupe = suppress.suppress_tracks(t, lifecycle.births(t))
+    none = t.select("game_id", "frame_idx", "track_id", F.lit(0.0).alias("overlap"), F.lit(0).alias("inside_area")).limit(0)
+    active = tactical.activated(tactical.court_points(dedupe, court.FIXED_H), none, none).where("active")
+    return matching.funnel(det, {"court": matching.targets(on_court), "nms": suppress.suppress_detections(on_court), "tracker": t, "dedupe": dedupe, "active": active})
+
+
+@query(f"{_FUNNEL} SELECT * FROM fn")
+def funnel_counts(spark, d):
+    return _funnel(spark, d).drop("game_id")
+
+
+@query(f"{_FUNNEL} SELECT frame_idx, n_raw, n_nms, n_active FROM fn WHERE NOT is_referee AND (frame_idx % 30 = 0 OR n_raw < 6 OR n_nms < 6 OR n_active < 6)")
+def sampled_diagnostics(spark, d):
+    players = _funnel(spark, d).where("NOT is_referee").select("frame_idx", "n_raw", "n_nms", "n_active")
+    return report.sampled(players, ["n_raw", "n_nms", "n_active"], low=6)

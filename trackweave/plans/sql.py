@@ -43,18 +43,19 @@ def with_tables(body: str) -> str:
     return f"WITH RECURSIVE {tables}{',' if named else ''}\n{own}"
 
 
-def greedy(source: str, order: str, bars: str, group: str = "frame_idx") -> str:
+def greedy(source: str, order: str, bars: str, group: str = "frame_idx", prefix: str = "") -> str:
     """Tables `kept` and `gone` of a greedy suppression of the rows of `source` within groups: a row is dropped if a kept one before it in
-    order bars it (`bars`, of rows k and x); `gone` has columns of both rows, the barring one (the first) by prefix `by_`."""
+    order bars it (`bars`, of rows k and x); `gone` has the numbers of both rows, of the barring one the first. Names begin with the prefix."""
+    p = prefix
     return f"""
-ord AS (SELECT *, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS n FROM {source}),
-bar AS (SELECT x.g, k.n AS kn, x.n AS xn FROM ord k JOIN ord x ON k.g = x.g AND k.n < x.n WHERE {bars}),
-nms(g, n, kept) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM ord UNION ALL
-  SELECT x.g, x.n, CASE WHEN EXISTS (SELECT 1 FROM bar b WHERE b.g = x.g AND b.xn = x.n AND list_contains(s.kept, b.kn)) THEN s.kept ELSE list_append(s.kept, x.n) END
-  FROM nms s JOIN ord x ON x.g = s.g AND x.n = s.n + 1),
-lists AS (SELECT g, max_by(kept, n) AS kept FROM nms GROUP BY g),
-kept AS (SELECT o.* FROM ord o JOIN lists l ON l.g = o.g AND list_contains(l.kept, o.n)),
-gone AS (SELECT b.g, b.xn, min(b.kn) AS kn FROM bar b JOIN lists l ON l.g = b.g AND list_contains(l.kept, b.kn) AND NOT list_contains(l.kept, b.xn) GROUP BY ALL)"""
+{p}ord AS (SELECT *, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS n FROM {source}),
+{p}bar AS (SELECT x.g, k.n AS kn, x.n AS xn FROM {p}ord k JOIN {p}ord x ON k.g = x.g AND k.n < x.n WHERE {bars}),
+{p}nms(g, n, kept) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM {p}ord UNION ALL
+  SELECT x.g, x.n, CASE WHEN EXISTS (SELECT 1 FROM {p}bar b WHERE b.g = x.g AND b.xn = x.n AND list_contains(s.kept, b.kn)) THEN s.kept ELSE list_append(s.kept, x.n) END
+  FROM {p}nms s JOIN {p}ord x ON x.g = s.g AND x.n = s.n + 1),
+{p}lists AS (SELECT g, max_by(kept, n) AS kept FROM {p}nms GROUP BY g),
+{p}kept AS (SELECT o.* FROM {p}ord o JOIN {p}lists l ON l.g = o.g AND list_contains(l.kept, o.n)),
+{p}gone AS (SELECT b.g, b.xn, min(b.kn) AS kn FROM {p}bar b JOIN {p}lists l ON l.g = b.g AND list_contains(l.kept, b.kn) AND NOT list_contains(l.kept, b.xn) GROUP BY ALL)"""
 
 
 TARGETS = "tg AS (SELECT *, class_id = 8 AS is_referee FROM det WHERE class_id IN (3, 4, 5, 6, 7, 8))"

@@ -204,8 +204,9 @@ def annotations(spark, d):
 u AS (SELECT event_id, event_type, user_id, ((user_id % 60) * 0.618033988749895::double) % 1.0::double * 6 AS h6 FROM events),
 v AS (SELECT *, CAST(floor(h6) AS BIGINT) AS s, h6 - floor(h6) AS f FROM u),
 w AS (SELECT *, 0.95::double * 255 AS v, 0.95::double * (1 - 0.85::double) * 255 AS p, 0.95::double * (1 - 0.85::double * f) * 255 AS q, 0.95::double * (1 - 0.85::double * (1 - f)) * 255 AS t FROM v),
-c AS (SELECT *, CAST(floor(v) AS BIGINT) AS iv, CAST(floor(p) AS BIGINT) AS ip, CAST(floor(q) AS BIGINT) AS iq, CAST(floor(t) AS BIGINT) AS it FROM w)
-SELECT event_id, CAST(99 AS BIGINT) AS class_id, CASE event_type WHEN 'signup' THEN 'REF' ELSE coalesce('#' || nullif(CAST(event_id % 4 AS VARCHAR), '0'), CAST(user_id AS VARCHAR)) END AS label,
+c AS (SELECT *, lower((['Player-ball', 'REFEREE', 'ref-2', 'basketball', 'Rim', 'hoop', 'number', 'Coach'])[event_id % 8 + 1]) AS nm, CAST(floor(v) AS BIGINT) AS iv, CAST(floor(p) AS BIGINT) AS ip, CAST(floor(q) AS BIGINT) AS iq, CAST(floor(t) AS BIGINT) AS it FROM w)
+SELECT event_id, CAST(CASE WHEN nm LIKE '%player%' THEN 3 WHEN nm LIKE '%referee%' THEN 8 WHEN nm LIKE '%ref%' THEN 8 WHEN nm LIKE '%ball%' THEN 0 WHEN nm LIKE '%rim%' THEN 9 WHEN nm LIKE '%hoop%' THEN 9
+  WHEN event_id % 3 = 0 THEN 99 ELSE event_id % 7 END AS BIGINT) AS class_id, CASE event_type WHEN 'signup' THEN 'REF' ELSE coalesce('#' || nullif(CAST(event_id % 4 AS VARCHAR), '0'), CAST(user_id AS VARCHAR)) END AS label,
   CASE event_type WHEN 'signup' THEN user_id + 1000 ELSE user_id END AS role_id,
   CASE s WHEN 0 THEN iv * 65536 + it * 256 + ip WHEN 1 THEN iq * 65536 + iv * 256 + ip WHEN 2 THEN ip * 65536 + iv * 256 + it WHEN 3 THEN ip * 65536 + iq * 256 + iv
     WHEN 4 THEN it * 65536 + ip * 256 + iv ELSE iv * 65536 + ip * 256 + iq END AS color FROM c
@@ -213,7 +214,9 @@ SELECT event_id, CAST(99 AS BIGINT) AS class_id, CASE event_type WHEN 'signup' T
 def labels_and_colors(spark, d):
     ref, e = F.col("event_type") == "signup", T.events(spark, d)
     number = F.nullif((F.col("event_id") % 4).cast("string"), F.lit("0"))
-    return e.select("event_id", X.class_of(F.col("event_type"), F.lit(None).cast("int")).cast("long").alias("class_id"), X.display_label(F.col("user_id"), number, ref).alias("label"), X.role_id(F.col("user_id"), ref).alias("role_id"), X.color(F.col("user_id")).cast("long").alias("color"))
+    names = F.array(*map(F.lit, ("Player-ball", "REFEREE", "ref-2", "basketball", "Rim", "hoop", "number", "Coach")))
+    name = F.get(names, (F.col("event_id") % 8).cast("int"))
+    return e.select("event_id", X.class_of(name, F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 7).cast("int"))).cast("long").alias("class_id"), X.display_label(F.col("user_id"), number, ref).alias("label"), X.role_id(F.col("user_id"), ref).alias("role_id"), X.color(F.col("user_id")).cast("long").alias("color"))
 
 
 _LEDGER = "led AS (SELECT game_id, frame_idx, nullif(track_id % 12, 11) AS dropped_id, nullif(obs_id % 3, 2) AS kept_id FROM trk)"
@@ -246,11 +249,6 @@ def duplicate_report(spark, d):
     return report.duplicates(suppress.tracked_ledger(T.detections(spark, d), t, lifecycle.births(t))).select("track_id", "total", "first_frame", "last_frame", F.col("rank").cast("long").alias("rank"))
 
 
-@query("n AS (SELECT frame_idx, count(*) AS n FROM trk GROUP BY 1) SELECT * FROM n WHERE frame_idx % 30 = 0 OR n < 7")
-def sampled_diagnostics(spark, d):
-    return report.sampled(T.tracks(spark, d).groupBy("frame_idx").agg(F.count("*").alias("n")), ["n"], low=7)
-
-
 @query(f"{S.LINKS} SELECT is_referee, count(*) AS n FROM links GROUP BY 1")
 def switch_counts(spark, d):
     return lifecycle.switch_links(T.tracks(spark, d)).groupBy("is_referee").agg(F.count("*").alias("n"))
