@@ -70,7 +70,7 @@ class Codec:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.split = regex.compile(pattern).finditer
+        self.split = regex.compile(pattern)
         back = {c: b for b, c in enumerate(byte_characters())}
         special = {t.content for t in self.model.get_added_tokens_decoder().values()}
         self.token_bytes: dict[int, bytes] = {i: t.encode() if t in special else bytes(back[c] for c in t) for t, i in self.model.get_vocab().items()}
@@ -85,9 +85,11 @@ class Codec:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def runs(self, text: str) -> Iterator[bytes]:
-        """The text's ids as little-endian uint32 bytes, for runs of pieces in order."""
-        known, found = self.known, self.split(text)
-        while parts := [m[0] for m in islice(found, RUN)]:
+        """The text's ids as little-endian uint32 bytes, for runs of pieces in order; a text of few characters is one run."""
+        known, short = self.known, len(text) <= RUN
+        found = iter(()) if short else self.split.finditer(text)
+        parts = self.split.findall(text) if short else [m[0] for m in islice(found, RUN)]
+        while parts:
             known.turn()
             if new := known.unseen(parts):
                 known.update(zip(new, self.pieces(new)))
@@ -95,6 +97,7 @@ class Codec:
             for p in new:
                 if len(p) > PIECE_CHARS:
                     del known[p]
+            parts = [m[0] for m in islice(found, RUN)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
@@ -111,10 +114,12 @@ class Codec:
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token in code points; a token of part of a character covers all of it."""
-        data = np.frombuffer(text.encode(), np.uint8)
-        of_byte = np.cumsum((data & 0xC0) != 0x80) - 1
-        ends = np.cumsum(self.lengths[ids])
-        starts = ends - self.lengths[ids]
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        if text.isascii():
+            return starts, ends
+        of_byte = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
         return of_byte[starts], of_byte[ends - 1] + 1
 
 
