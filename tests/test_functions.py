@@ -95,6 +95,16 @@ def test_empty_tables(spark):
     assert lifecycle.id_diagnostics(lifecycle.apply_aliases(tracks, lifecycle.switch_links(tracks))).count() == 0
 
 
+def test_reused_masks_are_links(spark):
+    """A track that takes over a mask continues its owner from that frame on, until another link."""
+    reused = spark.createDataFrame([(0, 5, 9, 1, 3, 0.5)], "game_id int, frame_idx long, track_id long, mask_id long, owner_id long, fill double")
+    row = lambda f, t: (0, f, t, False, 0, 0, 10, 10)
+    tracks = spark.createDataFrame([row(4, 9), row(5, 9), row(8, 9), row(8, 2)], "game_id int, frame_idx long, track_id long, is_referee boolean, x1 long, y1 long, x2 long, y2 long")
+    again = spark.createDataFrame([(0, False, 7, "lost", 4, 9)], "game_id int, is_referee boolean, frame_idx long, source_kind string, source_id long, new_id long")
+    got = {(r.frame_idx, r.track_id): r.stable_id for r in lifecycle.apply_aliases(tracks, masks.reuse_links(reused).unionByName(again)).collect()}
+    assert got == {(4, 9): 9, (5, 9): 3, (8, 9): 4, (8, 2): 2}
+
+
 def test_template(spark):
     from trackweave.sources import court_template as C
 

@@ -45,6 +45,18 @@ def edges(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return out.withColumn("_n", once).where("kind <> 'removed' OR _n = 1").drop("_n")
 
 
+def event_log(events: DataFrame) -> DataFrame:
+    """Each role's events of a game, numbered from 1 in the order in which a reader meets them."""
+    order = Window.partitionBy("game_id", "is_referee").orderBy("frame_idx", "kind", "track_id")
+    return events.withColumn("event_no", F.row_number().over(order))
+
+
+def unread(log: DataFrame, cursors: DataFrame) -> DataFrame:
+    """The log's events beyond each role's cursor (game_id, is_referee, cursor: events read so far); of a role without one, all."""
+    both = log.join(cursors, ["game_id", "is_referee"], "left")
+    return both.where(F.col("event_no") > F.coalesce("cursor", F.lit(0))).drop("cursor")
+
+
 def recoveries(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return events.where("kind = 'recovered'").withColumn("long_gap", F.col("n") > cfg.long_gap)
 

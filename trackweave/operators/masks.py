@@ -145,6 +145,11 @@ def reusable(tracks: DataFrame, found: DataFrame, owners: DataFrame, cfg: Config
     return free.join(idle, [*FRAME, "mask_id"]).select(*FRAME, "track_id", "mask_id", "owner_id", "fill")
 
 
+def reuse_links(reused: DataFrame) -> DataFrame:
+    """Reused masks as links of identity, as `lifecycle.apply_aliases` and counts of switches take them: the new track continues the mask's owner."""
+    return reused.select("game_id", F.lit(False).alias("is_referee"), "frame_idx", F.lit("lost").alias("source_kind"), F.col("owner_id").alias("source_id"), F.col("track_id").alias("new_id"))
+
+
 def missing_runs(tracks: DataFrame, owners: DataFrame) -> DataFrame:
     """For each track row how many of its rows in a row, up to this one, have had no mask."""
     rows = tracks.join(owners.select(*FRAME, "track_id", "mask_id"), [*FRAME, "track_id"], "left").withColumn("has", F.col("mask_id").isNotNull().cast("int"))

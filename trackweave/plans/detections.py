@@ -34,14 +34,15 @@ def box_decode(spark, d):
 
 
 @query("""
-l AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[' || event_type || '] n' ELSE event_type || ' n' END AS line FROM events)
+l AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '  [' || event_type || '] n' ELSE event_type || ' n' END AS line FROM events)
 SELECT event_id, nullif(regexp_extract(line, '^\\s*\\[([A-Za-z:-]+)', 1), '') AS tag FROM l
-WHERE starts_with(line, '[view') OR starts_with(line, '[click') OR starts_with(line, 'error')
+WHERE (starts_with(ltrim(line), '[view') OR starts_with(line, '[click') OR starts_with(ltrim(line), '[click') OR starts_with(line, 'error')) AND NOT contains(line, 'ck] n')
 """)
 def log_lines(spark, d):
-    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), F.col("event_type"), F.lit("] n"))).otherwise(F.concat(F.col("event_type"), F.lit(" n")))
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("  ["), F.col("event_type"), F.lit("] n"))).otherwise(F.concat(F.col("event_type"), F.lit(" n")))
     rows = T.events(spark, d).select("event_id", line.alias("line"))
-    return scans.tagged_lines(rows.where(scans.starts_with_any(F.col("line"), ("[view", "[click", "error")))).select("event_id", "tag")
+    shown = scans.without_noise(rows.where(scans.starts_with_any(F.col("line"), ("[view", "[click", "error"))), ("ck] n",))
+    return scans.tagged_lines(shown).select("event_id", "tag")
 
 
 @query(f"""

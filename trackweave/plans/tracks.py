@@ -23,6 +23,17 @@ def lifecycle_edges(spark, d):
     return lifecycle.edges(T.tracks(spark, d)).select("is_referee", "track_id", "frame_idx", "kind", "n")
 
 
+#: A reader that has met 500 events of each player role reads on; referees' logs it has not opened.
+@query(f"""
+{S.EDGES}, lg AS (SELECT *, row_number() OVER (PARTITION BY game_id, is_referee ORDER BY frame_idx, kind, track_id) AS event_no FROM ev)
+SELECT is_referee, track_id, frame_idx, kind, event_no FROM lg WHERE event_no > CASE WHEN is_referee THEN 0 ELSE 500 END
+""")
+def event_cursor(spark, d):
+    t = T.tracks(spark, d)
+    cursors = t.where("NOT is_referee").select("game_id", "is_referee").distinct().withColumn("cursor", F.lit(500))
+    return lifecycle.unread(lifecycle.event_log(lifecycle.edges(t)), cursors).select("is_referee", "track_id", "frame_idx", "kind", F.col("event_no").cast("long").alias("event_no"))
+
+
 @query(f"{S.EDGES} SELECT is_referee, track_id, frame_idx, n, n > 90 AS long_gap FROM ev WHERE kind = 'recovered'")
 def recovery_gaps(spark, d):
     return lifecycle.recoveries(lifecycle.edges(T.tracks(spark, d))).select("is_referee", "track_id", "frame_idx", "n", "long_gap")

@@ -50,7 +50,16 @@ def tagged_lines(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def starts_with_any(line: Column, prefixes: tuple[str, ...]) -> Column:
-    out = F.lit(False)
+    """Whether a line, without blanks before it, begins with any of the prefixes."""
+    out, bare = F.lit(False), F.regexp_replace(line, r"^\s+", "")
     for p in prefixes:
-        out = out | F.startswith(line, F.lit(p))
+        out = out | F.startswith(bare, F.lit(p))
     return out
+
+
+def without_noise(lines: DataFrame, noise: tuple[str, ...], column: str = "line") -> DataFrame:
+    """Log lines that hold none of the known messages of libraries."""
+    out = F.lit(True)
+    for message in noise:
+        out = out & ~F.coalesce(F.contains(F.col(column), F.lit(message)), F.lit(False))
+    return lines.where(out)
