@@ -347,3 +347,70 @@ def test_games_run_apart(spark, whole):
             assert math.hypot(r.sx - last[k].sx, r.sy - last[k].sy) <= C.max_step * (1 - C.smooth_prev) + 1e-9
         last[k] = r
     assert tactical.KEY
+
+
+def plain_lifecycle(rows, end):
+    """Frame by frame over one role of one game, as a tracker tells it: rows (frame, track, centre) to counts of events and of switches."""
+    by, seen = {}, {}
+    for f, t, c in rows:
+        by.setdefault(f, {})[t] = c
+    first = min(by)
+    before, lost_at, lost_place, gone_place, place_of = {}, {}, {}, {}, {}
+    n = dict.fromkeys(("new", "lost", "recovered", "removed", "switches"), 0)
+    removed_once = set()
+    for f in range(first, end + 1):
+        now = by.get(f, {})
+        out = [t for t, s in seen.items() if f - s == 121 and t not in now]
+        fresh = []
+        for t in now:
+            if t in before:
+                continue
+            place = lost_place.pop(t, None)
+            if t in lost_at:
+                gap = f - lost_at.pop(t)
+                n["recovered"] += 1
+                if place and far(now[t], place[1]) > 80 or not place and gap > 90:
+                    n["switches"] += 1
+            else:
+                fresh.append(t)
+                n["new"] += 1
+        for t in before:
+            if t not in now and t not in out:
+                lost_at[t], lost_place[t] = f, (f, before[t])
+                n["lost"] += 1
+        here = {}
+        for t in out:
+            lost_at.pop(t, None)
+            lost_place.pop(t, None)
+            here[t] = (f, place_of[t])
+            n["removed"] += t not in removed_once
+            removed_once.add(t)
+            del seen[t]
+        for places in (lost_place, gone_place):
+            for t in [t for t, (at, _) in places.items() if f - at > 60]:
+                del places[t]
+        for t in fresh:
+            found = sorted((far(now[t], c), f - at) for some in (gone_place, lost_place) for s, (at, c) in some.items() if s != t and far(now[t], c) <= 80)
+            if found and (len(found) == 1 or found[1][0] - found[0][0] >= 20):
+                n["switches"] += 1
+        gone_place |= here
+        seen |= dict.fromkeys(now, f)
+        place_of |= now
+        before = now
+    return n
+
+
+def test_lifecycle_of_a_run(spark):
+    """Totals and switches of associated tracks, and of the wide-ranging ones of the tables, against the loop."""
+    from pyspark.sql import functions as F
+
+    from trackweave.operators import lifecycle
+
+    shown = association.associate(spark.createDataFrame(crowd_of(2, 200, 11), SCHEMA), whole=True)
+    for t in (shown, tables.tracks(spark, MIDDLE).where("game_id < 2")):
+        rows = t.select("game_id", "is_referee", "frame_idx", "track_id", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")).collect()
+        got = {(r.game_id, r.is_referee): {k: r[f"n_{k}"] for k in ("new", "lost", "recovered", "removed", "switches")} for r in lifecycle.summary(lifecycle.edges(t), lifecycle.switches(t)).collect()}
+        for game, role in got:
+            end = max(r.frame_idx for r in rows if r.game_id == game)
+            want = plain_lifecycle([(r.frame_idx, r.track_id, (r.x, r.y)) for r in rows if (r.game_id, r.is_referee) == (game, role)], end)
+            assert got[game, role] == want, (game, role, got[game, role], want)

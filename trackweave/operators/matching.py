@@ -125,17 +125,14 @@ def without_referee_conflicts(tracks: DataFrame, masks: DataFrame, cfg: Config =
 
 def funnel(detections: DataFrame, stages: dict[str, DataFrame], cfg: Config = DEFAULT) -> DataFrame:
     """Per frame and role: detections with their score tiers, and the rows of each further stage (`n_` and its name) that are players or referees."""
-    t = targets(detections, cfg)
-    key = [*FRAME, "is_referee"]
-    out = t.groupBy(*key).agg(
-        F.count("*").alias("n_raw"), F.count_if(F.col("confidence") >= cfg.high_score).alias("n_high"),
-        F.count_if((F.col("confidence") >= cfg.low_score) & (F.col("confidence") < cfg.high_score)).alias("n_low"),
-        F.min("confidence").alias("min_score"), F.max("confidence").alias("max_score"),
-    )
-    for name, rows in stages.items():
-        out = out.join(rows.groupBy(*key).agg(F.count("*").alias(f"n_{name}")), key, "full")
-    counts = ["n_raw", "n_high", "n_low", *(f"n_{name}" for name in stages)]
-    return out.select(*key, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), "min_score", "max_score")
+    key, none = [*FRAME, "is_referee"], F.lit(None).cast("double").alias("confidence")
+    rows = targets(detections, cfg).select(*key, F.lit("raw").alias("stage"), "confidence")
+    for name, some in stages.items():
+        rows = rows.unionByName(some.select(*key, F.lit(name).alias("stage"), none))
+    conf = F.col("confidence")
+    tiers = (F.count_if(conf >= cfg.high_score).alias("n_high"), F.count_if((conf >= cfg.low_score) & (conf < cfg.high_score)).alias("n_low"))
+    counts = (F.count_if(F.col("stage") == name).alias(f"n_{name}") for name in ("raw", *stages))
+    return rows.groupBy(*key).agg(*counts, *tiers, F.min("confidence").alias("min_score"), F.max("confidence").alias("max_score"))
 
 
 def as_tlwh(prefix: str = "") -> tuple[Column, ...]:
