@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is set (tests)."""
+    """The folder that the cluster names for checkpoints. Only a session within one process may do without: it uses its warehouse's."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
@@ -25,6 +28,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_bytes(written: DataFrame) -> int:
+    """Size of the files of a table that `materialize` wrote."""
+    spark = written.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(written.written_at)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def discard(written: DataFrame) -> None:
     """Remove a table that `materialize` wrote and that nothing reads any more, so long loops don't fill the shared folder."""
     spark = written.sparkSession
