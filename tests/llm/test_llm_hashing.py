@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trackweave.llm.hashing import word_hashes
-from trackweave.llm.ngram_join import overlaps, shingle_sets
+from trackweave.llm.families import overlaps, shingle_sets
+from trackweave.llm.ngram_join import METHOD
 from trackweave.llm.quality_rules import judge
 
 TEXT = st.one_of(st.none(), st.text(alphabet="ab é\t\n\x0b\r\x1c\x85 　\U0001f642", max_size=60), st.text(max_size=30))
@@ -24,7 +25,7 @@ def test_words(texts):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(TEXT, min_size=2, max_size=5))
 def test_shingles(texts):
-    sets = shingle_sets(texts)
+    sets = shingle_sets(texts, METHOD)
     plain = []
     for t in texts:
         w = (t or "").encode().split()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest import ROOT, SMALL
 
-from trackweave.llm import chat, ngram_join, quality_rules, revisits
+from trackweave.llm import chat, common, families, hyperminhash, ngram_join, quality_rules, revisits
 from trackweave.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, node long"
@@ -23,14 +23,14 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, DOCS), rows
 
 
-def shingles(t):
-    w = (t or "").encode().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+def shingles(t, words=5, lower=False):
+    w = (t or "").encode().lower().split() if lower else (t or "").encode().split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
 
 
-def brute_classes(rows):
+def brute_classes(rows, words=5, lower=False):
     """(doc_id, class, copies, links) of each row from all pairs."""
-    sets = [shingles(r[1]) for r in rows]
+    sets = [shingles(r[1], words, lower) for r in rows]
     n = len(rows)
     link = [[a != b and bool(sets[a]) and bool(sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for b in range(n)] for a in range(n)]
     out = []
@@ -72,8 +72,8 @@ def test_ngram_blocks(spark, monkeypatch):
     base = [f"t{k}" for k in range(80)]
     rows = [(k, " ".join([*base[:75], f"x{k % 40}", f"y{k}"]), None, None, 0, None, 0) for k in range(150)]
     docs = spark.createDataFrame(rows, DOCS)
-    monkeypatch.setattr(ngram_join, "BLOCK", 20)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(families, "BLOCK", 20)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
     got = [(r.doc_id, r.class_id, r.n_copies, r.n_links) for r in ngram_join.classes(docs).collect()]
     assert sorted(got) == sorted(brute_classes(rows))
 
@@ -86,18 +86,63 @@ def test_ngram_large_groups(spark, monkeypatch, block):
     far = [" ".join([*base[:60], *(f"z{g}w{w}" for w in range(14)), f"v{k}"]) for g in range(3) for k in range(12)]
     rows = [(k, t, None, None, 0, None, 0) for k, t in enumerate([*near, *far, near[3], None, ""])] + [(1000 + r[0], *r[1:]) for r in chains(6)]
     docs = spark.createDataFrame(rows, DOCS)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3 if block == 8 else 200_000)
+    monkeypatch.setattr(families, "BLOCK", block)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3 if block == 8 else 200_000)
     want = brute_classes(rows)
     got = [(r.doc_id, r.class_id, r.n_copies, r.n_links) for r in ngram_join.classes(docs).collect()]
     assert sorted(got) == sorted(want)
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == sorted({c for _, c, _, _ in want})
 
 
+@pytest.mark.parametrize("block", [3, 9, 1000])
+def test_split_bands(spark, monkeypatch, block):
+    """Bands with more unconnected rows than a block are split, and again compared with one row each: the same classes."""
+    base = [f"t{k}" for k in range(80)]
+    unlike = [" ".join([*base[:30], *(f"u{g}w{w}" for w in range(20)), f"v{k}"]) for g in range(14) for k in range(5)]
+    rows = [(k, t, None, None, 0, None, 0) for k, t in enumerate(unlike)] + [(1000 + r[0], *r[1:]) for r in chains(4)]
+    monkeypatch.setattr(families, "BLOCK", block)
+    for method in (ngram_join.METHOD, hyperminhash.METHOD):
+        docs = spark.createDataFrame(rows, DOCS)
+        want = brute_classes(rows, method.words, method.lower)
+        assert sorted(r.doc_id for r in families.keep_one(docs, method).collect()) == sorted({c for _, c, _, _ in want})
+
+
+def test_unlike_rows_in_one_band(spark, monkeypatch):
+    """20,000 unlike rows that share a band, with near copies among them, are dealt fewer than 20 rows a row, and the copies are found."""
+    count, method, draw = 20_000, ngram_join.METHOD, np.random.default_rng(3)
+    sig = draw.integers(0, 256, (count, method.width), dtype=np.uint8)
+    sig[:, :4] = 7
+    sig[1::100] = sig[::100]
+    sig[1::100, 90:] ^= 1
+    nodes = spark.createDataFrame([(k, 100, bytearray(sig[k].tobytes()), [1, 2 + k]) for k in range(count)], "node long, n int, sig binary, bands array<long>")
+    dealt = []
+    blocked = families.blocked
+    monkeypatch.setattr(families, "blocked", lambda df: (dealt.append(blocked(df).count()), blocked(df))[1])
+    edges = families.candidate_edges(common.materialize(nodes, "test"), method, common.Scratch())
+    assert sorted({(r.a, r.b) for r in edges.collect()}) == [(k + 1, k) for k in range(0, count, 100)]
+    assert 0 < dealt[0] + families.PAIRS * count < 20 * count
+
+
+def test_nothing_is_left(spark, tmp_path, monkeypatch):
+    """After its result is read, an operator has left the tables that the result reads and no others; loops leave none."""
+    from trackweave.sources import written
+
+    monkeypatch.setattr(written, "shared_dir", lambda spark: str(tmp_path))
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    docs = spark.createDataFrame(chains(30), DOCS)
+    assert ngram_join.classes(docs).count() == 180
+    assert left() == ["near-classes", "near-signed"]
+    assert hyperminhash.keep_one(docs).count() > 0
+    assert left() == ["near-away", "near-classes", "near-signed"]
+    path = spark.createDataFrame([(k, k + 1) for k in range(3000)], "a long, b long")
+    assert components(path).where("comp <> 0").count() == 0
+    assert left() == ["cc", "near-away", "near-classes", "near-signed"]
+
+
 def test_least_labels():
     """Against union-find, on paths, trees and sparse graphs whose rows are in any order."""
-    assert ngram_join.least_labels(4, np.array([0, 2, 3]), np.array([2, 3, 1])).tolist() == [0, 0, 0, 0]
-    assert ngram_join.least_labels(3, np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == [0, 1, 2]
+    assert families.least_labels(4, np.array([0, 2, 3]), np.array([2, 3, 1])).tolist() == [0, 0, 0, 0]
+    assert families.least_labels(3, np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == [0, 1, 2]
     draw = np.random.default_rng(5)
     for n in [2, 4, 5, 9, 40, 200] * 20:
         path = np.stack([np.arange(n - 1), np.arange(1, n)])
@@ -114,7 +159,7 @@ def test_least_labels():
             for a, b in zip(left.tolist(), right.tolist()):
                 a, b = sorted((find(a), find(b)))
                 want[b] = a
-            assert ngram_join.least_labels(n, left, right).tolist() == [find(x) for x in range(n)]
+            assert families.least_labels(n, left, right).tolist() == [find(x) for x in range(n)]
 
 
 def chains(count, length=6):
@@ -182,7 +227,7 @@ def test_components_settle(spark, monkeypatch):
     rounds = iter([*tables, tables[-1]])
     monkeypatch.setattr(C, "materialize", lambda df, name: df)
     monkeypatch.setattr(C, "discard", lambda df: None)
-    monkeypatch.setattr(C, "_large_star", lambda edges: edges)
+    monkeypatch.setattr(C, "_large_star", lambda edges: (edges, edges))
     monkeypatch.setattr(C, "_small_star", lambda edges: spark.createDataFrame(next(rounds), "a long, b long").coalesce(1))
     got = {r.node: r.comp for r in components(spark.createDataFrame(tables[0], "a long, b long")).collect()}
     assert got == dict.fromkeys(range(51), 0) and next(rounds, None) is None

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.sources.written import discard, materialize  # noqa: F401  the operators take them from here
+from trackweave.sources.written import discard, materialize, written_bytes
 
 #: A word is a run of anything but these ASCII blanks; `bytes.split()` splits on exactly the same six.
 BLANKS = "\\x20\\x09-\\x0D"
 #: Python code works on slices of an Arrow batch of about so many bytes, so long texts can't pile up.
 SLICE_BYTES = 4 << 20
+#: A written table of so few rows and bytes is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,3 +66,65 @@ def word_count(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """64 bits that stand for the text; null has its own."""
     return F.xxhash64(text.isNull(), F.coalesce(text, F.lit("")))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(rows) if written_bytes(rows) <= BROADCAST_BYTES and rows.count() <= BROADCAST_ROWS else rows
+
+
+def part_of(written: DataFrame, rows: DataFrame) -> DataFrame:
+    """Marks rows as a selection from a written table, at most as large as that one."""
+    rows.written_at = written.written_at
+    return rows
+
+
+class Scratch:
+    """Writes tables in between and removes them together."""
+
+    def __init__(self) -> None:
+        self.written: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.written.append(materialize(df, name))
+        return self.written[-1]
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Remove all tables but those that are still read."""
+        for df in self.written:
+            if not any(df is k for k in kept):
+                discard(df)
+        self.written = list(kept)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut so that rows with equal first `keys` columns (a group) are never apart; a group fits in memory."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        last = batch.num_rows
+        same = np.ones(last, bool)
+        for k in key:
+            same &= k == k[-1]
+        first = int(last - np.argmin(same[::-1])) if not same.all() else 0
+        if first == 0 and kept and all(kept[-1].column(k)[kept[-1].num_rows - 1] == batch.column(k)[0] for k in range(keys)):
+            kept.append(batch)
+            continue
+        yield from _together([*kept, batch.slice(0, first)])
+        kept = [batch.slice(first)]
+    yield from _together(kept)
+
+
+def _together(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if parts and sum(p.num_rows for p in parts):
+        yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def group_bounds(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    change = np.zeros(batch.num_rows - 1, bool)
+    for k in range(keys):
+        v = batch.column(k).to_numpy(zero_copy_only=False)
+        change |= v[1:] != v[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])

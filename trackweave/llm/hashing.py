@@ -28,9 +28,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, one after another, and where each text's words begin (one more entry than texts)."""
+def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, one after another, and where each text's words begin (one more entry than texts). `lower`: A-Z as a-z."""
     coded = [(t or "").encode() for t in texts]
+    if lower:
+        coded = [c.lower() for c in coded]
     data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
     power, inverse = powers(len(data))
     edge = np.empty(len(data) + 1, bool)

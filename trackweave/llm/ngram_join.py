@@ -1,17 +1,9 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning: documents whose sets of five-word shingles are at least 0.8 alike.
 
-1. Each document gets its shingle hashes, a fingerprint of the set, and 96 MinHash values; equal sets become one node with copies.
-2. Nodes that share a band of 4 values (24 bands: a pair at 0.8 is missed with a chance of 3e-6) are compared value by value, 8 at a time:
-   with a uniform prior, a pair is dropped once the posterior chance of a similarity of 0.8 or more is below 1e-6. Over its 12 steps this
-   drops a pair at 0.8 with a chance of 1.3e-5, so bands and pruning together miss one with a chance of 1.6e-5, unless other pairs bring
-   both into one family. The nodes of a large band are first compared with one of them, which connects near copies without pairs; only
-   the others are then compared with each other and with the rest, in pairs of blocks. What leaves a task is a spanning forest of
-   the pairs that are left, at most an edge a row.
-3. The forests' components are families of candidates. Their shingle sets are gathered once. Where links are counted, all pairs of a
-   family are verified exactly, in pairs of blocks. Where one document of each class is kept, the members of a large family are first
-   verified against one of them, and only those that aren't linked to it against all. What leaves a task is a count of links
-   and a forest, so copies and dense families are never expanded into pairs of rows; no link is dropped, sampled or capped.
-4. Components of the verified links are the classes.
+Each document's signature is 96 MinHash values. Documents that share a band of 4 values (24 bands: a pair at 0.8 is missed with a chance of
+3e-6) are compared value by value, 8 at a time: with a uniform prior, a pair is dropped once the posterior chance of a similarity of 0.8 or more
+is below 1e-6. Over its 12 steps this drops a pair at 0.8 with a chance of 1.3e-5, so bands and pruning together miss one with a chance of
+1.6e-5, unless other pairs bring both into one family. `families` has the rest: hot bands, exact verification and classes.
 
 Defined results: a text of 1 to 4 words is one shingle of all its words; null texts and texts without words have no shingles, no links and a
 class of their own; a null doc_id never names a class that has another; rows that repeat are copies of each other; an empty
@@ -19,27 +11,17 @@ table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from trackweave.llm.common import bounded_batches, map_batches, materialize, text_key
-from trackweave.llm.components import components
-from trackweave.llm.hashing import grams, mix, word_hashes
+from trackweave.llm import families
+from trackweave.llm.families import BOTTOM, TOP, Method, band_keys, sized
 
-WORDS, TOP, BOTTOM = 5, 4, 5  # a link: intersection * BOTTOM >= union * TOP
 BANDS, ROWS = 24, 4
 VALUES, STEP, TOLERANCE = BANDS * ROWS, 8, 1e-6
-#: Groups of more rows than LARGE are compared row by row against what isn't connected yet; blocks bound a task's memory.
-LARGE, BLOCK, BLOCK_SHINGLES = 64, 1024, 1 << 19
-#: A table of so few ids (16 bytes each) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
 _rng = np.random.default_rng(97)
 FACTORS = (_rng.integers(0, 1 << 31, VALUES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 SHIFTS = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
@@ -62,118 +44,19 @@ def least_matches(threshold: float = TOP / BOTTOM, tolerance: float = TOLERANCE)
 LEAST = least_matches()
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    words, at = word_hashes(texts)
-    runs = grams(words, WORDS)
-    out = []
-    for a, b in zip(at[:-1], at[1:]):
-        if b - a >= WORDS:
-            out.append(np.unique(runs[a : b - WORDS + 1]))
-        else:
-            out.append(grams(words[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64))
-    return out
-
-
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For sets that aren't empty: a byte of each MinHash value, and a 64-bit hash of each band."""
+    """A byte of each MinHash value, and a 64-bit hash of each band."""
     joined = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    values = np.empty((VALUES, len(sets)), np.uint32)
+    values = np.empty((len(sets), VALUES), np.uint32)
     for k in range(VALUES):
-        values[k] = np.minimum.reduceat(joined * FACTORS[k] + SHIFTS[k], at)
-    bands = np.empty((len(sets), BANDS), np.uint64)
-    for b in range(BANDS):
-        h = np.full(len(sets), b + 1, np.uint64)
-        for r in range(ROWS):
-            h = mix(h * np.uint64(0x9FB21C651E98DF25) + values[b * ROWS + r])
-        bands[:, b] = h
-    return np.ascontiguousarray(((values >> np.uint32(13)) & np.uint32(255)).astype(np.uint8).T), bands.view(np.int64)
-
-
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, fingerprint and size of the shingle set (null and 0 without words), signature and bands."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(batch.column(1).to_pylist())
-        full = [k for k, s in enumerate(sets) if len(s)]
-        out = {"doc_id": batch.column(0), "tkey": batch.column(2), "n": [len(s) for s in sets]}
-        prints, sigs, bands = ([None] * len(sets) for _ in range(3))
-        if full:
-            values, keys = signatures([sets[k] for k in full])
-            for at, k in enumerate(full):
-                prints[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
-                sigs[k], bands[k] = values[at].tobytes(), keys[at]
-        return out | {"print": prints, "sig": sigs, "bands": bands}
-
-    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
-    return map_batches(rows, "doc_id long, tkey long, n int, print binary, sig binary, bands array<long>", run, 1 << 20)
-
-
-def least_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each of n rows the least row that the pairs connect it to."""
-    label = np.arange(n)
-    while True:
-        a, b = label[left], label[right]
-        apart = a != b
-        if not apart.any():
-            return label
-        # Roots are hung on lesser roots, so a pair whose ends have met stays met and can go.
-        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(label, up := label[label]):
-            label = up
-
-
-def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Sorted batches cut so that rows with equal first `keys` columns (a group) are never apart; a group fits in memory."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        last = batch.num_rows
-        same = np.ones(last, bool)
-        for k in key:
-            same &= k == k[-1]
-        first = int(last - np.argmin(same[::-1])) if not same.all() else 0
-        if first == 0 and kept and all(kept[-1].column(k)[kept[-1].num_rows - 1] == batch.column(k)[0] for k in range(keys)):
-            kept.append(batch)
-            continue
-        yield from _together([*kept, batch.slice(0, first)])
-        kept = [batch.slice(first)]
-    yield from _together(kept)
-
-
-def _together(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if parts and sum(p.num_rows for p in parts):
-        yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-def group_bounds(batch: pa.RecordBatch, keys: int) -> np.ndarray:
-    change = np.zeros(batch.num_rows - 1, bool)
-    for k in range(keys):
-        v = batch.column(k).to_numpy(zero_copy_only=False)
-        change |= v[1:] != v[:-1]
-    return np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
-
-
-def pairs_in(bounds: np.ndarray, largest: int, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of each group of at most `largest` rows, in pieces of about `limit`."""
-    sizes = np.diff(bounds)
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= largest)]):
-        starts = bounds[:-1][sizes == size]
-        i, j = np.triu_indices(size, 1)
-        each = max(1, limit // len(i))
-        for at in range(0, len(starts), each):
-            some = starts[at : at + each, None]
-            yield (some + i).ravel(), (some + j).ravel()
+        values[:, k] = np.minimum.reduceat(joined * FACTORS[k] + SHIFTS[k], at)
+    return ((values >> np.uint32(13)) & np.uint32(255)).astype(np.uint8), band_keys(values, BANDS)
 
 
 def plausible(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that sizes and the incremental comparison of MinHash values leave."""
-    fits = BOTTOM * np.minimum(n[left], n[right]) >= TOP * np.maximum(n[left], n[right])
-    left, right = left[fits], right[fits]
+    left, right = sized(n, left, right)
     matches = np.zeros(len(left), np.int32)
     for at in range(0, VALUES, STEP):
         matches += (sig[left, at : at + STEP] == sig[right, at : at + STEP]).sum(1, dtype=np.int32)
@@ -184,229 +67,12 @@ def plausible(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarra
     return left, right
 
 
-def connect(sig: np.ndarray, n: np.ndarray, block: np.ndarray, across: bool) -> np.ndarray:
-    """Labels of the rows of one large group: each row in turn is compared with the later rows that it isn't connected to yet,
-    so a group of near copies takes few comparisons. `across`: only pairs of different blocks count."""
-    label = np.arange(len(n))
-    for i in range(len(n) - 1):
-        later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if across:
-            later = later[block[later] != block[i]]
-        if not len(later):
-            if not label.any():
-                break
-            continue
-        _, right = plausible(sig, n, np.full(len(later), i), later)
-        if len(right):
-            joined = np.unique(label[np.append(right, i)])
-            label[np.isin(label, joined)] = joined[0]
-    return label
-
-
-def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, bi, bj, block, node, n, sig) sorted by the first three to forest edges (a, b) of plausible pairs."""
-    for batch in runs_of(batches, 3):
-        bi, bj, block, node, n = (batch.column(k).to_numpy() for k in range(1, 6))
-        sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, VALUES)
-        bounds, found = group_bounds(batch, 3), []
-        for left, right in pairs_in(bounds, LARGE):
-            apart = (bi[left] == bj[left]) | (block[left] != block[right])
-            found.append(plausible(sig, n, left[apart], right[apart]))
-        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
-        label = least_labels(len(node), left, right)
-        for k in np.flatnonzero(np.diff(bounds) > LARGE):
-            a, b = bounds[k], bounds[k + 1]
-            label[a:b] = a + connect(sig[a:b], n[a:b], block[a:b], bi[a] != bj[a])
-        moved = np.flatnonzero(label != np.arange(len(node)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["a", "b"])
-
-
-def blocked(df: DataFrame) -> DataFrame:
-    """Rows of a group go to the pairs of blocks in which they are compared: columns block, bi, bj.
-
-    Open rows lie in the first `open_blocks` blocks and meet all of the group's; the others, in `tied_blocks` further ones, are known to be
-    connected to each other and only meet open ones."""
-    spread = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
-    number = F.when(F.col("tied"), F.col("open_blocks") + spread(F.col("tied_blocks"))).otherwise(spread(F.col("open_blocks")))
-    meets = F.when(F.col("tied"), F.col("open_blocks")).otherwise(F.col("open_blocks") + F.col("tied_blocks"))
-    own = df.where(meets > 0).withColumn("block", number.cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), (meets - 1).cast("int"))))
-    return own.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other")
-
-
-def few(rows: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has few rows of some ids each."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, sig, first, first_n, first_sig) to (key, node, tied): whether the comparison with the first node leaves the pair."""
-    for batch in batches:
-        if batch.num_rows:
-            count = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist() + batch.column(6).to_pylist()), np.uint8).reshape(-1, VALUES)
-            n = np.concatenate([batch.column(2).to_numpy(), batch.column(5).to_numpy()])
-            left, _ = plausible(sig, n, np.arange(count), np.arange(count) + count)
-            tied = np.zeros(count, bool)
-            tied[left] = True
-            tied |= batch.column(1).to_numpy() == batch.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(tied)], ["key", "node", "first", "tied"])
-
-
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """Forests of the pairs that share a band and aren't pruned."""
-    bounded_batches(nodes.sparkSession)
-    keys, signs = nodes.select("node", F.explode("bands").alias("key")), nodes.select("node", "n", "sig")
-    met = materialize(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1"), "ngram-bands")
-    shared = keys.join(few(met), "key")
-    small = shared.where(F.col("m") <= BLOCK).select("key", "node", F.lit(False).alias("tied"), F.lit(1).alias("open_blocks"), F.lit(0).alias("tied_blocks"))
-    large = materialize(shared.where(F.col("m") > BLOCK).join(signs, "node"), "ngram-large")
-    if large.isEmpty():
-        rows, known = small, None
-    else:
-        firsts = met.where(F.col("m") > BLOCK).select("key", "first").join(signs.select(F.col("node").alias("first"), F.col("n").alias("first_n"), F.col("sig").alias("first_sig")), "first")
-        first = large.select("key", "node", "n", "sig").join(few(materialize(firsts, "ngram-firsts")), "key").select("key", "node", "n", "sig", "first", "first_n", "first_sig")
-        told = materialize(first.mapInArrow(against_first, "key long, node long, first long, tied boolean"), "ngram-told")
-        blocks = lambda c: F.ceil(F.count_if(c) / BLOCK)
-        counts = materialize(told.groupBy("key").agg(blocks(~F.col("tied")).alias("open_blocks"), blocks(F.col("tied")).alias("tied_blocks")).where("open_blocks > 0"), "ngram-open")
-        rows = small.unionByName(told.join(few(counts), "key").select("key", "node", "tied", "open_blocks", "tied_blocks"))
-        known = told.where("tied AND node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    dealt = blocked(rows.join(signs, "node")).select("key", "bi", "bj", "block", "node", "n", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    edges = dealt.mapInArrow(prune, "a long, b long")
-    return edges if known is None else edges.unionByName(known)
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted sets of distinct values."""
-    g = len(sets)
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(g), [len(s) for s in sets])
-    _, number, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = count[number] > 1
-    rank = np.cumsum(count > 1) - 1
-    column, owner = rank[number[shared]], owner[shared]
-    total = np.zeros((g, g), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    width = max(64, (1 << 22) // g)
-    for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
-        a, b = np.searchsorted(column, [at, at + width])
-        dense = np.zeros((g, width), np.float32)
-        dense[owner[a:b], column[a:b] - at] = 1
-        total += dense @ dense.T
-    return total.astype(np.int64)
-
-
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (comp, bi, bj, block, node, copies, shingles) sorted by the first three to (node, root, links) of exact pairs."""
-    for run in runs_of(batches, 3):
-        bounds = group_bounds(run, 3)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        raw = run.column(6)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            bi, bj, block, node, copies = (run.column(k).slice(a, b - a).to_numpy() for k in range(1, 6))
-            sets = [np.frombuffer(x, np.uint64) for x in raw.slice(a, b - a).to_pylist()]
-            size = np.array([len(s) for s in sets], np.int64)
-            if len(sets) == 1:
-                linked = np.zeros((1, 1), bool)
-            else:
-                both = np.array([[0, c := len(np.intersect1d(*sets, assume_unique=True))], [c, 0]]) if len(sets) == 2 else overlaps(sets)
-                linked = BOTTOM * both >= TOP * (size[:, None] + size[None, :] - both)
-                np.fill_diagonal(linked, False)
-                if bi[0] != bj[0]:
-                    linked &= block[:, None] != block[None, :]
-            label = least_labels(len(node), *np.nonzero(linked))
-            out.append((node, node[label], linked @ copies))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["node", "root", "links"])
-
-
-def with_texts(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
-    """The members with their texts: ids are broadcast where they are few, and shuffled with the texts beyond that."""
-    rows = docs.select(F.col("doc_id").alias("d"), "text", text_key(F.col("text")).alias("t"))
-    both = rows.join(few(members), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tkey")))
-    return both.dropDuplicates(["node"]) if repeats else both
-
-
-def shingle_rows(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
-    """The members with their shingle sets in place of ids."""
-    names = [c for c in members.columns if c not in ("doc_id", "tkey")]
-
-    def shingles(batch: pa.RecordBatch) -> dict:
-        return dict(zip(names, batch.columns)) | {"shingles": [s.tobytes() for s in shingle_sets(batch.column(len(names)).to_pylist())]}
-
-    schema = StructType([members.schema[c] for c in names]).add("shingles", "binary")
-    return map_batches(with_texts(docs, members, repeats).select(*names, "text"), schema, shingles, 1 << 20)
-
-
-def verified(sets: DataFrame) -> DataFrame:
-    """(node, root, links) of all pairs of blocks in which rows are to be compared; node and root are linked, and links are counted."""
-    dealt = blocked(sets).select("comp", "bi", "bj", "block", "node", "copies", "shingles").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    return dealt.mapInArrow(verify, "node long, root long, links long")
-
-
-def linked_to_first(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
-    """(comp, node, first, tied) of large families: whether a member is linked to the first one. Each block gets a copy of the first."""
-    every = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), (F.col("open_blocks") - 1).cast("int")))
-    own = F.array(F.pmod(F.xxhash64("node"), F.col("open_blocks")).cast("int"))
-    rows = shingle_rows(docs, members, repeats).withColumn("block", F.explode(F.coalesce(every, own)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs_of(batches, 2):
-            bounds, raw = group_bounds(part, 2), part.column(4)
-            comp, node, first = (part.column(k).to_numpy() for k in (0, 2, 3))
-            tied = np.zeros(part.num_rows, bool)
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                sets = [np.frombuffer(x, np.uint64) for x in raw.slice(a, b - a).to_pylist()]
-                base = sets[int(np.flatnonzero(node[a:b] == first[a])[0])]
-                for k, s in enumerate(sets):
-                    both = len(np.intersect1d(base, s, assume_unique=True))
-                    tied[a + k] = BOTTOM * both >= TOP * (len(base) + len(s) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(comp), pa.array(node), pa.array(first), pa.array(tied)], ["comp", "node", "first", "tied"])
-
-    dealt = rows.select("comp", "block", "node", "first", "shingles").repartition("comp", "block").sortWithinPartitions("comp", "block")
-    return dealt.mapInArrow(run, "comp long, node long, first long, tied boolean").distinct()
-
-
-def join(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, DataFrame, bool]:
-    """Signed rows, nodes with their class (node, print, doc_id, tkey, copies, class_id, keeper, links), and whether rows repeat.
-
-    Without `count_links` classes are the same, but links are only counted as far as they were met."""
-    signed = materialize(sign(docs), "ngram-signed")
-    repeats = not signed.groupBy("doc_id", "tkey").count().where("count > 1").limit(1).isEmpty()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("rep")
-    nodes = signed.where("print IS NOT NULL").groupBy("print").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "rep.doc_id", "rep.tkey", "copies", "n", "sig", "bands"), "ngram-nodes")
-    families = components(candidate_edges(nodes))
-    sizes = families.join(nodes.select("node", "n"), "node").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("open_blocks"))
-    members = families.join(nodes.select("node", "doc_id", "tkey", "copies"), "node").join(sizes, "comp")
-    members = members.select("node", "comp", "doc_id", "tkey", "copies", F.lit(False).alias("tied"), "open_blocks", F.lit(0).cast("long").alias("tied_blocks"))
-    members = materialize(members, "ngram-members")
-    if count_links or members.where("open_blocks > 1").isEmpty():
-        checked = materialize(verified(shingle_rows(docs, members, repeats)), "ngram-checked")
-    else:
-        large = members.where("open_blocks > 1").withColumn("first", F.col("comp"))  # a component is named after its least node
-        told = materialize(linked_to_first(docs, large.drop("tied", "tied_blocks", "copies"), repeats), "ngram-told")
-        part = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_SHINGLES))
-        of_comp = told.join(nodes.select("node", "n"), "node")
-        counts = of_comp.groupBy("comp").agg(part(~F.col("tied")).alias("open_blocks"), part(F.col("tied")).alias("tied_blocks"))
-        rest = large.drop("tied", "open_blocks", "tied_blocks", "first").join(told.select("node", "tied"), "node").join(counts.where("open_blocks > 0"), "comp")
-        rest = materialize(rest.select("node", "comp", "doc_id", "tkey", "copies", "tied", "open_blocks", "tied_blocks"), "ngram-open")
-        found = verified(shingle_rows(docs, members.where("open_blocks = 1").unionByName(rest), repeats))
-        checked = materialize(found.unionByName(told.where("tied").select("node", F.col("first").alias("root"), F.lit(0).cast("long").alias("links"))), "ngram-checked")
-    linked = components(checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    named = linked.join(nodes.select("node", "doc_id", "tkey"), "node")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey"))
-    classes = named.groupBy("comp").agg(least.alias("keeper"))
-    of_node = linked.join(classes, "comp").select("node", "keeper").join(links, "node", "full")
-    all_nodes = nodes.select("node", "print", "doc_id", "tkey", "copies").join(of_node, "node", "left")
-    keeper = F.coalesce("keeper", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey"))
-    return signed, materialize(all_nodes.select("print", "copies", F.coalesce("links", F.lit(0)).alias("links"), keeper.alias("keeper")), "ngram-classes"), repeats
+METHOD = Method(words=5, width=VALUES, value=1, signatures=signatures, plausible=plausible)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id that links reach), n_copies (documents of an equal set, itself included), n_links (documents at 0.8 or more)."""
-    signed, nodes, _ = join(docs)
+    signed, nodes, _ = families.join(docs, METHOD)
     both = signed.select("doc_id", "tkey", "print").join(nodes, "print", "left")
     alone = F.col("print").isNull()
     return both.select(
@@ -417,16 +83,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that link to a kept one's class: of each class the one of least doc_id stays."""
-    signed, nodes, repeats = join(docs, count_links=False)
-    both = signed.select("doc_id", "tkey", "print").join(nodes.select("print", "keeper"), "print")
-    away = both.where(~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("tkey") == F.col("keeper.tkey"))))
-    away = materialize(away.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct(), "ngram-away")
-    # The document's own columns travel in a struct, so their names can't clash with those of the join.
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_k"), F.coalesce(F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False)).alias("_words"))
-    kept = whole.join(few(away), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left_anti")
-    if repeats:
-        kept = kept.where("_words").dropDuplicates(["_id", "_k"]).unionByName(kept.where("NOT _words"))
-    return kept.select("_doc.*")
+    return families.keep_one(docs, METHOD)
 
 
 SQL = r"""

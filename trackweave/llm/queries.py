@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackweave.llm import bpe, chat, mixing, nbsvm, ngram_join, pii, quality_rules, revisits, sharding, telephony
+from trackweave.llm import bpe, chat, hyperminhash, mixing, nbsvm, ngram_join, pii, quality_rules, revisits, sharding, spelling, telephony, whitening
 from trackweave.llm.common import documents
 
 
@@ -52,10 +52,22 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.components(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": ngram_join.SQL, "op4_revisits": revisits.SQL, "op5_chat": chat.SQL, "op6_line_rules": quality_rules.SQL}
+    return {"op3_ngram_jaccard": ngram_join.SQL, "op4_revisits": revisits.SQL, "op5_chat": chat.SQL, "op6_line_rules": quality_rules.SQL, "op12_hyperminhash": hyperminhash.SQL}
