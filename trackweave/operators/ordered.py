@@ -7,10 +7,34 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Rows = dict[str, np.ndarray]
 
 
+def merged(tables: dict[str, DataFrame]) -> DataFrame:
+    """Several tables as one ordered feed: rows of all, with the name of their own in `_table`; columns that a table lacks are NULL there."""
+    out = None
+    for name, rows in tables.items():
+        rows = rows.withColumn("_table", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def by_table(step: Callable[[int, dict[str, Rows]], list[tuple]], columns: dict[str, list[str]]) -> Callable[[int, Rows], list[tuple]]:
+    """A machine of several tables as one of a merged feed: it gets a step's rows of each table that has any, with that table's columns."""
+
+    def run(number: int, rows: Rows) -> list[tuple]:
+        names = rows["_table"]
+        parts = {}
+        for name in dict.fromkeys(names.tolist()):
+            at = np.flatnonzero(names == name)
+            parts[name] = {c: rows[c][at] for c in columns[name]}
+        return step(number, parts)
+
+    return run
+
+
 def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make: Callable[[tuple], Callable[[int, Rows], list[tuple]]], schema: str) -> DataFrame:
     """Rows of each key, in order of `step` and then `order`, through one machine each: `make(key)` gives a function of a step's number and rows
     (arrays by column) that returns output rows.
