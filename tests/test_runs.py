@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from conftest import MIDDLE
+from plain_masks import Plain
 from test_sequential import dist, iou
 
 from trackweave.config import DEFAULT as C
@@ -13,6 +14,7 @@ from trackweave.operators import association, court_state, homography, tactical
 from trackweave.plans import runs
 from trackweave.sources import court_template as T
 from trackweave.sources import tables
+from trackweave.sources.court_template import TEMPLATE
 
 
 def inner(p):
@@ -33,6 +35,9 @@ def image(h, p):
     return (h[0][0] * p[0] + h[0][1] * p[1] + h[0][2]) / w, (h[1][0] * p[0] + h[1][1] * p[1] + h[1][2]) / w
 
 
+image_of = image
+
+
 def choose(points, observed, frame, last, last_mode, reseed, stable):
     """The better of both templates: (H, mode, score, residual)."""
     at = [k for k in range(33) if points[k]]
@@ -160,7 +165,7 @@ def plain_court(frames):
 
 
 def test_court_run(spark):
-    """Over two games of the views: all outcomes, both modes, switches, jumps, still points, fallbacks and cold starts."""
+    """Over the games of the views: all outcomes, both modes, switches, jumps, still points, fallbacks and cold starts."""
     rows = tables.views(spark, MIDDLE).orderBy("frame_idx", "kp_idx").collect()
     games = {}
     for r in rows:
@@ -169,7 +174,7 @@ def test_court_run(spark):
     for r in court_state.court_run(tables.views(spark, MIDDLE)).orderBy("frame_idx").collect():
         told = (r.frame_idx, r.status, r.mode, r.observed, r.court_side, r.switched, r.reset, r.streak, r.n_valid, r.n_carried, [(round(x, 4), round(y, 4)) for x, y in zip(r.xs, r.ys)])
         got.setdefault(r.game_id, []).append(told)
-    assert len(got) == 2
+    assert len(got) == 3
     for game, frames in games.items():
         for a, b in zip(got[game], plain_court(sorted(frames.items()))):
             assert a[:10] == b[:10], (a[:10], b[:10])
@@ -281,63 +286,182 @@ def test_batches(spark):
 
 @pytest.fixture(scope="module")
 def whole(spark):
-    d = tables.detections(spark, MIDDLE).where("game_id < 2")
-    state = court_state.court_run(tables.views(spark, MIDDLE)).cache()
-    return d, state, *(x.cache() for x in runs.track_run(d, state))
+    d, r = tables.detections(spark, MIDDLE).where("game_id < 2"), tables.place_masks(spark, MIDDLE).where("game_id < 2")
+    state = runs.updates(tables.views(spark, MIDDLE).where("game_id < 2")).cache()
+    return d, r, state, *(x.cache() for x in runs.track_run(d, r, state))
+
+
+def plain_foot(mask):
+    ys, xs = np.nonzero(mask)
+    low = ys >= np.percentile(ys, 88)
+    if low.sum() < 4:
+        low = ys >= ys.max() - 3
+    return float(np.median(xs[low])), float(np.percentile(ys[low], 96))
+
+
+def plain_links(rows, switches, holding):
+    """Aliases frame by frame: rows (frame, id, centre) of players; `switches` of masks by frame; (id, frame) of removals with a mask. {frame: {new: source}}."""
+    by, seen, before, lost, removed, out, born = {}, {}, {}, {}, {}, {}, {}
+    for f, t, c in rows:
+        by.setdefault(f, {})[t] = c
+    for f in range(min(by), max(by) + 1):
+        now = by.get(f, {})
+        changed = dict(switches.get(f, []))
+        expired = [t for t, (s, _) in seen.items() if f - s > C.buffer and t not in now]
+        for t in set(before) - set(now) - set(expired):
+            lost[t] = (f, before[t])
+        fresh = [t for t in now if t not in before and (t not in seen or f - seen[t][0] > C.buffer + 1)]
+        for t in now:
+            lost.pop(t, None)
+        for t in expired:
+            lost.pop(t, None)
+        for places in (lost, removed):
+            for t in [t for t, (at, _) in places.items() if f - at > C.switch_dt]:
+                del places[t]
+        for t in fresh:
+            found = sorted((math.hypot(now[t][0] - c[0], now[t][1] - c[1]), f - at, s) for places in (removed, lost) for s, (at, c) in places.items() if s != t)
+            found = [x for x in found if x[0] <= C.switch_dist]
+            if found and (len(found) == 1 or found[1][0] - found[0][0] >= C.switch_margin):
+                changed[t] = found[0][2]
+            born[t] = f
+        for t in expired:
+            if (t, f) not in holding and f - born[t] >= C.source_life:
+                removed[t] = (f, seen[t][1])
+            del seen[t]
+        seen |= {t: (f, c) for t, c in now.items()}
+        before = now
+        if changed:
+            out[f] = changed
+    return out
 
 
 def test_track_run(spark, whole):
-    """From shown tracks on, by loops: suppression, activation, aliases, projection, smoothing."""
-    d, state, tracks, points = whole
-    found = association.associate(d, whole=True).collect()
-    born, by = {}, {}
-    for r in sorted(found, key=lambda r: r.frame_idx):
-        born.setdefault((r.game_id, r.is_referee, r.track_id), r)
-        by.setdefault((r.game_id, r.frame_idx), []).append(r.asDict())
-    held = {}
-    for r in state.collect():
-        held[r.game_id, r.frame_idx] = r
-
-    def bars(k, r):
-        v = iou(k, r)
-        if k["is_referee"] != r["is_referee"]:
-            return v >= 0.8
-        kb, rb = (born[x["game_id"], x["is_referee"], x["track_id"]].asDict() for x in (k, r))
-        young = k["age"] <= 5 and r["age"] >= 8 or r["age"] <= 5 and k["age"] >= 8
-        apart = abs(kb["frame_idx"] - rb["frame_idx"]) > 3 or dist(kb, rb) > 40
-        return v >= 0.88 and (young and v >= 0.85 or not apart)
-
-    active, want = set(), {}
-    for key in sorted(by):
-        for r in by[key]:
-            r["age"] = r["frame_idx"] - born[r["game_id"], r["is_referee"], r["track_id"]].frame_idx
-        kept = []
-        for r in sorted(by[key], key=lambda r: (-min(r["age"], 60), -r["confidence"], r["det_id"])):
-            if not any(bars(k, r) for k in kept):
-                kept.append(r)
-        h = held.get((key[0], key[1] - key[1] % 2))
-        m = h and h.h0 is not None and [[h[f"h{3 * i + j}"] for j in range(3)] for i in range(3)]
-        for r in kept:
-            me = (r["game_id"], r["is_referee"], r["track_id"])
-            if not r["is_referee"] and me not in active and m and h.streak < 3:
-                w, high = r["x2"] - r["x1"], r["y2"] - r["y1"]
-                spots = [(r["x1"] + w * a, r["y2"]) for a in (0.5, 0.25, 0.75)] + [(r["x1"] + w / 2, r["y1"] + high * b) for b in (0.8, 0.65)]
-                if sum(0 <= x < 300 and 0 <= y < 161 for x, y in (image(m, s) for s in spots)) >= 2:
-                    active.add(me)
-            if r["is_referee"] or me in active:
-                want[(*key, r["is_referee"], r["track_id"])] = r
-    got = {(r.game_id, r.frame_idx, r.is_referee, r.track_id): r for r in tracks.collect()}
-    assert set(got) == set(want) and 0 < len(want) < len(found)
-    for r in points.collect():
-        assert r.source in ("H", "relative", "relative-guard")
-    shown = {(k[0], k[1], r.stable_id) for k, r in got.items() if not k[2]}
-    assert {(r.game_id, r.frame_idx, r.track_id) for r in points.collect()} <= shown
+    """The run of two games, from associated tracks on, by a loop over pixels and frames: masks, suppression, activation, feet, aliases, templates, projection
+    and smoothing."""
+    d, r, state, online, links, tracks, points = whole
+    found = sorted(association.associate(d, whole=True).collect(), key=lambda r: (r.game_id, r.frame_idx, r.is_referee, r.det_id))
+    masks_of, held = {}, {}
+    for m in r.collect():
+        masks_of.setdefault((m.game_id, m.frame_idx), []).append(m)
+    for u in state.collect():
+        assert u.frame_idx % 2 == 0
+        held[u.game_id, u.frame_idx] = u
+    target = np.array([(tx, ty) for _, tx, ty, _ in TEMPLATE], float)
+    got_tracks = {(t.game_id, t.frame_idx, t.is_referee, t.track_id): t for t in tracks.collect()}
+    got_points = {(p.game_id, p.frame_idx, p.track_id): p for p in points.collect()}
+    sources, by_mask, wanted = {}, 0, 0
+    for game in (0, 1):
+        machine, active, birth, shown_rows, handed, holding, player_rows = Plain(C), set(), {}, [], {}, set(), []
+        frames = sorted({t.frame_idx for t in found if t.game_id == game})
+        for f in frames:
+            rows = [(game, f, n, t.track_id, t.is_referee, t.x1, t.y1, t.x2, t.y2, t.confidence) for n, t in enumerate(t for t in found if t.game_id == game and t.frame_idx == f)]
+            image = np.zeros((C.frame_h, C.frame_w), np.int16)
+            for m in masks_of.get((game, f), []):
+                image[m.y, m.x_start : m.x_end] = m.mask_id
+            due = [t for t in machine.last if f - machine.last[t] > C.buffer and t not in {x[3] for x in rows if not x[4]}]
+            free = machine.begin(f, rows, image)
+            handed[f] = [(t, other) for t, kind, _, other, _ in machine.log if kind == "reuse"]
+            holding |= {(t, f) for t in due if t in machine.mask_of}
+            player_rows += [(f, t, ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)) for t, b, _ in machine.pending[1]]
+            left = {t for t, _, _ in free}
+            all_rows = [x for x in rows if x[4] or x[3] in left]
+            boxes = {(x[4], x[3]): dict(zip(("x1", "y1", "x2", "y2"), x[5:9]), role=x[4], id=x[3], conf=x[9]) for x in all_rows}
+            for k, b in boxes.items():
+                birth.setdefault(k, (f, (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2))
+            age = {k: f - birth[k][0] for k in boxes}
+
+            def bars(a, b):
+                v = iou(boxes[a], boxes[b])
+                if a[0] != b[0]:
+                    return v >= C.cross_role_iou
+                young = min(age[a], age[b]) <= C.young_age and max(age[a], age[b]) >= C.old_age
+                apart = abs(birth[a][0] - birth[b][0]) > C.birth_gap or math.hypot(birth[a][1] - birth[b][1], birth[a][2] - birth[b][2]) > C.birth_dist
+                return v >= C.track_same_iou and (young and v >= C.track_young_iou or not apart)
+
+            kept = []
+            for n, k in sorted(enumerate(boxes), key=lambda nk: (-min(age[nk[1]], 60), -boxes[nk[1]]["conf"], nk[0])):
+                if not any(bars(q, k) for q in kept):
+                    kept.append(k)
+            shown = [p for p in free if (False, p[0]) in kept]
+            seen = machine.look(shown)
+            u = held.get((game, f - f % 2))
+            h = u and u.h0 is not None and [[u[f"h{3 * i + j}"] for j in range(3)] for i in range(3)]
+            for t, b, _ in shown:
+                if t in active:
+                    continue
+                share = area = 0
+                if t in seen and h:
+                    ys, xs = np.nonzero(seen[t])
+                    step = max(1, len(xs) // 2500)
+                    spots = [image_of(h, p) for p in zip(xs[::step].tolist(), ys[::step].tolist())]
+                    share = sum(0 <= x < 300 and 0 <= y < 161 for x, y in spots) / len(spots)
+                    area = round(len(xs) * share)
+                if area == 0 and (not h or u.streak >= 3):
+                    continue
+                w, high = b[2] - b[0], b[3] - b[1]
+                spots = [(b[0] + w * a, b[3]) for a in (0.5, 0.25, 0.75)] + [(b[0] + w / 2, b[1] + high * c) for c in (0.8, 0.65)]
+                if h and sum(0 <= x < 300 and 0 <= y < 161 for x, y in (image_of(h, s) for s in spots)) >= 2 or share >= 0.12:
+                    active.add(t)
+            for _ in range(2):
+                seen = machine.look([p for p in shown if p[0] in active])
+            machine.end()
+            for role, t in kept:
+                if role or t in active:
+                    b = boxes[role, t]
+                    foot = plain_foot(seen[t]) if t in seen and not role else ((b["x1"] + b["x2"]) / 2, max(b["y1"], b["y2"] - 3))
+                    shown_rows.append((f, role, t, foot, None if role else machine.mask_of.get(t), t in seen))
+                    by_mask += t in seen and not role
+        assert {k for k in got_tracks if k[0] == game} == {(game, f, role, t) for f, role, t, *_ in shown_rows}
+        aliases, now, last, last_seen = plain_links(player_rows, handed, holding), {}, {}, {}
+        for f in frames:
+            now |= aliases.get(f, {})
+            u = held.get((game, f - f % 2))
+            h = u and u.h0 is not None and [[u[f"h{3 * i + j}"] for j in range(3)] for i in range(3)]
+            xy = np.array([u.xs, u.ys]).T if u else np.zeros((33, 2))
+            there = (xy > 0).all(1)
+            image = target.copy()
+            if there.any():
+                mean, want = target[there, 0].mean(), u.layout or u.court_side
+                side = lambda x: "left" if x < 129 else "right" if x > 171 else "center"
+                flipped = side(mean) != want and (side(300 - mean) == want or u.mode == "mirrored") if want in ("left", "right") else u.mode == "mirrored"
+                if flipped:
+                    image[:, 0] = 300 - image[:, 0]
+            for _, role, t, foot, mask, masked in sorted((x for x in shown_rows if x[0] == f and not x[1]), key=lambda x: x[2]):
+                g, stable = got_tracks[game, f, False, t], now.get(t, t)
+                assert (g.stable_id, g.mask_id, g.by_mask) == (stable, mask, masked) and (g.fx, g.fy) == pytest.approx(foot)
+                rel = None
+                if there.sum() >= 2:
+                    near = sorted(np.flatnonzero(there).tolist(), key=lambda k: (math.dist(xy[k], foot), k))[:6]
+                    weight = [(math.dist(xy[k], foot) + 1) ** -1.35 * min(1, max(0.25, u.confs[k])) for k in near]
+                    rel = [min(max(sum(w * image[k][c] for w, k in zip(weight, near)) / sum(weight), 0), (299, 160)[c]) for c in (0, 1)]
+                p, source = None, None
+                if h:
+                    raw = image_of(h, foot)
+                    inside = -25 <= raw[0] <= 325 and -25 <= raw[1] <= 186
+                    hp = [min(max(raw[0], 0), 299), min(max(raw[1], 0), 160)]
+                    p, source = (hp, "H") if inside else (None, None) if rel is None else ([0.15 * a + 0.85 * b for a, b in zip(hp, rel)], "relative-guard")
+                elif rel:
+                    p, source = rel, "relative"
+                if p is None or last_seen.get(stable) == f:
+                    continue
+                if stable in last and f - last_seen[stable] <= 12:
+                    dx, dy = p[0] - last[stable][0], p[1] - last[stable][1]
+                    size = math.hypot(dx, dy)
+                    cut = 18 / size if size > 18 else 1
+                    p = [0.45 * a + 0.55 * (a + v * cut) for a, v in zip(last[stable], (dx, dy))]
+                last[stable], last_seen[stable] = p, f
+                mine = got_points[game, f, stable]
+                assert mine.source == source and (mine.sx, mine.sy) == pytest.approx(p, abs=1e-6)
+                sources[source] = sources.get(source, 0) + 1
+                wanted += 1
+    assert wanted == len(got_points) and by_mask > 200 and sources["H"] > 1000
+    assert any(t.stable_id != t.track_id for t in got_tracks.values()) and links.where("source_kind = 'mask'").count() > 5
 
 
 def test_games_run_apart(spark, whole):
     """A game's positions don't depend on the games beside it, and steps are bounded as smoothing says."""
-    d, state, _, points = whole
-    alone = runs.track_run(d.where("game_id = 1"), state.where("game_id = 1"))[1]
+    d, r, state, *_, points = whole
+    alone = runs.track_run(*(t.where("game_id = 1") for t in (d, r, state)))[-1]
     rows = lambda f: sorted((r.frame_idx, r.track_id, round(r.sx, 6), round(r.sy, 6)) for r in f.collect())
     assert rows(alone) == rows(points.where("game_id = 1"))
     last = {}
@@ -349,6 +473,32 @@ def test_games_run_apart(spark, whole):
     assert tactical.KEY
 
 
+def test_run_edges(spark):
+    """Games without masks, without a court, and without anything."""
+    d, r, v = (t.where("game_id = 0 AND frame_idx < 60") for t in (tables.detections(spark, MIDDLE), tables.place_masks(spark, MIDDLE), tables.views(spark, MIDDLE)))
+    state = runs.updates(v)
+    none = lambda t: t.limit(0)
+    online, _, tracks, points = runs.track_run(d, none(r), state)
+    assert points.count() > 0 and online.where("by_mask").count() == 0
+    online, _, tracks, points = runs.track_run(d, r, none(state))
+    assert points.count() == 0 and tracks.where("NOT is_referee").count() == 0 < tracks.count()
+    assert [x.count() for x in runs.track_run(none(d), r, state)] == [0, 0, 0, 0]
+
+
+def test_jersey_run(spark):
+    """Reads in number boxes of every third frame vote for the first player that holds them, by its stable id."""
+    tracks = [(0, f, False, t, s, n, 100 * t, 0, 100 * t + 150, 100, 0.9) for f in range(12) for n, (t, s) in enumerate([(2, 1), (1, 1), (3, 3)] if f < 9 else [(3, 3)])]
+    tracks = spark.createDataFrame(tracks, "game_id int, frame_idx long, is_referee boolean, track_id long, stable_id long, place int, x1 long, y1 long, x2 long, y2 long, confidence double")
+    boxes = [(0, f, 10 * f + k, x, 10, x + 20, 30, 2, 0.8) for f in range(12) for k, x in enumerate((210, 330))]
+    boxes = spark.createDataFrame(boxes, "game_id int, frame_idx long, det_id long, x1 long, y1 long, x2 long, y2 long, class_id int, confidence double")
+    reads = [(0, f, 10 * f + k, text, 0.9) for f in range(12) for k, text in enumerate(("2B", "l7"))]
+    reads = spark.createDataFrame(reads, "game_id int, frame_idx long, det_id long, text string, conf double")
+    voted = runs.jersey_run(boxes, reads, tracks)
+    # Tracks 2 and 1 show as 1, with the box of the later one, which ends at 250; 17 is read in the box of 3 in frames 0, 3, 6 and 9.
+    assert sorted((r.track_id, r.number, r.frame_idx) for r in voted.collect()) == [(1, "28", f) for f in (0, 3, 6)] + [(3, "17", f) for f in (0, 3, 6, 9)]
+    assert sorted((r.track_id, r.jersey, r.lock_frame) for r in runs.jersey.locks(voted).collect()) == [(1, "28", 6), (3, "17", 6)]
+
+
 def plain_lifecycle(rows, end):
     """Frame by frame over one role of one game, as a tracker tells it: rows (frame, track, centre) to counts of events and of switches."""
     by, seen = {}, {}

@@ -45,6 +45,7 @@ class Config:
     switch_dist: float = 80.0
     switch_dt: int = 60
     switch_margin: float = 20.0
+    source_life: int = 10
     jump_px: float = 90.0
     swap_margin: float = 70.0
     # Jersey numbers
@@ -127,6 +128,7 @@ class Config:
     reinit_inside: int = 10
     reinit_ratio: float = 0.12
     reinit_cooldown: int = 20
+    looks: int = 3
     # Pan prior and side transitions
     pan_min_points: int = 4
     pan_min_px: float = 2.0

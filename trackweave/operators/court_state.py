@@ -17,7 +17,7 @@ from trackweave.sources import court_template as T
 
 COUNT = len(T.TEMPLATE)
 SCHEMA = (
-    "game_id int, frame_idx long, status string, mode string, observed string, court_side string, switched boolean, reset boolean, streak int, "
+    "game_id int, frame_idx long, status string, mode string, observed string, layout string, court_side string, switched boolean, reset boolean, streak int, "
     "n_valid int, n_carried int, score double, reproj double, " + ", ".join(f"{h} double" for h in H) + ", xs array<double>, ys array<double>, confs array<double>"
 )
 SIDES = {"left": [*T.LEFT, *T.LEFT_INNER], "right": [*T.RIGHT, *T.RIGHT_INNER]}
@@ -49,6 +49,7 @@ class Court:
         self.count = self.transition = self.streak = 0
         self.reseed = False
         self.center: float | None = None
+        self.line_side: str | None = None
 
     def inner(self, p: np.ndarray) -> np.ndarray:
         m = self.cfg.border
@@ -70,8 +71,9 @@ class Court:
     def observe(self, xy: np.ndarray, conf: np.ndarray) -> str | None:
         """The side that the frame shows: by layout, centre line, its last place, or counts."""
         cfg, seen = self.cfg, (xy > 0).all(1) & (conf >= self.cfg.keypoint_conf)
-        if found := self.layout(xy, conf):
-            return found
+        self.line_side = self.layout(xy, conf)
+        if self.line_side:
+            return self.line_side
         middle = [xy[k, 0] for k in T.CENTER if seen[k]]
         if middle:
             self.center = float(np.mean(middle))
@@ -206,7 +208,7 @@ class Court:
         self.transition = max(0, self.transition - 1)
         self.streak = 0 if status == "ok" else self.streak + 1
         h = [None] * 9 if self.h is None else self.h.ravel().tolist()
-        told = (status, self.mode, observed, self.side, switched, reset, self.streak, n, carried, best and best[2], best and best[3])
+        told = (status, self.mode, observed, self.line_side, self.side, switched, reset, self.streak, n, carried, best and best[2], best and best[3])
         return [(self.game, frame, *told, *h, xy[:, 0].tolist(), xy[:, 1].tolist(), conf.tolist())]
 
 

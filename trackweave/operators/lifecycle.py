@@ -113,19 +113,26 @@ def most_recovered(events: DataFrame, n: int = 10) -> DataFrame:
     return counts.withColumn("rank", order).where(F.col("rank") <= n)
 
 
-def switch_links(tracks: DataFrame, cfg: Config = DEFAULT, span: int = 64) -> DataFrame:
+def switch_links(tracks: DataFrame, cfg: Config = DEFAULT, holding: DataFrame | None = None, span: int = 64) -> DataFrame:
     """New tracks that continue a lost or removed one: near in place and time, the nearest by (distance, time), and none where
     the runner-up is about as near. An interval join on spans of frames, so that it stays an equality join.
 
-    A track is new when first seen, and when seen again after its removal. A removed one can be continued from the frame after its removal on."""
+    A track is new when first seen, and when seen again after its removal. A removed one can be continued from the frame after its removal on, if it
+    had lived for `source_life` frames, and unless it still had a mask then: `holding` has these (game_id, is_referee, track_id, frame_idx of the
+    removal)."""
     rows = tracks.select(*TRACK, "frame_idx", *BOX).withColumn("before", F.lag("frame_idx").over(own())).withColumn("after", F.lead("frame_idx").over(own()))
     cx, cy = center(box())
     fresh = F.col("before").isNull() | (F.col("frame_idx") - F.col("before") > cfg.buffer + 1)
     new = rows.where(fresh).select("game_id", "is_referee", F.col("track_id").alias("new_id"), "frame_idx", cx.alias("cx"), cy.alias("cy"), F.floor(F.col("frame_idx") / span).alias("span"))
-    gone = rows.where(F.col("after").isNull() | (F.col("after") > F.col("frame_idx") + 1)).select("game_id", "is_referee", F.col("track_id").alias("source_id"), cx.alias("sx"), cy.alias("sy"), "after", F.col("frame_idx").alias("seen"))
+    since = own().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("born", F.last(F.when(fresh, F.col("frame_idx")), ignorenulls=True).over(since))
+    gone = rows.where(F.col("after").isNull() | (F.col("after") > F.col("frame_idx") + 1)).select("game_id", "is_referee", F.col("track_id").alias("source_id"), cx.alias("sx"), cy.alias("sy"), "after", F.col("frame_idx").alias("seen"), "born")
     kind = lambda name, frame: F.struct(F.lit(name).alias("source_kind"), frame.alias("since"))
     gone = gone.withColumn("k", F.explode(F.array(kind("lost", F.col("seen") + 1), kind("rm", F.col("seen") + cfg.buffer + 1)))).select("*", "k.*").drop("k")
-    gone = gone.where("source_kind = 'lost' OR after IS NULL OR since < after")
+    gone = gone.where(f"source_kind = 'lost' OR (after IS NULL OR since < after) AND since - born >= {cfg.source_life}")
+    if holding is not None:
+        held = holding.select("game_id", "is_referee", F.col("track_id").alias("source_id"), F.col("frame_idx").alias("since"), F.lit("rm").alias("source_kind"))
+        gone = gone.join(held, ["game_id", "is_referee", "source_id", "since", "source_kind"], "left_anti")
     gone = gone.withColumn("span", F.explode(F.sequence(F.floor(F.col("since") / span), F.floor((F.col("since") + cfg.switch_dt) / span))))
     both = new.join(gone, ["game_id", "is_referee", "span"]).withColumn("dt", F.col("frame_idx") - F.col("since")).withColumn("dist", distance((F.col("cx"), F.col("cy")), (F.col("sx"), F.col("sy"))))
     open_ = "after IS NULL OR frame_idx < after"
@@ -136,8 +143,10 @@ def switch_links(tracks: DataFrame, cfg: Config = DEFAULT, span: int = 64) -> Da
 
 
 def apply_aliases(tracks: DataFrame, links: DataFrame) -> DataFrame:
-    """One hop: from a link's frame on, until its next link, a new track has the source's id; referees keep theirs."""
-    a = links.where("NOT is_referee").groupBy("game_id", F.col("new_id").alias("track_id")).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "source_id"))).alias("_links"))
+    """One hop: from a link's frame on, until its next link, a new track has the source's id; referees keep theirs. Of links in one frame those by
+    place come after those by a mask."""
+    order = (F.col("source_kind") != "mask").alias("by_place")
+    a = links.where("NOT is_referee").groupBy("game_id", F.col("new_id").alias("track_id")).agg(F.array_sort(F.collect_list(F.struct("frame_idx", order, "source_id"))).alias("_links"))
     upto = F.filter("_links", lambda l: l["frame_idx"] <= F.col("frame_idx"))
     stable = F.when(~F.col("is_referee"), F.try_element_at(upto, F.lit(-1))["source_id"])
     return tracks.join(a, ["game_id", "track_id"], "left").withColumn("stable_id", F.coalesce(stable, F.col("track_id"))).drop("_links")

@@ -38,13 +38,21 @@ class Player:
     confidence: float = 0.0
 
 
+def packed(runs: DataFrame) -> DataFrame:
+    """A row for each mask of a frame, with its runs as arrays; a mask has no more runs than a picture has rows and breaks in them."""
+    return runs.groupBy("game_id", "frame_idx", "mask_id").agg(F.collect_list(F.struct("y", "x_start", "x_end")).alias("r")).select(
+        "game_id", "frame_idx", "mask_id", *(F.col(f"r.{c}").cast("array<long>").alias(n) for c, n in (("y", "ys"), ("x_start", "starts"), ("x_end", "ends")))
+    )
+
+
 class Picture:
-    """The masks of one frame, as runs (y, from x, to before x)."""
+    """The masks of one frame, as rows (mask, y, from x, to before x)."""
 
-    def __init__(self, runs: Rows | None, gone: set[int], cfg: Config = DEFAULT):
+    def __init__(self, masks: Rows | None, gone: set[int], cfg: Config = DEFAULT):
         self.cfg = cfg
-        rows = np.zeros((0, 4), np.int64) if runs is None else np.stack([runs[c].astype(np.int64) for c in ("mask_id", "y", "x_start", "x_end")], axis=1)
-        self.rows = rows[~np.isin(rows[:, 0], list(gone))] if gone else rows
+        kept = [] if masks is None else [(int(m), *a) for m, *a in zip(masks["mask_id"], masks["ys"], masks["starts"], masks["ends"]) if int(m) not in gone]
+        parts = [np.stack([np.full(len(y), m), y, a, b], axis=1) for m, y, a, b in kept]
+        self.rows = np.concatenate(parts).astype(np.int64) if parts else np.zeros((0, 4), np.int64)
 
     def clear(self, mask: int) -> None:
         self.rows = self.rows[self.rows[:, 0] != mask]
@@ -174,14 +182,14 @@ class Ownership:
         self.asking = again
         return list(dict.fromkeys([*new, *again]))
 
-    def redraw(self, frame: int, runs: Rows | None) -> None:
+    def redraw(self, frame: int, masks: Rows | None) -> None:
         """The next picture: masks of tracks that were removed are gone, and requests are answered."""
         asked = self.requests(frame) if self.picture else []
         for t in self.left:
             if t in self.owner:
                 self.gone.add(self.owner.pop(t))
         boxes = {p.id: p.box for p in self.shown}
-        self.picture = Picture(runs, self.gone, self.cfg)
+        self.picture = Picture(masks, self.gone, self.cfg)
         self.asking = []
         for t in asked:
             mask, _ = self.picture.best(boxes[t])
@@ -302,7 +310,7 @@ class Masks:
         new, left = self.seen.step(frame, [i for i, _, _, ref in rows if not ref])
         players = [Player(i, box, self.seen.first[i], c) for i, box, c, ref in rows if not ref]
         s.told = []
-        s.redraw(frame, tables.get("run"))
+        s.redraw(frame, tables.get("mask"))
         players = s.without_duplicates(players)
         s.schedule(frame, players)
         kept = s.without_conflicts(players, [Player(i, box, 0, c) for i, box, c, ref in rows if ref])
@@ -318,7 +326,6 @@ def ownership(tracks: DataFrame, runs: DataFrame, cfg: Config = DEFAULT) -> Data
     the way, for `n` frames so far), request, invalidate, duplicate and conflict (the track is dropped for `other_id`); and a row `state` for each player
     shown: its mask, the frames that it has been missing, and for how long the player has waited."""
     t = tracks.select("game_id", "frame_idx", F.col("obs_id").alias("place"), "track_id", "is_referee", "x1", "y1", "x2", "y2", "confidence")
-    r = runs.select("game_id", "frame_idx", F.col("y").alias("place"), "mask_id", "y", "x_start", "x_end")
-    tables = {"track": t, "run": r}
+    tables = {"mask": packed(runs).withColumn("place", F.col("mask_id")), "track": t}
     columns = {name: rows.columns for name, rows in tables.items()}
-    return in_order(merged(tables), ["game_id"], "frame_idx", ["_table", "place", "mask_id", "x_start"], lambda key: by_table(Masks(key[0], cfg).step, columns), SCHEMA)
+    return in_order(merged(tables), ["game_id"], "frame_idx", ["_table", "place"], lambda key: by_table(Masks(key[0], cfg).step, columns), SCHEMA)

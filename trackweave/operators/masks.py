@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
 from trackweave.functions.fold import running
-from trackweave.functions.geometry import box, box_distance, expand, iou_tlwh, project
+from trackweave.functions.geometry import box, box_distance, expand, iou, iou_tlwh, project
 from trackweave.operators.matching import BOX, FRAME, TRACK, as_tlwh, renamed
 
 WIDE = ("wx1", "wy1", "wx2", "wy2")
@@ -70,6 +70,34 @@ def without_duplicates(tracks: DataFrame, found: DataFrame, births: DataFrame, c
     return tracks.join(gone.select(*FRAME, "is_referee", "track_id"), [*FRAME, "is_referee", "track_id"], "left_anti")
 
 
+def without_referee_conflicts(tracks: DataFrame, runs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Player tracks without those that overlap a referee of the frame who is surer by a margin, and whose box a valid mask fills.
+
+    A dropped player's mask is cleared, so the next player, in order of observation, doesn't find it: a fold over the few players of a frame that
+    are beside a surer referee at all; only of these are masks looked at."""
+    keep = FRAME
+    p, r = tracks.where("NOT is_referee"), renamed(tracks.where("is_referee").select(*FRAME, *BOX, "confidence"), "r_")
+    beside = (iou(box(), box("r_")) >= cfg.ref_iou) & (F.col("r_confidence") >= F.col("confidence") + cfg.ref_conf_gain)
+    hits = p.join(r, list(FRAME)).where(beside).groupBy(*FRAME, "is_referee", "track_id", "obs_id", *BOX).agg(F.count("*").alias("n_referees"))
+    near = runs.join(hits.select(*FRAME).distinct(), list(FRAME), "left_semi")
+    per = overlaps(hits, near, cfg).where("inside > 0").join(sizes(near).select(*FRAME, "mask_id", "area"), [*FRAME, "mask_id"])
+    wide, high = (F.least(F.lit(m), F.col(b)) - F.greatest(F.lit(0), F.col(a)) for m, a, b in ((cfg.frame_w, "x1", "x2"), (cfg.frame_h, "y1", "y2")))
+    good = (F.col("wide") >= cfg.mask_area) & (F.col("wide").cast("double") / F.greatest(F.lit(1), F.col("area")) >= cfg.mask_inside)
+    full = good & (F.col("inside").cast("double") / F.greatest(F.lit(1), wide * high) >= cfg.ref_fill)
+    seen = per.groupBy(*keep, "track_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("inside")).alias("less"), "mask_id", full.alias("full")))).alias("masks"))
+    frames = hits.select(*keep, "track_id", "obs_id").join(seen, [*keep, "track_id"]).groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("obs_id", "track_id", "masks"))).alias("players"))
+    start = F.struct(F.array().cast("array<bigint>").alias("cleared"), F.array().cast("array<bigint>").alias("away"))
+
+    def add(state: Column, player: Column) -> Column:
+        first = F.get(F.filter(player["masks"], lambda m: ~F.array_contains(state["cleared"], m["mask_id"])), F.lit(0))
+        out = F.coalesce(first["full"], F.lit(False))
+        plus = lambda a, v: F.when(out, F.concat(a, F.array(v.cast("bigint")))).otherwise(a)
+        return F.struct(plus(state["cleared"], first["mask_id"]).alias("cleared"), plus(state["away"], player["track_id"]).alias("away"))
+
+    away = frames.select(*keep, F.explode(F.aggregate("players", start, add)["away"]).alias("track_id"))
+    return p.join(away, [*keep, "track_id"], "left_anti")
+
+
 def lookup(tracks: DataFrame, owners: DataFrame) -> DataFrame:
     """Player tracks with the mask that is theirs in the frame."""
     return tracks.where("NOT is_referee").join(owners.select(*FRAME, "track_id", "mask_id"), [*FRAME, "track_id"])
@@ -147,7 +175,7 @@ def reusable(tracks: DataFrame, found: DataFrame, owners: DataFrame, cfg: Config
 
 def reuse_links(reused: DataFrame) -> DataFrame:
     """Reused masks as links of identity, as `lifecycle.apply_aliases` and counts of switches take them: the new track continues the mask's owner."""
-    return reused.select("game_id", F.lit(False).alias("is_referee"), "frame_idx", F.lit("lost").alias("source_kind"), F.col("owner_id").alias("source_id"), F.col("track_id").alias("new_id"))
+    return reused.select("game_id", F.lit(False).alias("is_referee"), "frame_idx", F.lit("mask").alias("source_kind"), F.col("owner_id").alias("source_id"), F.col("track_id").alias("new_id"))
 
 
 def missing_runs(tracks: DataFrame, owners: DataFrame) -> DataFrame:

@@ -112,17 +112,6 @@ def containing_track(numbers: DataFrame, tracks: DataFrame) -> DataFrame:
     return both.withColumn("_n", first).where("_n = 1").select(*FRAME, "det_id", "cx", "cy", "track_id")
 
 
-def without_referee_conflicts(tracks: DataFrame, masks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Player tracks without those whose box a mask fills and that overlap a referee of the frame who is surer by a margin.
-
-    `masks` has the fill of each player's dominant mask, where that is valid; a player without one is never in conflict."""
-    f = masks.where("NOT is_referee").where(F.col("fill") >= cfg.ref_fill).select(*FRAME, "track_id")
-    p, r = renamed(tracks.where("NOT is_referee"), "p_"), renamed(tracks.where("is_referee"), "r_")
-    hit = (iou(box("p_"), box("r_")) >= cfg.ref_iou) & (F.col("r_confidence") >= F.col("p_confidence") + cfg.ref_conf_gain)
-    gone = p.join(f.withColumnRenamed("track_id", "p_track_id"), [*FRAME, "p_track_id"], "left_semi").join(r, list(FRAME)).where(hit)
-    return tracks.where("NOT is_referee").join(gone.select(*FRAME, F.col("p_track_id").alias("track_id")).distinct(), [*FRAME, "track_id"], "left_anti")
-
-
 def funnel(detections: DataFrame, stages: dict[str, DataFrame], cfg: Config = DEFAULT) -> DataFrame:
     """Per frame and role: detections with their score tiers, and the rows of each further stage (`n_` and its name) that are players or referees."""
     key, none = [*FRAME, "is_referee"], F.lit(None).cast("double").alias("confidence")

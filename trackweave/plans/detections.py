@@ -261,14 +261,25 @@ dm AS (SELECT t.*, q.mask_id, q.inside, wd.wide, area, CAST(q.inside AS DOUBLE)
   FROM wide t JOIN top0 q USING (frame_idx, is_referee, track_id) JOIN wd USING (frame_idx, is_referee, track_id) JOIN ar ON ar.frame_idx = t.frame_idx AND ar.mask_id = q.mask_id)"""
 
 
+#: Players beside a surer referee, in order; each that finds a valid mask that fills 0.55 of its box, of those that weren't cleared before, is dropped and clears it.
+_BESIDE = f"""hp AS (SELECT p.*, row_number() OVER (PARTITION BY frame_idx ORDER BY obs_id) AS n FROM wide p WHERE NOT is_referee
+  AND EXISTS (SELECT 1 FROM crw r WHERE r.is_referee AND r.frame_idx = p.frame_idx AND {S.iou('p.', 'r.')} >= 0.45 AND r.confidence >= p.confidence + 0.05::double)),
+hi AS (SELECT h.frame_idx, h.n, m.mask_id, sum(least(x_end, x2) - greatest(x_start, x1)) AS inside FROM hp h JOIN mr m ON m.frame_idx = h.frame_idx AND y >= y1 AND y < y2 AND x_start < x2 AND x_end > x1 GROUP BY ALL),
+hw AS (SELECT h.frame_idx, h.n, m.mask_id, sum(least(x_end, wx2) - greatest(x_start, wx1)) AS wide FROM hp h JOIN mr m ON m.frame_idx = h.frame_idx AND y >= wy1 AND y < wy2 AND x_start < wx2 AND x_end > wx1 GROUP BY ALL),
+hm AS (SELECT frame_idx, n, list({{'m': mask_id, 'full': wide >= 80 AND CAST(wide AS DOUBLE) / area >= 0.35 AND CAST(inside AS DOUBLE) / greatest(1, (x2 - x1) * (y2 - y1)) >= 0.55}} ORDER BY inside DESC, mask_id) AS ms
+  FROM hp JOIN hi USING (frame_idx, n) JOIN hw USING (frame_idx, n, mask_id) JOIN ar USING (frame_idx, mask_id) GROUP BY ALL),
+cs(frame_idx, n, cleared, away) AS (SELECT DISTINCT frame_idx, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false FROM hp UNION ALL
+  SELECT frame_idx, n, CASE WHEN hit THEN list_append(cleared, b.m) ELSE cleared END, hit FROM (SELECT *, coalesce(b.full, false) AS hit FROM (
+    SELECT h.frame_idx, h.n, s.cleared, list_filter(hm.ms, lambda q: NOT list_contains(s.cleared, q.m))[1] AS b
+    FROM cs s JOIN hp h ON h.frame_idx = s.frame_idx AND h.n = s.n + 1 LEFT JOIN hm ON hm.frame_idx = h.frame_idx AND hm.n = h.n)))"""
+
+
 @query(f"""
-{DOMINANT}
-SELECT p.frame_idx, p.track_id FROM crw p WHERE NOT p.is_referee AND NOT EXISTS (SELECT 1 FROM crw r JOIN dm ON dm.frame_idx = r.frame_idx WHERE r.is_referee AND r.frame_idx = p.frame_idx
-  AND dm.track_id = p.track_id AND NOT dm.is_referee AND dm.ok AND dm.fill >= 0.55 AND {S.iou('p.', 'r.')} >= 0.45 AND r.confidence >= p.confidence + 0.05::double)
+{DOMINANT}, {_BESIDE}
+SELECT p.frame_idx, p.track_id FROM crw p WHERE NOT p.is_referee AND NOT EXISTS (SELECT 1 FROM hp h JOIN cs ON cs.frame_idx = h.frame_idx AND cs.n = h.n WHERE cs.away AND h.frame_idx = p.frame_idx AND h.track_id = p.track_id)
 """)
 def ref_conflict(spark, d):
-    t = T.crowd(spark, d)
-    return matching.without_referee_conflicts(t, masks.valid(masks.dominant(t, T.mask_runs(spark, d)))).select("frame_idx", "track_id")
+    return masks.without_referee_conflicts(T.crowd(spark, d), T.mask_runs(spark, d)).select("frame_idx", "track_id")
 
 
 #: Five points of a box: at the foot in the middle and at a quarter from each side, and in the middle at 0.80 and 0.65 of the height.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackweave.config import DEFAULT, Config
 from trackweave.functions.geometry import choose_projection, milli, project
 from trackweave.operators import association as _association
-from trackweave.operators import court, court_state, lifecycle, suppress, tactical
+from trackweave.operators import court, court_state, game, jersey, lifecycle, mask_state, masks, matching, tactical
 from trackweave.operators.homography import H
 from trackweave.operators.matching import BOX, FRAME
 from trackweave.plans import sql as S
@@ -22,53 +22,70 @@ from trackweave.sources.written import materialize, shared_dir
 from trackweave.streaming import stateful
 
 
-def held_points(state: DataFrame) -> DataFrame:
-    """The keypoints that hold after each update, with their court positions under the mode of its homography."""
-    rows = state.select(*FRAME, F.coalesce("mode", F.lit("normal")).alias("mode"), F.posexplode(F.arrays_zip("xs", "ys", "confs")).alias("kp_idx", "p"))
+def updates(keypoints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The court's state after each update; only every `keypoint_every`-th frame is one."""
+    return court_state.court_run(keypoints.where(F.col("frame_idx") % cfg.keypoint_every == 0), cfg)
+
+
+def held_points(state: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The keypoints that hold after each update, with their court positions under the template whose side is that of the update's layout, or
+    else the court's side, or else under the mode of its homography."""
     places = F.array(*(F.struct(F.lit(tx).alias("tx"), F.lit(ty).alias("ty")) for _, tx, ty, _ in TEMPLATE))
-    at = F.get(places, F.col("kp_idx"))
-    tx = F.when(F.col("mode") == "mirrored", DEFAULT.court_w - at["tx"]).otherwise(at["tx"])
-    return rows.select(*FRAME, "kp_idx", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"), F.col("p.confs").alias("conf"), tx.alias("tx"), at["ty"].alias("ty")).where(court.seen())
-
-
-def track_run(detections: DataFrame, state: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(tracks, positions) of a run of the whole: detections are suppressed by the tracks known before, associated, and freed of young overlaps; tracks are
-    suppressed, activated by the court, and renamed where they continue others; their feet are projected and smoothed.
-
-    `state` has a homography (NULL before the first) for each update, as `court_state.court_run` gives; a frame holds that of the last update."""
-    found = materialize(_association.associate(detections, cfg, whole=True), "run-tracks").withColumn("obs_id", F.col("det_id"))
-    kept = suppress.suppress_tracks(found, lifecycle.births(found), cfg)
-    frames = kept.withColumn("update_frame", F.col("frame_idx") - F.col("frame_idx") % cfg.keypoint_every)
-    now = state.select("game_id", F.col("frame_idx").alias("update_frame"), "streak", *H)
-    seen = frames.join(now, ["game_id", "update_frame"], "left")
-    w, high = (F.greatest(F.lit(1), F.col(b) - F.col(a)) for a, b in (("x1", "x2"), ("y1", "y2")))
-    h = [F.col(c) for c in H]
-    on = F.lit(0)
-    for x, y in ((0.50, None), (0.25, None), (0.75, None), (0.50, 0.80), (0.50, 0.65)):
-        px, py = project(F.col("x1") + w * x, F.col("y2") if y is None else F.col("y1") + high * y, h)
-        on = on + F.coalesce((px >= 0) & (px < cfg.court_w) & (py >= 0) & (py < cfg.court_h), F.lit(False)).cast("int")
-    old = F.col("h0").isNull() | (F.col("streak") >= cfg.stale_streak)
-    stale = seen.where(old).select(*FRAME).distinct()
-    no_masks = seen.select(*FRAME, "track_id", F.lit(0.0).alias("overlap"), F.lit(0).alias("inside_area")).limit(0)
-    active = tactical.activated(seen.withColumn("n_inside", on), no_masks, stale, cfg).where("active")
-    tracks = lifecycle.apply_aliases(active, lifecycle.switch_links(found, cfg))
-    tracks = materialize(tracks.select(*FRAME, "update_frame", "is_referee", "track_id", "stable_id", *BOX, "confidence", *H), "run-active")
-    feet = tracks.where("NOT is_referee").select(*FRAME, "update_frame", "stable_id", "track_id", *H, ((F.col("x1") + F.col("x2")) / 2.0).alias("x"), F.greatest(F.col("y1"), F.col("y2") - cfg.foot_lift).alias("y"))
-    near = held_points(state).withColumnRenamed("frame_idx", "update_frame")
-    relative = court.weighted_projection(feet.select("game_id", F.col("update_frame").alias("frame_idx"), F.struct("frame_idx", "track_id").alias("point_id"), "x", "y"), near.withColumnRenamed("update_frame", "frame_idx"), cfg)
+    at = F.transform(F.arrays_zip("xs", "ys", "confs"), lambda p, k: F.struct(k.cast("int").alias("kp_idx"), p["xs"].alias("x"), p["ys"].alias("y"), p["confs"].alias("conf"), F.get(places, k).alias("t")))
+    rows = state.withColumn("_p", F.filter(at, lambda p: (p["x"] > 0) & (p["y"] > 0)))
+    mean = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["t"]["tx"]) / F.size("_p")
+    mode = court.template_mode(F.col("layout"), F.col("court_side"), F.when(F.size("_p") > 0, mean), F.col("mode"), cfg)
+    rows = rows.select(*FRAME, mode.alias("template"), F.explode("_p").alias("p"))
+    tx = F.when(F.col("template") == "mirrored", cfg.court_w - F.col("p.t.tx")).otherwise(F.col("p.t.tx"))
+    return rows.select(*FRAME, "p.kp_idx", "p.x", "p.y", "p.conf", tx.alias("tx"), F.col("p.t.ty").alias("ty"))
+
+
+def track_run(detections: DataFrame, runs: DataFrame, state: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(online, links, tracks, positions) of a run of the whole. `online` has the tracks that association and masks leave, as `game.game_run` tells them;
+    `links` the switches of identity, by place and by masks handed over; `tracks` those that suppression leaves and the court has activated, with
+    stable ids; `positions` their feet, by masks or boxes, projected and smoothed.
+
+    `state` has the court's updates, as `updates` gives; a frame holds the last one's."""
+    told = materialize(game.game_run(detections, runs, state, cfg), "run-told")
+    online, event = told.where("kind = 'track'"), lambda kind: told.where(F.col("kind") == kind).select("game_id", "is_referee", "frame_idx", "track_id", "other_id")
+    by_place = lifecycle.switch_links(online, cfg, event("holding")).select("game_id", "is_referee", "frame_idx", "source_kind", "source_id", "new_id")
+    links = materialize(by_place.unionByName(masks.reuse_links(event("reuse").withColumnRenamed("other_id", "owner_id"))), "run-links")
+    tracks = lifecycle.apply_aliases(online.where("active"), links)
+    tracks = materialize(tracks.select(*FRAME, "is_referee", "track_id", "stable_id", "place", *BOX, "confidence", "mask_id", "by_mask", "fx", "fy"), "run-active")
+    feet = tracks.where("NOT is_referee").withColumn("update_frame", F.col("frame_idx") - F.col("frame_idx") % cfg.keypoint_every)
+    now = state.select("game_id", F.col("frame_idx").alias("update_frame"), *H)
+    feet = feet.join(now, ["game_id", "update_frame"], "left").select(*FRAME, "update_frame", "stable_id", "track_id", *H, F.col("fx").alias("x"), F.col("fy").alias("y"))
+    near = held_points(state, cfg)
+    relative = court.weighted_projection(feet.select("game_id", F.col("update_frame").alias("frame_idx"), F.struct("frame_idx", "track_id").alias("point_id"), "x", "y"), near, cfg)
     relative = relative.select("game_id", F.col("point_id.frame_idx").alias("frame_idx"), F.col("point_id.track_id").alias("track_id"), F.struct(F.col("tx").alias("x"), F.col("ty").alias("y")).alias("r"))
-    hx, hy = project(F.col("x"), F.col("y"), h)
+    hx, hy = project(F.col("x"), F.col("y"), [F.col(c) for c in H])
     direct = F.when(F.col("h0").isNotNull(), F.struct(hx.alias("x"), hy.alias("y")))
     both = feet.join(relative, [*FRAME, "track_id"], "left").withColumn("c", choose_projection(F.col("r"), direct, cfg)).where("c IS NOT NULL")
     # Two raw ids may show as one in a frame; the least stands for it in the trail.
     one = both.groupBy(*FRAME, "stable_id").agg(F.min(F.struct("track_id", "c")).alias("m"))
     points = one.select(*FRAME, F.col("stable_id").alias("track_id"), F.lit(False).alias("is_referee"), F.col("m.c.x").alias("x"), F.col("m.c.y").alias("y"), F.col("m.c.source").alias("source"))
     smooth = tactical.smooth(points, cfg).join(points.select(*FRAME, "track_id", "source"), [*FRAME, "track_id"])
-    return tracks, smooth
+    return online, links, tracks, smooth
+
+
+def jersey_run(detections: DataFrame, reads: DataFrame, tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Votes for the numbers of stable ids: number boxes of every `ocr_every`-th frame go to the first active player that holds their centre, and what was read
+    in them counts as that player's votes."""
+    # Where two tracks show as one, the first one's place and the last one's box count.
+    last = F.max_by(F.struct(*BOX), "place").alias("b")
+    one = tracks.groupBy(*FRAME, "is_referee", F.col("stable_id").alias("track_id")).agg(F.min("place").alias("obs_id"), last)
+    players = one.select(*FRAME, "is_referee", "track_id", "obs_id", "b.*")
+    boxes = matching.number_boxes(detections, cfg).where(F.col("frame_idx") % cfg.ocr_every == 0)
+    held = matching.containing_track(boxes, players).select(*FRAME, "det_id", "track_id")
+    return jersey.votes(reads.select(*FRAME, "det_id", "text", "conf").join(held, [*FRAME, "det_id"]), cfg)
 
 
 def _state(spark, d) -> DataFrame:
-    return materialize(court_state.court_run(T.views(spark, d)), "run-court")
+    return materialize(updates(T.views(spark, d)), "run-court")
+
+
+def _run(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return track_run(T.detections(spark, d), T.place_masks(spark, d), _state(spark, d))
 
 
 @query()
@@ -85,14 +102,31 @@ def homography_machine(spark, d):
 
 @query()
 def tracking_run(spark, d):
-    _, points = track_run(T.detections(spark, d), _state(spark, d))
+    *_, points = _run(spark, d)
     return points.select("game_id", "frame_idx", "track_id", "source", milli(F.col("sx")).alias("sx_milli"), milli(F.col("sy")).alias("sy_milli"))
 
 
 @query()
 def tracking_report(spark, d):
-    found = materialize(_association.associate(T.detections(spark, d), whole=True), "report-tracks")
-    return lifecycle.summary(lifecycle.edges(found), lifecycle.switches(found))
+    """Totals of each role over the same run; masks handed over count as switches."""
+    online, links, *_ = _run(spark, d)
+    rec = lifecycle.recovered_switches(online).select("game_id", "is_referee")
+    return lifecycle.summary(lifecycle.edges(online), links.select("game_id", "is_referee").unionByName(rec))
+
+
+@query()
+def tracking_jerseys(spark, d):
+    """Votes for each number of each stable id, and the number that it is locked on."""
+    _, _, tracks, _ = _run(spark, d)
+    voted = materialize(jersey_run(T.detections(spark, d), T.ocr_reads(spark, d), tracks), "run-votes")
+    locked = jersey.locks(voted).select("game_id", "track_id", "lock_frame", "jersey")
+    return jersey.counts(voted).join(locked, ["game_id", "track_id"], "left")
+
+
+@query()
+def mask_ownership(spark, d):
+    """Who has which mask in the crowd of tracks, and what happens to it."""
+    return mask_state.ownership(T.crowd(spark, d), T.place_masks(spark, d))
 
 
 @query()

@@ -27,6 +27,11 @@ def of_event() -> tuple[Column, Column]:
     return game_of(frame), frame.alias("frame_idx")
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game_id, frame_idx of every frame."""
+    return events(spark, sf_dir).where("event_id % 10 = 0").select(*of_event())
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """game_id, frame_idx, det_id, x1, y1, x2, y2, class_id, confidence."""
     e = events(spark, sf_dir).select("event_id", "user_id", "event_type")
@@ -79,7 +84,7 @@ def template(spark: SparkSession) -> DataFrame:
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """game_id, frame_idx, kp_idx, x, y, conf: a court seen by a panning camera that changes sides every 60 frames, one frame for each vector.
+    """game_id, frame_idx, kp_idx, x, y, conf: a court seen by a panning camera that changes sides every 60 frames, in every frame of every game.
 
     Points are missing, far off or unsure by turns; two hang still at the frame's edge for 60 frames of 150; in some frames hardly any
     point is seen. x and y are NULL where a point is missing."""
@@ -90,8 +95,7 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.lit(60) + 4 * F.col("ty") + (f * 11 + i * 5) % 5 - 2
     still = i.isin(12, 14) & (f % 150).between(20, 79)
     gone = ((f * 5 + i * 3) % 17 == 0) & ~still | (f % 97 >= 90) & (i % 11 != 0)
-    frames = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(game_of(F.col("vec_id")), F.col("vec_id").alias("frame_idx"))
-    rows = frames.select("*", F.inline(F.array(*(F.struct(F.lit(k).alias("kp_idx"), F.lit(tx).alias("tx"), F.lit(ty).alias("ty")) for k, (_, tx, ty, _) in enumerate(TEMPLATE)))))
+    rows = frames(spark, sf_dir).select("*", F.inline(F.array(*(F.struct(F.lit(k).alias("kp_idx"), F.lit(tx).alias("tx"), F.lit(ty).alias("ty")) for k, (_, tx, ty, _) in enumerate(TEMPLATE)))))
     seen = lambda v, held: F.when(~gone, F.when(still, F.lit(held)).otherwise(v)).cast("long")
     return rows.select("game_id", "frame_idx", "kp_idx", seen(x, 300).alias("x"), seen(y, 60).alias("y"), (((f * 31 + i * 17) % 100).cast("double") / 100).alias("conf"))
 
@@ -108,6 +112,19 @@ def mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("game_id", "frame_idx", (F.col("obs_id") % 1000 + 1).alias("mask_id"), "y", start.alias("x_start"), end.alias("x_end"))
 
 
+def place_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game_id, frame_idx, mask_id, y, x_start, x_end: two masks at each of the detections' three places, each drawn for some 40 to 70 frames under
+    one id. By turns a mask is missing for a few frames, or drawn beside its place for a dozen."""
+    f, p, q = F.col("frame_idx"), F.col("p"), F.col("q")
+    kinds = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(3) for q in range(2)))
+    rows = frames(spark, sf_dir).select("*", F.inline(kinds)).where((f + p * 13 + q * 5) % 50 >= 6)
+    mask = F.floor(f / (40 + p * 10 + q * 7)) * 6 + p * 2 + q + 1
+    left = p * 200 + q * 52 + 10 + F.when((F.floor(f / 12) + p + q) % 9 == 3, 110).otherwise(0)
+    wide, y = F.when(q == 0, 50).otherwise(38), F.explode(F.sequence(110 + q * 10, 239 - q * 20)).alias("y")
+    rows = rows.select("game_id", "frame_idx", mask.alias("mask_id"), left.alias("left"), wide.alias("wide"), y)
+    return rows.select("game_id", "frame_idx", "mask_id", "y", (F.col("left") + F.col("y") % 3).cast("long").alias("x_start"), (F.col("left") + F.col("wide")).cast("long").alias("x_end"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """game_id, point_id, x, y on the image."""
     return events(spark, sf_dir).select(of_event()[0], F.col("event_id").alias("point_id"), ((F.col("event_id") * 7) % 1280).alias("x"), ((F.col("event_id") * 11) % 720).alias("y"))
@@ -134,7 +151,7 @@ SQL = {
   CAST((f * 31 + i * 17) % 100 AS DOUBLE) / 100 AS conf FROM (SELECT *, ((f * 5 + i * 3) % 17 = 0 AND NOT still) OR (f % 97 >= 90 AND i % 11 <> 0) AS gone FROM (
   SELECT game_id, f, i, i IN (12, 14) AND f % 150 BETWEEN 20 AND 79 AS still,
   (tx - side * 130 - abs(f % 40 - 20)) * 7 + (CASE side WHEN 0 THEN -1 ELSE 1 END) * (ty - 80) + (f * 7 + i * 13) % 5 - 2 + CASE WHEN (f * 3 + i * 7) % 41 = 0 THEN 200 ELSE 0 END AS x,
-  60 + 4 * ty + (f * 11 + i * 5) % 5 - 2 AS y FROM (SELECT vec_id // 400 AS game_id, vec_id AS f, kp_idx AS i, tx, ty, (vec_id // 60) % 2 AS side FROM embeddings, tpl)))""",
+  60 + 4 * ty + (f * 11 + i * 5) % 5 - 2 AS y FROM (SELECT e.f // 400 AS game_id, e.f, kp_idx AS i, tx, ty, (e.f // 60) % 2 AS side FROM (SELECT event_id // 10 AS f FROM events WHERE event_id % 10 = 0) e, tpl)))""",
     "mr": """SELECT game_id, frame_idx, obs_id % 1000 + 1 AS mask_id, y, CASE WHEN obs_id % 5 = 0 THEN x1 + 3 + y % 4 ELSE x1 + 9 END AS x_start, CASE WHEN obs_id % 5 = 0 THEN x2 - 5 ELSE x1 + 10 + y % 2 END AS x_end
   FROM (SELECT *, unnest(CASE WHEN obs_id % 5 = 0 THEN range(y1, y2) ELSE [y1 + 5, y1 + 7] END) AS y FROM crw WHERE NOT is_referee AND (obs_id % 5 = 0 OR (obs_id % 5 = 1 AND obs_id % 3 = 0)))""",
     "pts": "SELECT event_id // 4000 AS game_id, event_id AS point_id, (event_id * 7) % 1280 AS x, (event_id * 11) % 720 AS y FROM events",
