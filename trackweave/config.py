@@ -137,10 +137,15 @@ class Config:
     pan_min_conf: float = 0.35
     pan_keep: float = 0.55
     pan_decay: float = 0.75
+    pan_max_age: int = 6
+    pan_weight: float = 0.30
+    pan_damping: float = 0.15
     transition_updates: int = 8
     # Association
     new_score: float = 0.7
-    match_iou: float = 0.2
+    first_limit: float = 0.80
+    second_limit: float = 0.5
+    unconfirmed_limit: float = 0.7
     # Court activation and reports
     activate_points: int = 2
     activate_overlap: float = 0.12

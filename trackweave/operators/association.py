@@ -1,9 +1,11 @@
-"""Baseline track association: two stages of overlap matching, sure detections first, with constant velocity between frames.
+"""Track association: optimal assignment of detections to predicted boxes, in three stages with limits of their own.
 
-It stands in for an external tracker and follows the published two-stage scheme: detections above the high score are matched to predicted
-boxes, then the leftover tracks to weak detections; unmatched sure ones above the new-track score begin tracks. Optionally each frame's
-detections are first suppressed by the tracks known before it, and young tracks that lie on established ones are held back, as in a
-run of the whole. Each frame depends on the last one's result, so a game is one machine, fed in order of frames; games run apart."""
+It stands in for an external tracker and follows the published two-stage scheme: sure detections go to confirmed tracks, lost ones too, by overlap
+times score; weak ones to those tracks of the frame before that are left, by overlap; the sure ones that are left to unconfirmed tracks. A sure one
+that nothing takes begins a track, which is confirmed, and shown, once it is seen again; in a game's first frame it is at once. Boxes are predicted
+by Kalman states. Optionally each frame's detections are first suppressed by the tracks known before it, and young tracks that lie on established
+ones are held back, as in a run of the whole. Each frame depends on the last one's result, so a game is one machine, fed in order of frames; games
+run apart."""
 
 from __future__ import annotations
 
@@ -13,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from trackweave.config import DEFAULT, Config
+from trackweave.operators import motion
+from trackweave.operators.assignment import assign
 from trackweave.operators.matching import targets
 from trackweave.operators.ordered import Rows, in_order
 
@@ -34,26 +38,14 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt((d * d).sum(2))
 
 
-def greedy_pairs(score: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs by falling score, each row and column once; ties by row, then column."""
-    out, rows, cols = [], set(), set()
-    for k in np.argsort(-score, axis=None, kind="stable"):
-        i, j = divmod(int(k), score.shape[1])
-        if score[i, j] < least:
-            break
-        if i not in rows and j not in cols:
-            out.append((i, j))
-            rows.add(i)
-            cols.add(j)
-    return out
-
-
 @dataclass
 class Track:
     id: int
     box: np.ndarray
-    speed: np.ndarray
+    mean: np.ndarray
+    cov: np.ndarray
     seen: int
+    confirmed: bool
 
 
 class Tracker:
@@ -64,6 +56,7 @@ class Tracker:
         self.tracks: dict[bool, list[Track]] = {False: [], True: []}
         self.next_id = {False: 1, True: 1}
         self.born: dict[tuple[bool, int], int] = {}
+        self.before: int | None = None
 
     def age(self, frame: int, role: bool, track: int) -> int:
         return max(0, frame - self.born.get((role, track), frame))
@@ -120,29 +113,53 @@ class Tracker:
             return False
         return not (min(x, y) <= self.cfg.young_age and max(x, y) >= self.cfg.old_age)
 
+    def predict(self, frame: int) -> None:
+        """Move all states on to the frame; what was not seen in the frame before counts as lost."""
+        every = [t for some in self.tracks.values() for t in some]
+        if not every or self.before is None:
+            return
+        mean, cov, lost = np.stack([t.mean for t in every]), np.stack([t.cov for t in every]), np.array([t.seen < self.before for t in every])
+        for _ in range(frame - self.before):
+            mean, cov = motion.ahead(mean, cov, lost)
+            lost[:] = True
+        for t, m, c in zip(every, mean, cov):
+            t.mean, t.cov = m, c
+
+    def pairs(self, tracks: list[Track], boxes: np.ndarray, limit: float, score: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Pairs of tracks and boxes whose distance, 1 less their overlap (times the box's score), is within the limit."""
+        if not tracks or not len(boxes):
+            return []
+        v = overlaps(motion.corners(np.stack([t.mean for t in tracks])), boxes)
+        return assign(1 - (v if score is None else v * score), limit)
+
     def matched(self, frame: int, role: bool, boxes: np.ndarray, conf: np.ndarray) -> dict[int, Track]:
-        """The track of each detection that has one, by number of the detection."""
-        cfg = self.cfg
-        tracks = self.tracks[role]
-        free, taken = list(range(len(tracks))), {}
-        for pool in (np.flatnonzero(conf >= cfg.high_score), np.flatnonzero((conf >= cfg.low_score) & (conf < cfg.high_score))):
-            if not len(pool) or not free:
-                continue
-            ahead = np.array([tracks[k].box + tracks[k].speed * (frame - tracks[k].seen) for k in free])
-            pairs = greedy_pairs(overlaps(ahead, boxes[pool]), cfg.match_iou)
-            for i, j in pairs:
-                taken[int(pool[j])] = tracks[free[i]]
-            used = {i for i, _ in pairs}
-            free = [k for n, k in enumerate(free) if n not in used]
-        for j in np.flatnonzero(conf >= cfg.new_score).tolist():
-            if j not in taken:
-                taken[j] = Track(self.next_id[role], boxes[j], np.zeros(4), frame)
-                tracks.append(taken[j])
+        """The confirmed track of each detection that has one, by number of the detection."""
+        cfg, tracks, taken = self.cfg, self.tracks[role], {}
+        sure, weak = np.flatnonzero(conf >= cfg.high_score), np.flatnonzero((conf >= cfg.low_score) & (conf < cfg.high_score))
+
+        def stage(pool: list[Track], some: np.ndarray, limit: float, fused: bool) -> tuple[list[Track], np.ndarray]:
+            pairs = self.pairs(pool, boxes[some], limit, conf[some] if fused else None)
+            taken.update({int(some[j]): pool[i] for i, j in pairs})
+            rows, cols = {i for i, _ in pairs}, [j for _, j in pairs]
+            return [t for k, t in enumerate(pool) if k not in rows], np.delete(some, cols)
+
+        left, rest = stage([t for t in tracks if t.confirmed], sure, cfg.first_limit, True)
+        stage([t for t in left if t.seen == self.before], weak, cfg.second_limit, False)
+        unseen, rest = stage([t for t in tracks if not t.confirmed], rest, cfg.unconfirmed_limit, True)
+        self.tracks[role] = tracks = [t for t in tracks if not any(t is u for u in unseen)]
+        if taken:
+            at = sorted(taken)
+            mean, cov = motion.corrected(np.stack([taken[j].mean for j in at]), np.stack([taken[j].cov for j in at]), boxes[at])
+            for j, m, c in zip(at, mean, cov):
+                t = taken[j]
+                t.mean, t.cov, t.box, t.seen, t.confirmed = m, c, boxes[j], frame, True
+        fresh = [j for j in rest.tolist() if conf[j] >= cfg.new_score]
+        if fresh:
+            for j, m, c in zip(fresh, *motion.begin(boxes[fresh])):
+                tracks.append(Track(self.next_id[role], boxes[j], m, c, frame, self.before is None))
                 self.next_id[role] += 1
-        for j, t in taken.items():
-            if frame > t.seen:
-                t.speed = 0.5 * t.speed + 0.5 * (boxes[j] - t.box) / (frame - t.seen)
-            t.box, t.seen = boxes[j], frame
+                if self.before is None:
+                    taken[j] = tracks[-1]
         return taken
 
     def steady(self, frame: int, role: bool, taken: dict[int, Track], boxes: np.ndarray, conf: np.ndarray) -> list[int]:
@@ -160,6 +177,7 @@ class Tracker:
         boxes, conf = np.stack([rows[c] for c in ("x1", "y1", "x2", "y2")], axis=1).astype(float), rows["confidence"]
         ref, ids, out = rows["is_referee"].astype(bool), rows["det_id"], []
         self.tracks = {role: [t for t in some if frame - t.seen <= self.cfg.buffer + 1] for role, some in self.tracks.items()}
+        self.predict(frame)
         stay = self.suppressed(frame, boxes, conf, ref) if self.whole else np.arange(len(conf))
         for role in (False, True):
             at = stay[ref[stay] == role]
@@ -168,6 +186,7 @@ class Tracker:
                 t, k = taken[j], at[j]
                 self.born.setdefault((role, t.id), frame)
                 out.append((self.game, frame, role, t.id, int(ids[k]), *boxes[k].astype(int).tolist(), float(conf[k])))
+        self.before = frame
         return out
 
 

@@ -39,16 +39,17 @@ def weighted_projection(points: DataFrame, keypoints: DataFrame, cfg: Config = D
     """Each point's court position from the nearest keypoints of its frame: weights fall with distance and rise with confidence. The
     position is held within the court.
 
-    Points and keypoints meet on (game_id, frame_idx); a frame has at most some tens of keypoints. Fewer than two give no row."""
-    k = keypoints.where(seen()).select(*FRAME, "kp_idx", F.col("x").alias("kx"), F.col("y").alias("ky"), "conf", "tx", "ty")
-    both = points.join(k, list(FRAME)).withColumn("d", distance((F.col("x"), F.col("y")), (F.col("kx"), F.col("ky"))))
-    near = F.row_number().over(Window.partitionBy(*FRAME, "point_id").orderBy("d", "kp_idx"))
-    both = both.withColumn("_n", near).where(F.col("_n") <= cfg.neighbours)
-    weight = F.pow(F.col("d") + 1, F.lit(-cfg.neighbour_power)) * F.least(F.greatest("conf", F.lit(cfg.conf_floor)), F.lit(1.0))
-    both = both.withColumn("w", weight)
-    mean = lambda c, size: on_court(F.sum(F.col("w") * F.col(c)) / F.sum("w"), size).alias(c)
-    out = both.groupBy(*FRAME, "point_id").agg(F.count("*").alias("n"), mean("tx", cfg.court_w), mean("ty", cfg.court_h))
-    return out.where(F.col("n") >= cfg.relative_min)
+    Keypoints are an array of their frame, at most some tens, which its points meet; each point sorts it by distance. Fewer than two give no row."""
+    k = keypoints.where(seen()).groupBy(*FRAME).agg(F.collect_list(F.struct("kp_idx", "x", "y", "conf", "tx", "ty")).alias("_ks"))
+    k = k.where(F.size("_ks") >= cfg.relative_min)
+    far = lambda p: distance((F.col("x"), F.col("y")), (p["x"], p["y"]))
+    by = F.transform("_ks", lambda p: F.struct(far(p).alias("d"), p["kp_idx"].alias("i"), p["conf"].alias("conf"), p["tx"].cast("double").alias("tx"), p["ty"].cast("double").alias("ty")))
+    weight = lambda p: F.pow(p["d"] + 1, F.lit(-cfg.neighbour_power)) * F.least(F.greatest(p["conf"], F.lit(cfg.conf_floor)), F.lit(1.0))
+    near = F.transform(F.slice(F.array_sort(by), 1, cfg.neighbours), lambda p: F.struct(weight(p).alias("w"), p["tx"].alias("tx"), p["ty"].alias("ty")))
+    add = lambda c: F.aggregate("_near", F.lit(0.0), lambda s, p: s + p["w"] * (p[c] if c else F.lit(1.0)))
+    both = points.join(k, list(FRAME)).withColumn("_near", near)
+    mean = lambda c, size: on_court(add(c) / add(""), size).alias(c)
+    return both.select(*FRAME, "point_id", F.size("_near").cast("long").alias("n"), mean("tx", cfg.court_w), mean("ty", cfg.court_h))
 
 
 def boundaries(keypoints: DataFrame) -> DataFrame:
@@ -74,10 +75,9 @@ def inside_boundaries(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def keep_on_court(detections: DataFrame, bounds: DataFrame, near: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Detections that aren't players, stand on the court, or are near a track of the frame before."""
-    player = F.col("class_id").isin(*cfg.player_classes)
-    inside = inside_boundaries(detections.where(player), bounds).where("inside").select(*FRAME, "det_id")
-    kept = inside.unionByName(near.select(*FRAME, "det_id")).distinct()
-    return detections.where(~player).unionByName(detections.where(player).join(kept, [*FRAME, "det_id"], "left_semi"))
+    close = near.select(*FRAME, "det_id", F.lit(True).alias("_near")).distinct()
+    flagged = inside_boundaries(detections, bounds).join(close, [*FRAME, "det_id"], "left")
+    return flagged.where(~F.col("class_id").isin(*cfg.player_classes) | F.col("inside") | F.col("_near")).select(*detections.columns)
 
 
 def side_of(mean: Column, cfg: Config = DEFAULT) -> Column:
@@ -89,11 +89,14 @@ def layout_side(keypoints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     line = F.lit(None).cast("int")
     for k, group in enumerate(LINES):
         line = F.when(F.col("kp_idx").isin(*group), k).otherwise(line)
-    k = keypoints.where(seen() & (F.col("conf") >= cfg.slope_conf)).select(*FRAME, line.alias("line"), F.col("kp_idx").alias("i"), "x", "y").where("line IS NOT NULL")
-    a = k.select(*FRAME, "line", F.col("i").alias("ai"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    pairs = a.join(k, [*FRAME, "line"]).where((F.col("ai") < F.col("i")) & (F.abs(F.col("y") - F.col("ay")) >= cfg.slope_dy))
-    slope = (F.col("x") - F.col("ax")).cast("double") / (F.col("y") - F.col("ay"))
-    per = pairs.groupBy(*FRAME).agg(F.count("*").alias("n_pairs"), F.median(slope).alias("slope")).where(F.col("n_pairs") >= cfg.slope_pairs)
+    good = keypoints.where(seen() & (F.col("conf") >= cfg.slope_conf)).select(*FRAME, line.alias("line"), F.col("kp_idx").alias("i"), "x", "y").where("line IS NOT NULL")
+    points = good.groupBy(*FRAME).agg(F.collect_list(F.struct("line", "i", "x", "y")).alias("ps"))
+    partner = lambda a: lambda b: (b["line"] == a["line"]) & (b["i"] > a["i"]) & (F.abs(b["y"] - a["y"]) >= cfg.slope_dy)
+    slope = lambda a: lambda b: (b["x"] - a["x"]).cast("double") / (b["y"] - a["y"])
+    slopes = F.array_sort(F.flatten(F.transform("ps", lambda a: F.transform(F.filter("ps", partner(a)), slope(a)))))
+    per = points.select(*FRAME, slopes.alias("s")).where(F.size("s") >= cfg.slope_pairs).withColumn("n_pairs", F.size("s").cast("long"))
+    middle = (F.get("s", F.floor((F.col("n_pairs") - 1) / 2).cast("int")) + F.get("s", F.floor(F.col("n_pairs") / 2).cast("int"))) / 2
+    per = per.select(*FRAME, "n_pairs", middle.alias("slope"))
     return per.withColumn("side", F.when(F.abs("slope") < cfg.slope_min, F.lit(None)).when(F.col("slope") < 0, "left").otherwise("right"))
 
 

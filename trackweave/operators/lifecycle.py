@@ -163,24 +163,29 @@ def id_diagnostics(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per frame of players with raw and stable ids: ids shown, those that weren't in the frame before, those that are gone since, those that
     jumped, those whose raw id has changed, and raw ids that now show as another. Where two raw ids show as one, the greater stands for it."""
     p = tracks.where("NOT is_referee").select("game_id", "frame_idx", "track_id", "stable_id", *BOX)
-    next_frame = (F.col("frame_idx") + 1).alias("frame_idx")
-    shown = p.groupBy("game_id", "frame_idx", "stable_id").agg(F.max(F.struct("track_id", *BOX)).alias("b"))
-    was = shown.select("game_id", next_frame, "stable_id", "b")
-    mapped = p.select("game_id", next_frame, "track_id", F.col("stable_id").alias("old_stable"))
-    now = p.join(was, ["game_id", "frame_idx", "stable_id"], "left").join(mapped, ["game_id", "frame_idx", "track_id"], "left")
+    just = lambda c, key: F.when(F.lag("frame_idx").over(w := Window.partitionBy("game_id", key).orderBy("frame_idx")) == F.col("frame_idx") - 1, F.lag(c).over(w))
+    now = p.withColumn("old_stable", just("stable_id", "track_id"))
+    shown = now.groupBy("game_id", "frame_idx", "stable_id").agg(F.max(F.struct("track_id", *BOX)).alias("s"), F.collect_list(F.struct("track_id", *BOX, "old_stable")).alias("all")).withColumn("b", just("s", "stable_id"))
     known_ = F.col("b").isNotNull()
-    jump = known_ & (box_distance(box(), tuple(F.col(f"b.{c}") for c in BOX)) >= cfg.jump_px)
-    per = now.groupBy("game_id", "frame_idx").agg(
-        F.count("*").alias("n_ids"), F.count_if(~known_).alias("n_new"), F.count_if(jump).alias("n_jumps"), F.count_if(known_ & (F.col("b.track_id") != F.col("track_id"))).alias("n_raw_changed"),
-        F.count_if(F.col("old_stable") != F.col("stable_id")).alias("n_map_changed"), F.count_distinct(F.when(known_, F.col("stable_id"))).alias("stay"),
+    middle = lambda r, c: (r[f"{c}1"] + r[f"{c}2"]) / 2.0
+    far = lambda r: distance((middle(r, "x"), middle(r, "y")), (middle(F.col("b"), "x"), middle(F.col("b"), "y"))) >= cfg.jump_px
+    count = lambda test: F.size(F.filter("all", test))
+    when = lambda test: F.when(known_, count(test)).otherwise(0)
+    per = shown.groupBy("game_id", "frame_idx").agg(
+        F.sum(F.size("all")).alias("n_ids"), F.sum(F.when(~known_, F.size("all")).otherwise(0)).alias("n_new"), F.sum(when(far)).alias("n_jumps"),
+        F.sum(when(lambda r: r["track_id"] != F.col("b.track_id"))).alias("n_raw_changed"), F.sum(count(lambda r: r["old_stable"] != F.col("stable_id"))).alias("n_map_changed"),
+        F.count_if(known_).alias("stay"), F.count("*").alias("n_shown"),
     )
-    prior = was.groupBy("game_id", "frame_idx").agg(F.count("*").alias("n_prior"))
-    both = per.join(prior, ["game_id", "frame_idx"], "left")
-    return both.withColumn("n_lost", F.coalesce("n_prior", F.lit(0)) - F.col("stay")).drop("n_prior", "stay")
+    order = Window.partitionBy("game_id").orderBy("frame_idx")
+    prior = F.when(F.lag("frame_idx").over(order) == F.col("frame_idx") - 1, F.lag("n_shown").over(order))
+    return per.withColumn("n_lost", F.coalesce(prior, F.lit(0)) - F.col("stay")).drop("stay", "n_shown")
 
 
 def possible_swaps(tracks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Pairs of ids in both frames whose crossed distances, with a margin, are shorter than their own."""
+    """Pairs of stable ids in both frames whose crossed distances, with a margin, are shorter than their own. Where two raw ids show as one, the greater
+    stands for it."""
+    shown = tracks.where("NOT is_referee").groupBy("game_id", "frame_idx", "stable_id").agg(F.max(F.struct("track_id", *BOX)).alias("s"))
+    tracks = shown.select("game_id", "frame_idx", F.col("stable_id").alias("track_id"), F.lit(False).alias("is_referee"), *(F.col(f"s.{c}").alias(c) for c in BOX))
     two = adjacent(tracks).where("b_x1 IS NOT NULL")
     both = renamed(two, "p_").join(renamed(two, "q_"), ["game_id", "frame_idx"]).where("p_track_id < q_track_id")
     own = box_distance(box("p_b_"), box("p_")) + box_distance(box("q_b_"), box("q_"))

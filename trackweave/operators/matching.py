@@ -112,16 +112,16 @@ def containing_track(numbers: DataFrame, tracks: DataFrame) -> DataFrame:
     return both.withColumn("_n", first).where("_n = 1").select(*FRAME, "det_id", "cx", "cy", "track_id")
 
 
-def funnel(detections: DataFrame, stages: dict[str, DataFrame], cfg: Config = DEFAULT) -> DataFrame:
-    """Per frame and role: detections with their score tiers, and the rows of each further stage (`n_` and its name) that are players or referees."""
-    key, none = [*FRAME, "is_referee"], F.lit(None).cast("double").alias("confidence")
-    rows = targets(detections, cfg).select(*key, F.lit("raw").alias("stage"), "confidence")
-    for name, some in stages.items():
-        rows = rows.unionByName(some.select(*key, F.lit(name).alias("stage"), none))
-    conf = F.col("confidence")
+def funnel(detections: DataFrame, stages: list[DataFrame], names: tuple[str, ...], cfg: Config = DEFAULT) -> DataFrame:
+    """Per frame and role: detections with their score tiers, and how many rows reach each further stage. Each table of `stages` has the columns of those
+    names that it tells of, as flags: one pass over it counts them all."""
+    key, conf = [*FRAME, "is_referee"], F.col("confidence")
+    flag = lambda rows, n: (F.col(n) if n in rows.columns else F.lit(False)).alias(n)
+    rows = targets(detections, cfg).select(*key, F.lit(True).alias("raw"), *(F.lit(False).alias(n) for n in names), "confidence")
+    for some in stages:
+        rows = rows.unionByName(some.select(*key, F.lit(False).alias("raw"), *(flag(some, n) for n in names), F.lit(None).cast("double").alias("confidence")))
     tiers = (F.count_if(conf >= cfg.high_score).alias("n_high"), F.count_if((conf >= cfg.low_score) & (conf < cfg.high_score)).alias("n_low"))
-    counts = (F.count_if(F.col("stage") == name).alias(f"n_{name}") for name in ("raw", *stages))
-    return rows.groupBy(*key).agg(*counts, *tiers, F.min("confidence").alias("min_score"), F.max("confidence").alias("max_score"))
+    return rows.groupBy(*key).agg(*(F.count_if(n).alias(f"n_{n}") for n in ("raw", *names)), *tiers, F.min("confidence").alias("min_score"), F.max("confidence").alias("max_score"))
 
 
 def as_tlwh(prefix: str = "") -> tuple[Column, ...]:

@@ -33,23 +33,45 @@ def stays(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return points.withColumn("_f", fresh).withColumn("stay", F.sum("_f").over(own)).drop("_f")
 
 
-def step(prev: Column, x: Column, y: Column, cfg: Config = DEFAULT) -> Column:
-    """The next smoothed point from the last one and a new target."""
-    dx, dy = x - prev["sx"], y - prev["sy"]
+def pans_in_force(frames: DataFrame, states: DataFrame, sure: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(game_id, frame_idx, pan_dx, pan_conf) of each frame: the camera's pan after the last update, of `keypoints.pan_state`, as long as it is sure and the last
+    sure update, of `court.pan_prior`, isn't too old. A running window over a row for each frame and update of a game."""
+    told = sure.where(F.col("conf") >= cfg.pan_min_conf).select(*FRAME, F.col("frame_idx").alias("sure_frame"))
+    updates = states.select(*FRAME, F.struct("pan_dx", "pan_conf").alias("s")).join(told, list(FRAME), "left").withColumn("asked", F.lit(False))
+    rows = frames.select(*FRAME, F.lit(True).alias("asked")).distinct().unionByName(updates, allowMissingColumns=True)
+    upto = Window.partitionBy("game_id").orderBy("frame_idx", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.last("s", ignorenulls=True).over(upto)).withColumn("sure_frame", F.last("sure_frame", ignorenulls=True).over(upto))
+    good = (F.col("s.pan_conf") >= cfg.pan_min_conf) & (F.col("frame_idx") - F.col("sure_frame") <= cfg.pan_max_age)
+    force = lambda c: F.when(good, F.col(f"s.{c}")).otherwise(0.0).alias(c)
+    return rows.where("asked").select(*FRAME, force("pan_dx"), force("pan_conf"))
+
+
+def step(prev: Column, p: Column, cfg: Config = DEFAULT) -> Column:
+    """The next smoothed point from the last one and a new target. Where the camera pans, a target against the pan is damped, and another one drawn to
+    where the pan alone would take it."""
+    clip = lambda v: F.greatest(F.lit(0.0), F.least(v, F.lit(cfg.court_w - 1.0)))
+    away, pan, weight = p["x"] - prev["sx"], p["pan_dx"], p["pan_conf"] * cfg.pan_weight
+    against = (F.abs(away) >= 0.5) & (away * pan < 0)
+    damped = clip(prev["sx"] + away * cfg.pan_damping + pan * (1.0 - cfg.pan_damping))
+    drawn = F.when(weight > 0, clip(p["x"] * (1.0 - weight) + clip(prev["sx"] + pan) * weight)).otherwise(p["x"])
+    x = F.when(F.abs(pan) >= 0.1, F.when(against, damped).otherwise(drawn)).otherwise(p["x"])
+    dx, dy = x - prev["sx"], p["y"] - prev["sy"]
     size = F.sqrt(dx * dx + dy * dy)
     scale = F.when(size > cfg.max_step, F.lit(cfg.max_step) / F.greatest(size, F.lit(1e-6))).otherwise(F.lit(1.0))
     mixed = lambda p, q: p * cfg.smooth_prev + q * (1.0 - cfg.smooth_prev)
     return F.struct(mixed(prev["sx"], prev["sx"] + dx * scale).alias("sx"), mixed(prev["sy"], prev["sy"] + dy * scale).alias("sy"))
 
 
-def smooth(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Smoothed points of every stay: the first is the target itself."""
-    seq = F.array_sort(F.collect_list(F.struct("frame_idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
-    grouped = stays(points, cfg).groupBy(*KEY, "stay").agg(seq.alias("pts"))
+def smooth(points: DataFrame, cfg: Config = DEFAULT, pans: DataFrame | None = None) -> DataFrame:
+    """Smoothed points of every stay: the first is the target itself. `pans` has the pan that is in force in each frame (none, where it isn't given)."""
+    none = points.withColumns({"pan_dx": F.lit(0.0), "pan_conf": F.lit(0.0)})
+    rows = none if pans is None else points.join(pans, list(FRAME), "left").fillna(0.0, ["pan_dx", "pan_conf"])
+    seq = F.array_sort(F.collect_list(F.struct("frame_idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "pan_dx", "pan_conf")))
+    grouped = stays(rows, cfg).groupBy(*KEY, "stay").agg(seq.alias("pts"))
     out = lambda f, x, y, sx, sy: F.struct(f.alias("frame_idx"), x.alias("x"), y.alias("y"), sx.alias("sx"), sy.alias("sy"))
 
     def add(last: Column, p: Column) -> Column:
-        n = step(last, p["x"], p["y"], cfg)
+        n = step(last, p, cfg)
         return out(p["frame_idx"], p["x"], p["y"], n["sx"], n["sy"])
 
     folded = running(F.col("pts"), lambda p: out(p["frame_idx"], p["x"], p["y"], p["x"], p["y"]), add)

@@ -199,23 +199,31 @@ def pan_prior(spark, d):
     return court.pan_prior(good_views(spark, d)).select("frame_idx", "n", *(milli(F.col(c)).alias(f"{c}_milli") for c in ("med", "mad", "conf", "dx")))
 
 
-@query(f"""
-{_PRIOR}, pn AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY frame_idx) AS n_ FROM pp),
+_PAN = f"""{_PRIOR}, pn AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY frame_idx) AS n_ FROM pp),
 ps(game_id, n_, frame_idx, d, c) AS (SELECT game_id, n_, frame_idx, CASE WHEN conf >= 0.35 THEN dx ELSE 0::double END, CASE WHEN conf >= 0.35 THEN conf ELSE 0::double END FROM pn WHERE n_ = 1 UNION ALL
   SELECT p.game_id, p.n_, p.frame_idx, CASE WHEN p.conf >= 0.35 THEN CASE WHEN s.c >= 0.35 THEN s.d * 0.55::double + p.dx * (1 - 0.55::double) ELSE p.dx END WHEN abs(s.d * 0.75::double) < 0.05 THEN 0::double ELSE s.d * 0.75::double END,
-  CASE WHEN p.conf >= 0.35 THEN p.conf WHEN abs(s.d * 0.75::double) < 0.05 THEN 0::double ELSE s.c * 0.75::double END FROM ps s JOIN pn p ON p.game_id = s.game_id AND p.n_ = s.n_ + 1)
-SELECT frame_idx, {S.milli('d')} AS dx_milli, {S.milli('c')} AS conf_milli FROM ps
-""")
+  CASE WHEN p.conf >= 0.35 THEN p.conf WHEN abs(s.d * 0.75::double) < 0.05 THEN 0::double ELSE s.c * 0.75::double END FROM ps s JOIN pn p ON p.game_id = s.game_id AND p.n_ = s.n_ + 1)"""
+
+
+@query(f"{_PAN} SELECT frame_idx, {S.milli('d')} AS dx_milli, {S.milli('c')} AS conf_milli FROM ps")
 def pan_state(spark, d):
     return keypoints.pan_state(court.pan_prior(good_views(spark, d))).select("frame_idx", milli(F.col("pan_dx")).alias("dx_milli"), milli(F.col("pan_conf")).alias("conf_milli"))
 
 
 @query("SELECT frame_idx, kp_idx % 2 AS instance, kp_idx // 2 AS kp_idx, CASE WHEN x <> 0 OR y <> 0 THEN CAST(x AS DOUBLE) END AS x, conf FROM kp")
 def nested_keypoints(spark, d):
-    k = T.keypoints(spark, d)
+    """Results whose predictions and keypoints are held in another way from frame to frame."""
+    k, f = T.keypoints(spark, d), F.col("frame_idx")
     point = F.struct(F.floor(F.col("kp_idx") / 2).cast("int").alias("class_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "conf")
-    per = k.groupBy("game_id", "frame_idx", (F.col("kp_idx") % 2).alias("i")).agg(F.struct(F.array_sort(F.collect_list(point)).alias("keypoints")).alias("p"))
-    raw = per.groupBy("game_id", "frame_idx").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda v: v["p"]).alias("predictions"))).alias("json"))
+    held = lambda name, text: F.concat(F.lit(f'{{"{name}":'), text, F.lit("}"))
+    one_of = lambda n, *forms: F.element_at(F.array(*forms), (f % n).cast("int") + 1)
+    per = k.groupBy("game_id", "frame_idx", (F.col("kp_idx") % 2).alias("i")).agg(F.array_sort(F.collect_list(point)).alias("ps"))
+    ps = F.to_json("ps")
+    values = F.to_json(F.map_from_arrays(F.transform("ps", lambda p: F.concat(F.lit("p"), p["class_id"])), "ps"))
+    per = per.select("game_id", "frame_idx", "i", held("keypoints", one_of(5, ps, held("items", ps), held("predictions", ps), held("keypoints", ps), values)).alias("p"))
+    both = per.groupBy("game_id", "frame_idx").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda v: v["p"]), ","), F.lit("]")).alias("ps"))
+    result = held("predictions", one_of(3, F.col("ps"), held("items", F.col("ps")), held("predictions", F.col("ps"))))
+    raw = both.select("game_id", "frame_idx", one_of(2, result, F.concat(F.lit("["), result, F.lit(",{}]"))).alias("json"))
     return scans.nested_keypoints(raw).select("frame_idx", F.col("instance").cast("long").alias("instance"), _point(), "x", "conf")
 
 
@@ -386,6 +394,33 @@ SELECT n.game_id, n.is_referee, n.track_id, n.stay, n.n, n.frame_idx, e.sx * 0.4
 FROM ema e JOIN nn n ON n.game_id = e.game_id AND n.is_referee = e.is_referee AND n.track_id = e.track_id AND n.stay = e.stay AND n.n = e.n + 1)"""
 
 
+#: A pan is in force while it is sure and its last sure update no more than 6 frames old; then a target against it counts for 0.15, and another is drawn to it.
+_FORCE = f"""{_PAN},
+pq AS (SELECT ps.*, max(ps.frame_idx) FILTER (pn.conf >= 0.35) OVER (PARTITION BY ps.game_id ORDER BY ps.frame_idx) AS sf FROM ps JOIN pn USING (game_id, frame_idx)),
+pf AS (SELECT f.game_id, f.frame_idx, CASE WHEN q.c >= 0.35 AND f.frame_idx - q.sf <= 6 THEN q.d ELSE 0::double END AS pd, CASE WHEN q.c >= 0.35 AND f.frame_idx - q.sf <= 6 THEN q.c ELSE 0::double END AS pc
+  FROM (SELECT DISTINCT game_id, frame_idx FROM trk) f ASOF LEFT JOIN pq q ON q.game_id = f.game_id AND q.frame_idx <= f.frame_idx)"""
+_CLIP = "greatest(0::double, least({}, 299.0::double))".format
+_PANNED = f"""CASE WHEN abs(n.pd) < 0.1 THEN n.x WHEN abs(n.x - e.sx) >= 0.5 AND (n.x - e.sx) * n.pd < 0 THEN {_CLIP('e.sx + (n.x - e.sx) * 0.15::double + n.pd * (1 - 0.15::double)')}
+  ELSE {_CLIP(f"n.x * (1 - n.pc * 0.30::double) + {_CLIP('e.sx + n.pd')} * (n.pc * 0.30::double)")} END"""
+
+
+@query(f"""
+{_STAYS}, {_FORCE}, np AS (SELECT nn.* REPLACE (x / 4.0::double AS x), coalesce(pd, 0) AS pd, coalesce(pc, 0) AS pc FROM nn LEFT JOIN pf USING (game_id, frame_idx)),
+emp(game_id, is_referee, track_id, stay, n, frame_idx, sx, sy) AS (SELECT game_id, is_referee, track_id, stay, n, frame_idx, x, y FROM np WHERE n = 1 UNION ALL
+SELECT game_id, is_referee, track_id, stay, n, frame_idx, sx * 0.45::double + (sx + (px - sx) * k) * 0.55::double, sy * 0.45::double + (sy + (y - sy) * k) * 0.55::double
+FROM (SELECT *, CASE WHEN sqrt(power(px - sx, 2) + power(y - sy, 2)) > 18 THEN 18.0::double / greatest(sqrt(power(px - sx, 2) + power(y - sy, 2)), 1e-6::double) ELSE 1.0::double END AS k
+  FROM (SELECT n.game_id, n.is_referee, n.track_id, n.stay, n.n, n.frame_idx, e.sx, e.sy, n.y, {_PANNED} AS px
+    FROM emp e JOIN np n ON n.game_id = e.game_id AND n.is_referee = e.is_referee AND n.track_id = e.track_id AND n.stay = e.stay AND n.n = e.n + 1)))
+SELECT frame_idx, is_referee, track_id, {S.milli('sx')} AS sx_milli, {S.milli('sy')} AS sy_milli FROM emp
+""")
+def ema_panned(spark, d):
+    """Positions a quarter as wide as the image, so that many lie on the court, under a panning camera."""
+    points = tactical.feet(T.tracks(spark, d)).withColumn("x", F.col("x") / 4.0)
+    prior = court.pan_prior(good_views(spark, d))
+    pans = tactical.pans_in_force(points, keypoints.pan_state(prior), prior)
+    return tactical.smooth(points, CFG, pans).select("frame_idx", "is_referee", "track_id", milli(F.col("sx")).alias("sx_milli"), milli(F.col("sy")).alias("sy_milli"))
+
+
 @query(f"{EMA} SELECT frame_idx, is_referee, track_id, {S.milli('sx')} AS sx_milli, {S.milli('sy')} AS sy_milli FROM ema")
 def ema_tactical(spark, d):
     return tactical.smooth(tactical.feet(T.tracks(spark, d))).select("frame_idx", "is_referee", "track_id", milli(F.col("sx")).alias("sx_milli"), milli(F.col("sy")).alias("sy_milli"))

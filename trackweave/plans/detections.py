@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT as CFG
@@ -304,10 +305,13 @@ fn AS (SELECT frame_idx, is_referee, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c
 def _funnel(spark, d):
     det, t = T.detections(spark, d), T.tracks(spark, d)
     on_court = court.keep_on_court(det, court.boundaries(T.views(spark, d).where("conf >= 0.3")), matching.near_track(det, t))
-    dedupe = suppress.suppress_tracks(t, lifecycle.births(t))
-    none = t.select("game_id", "frame_idx", "track_id", F.lit(0.0).alias("overlap"), F.lit(0).alias("inside_area")).limit(0)
-    active = tactical.activated(tactical.court_points(dedupe, court.FIXED_H), none, none).where("active")
-    return matching.funnel(det, {"court": matching.targets(on_court), "nms": suppress.suppress_detections(on_court), "tracker": t, "dedupe": dedupe, "active": active})
+    nms = suppress.judged_detections(on_court).select("game_id", "frame_idx", "is_referee", F.lit(True).alias("court"), F.col("kept").alias("nms"))
+    points = tactical.court_points(suppress.judged_tracks(t, lifecycle.births(t)), court.FIXED_H)
+    hit = F.col("kept") & (F.col("n_inside") >= CFG.activate_points)
+    upto = Window.partitionBy("game_id", "is_referee", "track_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    active = F.col("kept") & (F.col("is_referee") | F.bool_or(hit).over(upto))
+    tracked = points.select("game_id", "frame_idx", "is_referee", F.lit(True).alias("tracker"), F.col("kept").alias("dedupe"), active.alias("active"))
+    return matching.funnel(det, [nms, tracked], ("court", "nms", "tracker", "dedupe", "active"))
 
 
 @query(f"{_FUNNEL} SELECT * FROM fn")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
+from trackweave.config import DEFAULT as CFG
 from trackweave.functions.geometry import choose_projection, milli, project
 from trackweave.operators import association as _association
 from trackweave.operators import court, court_state, game, jersey, lifecycle, mask_state, masks, matching, tactical
@@ -18,8 +17,8 @@ from trackweave.plans.courts import EMA
 from trackweave.plans.registry import query
 from trackweave.sources import tables as T
 from trackweave.sources.court_template import TEMPLATE
-from trackweave.sources.written import materialize, shared_dir
-from trackweave.streaming import stateful
+from trackweave.sources.written import materialize, scratch
+from trackweave.streaming import settled, stateful
 
 
 def updates(keypoints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -135,13 +134,12 @@ def association(spark, d):
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream gives for all that its source has, written to the shared folder."""
-    spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """What a stream gives for all that its source has, written to the shared folder; the folder is removed when the driver ends."""
+    place = scratch(stream.sparkSession, name)
     sink = stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     q = sink.outputMode("append").format("parquet").option("path", f"{place}/out").start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/out")
 
 
 def as_stream(rows: DataFrame, name: str) -> DataFrame:
@@ -160,3 +158,25 @@ def stream_smooth(spark, d):
 def stream_jersey(spark, d):
     out = drained(stateful.jersey_stream(as_stream(T.ocr_reads(spark, d), "stream-reads")), "stream-jersey")
     return out.select(F.col("game_id").cast("long").alias("game_id"), "track_id", "frame_idx", "det_id", "number")
+
+
+def closed(rows: DataFrame, **values) -> DataFrame:
+    """Rows and one more, of a game -1 an hour later, so that the watermark passes all others."""
+    last = {"game_id": -1, "is_referee": False, "track_id": -1, "det_id": -1} | values
+    end = rows.agg((F.ceil((F.max("frame_idx") + 3600 * stateful.FPS) / CFG.ocr_every) * CFG.ocr_every).alias("frame_idx"))
+    return rows.unionByName(end.select(*(F.lit(last[c]).cast(t).alias(c) if c in last else c for c, t in rows.dtypes)))
+
+
+@query(f"{S.EDGES} SELECT game_id, is_referee, track_id, frame_idx, kind, n FROM ev")
+def stream_lifecycle(spark, d):
+    t = T.tracks(spark, d).select("game_id", "is_referee", "track_id", "frame_idx")
+    out = drained(settled.lifecycle_stream(as_stream(closed(t), "stream-tracks")), "stream-lifecycle").where("game_id >= 0")
+    ends = t.groupBy("game_id").agg(F.max("frame_idx").alias("end"))
+    return out.join(ends, "game_id").where("frame_idx <= end").select(F.col("game_id").cast("long").alias("game_id"), "is_referee", "track_id", "frame_idx", "kind", "n")
+
+
+@query(f"{S.VOTES} SELECT game_id, track_id, lock_frame, voted, owner, CASE WHEN owner <= 2 THEN voted END AS jersey FROM lk")
+def stream_owners(spark, d):
+    reads = closed(T.ocr_reads(spark, d), text="0", conf=1.0)
+    out = drained(settled.owners_stream(as_stream(reads, "stream-reads")), "stream-owners").where("game_id >= 0")
+    return out.select(F.col("game_id").cast("long").alias("game_id"), "track_id", F.col("frame_idx").alias("lock_frame"), F.col("number").alias("voted"), "owner", "jersey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackweave.config import DEFAULT as CFG
 from trackweave.functions import text as X
 from trackweave.functions.geometry import milli
 from trackweave.operators import jersey, lifecycle, report, suppress
@@ -96,9 +97,12 @@ def most_recovered(spark, d):
     return lifecycle.most_recovered(lifecycle.edges(T.tracks(spark, d))).select("is_referee", "track_id", "n_recovered", "first_frame", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"{S.LINKS} SELECT is_referee, frame_idx, source_kind, source_id, new_id, {S.milli('dist')} AS dist_milli, dt FROM links")
+#: Removed tracks of whose last rows every fifth still had a mask; these are no sources.
+@query(f"{S.LINKS.replace('> frame_idx + 1) AND (source_kind', '> frame_idx + 1) AND NOT (source_kind = ' + chr(39) + 'rm' + chr(39) + ' AND obs_id % 5 = 0) AND (source_kind')} SELECT is_referee, frame_idx, source_kind, source_id, new_id, {S.milli('dist')} AS dist_milli, dt FROM links")
 def switch_links(spark, d):
-    return lifecycle.switch_links(T.tracks(spark, d)).select("is_referee", "frame_idx", "source_kind", "source_id", "new_id", milli(F.col("dist")).alias("dist_milli"), "dt")
+    t = T.tracks(spark, d)
+    holding = t.where("obs_id % 5 = 0").select("game_id", "is_referee", "track_id", (F.col("frame_idx") + CFG.buffer + 1).alias("frame_idx"))
+    return lifecycle.switch_links(t, CFG, holding).select("is_referee", "frame_idx", "source_kind", "source_id", "new_id", milli(F.col("dist")).alias("dist_milli"), "dt")
 
 
 _STABLE = f"""{S.LINKS},
@@ -131,16 +135,17 @@ def _cross(a: str, b: str) -> str:
     return f"sqrt(power(({a}.bx1 + {a}.bx2) / 2.0::double - ({b}.x1 + {b}.x2) / 2.0::double, 2) + power(({a}.by1 + {a}.by2) / 2.0::double - ({b}.y1 + {b}.y2) / 2.0::double, 2))"
 
 
-#: The crowd's players, who change places every frame.
+#: The crowd's players, who change places every frame, under ids of which each stands for two raw ones.
 @query(f"""
-p AS (SELECT game_id, frame_idx, track_id, nx AS x1, y1, nx + x2 - x1 AS x2, y2 FROM (SELECT *, ((track_id + frame_idx) % 2) * 150 + (obs_id * 7) % 23 AS nx FROM crw WHERE NOT is_referee)),
+p AS (SELECT game_id, frame_idx, raw % 75 AS track_id, nx AS x1, y1, nx + x2 - x1 AS x2, y2 FROM (SELECT *, track_id AS raw, ((track_id + frame_idx) % 2) * 150 + (obs_id * 7) % 23 AS nx FROM crw WHERE NOT is_referee)
+  QUALIFY row_number() OVER (PARTITION BY game_id, frame_idx, raw % 75 ORDER BY raw DESC) = 1),
 t AS (SELECT p.*, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM p JOIN p b ON b.track_id = p.track_id AND b.frame_idx + 1 = p.frame_idx AND b.game_id = p.game_id),
 s AS (SELECT a.frame_idx, a.track_id AS a_id, b.track_id AS b_id, {_cross('a', 'a')} + {_cross('b', 'b')} AS own, {_cross('a', 'b')} + {_cross('b', 'a')} AS crossed FROM t a JOIN t b ON a.frame_idx = b.frame_idx AND a.track_id < b.track_id)
 SELECT frame_idx, a_id, b_id, {S.milli('own')} AS own_milli, {S.milli('crossed')} AS crossed_milli FROM s WHERE crossed + 70 < own
 """)
 def possible_swaps(spark, d):
     t = T.crowd(spark, d).withColumn("w", F.col("x2") - F.col("x1")).withColumn("x1", ((F.col("track_id") + F.col("frame_idx")) % 2) * 150 + (F.col("obs_id") * 7) % 23).withColumn("x2", F.col("x1") + F.col("w"))
-    return lifecycle.possible_swaps(t).select("frame_idx", "a_id", "b_id", milli(F.col("own")).alias("own_milli"), milli(F.col("crossed")).alias("crossed_milli"))
+    return lifecycle.possible_swaps(t.withColumn("stable_id", F.col("track_id") % 75)).select("frame_idx", "a_id", "b_id", milli(F.col("own")).alias("own_milli"), milli(F.col("crossed")).alias("crossed_milli"))
 
 
 @query("""

@@ -29,18 +29,55 @@ def decoded_boxes(raw: DataFrame) -> DataFrame:
     return raw.select(*(c for c in raw.columns if c not in ("x1", "y1", "x2", "y2", "cx", "cy", "w", "h")), *pick).where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
 
 
-RESULT = "struct<predictions:array<struct<keypoints:array<struct<x:double,y:double,confidence:double,conf:double,class_id:int>>>>,keypoints:array<struct<x:double,y:double,confidence:double,conf:double,class_id:int>>>"
-
-
-def nested_keypoints(raw: DataFrame, column: str = "json", schema: str = RESULT) -> DataFrame:
-    """Keypoints of JSON results: predictions with keypoints each, or keypoints alone (one instance). Unreadable results give no rows."""
-    parsed = F.from_json(column, schema)
-    alone = F.when(parsed["keypoints"].isNotNull(), F.array(F.struct(parsed["keypoints"].alias("keypoints"))))
-    listed = F.when(F.size(parsed["predictions"]) > 0, parsed["predictions"])
-    instances = raw.select("game_id", "frame_idx", F.posexplode(F.coalesce(listed, alone)).alias("instance", "p"))
-    points = instances.select("game_id", "frame_idx", "instance", F.posexplode("p.keypoints").alias("position", "k"))
-    there = (F.col("k.x") != 0) | (F.col("k.y") != 0)
-    return points.select("game_id", "frame_idx", "instance", F.coalesce("k.class_id", "position").alias("kp_idx"), F.when(there, F.col("k.x")).alias("x"), F.when(there, F.col("k.y")).alias("y"), F.coalesce("k.confidence", "k.conf", F.lit(1.0)).alias("conf"))
+def as_list(text: Column) -> Column:
+    """JSON of an array as its elements' JSON; NULL for anything else."""
+    return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>"))
+
+
+def as_map(text: Column) -> Column:
+    """JSON of an object as its fields' JSON, in the order in which they are written; NULL for anything else."""
+    return F.when(F.startswith(F.ltrim(text), F.lit("{")), F.from_json(text, "map<string,string>"))
+
+
+def filled(items: Column) -> Column:
+    return F.when(F.size(items) > 0, items)
+
+
+def predictions_of(result: Column) -> Column:
+    """The predictions' JSON of a result, or of the first of several: a list, or an object that holds one under `predictions` or `items`, or that is the only
+    prediction itself. A result without predictions that has keypoints is one prediction."""
+    one = F.coalesce(F.get(as_list(result), F.lit(0)), result)
+    field = as_map(one)["predictions"]
+    inner = as_map(field)
+    nested = F.coalesce(filled(as_list(inner["predictions"])), filled(as_list(inner["items"])))
+    single = F.when(inner.isNotNull(), F.array(field))
+    alone = F.when(as_map(one)["keypoints"].isNotNull(), F.array(one))
+    return F.coalesce(filled(as_list(field)), nested, single, alone)
+
+
+def points_of(prediction: Column) -> Column:
+    """The keypoints' JSON of a prediction: a list, or an object that holds one under `items`, `predictions` or `keypoints`, or whose values they are."""
+    field = as_map(prediction)["keypoints"]
+    inner = as_map(field)
+    return F.coalesce(as_list(field), *(as_list(inner[k]) for k in ("items", "predictions", "keypoints")), F.map_values(inner))
+
+
+def nested_keypoints(raw: DataFrame, column: str = "json") -> DataFrame:
+    """Keypoints of JSON results, whatever holds them: instance, index (its own, or else its position), place (NULL where both are 0) and confidence (1 where
+    none is given, 0 where it isn't a number). Points without both coordinates and unreadable results give no rows.
+
+    Fields are read from a VARIANT, so a number may come as a string and one odd field costs no other."""
+    per = raw.select("game_id", "frame_idx", F.posexplode(predictions_of(F.col(column))).alias("instance", "p"))
+    points = per.select("game_id", "frame_idx", "instance", F.posexplode(points_of(F.col("p"))).alias("position", "k"))
+    points = points.withColumn("v", F.try_parse_json("k"))
+    number = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    sure = F.coalesce(number("confidence", "string"), number("conf", "string"))
+    rows = points.select(
+        "game_id", "frame_idx", "instance", F.coalesce(number("class_id", "int"), number("class", "int"), number("keypoint_id", "int"), F.col("position")).alias("kp_idx"),
+        number("x", "double").alias("x"), number("y", "double").alias("y"), F.when(sure.isNull(), F.lit(1.0)).otherwise(F.coalesce(sure.try_cast("double"), F.lit(0.0))).alias("conf"),
+    ).where("x IS NOT NULL AND y IS NOT NULL")
+    there = (F.col("x") != 0) | (F.col("y") != 0)
+    return rows.withColumns({"x": F.when(there, F.col("x")), "y": F.when(there, F.col("y"))})
 
 
 def tagged_lines(lines: DataFrame, column: str = "line") -> DataFrame:

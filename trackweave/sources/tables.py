@@ -28,8 +28,9 @@ def of_event() -> tuple[Column, Column]:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """game_id, frame_idx of every frame."""
-    return events(spark, sf_dir).where("event_id % 10 = 0").select(*of_event())
+    """game_id, frame_idx of every frame, dealt to all partitions: each frame becomes many rows, and what follows works by frames."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return events(spark, sf_dir).where("event_id % 10 = 0").select(*of_event()).repartition(parts, "game_id", "frame_idx")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,13 +16,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Have an existing folder removed when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which is removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    removed_at_end(spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back. The folder is removed when the driver's JVM ends, or by `discard`."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    removed_at_end(spark, path)
     out = spark.read.schema(schema).parquet(path)
     out.written_at = path
     return out
