@@ -263,6 +263,41 @@ def test_quality_line_probes():
     assert [t for t in bad if not fails(t)] == [] and [t for t in good if fails(t)] == []
 
 
+FOOT = ("Posted in Uncategorized by admin.", "Please log in to post a comment.", "Tags: red, blue, green.", "Leave a reply.", "We value your privacy and use tracking technologies.")
+
+
+def test_quality_furniture(spark):
+    """Brief lines at head or foot fail as a block, whatever they say: not three, not those between longer lines, not a large part of a text."""
+    prose = [" ".join(f"p{k}w{w}" for w in range(40)) + "." for k in range(5)]
+    text = lambda *lines: "\n".join(lines)
+    cases = {
+        1: ((*prose, *FOOT), prose), 2: ((*FOOT, "", *prose), ["", *prose]), 3: ((*prose, *FOOT[:2], FOOT[3]), [*prose, *FOOT[:2], FOOT[3]]),
+        4: ((*prose[:3], *FOOT[:2], *FOOT[3:], *prose[3:]), [*prose[:3], *FOOT[:2], *FOOT[3:], *prose[3:]]), 5: ((*prose, *FOOT[:2], "", "  ", *FOOT[2:]), [*prose, "", "  "]),
+        6: ((prose[0], *FOOT[:2], *FOOT[3:]), [prose[0], *FOOT[:2], *FOOT[3:]]), 7: ((*FOOT[:2], *FOOT[3:]) * 3, [*FOOT[:2], *FOOT[3:]] * 3),
+        8: ((*prose, "Ingredients: two eggs, milk, some flour."), [*prose]), 9: ((*prose, "Note: the eggs are fresh, and the milk is too."), [*prose, "Note: the eggs are fresh, and the milk is too."]),
+    }
+    docs = spark.createDataFrame([(k, text(*lines), "en", "s", 1, None, 0) for k, (lines, _) in cases.items()], DOCS)
+    cleaned = {r.doc_id: r.text for r in quality_rules.clean(docs).collect()}
+    assert {k: cleaned.get(k) for k in cases} == {k: None if k == 7 else text(*left) for k, (_, left) in cases.items()}
+
+
+def test_quality_sql_on_every_rule(spark):
+    """A made table on which each rule fires, against the SQL."""
+    import duckdb
+    from conftest import same_rows
+
+    prose = [" ".join(f"p{k}w{w}" for w in range(40)) + "." for k in range(4)]
+    odd = ["a line without an end", "Home | News | Contact.", "Home > Shoes > Red.", "BUY!! NOW!!", "x### y### z###.", "Tags: red, blue, green.", "Login Register Help.", "All rights reserved.", "Read more..."]
+    rows = [(k, "\n".join([*prose[:2], line, *prose[2:]])) for k, line in enumerate(odd)] + [(20, "\n".join([*FOOT, *prose])), (21, "\n".join([*prose, *FOOT])), (22, "\n".join(FOOT)), (23, None), (24, ""), (25, " \n\n")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    for r in rows:
+        con.execute("INSERT INTO documents VALUES (?, ?)", list(r))
+    got = quality_rules.score(spark.createDataFrame(rows, "doc_id long, text string"))
+    same_rows(got, con, quality_rules.SQL)
+    assert {r.doc_id: r.n_lines_removed for r in got.collect()} == {**dict.fromkeys(range(9), 1), 20: 5, 21: 5, 22: 1, 23: 0, 24: 0, 25: 0}
+
+
 def test_repeated_words_brute():
     draw = np.random.default_rng(6)
     for n in [0, 7, 8, 9, 20, 60, 200]:

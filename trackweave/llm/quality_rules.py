@@ -2,8 +2,10 @@
 lines are removed, and a document that loses too much of its text is rejected.
 
 A line fails if it is short and has no terminal punctuation; is a chain of separators (bars, breadcrumbs) or of navigation words; is
-shouted; is made of symbols; or is short and holds a phrase of site furniture in English, German, French or Spanish. A long line
-without terminal punctuation is prose that was cut, and stays.
+shouted; is made of symbols; is short and a label with a list (`Tags: red, blue.`); or is short and holds a phrase of site furniture in English,
+German, French or Spanish. Furniture without any of these is known by its place: four or more brief lines in a row at the head or the foot of
+a document, before its first or after its last longer line, fail together, whatever they say, where they are a quarter of its words at most; so a
+document of brief lines only has neither. A long line without terminal punctuation is prose that was cut, and stays.
 
 Defined results: a null text has no words (all counts 0), so it fails the base rule and isn't kept; so does an empty text.
 Lines are split at \n only; a line without a word never fails and never counts as a repeated line. Repeated rows give
@@ -65,6 +67,10 @@ class LineRules:
     separator_share: int = 25
     shout_share: int = 25
     call_words: int = 5
+    brief_words: int = 8
+    block_lines: int = 4
+    block_share: int = 25
+    list_share: int = 40
     navigation_words: int = 8
     navigation_share: int = 60
     lost_share: int = 50
@@ -107,6 +113,10 @@ def line_fails(line: str, words: list[bytes], rules: LineRules = RULES) -> bool:
         return True
     if not short:
         return False
+    label = next((k for k in (1, 2) if k <= n and words[k - 1].endswith(b":")), 0)
+    listed = sum(w.endswith(b",") for w in words[label:])
+    if label and listed >= 2 and listed * 100 >= rules.list_share * (n - label):
+        return True
     if n <= rules.navigation_words:
         menu = sum(w.decode().lower().strip(AROUND) in _MENU for w in words)
         if menu >= 2 and menu * 100 >= rules.navigation_share * n:
@@ -114,6 +124,16 @@ def line_fails(line: str, words: list[bytes], rules: LineRules = RULES) -> bool:
     return any(not call or n <= rules.call_words for _, call in phrases().iter(line.lower()))
 
 
+def furniture(counts: list[int], rules: LineRules = RULES) -> set[int]:
+    """Of lines with so many words each, those of the blocks of brief lines at head and foot."""
+    longer = [k for k, n in enumerate(counts) if n > rules.brief_words]
+    if not longer:
+        return set()
+    ends = [k for k in range(longer[0]) if counts[k]], [k for k in range(longer[-1] + 1, len(counts)) if counts[k]]
+    small = lambda block: 100 * sum(counts[k] for k in block) <= rules.block_share * sum(counts)
+    return {k for block in ends if len(block) >= rules.block_lines and small(block) for k in block}
+
+
 def repeated_words(words: list[bytes], width: int = 8) -> int:
     """Words that lie in a window of `width` words that the text has at least twice."""
     n = len(words)
@@ -150,14 +170,15 @@ def judge(text: str | None, rules: LineRules = RULES) -> tuple[int, int, int, in
     seen: set[str] = set()
     good: list[str] = []
     dup = lost = removed = 0
-    for line in text.split("\n"):
-        here = line.encode().split()
+    lines = [(line, line.encode().split()) for line in text.split("\n")]
+    blocks = furniture([len(here) for _, here in lines], rules)
+    for k, (line, here) in enumerate(lines):
         if here:
             if line in seen:
                 dup += 1
             else:
                 seen.add(line)
-        if line_fails(line, here, rules):
+        if k in blocks or line_fails(line, here, rules):
             lost += len(here)
             removed += 1
         else:
@@ -218,10 +239,16 @@ lm AS (SELECT rid, line, pos, len(ws) AS words,
   length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
   len(list_filter(ws, lambda w: trim(lower(w), {_quoted((AROUND,))}) IN ({_quoted(NAVIGATION)}))) AS menu,
   regexp_matches(lower(line), '{_pattern(BOILERPLATE)}') AS phrase, regexp_matches(lower(line), '{_pattern(CALLS)}') AS call,
-  row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS nth FROM ls),
-lf AS (SELECT *, words > 0 AND ((words <= 30 AND ending NOT IN ({_quoted(tuple(TERMINAL))}))
+  CASE WHEN ends_with(ws[1], ':') THEN 1 WHEN ends_with(ws[2], ':') THEN 2 ELSE 0 END AS label,
+  row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS nth, ws FROM ls),
+lb AS (SELECT *, min(pos) FILTER (words > 8) OVER (PARTITION BY rid) AS first_long, max(pos) FILTER (words > 8) OVER (PARTITION BY rid) AS last_long,
+  len(list_filter(ws[label + 1 :], lambda w: ends_with(w, ','))) AS listed FROM lm),
+bl AS (SELECT *, count(*) FILTER (words > 0 AND pos < first_long) OVER r AS head, count(*) FILTER (words > 0 AND pos > last_long) OVER r AS foot, sum(words) OVER r AS all_words,
+  coalesce(sum(words) FILTER (pos < first_long) OVER r, 0) AS head_words, coalesce(sum(words) FILTER (pos > last_long) OVER r, 0) AS foot_words FROM lb WINDOW r AS (PARTITION BY rid)),
+lf AS (SELECT *, words > 0 AND ((pos < first_long AND head >= 4 AND 100 * head_words <= 25 * all_words) OR (pos > last_long AND foot >= 4 AND 100 * foot_words <= 25 * all_words)
+  OR (words <= 30 AND label > 0 AND listed >= 2 AND listed * 100 >= 40 * (words - label)) OR ((words <= 30 AND ending NOT IN ({_quoted(tuple(TERMINAL))}))
   OR (marks >= 2 AND marks * 100 >= 25 * words) OR (shouts >= 2 AND shouts * 100 >= 25 * words) OR (symbols >= 3 AND symbols * 100 >= 50 * words)
-  OR (words <= 8 AND menu >= 2 AND menu * 100 >= 60 * words) OR (words <= 30 AND phrase) OR (words <= 5 AND call)) AS fails FROM lm),
+  OR (words <= 8 AND menu >= 2 AND menu * 100 >= 60 * words) OR (words <= 30 AND phrase) OR (words <= 5 AND call))) AS fails FROM bl),
 la AS (SELECT rid, sum(words) AS n_words, count(*) FILTER (WHERE words > 0 AND nth > 1) AS n_dup_lines,
   coalesce(sum(words) FILTER (WHERE fails), 0) AS lost, count(*) FILTER (WHERE fails) AS removed FROM lf GROUP BY rid),
 w AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT rid, regexp_extract_all(t, '[^{BLANKS}]+') AS ws FROM d)),
