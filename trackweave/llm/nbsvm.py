@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import map_batches
+from trackweave.llm.common import discard, map_batches, materialize
 from trackweave.llm.hashing import grams, word_hashes
 
 BITS, PER_CLASS, CLASS_BYTES, SMOOTH, COST, EPOCHS = 20, 4000, 64 << 20, 1.0, 1.0, 12
@@ -134,9 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_
     def run(batch: pa.RecordBatch) -> dict:
         return {"quality": batch.column(0), "doc_id": batch.column(1), "x": [x.tobytes() for x in indicators(batch.column(2).to_pylist())]}
 
-    found = map_batches(joined.select("quality", "doc_id", "text"), "quality int, doc_id long, x binary", run, 1 << 20)
-    upto = F.sum(F.octet_length("x")).over(Window.partitionBy("quality").orderBy(by_hash, "doc_id"))
-    got = found.withColumn("upto", upto).where(F.col("upto") <= class_bytes).orderBy(by_hash, "doc_id").select("quality", "x").collect()
+    found = materialize(map_batches(joined.select("quality", "doc_id", "text"), "quality int, doc_id long, x binary", run, 1 << 20), "nbsvm-sample")
+    # The bound is found on the sizes alone; what lies beyond it is never gathered.
+    upto = F.sum("size").over(Window.partitionBy("quality").orderBy(by_hash, "doc_id"))
+    within = found.select("quality", "doc_id", F.octet_length("x").alias("size")).withColumn("upto", upto).where(F.col("upto") <= class_bytes)
+    got = found.join(F.broadcast(within.select("quality", "doc_id")), ["quality", "doc_id"]).orderBy(by_hash, "doc_id").select("quality", "x").collect()
+    discard(found)
     return fit([np.frombuffer(r.x, np.int32) for r in got], np.array([r.quality for r in got], np.int64), (count.get(0, 0), count.get(1, 0)))
 
 

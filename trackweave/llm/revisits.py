@@ -65,7 +65,8 @@ def resolve(records: DataFrame) -> DataFrame:
     parts = dealt.groupBy(*key).agg(F.max_by(full, F.when(F.col("kind") == "response", F.struct("fetched", "record_id"))).alias("last"))
     inherited = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     far = parts.withColumn("far", F.last("last", ignorenulls=True).over(inherited)).where("far IS NOT NULL").drop("last")
-    found = near.join(far, key, "left").withColumn("r", F.coalesce("near", "far")).drop("part", "near", "far")
+    # Both sides are partitioned by the key already; one row for each URL and part is never broadcast.
+    found = near.join(far.hint("merge"), key, "left").withColumn("r", F.coalesce("near", "far")).drop("part", "near", "far")
     nowhere = rows.where("canonical_url IS NULL AND kind = 'revisit'").withColumn("r", F.lit(None).cast(found.schema["r"].dataType))
     found = found.unionByName(nowhere).withColumn("resolved", fitting(F.col("etag"), F.col("modified"), F.col("r")))
     return found.select(
