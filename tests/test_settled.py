@@ -48,6 +48,15 @@ def test_lifecycle(spark, tmp_path):
     assert rows(got) == want and {w[3] for w in want} == {"new", "lost", "recovered", "removed"}
 
 
+def test_links(spark, tmp_path):
+    t = T.tracks(spark, SMALL).where("track_id % 3 <> 0 OR frame_idx % 40 < 10")
+    t = t.unionByName(t.where("track_id < 60").withColumn("frame_idx", F.col("frame_idx") + 230)).select("game_id", "is_referee", "track_id", "frame_idx", "x1", "y1", "x2", "y2").cache()
+    want = sorted((r.is_referee, r.frame_idx, r.source_kind, r.source_id, r.new_id, round(r.dist, 6), r.dt) for r in lifecycle.switch_links(t).collect())
+    got = gathered(spark, t, "frame_idx", settled.links_stream, str(tmp_path), "out", closing(t, "frame_idx")).where("game_id >= 0")
+    assert sorted((r.is_referee, r.frame_idx, r.source_kind, r.source_id, r.new_id, round(r.dist, 6), r.dt) for r in got.collect()) == want
+    assert {w[2] for w in want} == {"lost", "rm"}
+
+
 def test_owners(spark, tmp_path):
     reads = T.ocr_reads(spark, SMALL).withColumn("track_id", F.col("track_id") % 12).withColumn("text", F.concat(F.lit("#"), (F.col("det_id") % 3).cast("string"))).cache()
     want = sorted((r.track_id, r.lock_frame, r.voted, r.owner, r.jersey) for r in jersey.locks(jersey.votes(reads)).collect())

@@ -193,6 +193,28 @@ def iou_of_masks(runs: DataFrame) -> DataFrame:
     return both.groupBy(*FRAME, "a_mask_id", "b_mask_id").agg(F.sum(F.least("a_x_end", "b_x_end") - F.greatest("a_x_start", "b_x_start")).alias("shared"))
 
 
+def painted(runs: DataFrame, order: str = "mask_id") -> DataFrame:
+    """The runs that stay visible when masks are painted over each other in `order`: a later mask covers what earlier ones have drawn, and what is left of
+    these is cut into pieces. Adjacent pieces of one mask are one run.
+
+    Work is by rows of the picture: the ends of a row's runs cut it into stretches, of which the last mask that covers one has it."""
+    row = [*FRAME, "y"]
+    per = runs.where("x_end > x_start").groupBy(*row).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "mask_id", "x_start", "x_end"))).alias("rs"))
+    ends = F.array_sort(F.array_distinct(F.flatten(F.transform("rs", lambda r: F.array(r["x_start"], r["x_end"])))))
+    top = lambda x: F.try_element_at(F.filter("rs", lambda r: (r["x_start"] <= x) & (x < r["x_end"])), F.lit(-1))["mask_id"]
+    cut = F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), lambda x, i: F.struct(x.alias("x_start"), F.get("ends", i + 1).alias("x_end"), top(x).alias("mask_id")))
+    pieces = per.withColumn("ends", ends).withColumn("ps", F.filter(cut, lambda p: p["mask_id"].isNotNull()))
+
+    def join(done: Column, p: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        goes_on = F.coalesce((last["mask_id"] == p["mask_id"]) & (last["x_end"] == p["x_start"]), F.lit(False))
+        longer = F.struct(last["x_start"].alias("x_start"), p["x_end"].alias("x_end"), p["mask_id"].alias("mask_id"))
+        return F.when(goes_on, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(p)))
+
+    whole = F.aggregate("ps", F.filter("ps", lambda _: F.lit(False)), join)
+    return pieces.select(*row, F.inline(whole)).select(*FRAME, "mask_id", "y", "x_start", "x_end")
+
+
 def requests(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """When masks are asked for anew: (frame_idx, has_mask, blocked) of each track to the same with `missing`, `cooldown`, `waiting` and
     `request`. A track without a mask for some frames asks; while another stands in its way it waits, from the first such frame on; after

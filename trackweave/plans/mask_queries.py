@@ -64,6 +64,16 @@ def mask_pairs(spark, d):
     return masks.iou_of_masks(T.mask_runs(spark, d)).drop("game_id")
 
 
+#: Pixel by pixel, the last mask has it; pixels of one mask in a row are a run.
+@query("""
+px AS (SELECT frame_idx, y, x, max(mask_id) AS mask_id FROM (SELECT frame_idx, y, mask_id, unnest(range(x_start, x_end)) AS x FROM mr) GROUP BY ALL),
+g AS (SELECT *, x - row_number() OVER (PARTITION BY frame_idx, y, mask_id ORDER BY x) AS piece FROM px)
+SELECT frame_idx, mask_id, y, min(x) AS x_start, max(x) + 1 AS x_end FROM g GROUP BY frame_idx, y, mask_id, piece
+""")
+def mask_paint(spark, d):
+    return masks.painted(T.mask_runs(spark, d)).drop("game_id")
+
+
 @query(f"""
 {OWNERS}, h AS (SELECT t.*, CAST(ow.mask_id IS NOT NULL AS INTEGER) AS has FROM crw t LEFT JOIN ow USING (game_id, frame_idx, track_id)),
 g AS (SELECT *, sum(has) OVER (PARTITION BY game_id, is_referee, track_id ORDER BY frame_idx) AS grp FROM h)

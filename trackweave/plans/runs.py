@@ -175,6 +175,13 @@ def stream_lifecycle(spark, d):
     return out.join(ends, "game_id").where("frame_idx <= end").select(F.col("game_id").cast("long").alias("game_id"), "is_referee", "track_id", "frame_idx", "kind", "n")
 
 
+@query(f"{S.LINKS} SELECT game_id, is_referee, frame_idx, source_kind, source_id, new_id, {S.milli('dist')} AS dist_milli, dt FROM links")
+def stream_links(spark, d):
+    t = closed(T.tracks(spark, d).select("game_id", "is_referee", "track_id", "frame_idx", *BOX), **dict.fromkeys(BOX, 0))
+    out = drained(settled.links_stream(as_stream(t, "stream-tracks")), "stream-links").where("game_id >= 0")
+    return out.select(F.col("game_id").cast("long").alias("game_id"), "is_referee", "frame_idx", "source_kind", "source_id", "new_id", milli(F.col("dist")).alias("dist_milli"), "dt")
+
+
 @query(f"{S.VOTES} SELECT game_id, track_id, lock_frame, voted, owner, CASE WHEN owner <= 2 THEN voted END AS jersey FROM lk")
 def stream_owners(spark, d):
     reads = closed(T.ocr_reads(spark, d), text="0", conf=1.0)

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from trackweave.config import DEFAULT, Config
+from trackweave.functions.geometry import box, center
 from trackweave.operators.jersey import cleaned
 from trackweave.streaming.stateful import FPS, with_time
 
 EVENTS = "game_id int, is_referee boolean, track_id long, frame_idx long, kind string, n long"
 LOCKS = "game_id int, number string, track_id long, frame_idx long, det_id long, ts timestamp"
+LINKS = "game_id int, is_referee boolean, frame_idx long, source_kind string, source_id long, new_id long, dist double, dt long"
 OWNED = "game_id int, track_id long, frame_idx long, det_id long, number string, owner long, jersey string"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -143,6 +145,55 @@ class Lifecycle(Settled):
         return self.ms(last + (1 if not lost else self.buffer + 1)) + 1 if not out else None
 
 
+class Links(Settled):
+    """One role of a game: new tracks that continue a lost or removed one. State has the tracks that may come back, and the places of removed ones for as long
+    as they count."""
+
+    columns, output, order = "frame_idx long, track_id long, x double, y double", LINKS, ("frame_idx", "track_id")
+
+    def __init__(self, cfg: Config = DEFAULT):
+        self.cfg = cfg
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.known = handle.getMapState("known", "track_id long", "born long, last long, x double, y double")
+        self.removed = handle.getMapState("removed", "track_id long, since long", "x double, y double")
+
+    def settle(self, key, rows, watermark):
+        cfg = self.cfg
+        known, removed = ({k: v for k, v in m.iterator()} if m.exists() else {} for m in (self.known, self.removed))
+        before = set(known), set(removed)
+        for frame in dict.fromkeys(r["frame_idx"] for r in rows):
+            now = {r["track_id"]: (r["x"], r["y"]) for r in rows if r["frame_idx"] == frame}
+            for t in [t for t, (_, last, *_) in known.items() if frame - last > cfg.buffer]:
+                born, last, x, y = known[t]
+                since = last + cfg.buffer + 1
+                if t[0] in now and frame == since:
+                    continue  # seen again in the very frame of its removal
+                if since - born >= cfg.source_life:
+                    removed[t[0], since] = (x, y)
+                del known[t]
+            for place in [p for p in removed if frame - p[1] > cfg.switch_dt]:
+                del removed[place]
+            for t, (x, y) in now.items():
+                if (t,) in known:
+                    continue
+                lost = [("lost", u, last + 1, px, py) for (u,), (_, last, px, py) in known.items() if last < frame and u not in now]
+                gone = [("rm", u, since, px, py) for (u, since), (px, py) in removed.items() if since < frame]
+                near = [(((x - px) ** 2 + (y - py) ** 2) ** 0.5, frame - since, kind, u) for kind, u, since, px, py in lost + gone if u != t and frame - since <= cfg.switch_dt]
+                near = sorted(n for n in near if n[0] <= cfg.switch_dist)
+                if near and (len(near) == 1 or near[1][0] - near[0][0] >= cfg.switch_margin):
+                    dist, dt, kind, u = near[0]
+                    yield *key, frame, kind, u, t, dist, dt
+            for t, (x, y) in now.items():
+                known[t,] = (known[t,][0] if (t,) in known else frame, frame, x, y)
+        for state, values, old in ((self.known, known, before[0]), (self.removed, removed, before[1])):
+            for k in old - set(values):
+                state.removeKey(k)
+            for k, v in values.items():
+                state.updateValue(k, v)
+
+
 class Votes(Settled):
     """One track's votes: a row when its first number has enough; the votes are a map that goes with the lock."""
 
@@ -198,6 +249,14 @@ def lifecycle_stream(tracks: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, l
     return rows.groupBy("game_id", "is_referee", "track_id").transformWithStateInPandas(Lifecycle(cfg, fps), EVENTS, "append", "eventTime")
 
 
+def links_stream(tracks: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late: str = "2 seconds") -> DataFrame:
+    """Switches of identity by place, as `lifecycle.switch_links` has them, up to the watermark. A role's tracks of one game go through one state."""
+    tracks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    x, y = center(box())
+    rows = with_time(tracks.select("game_id", "is_referee", "track_id", "frame_idx", x.cast("double").alias("x"), y.cast("double").alias("y")), fps).withWatermark("ts", late)
+    return rows.groupBy("game_id", "is_referee").transformWithStateInPandas(Links(cfg), LINKS, "append", "eventTime")
+
+
 def owners_stream(reads: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late: str = "2 seconds") -> DataFrame:
     """Locked numbers of tracks with the cap on owners, as `jersey.locks` has them: two stateful steps in a row, by track and then by number."""
     reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
