@@ -247,7 +247,8 @@ def candidate_edges(nodes: DataFrame, method: Method, scratch: Scratch) -> DataF
     def grouped(rows: DataFrame, at_least: str) -> tuple[DataFrame, DataFrame]:
         """Rows of groups that fit into a block, as such, and those of larger groups, written."""
         met = scratch(rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("cls") == 0).alias("free")).where(at_least), "near-met")
-        shared = rows.join(few(met), "key")
+        # Shuffled at any size, for this table grows with the input: its cost is in proportion from the start.
+        shared = rows.join(met.hint("merge"), "key")
         small = shared.where(F.col("m") <= BLOCK).select("key", "node", F.lit(0).alias("cls"), F.array(F.lit(1)).alias("blocks"))
         return small, scratch(shared.where(F.col("m") > BLOCK).select("key", "node", "cls"), "near-large")
 
