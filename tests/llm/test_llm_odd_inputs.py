@@ -227,7 +227,7 @@ def test_components_settle(spark, monkeypatch):
     rounds = iter([*tables, tables[-1]])
     monkeypatch.setattr(C, "materialize", lambda df, name: df)
     monkeypatch.setattr(C, "discard", lambda df: None)
-    monkeypatch.setattr(C, "_large_star", lambda edges: (edges, edges))
+    monkeypatch.setattr(C, "_large_star", lambda edges, count: (edges, edges))
     monkeypatch.setattr(C, "_small_star", lambda edges: spark.createDataFrame(next(rounds), "a long, b long").coalesce(1))
     got = {r.node: r.comp for r in components(spark.createDataFrame(tables[0], "a long, b long")).collect()}
     assert got == dict.fromkeys(range(51), 0) and next(rounds, None) is None

@@ -68,6 +68,12 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.isNull(), F.coalesce(text, F.lit("")))
 
 
+def in_files(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """A table of about so many narrow rows in as many partitions as they are worth, and no more than there are: each partition becomes a file, and starting
+    and naming files costs more than small ones hold."""
+    return df.coalesce(max(8, -(-rows // each)))
+
+
 def few(rows: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it is small."""
     return F.broadcast(rows) if written_bytes(rows) <= BROADCAST_BYTES and rows.count() <= BROADCAST_ROWS else rows

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import discard, materialize
+from trackweave.llm.common import discard, in_files, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_star(edges: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """Every neighbour above a node is joined to the least of the node and its neighbours. Also gives the written table that this reads."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # Written, so that both sides of the join are shuffled for it and a hub's edges can be split between tasks.
-    least = materialize(_least(both).select("a", F.least("a", "m").alias("m")), "cc-least")
+    least = materialize(in_files(_least(both).select("a", F.least("a", "m").alias("m")), 2 * count), "cc-least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), least
 
 
@@ -32,19 +32,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the edges (a, b): comp is the least node that can be reached. A table without edges gives none.
 
     Stars alternate until a round changes nothing; there is no other end. Every written table is removed but the last round's, which the result reads; the caller
-    finds it as the result's attribute `reads` and can remove it in its turn."""
+    finds it as the result's attribute `reads` and can remove it in its turn, and a bound of the result's rows as `size`."""
     now = materialize(edges.where("a <> b").select("a", "b").distinct(), "cc")
-    sign = None
+    count, sign = now.count(), None
     while True:
-        stars, least = _large_star(now)
-        before, now = now, materialize(_small_star(stars), "cc")
+        stars, least = _large_star(now, count)
+        before, now = now, materialize(in_files(_small_star(stars), count), "cc")
         discard(before)
         discard(least)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == sign:
+        count, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (count, total) == sign:
             break
-        sign = tuple(seen)
+        sign = count, total
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     out = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
-    out.reads = now
+    out.reads, out.size = now, 2 * count
     return out

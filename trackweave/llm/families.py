@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trackweave.llm.common import Scratch, bounded_batches, discard, few, group_bounds, map_batches, materialize, part_of, runs_of, text_key
+from trackweave.llm.common import Scratch, bounded_batches, discard, few, group_bounds, in_files, map_batches, materialize, part_of, runs_of, text_key
 from trackweave.llm.components import components
 from trackweave.llm.hashing import grams, mix, word_hashes
 
@@ -198,6 +198,11 @@ def block_counts(*counts: str) -> Column:
     return F.array(*[F.ceil(F.col(c) / BLOCK).cast("int") for c in counts])
 
 
+def sparse(rows: DataFrame) -> DataFrame:
+    """A table of a row for each large band, of which there are few, in an eighth of the shuffle's partitions."""
+    return rows.coalesce(max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def peel(rows: DataFrame, signs: DataFrame, level: int, method: Method, scratch: Scratch) -> DataFrame:
     """Rows (key, node, cls), written again: those of class 0 that are plausible with the least such node of their key, `first`, go to class `level`."""
 
@@ -214,7 +219,7 @@ def peel(rows: DataFrame, signs: DataFrame, level: int, method: Method, scratch:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls), batch.column(5)], ["key", "node", "cls", "first"])
 
     own = signs.select(F.col("node").alias("first"), F.col("n").alias("first_n"), F.col("sig").alias("first_sig"))
-    firsts = scratch(rows.where("cls = 0").groupBy("key").agg(F.min("node").alias("first")).join(own, "first"), "near-firsts")
+    firsts = scratch(sparse(rows.where("cls = 0").groupBy("key").agg(F.min("node").alias("first")).join(own, "first")), "near-firsts")
     both = rows.join(signs, "node").join(few(firsts), "key").select("key", "node", "cls", "n", "sig", "first", "first_n", "first_sig")
     return scratch(both.mapInArrow(run, "key long, node long, cls int, first long"), "near-peeled")
 
@@ -257,21 +262,21 @@ def candidate_edges(nodes: DataFrame, method: Method, scratch: Scratch) -> DataF
         out = peel(rows, signs, level, method, scratch)
         known.append(out.where((F.col("cls") == level) & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"), F.col("first").alias("b")))
         counts = out.groupBy("key").agg(*[F.count_if(F.col("cls") == c).alias(f"c{c}") for c in range(level + 1)])
-        return out.select("key", "node", "cls"), scratch(counts, "near-counts")
+        return out.select("key", "node", "cls"), scratch(sparse(counts), "near-counts")
 
     rows, large = grouped(keys, "m > 1")
     if not large.isEmpty():
         one, counts = peeled(large, 1)
         near = counts.where(F.col("c0").between(1, BLOCK)).select("key", block_counts("c0", "c1").alias("blocks"))
-        rows = rows.unionByName(one.join(few(scratch(near, "near-blocks")), "key"))
-        wide = scratch(counts.where(F.col("c0") > BLOCK).select("key"), "near-wide")
+        rows = rows.unionByName(one.join(few(scratch(sparse(near), "near-blocks")), "key"))
+        wide = scratch(sparse(counts.where(F.col("c0") > BLOCK).select("key")), "near-wide")
         if not wide.isEmpty():
             small, large = grouped(scratch(split(one.join(few(wide), "key"), signs, method), "near-split"), "m > 1 AND free > 0")
             rows = rows.unionByName(small)
             if not large.isEmpty():
                 two, counts = peeled(large, 2)
                 whole = counts.select("key", block_counts("c0", "c1", "c2").alias("blocks"))
-                rows = rows.unionByName(two.join(few(scratch(whole, "near-blocks")), "key"))
+                rows = rows.unionByName(two.join(few(scratch(sparse(whole), "near-blocks")), "key"))
     dealt = blocked(rows.join(signs, "node")).select("key", "bi", "bj", "block", "node", "n", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     edges = dealt.mapInArrow(pruner(method), "a long, b long")
     for more in known:
@@ -380,7 +385,7 @@ def join(docs: DataFrame, method: Method, count_links: bool = True) -> tuple[Dat
     nodes = signed.where("print IS NOT NULL").groupBy("print").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = scratch(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "rep.doc_id", "rep.tkey", "copies", "n", "sig", "bands"), "near-nodes")
     candidates = components(candidate_edges(nodes, method, scratch))
-    families = scratch(candidates, "near-families")
+    families = scratch(in_files(candidates, candidates.size), "near-families")
     discard(candidates.reads)
     size = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("comp").agg(size(F.lit(True)).alias("open_blocks"))
