@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from trackweave.config import Config
 from trackweave.functions import geometry as G
 from trackweave.functions import text as X
 from trackweave.operators import lifecycle, masks, report
@@ -143,3 +144,56 @@ def test_old_homography_puts_off(spark):
     stale = spark.createDataFrame([(0, 0)], "game_id int, frame_idx long")
     got = {(r.frame_idx, r.track_id): r.active for r in tactical.activated(counted, masked, stale).collect()}
     assert got == {(0, 1): False, (1, 1): True, (2, 1): True, (0, 2): True, (1, 2): True, (0, 3): True}
+
+
+def test_painted(spark):
+    """Random overlapping runs, painted in order over an array."""
+    import numpy as np
+
+    draw, rows = np.random.default_rng(4), []
+    for f in range(40):
+        for mask in range(int(draw.integers(1, 6))):
+            for y in range(4):
+                a = int(draw.integers(0, 20))
+                rows.append((0, f, mask, y, a, a + int(draw.integers(0, 9))))
+    frame = spark.createDataFrame(rows, "game_id int, frame_idx long, mask_id long, y long, x_start long, x_end long")
+    image = np.full((40, 4, 30), -1)
+    for _, f, mask, y, a, b in sorted(rows, key=lambda r: r[2]):
+        image[f, y, a:b] = mask
+    got, runs = np.full_like(image, -1), masks.painted(frame).collect()
+    for r in runs:
+        assert (got[r.frame_idx, r.y, r.x_start : r.x_end] == -1).all() and r.x_start < r.x_end
+        got[r.frame_idx, r.y, r.x_start : r.x_end] = r.mask_id
+    assert (got == image).all()
+    ends = {(r.frame_idx, r.y, r.mask_id, r.x_end) for r in runs}
+    assert not any((r.frame_idx, r.y, r.mask_id, r.x_start) in ends for r in runs)
+    assert masks.painted(frame.limit(0)).collect() == []
+
+
+def test_keypoint_containers(spark):
+    """Odd containers and fields: nothing that can be read is lost, and nothing odd costs another point."""
+    points = '[{"x": 1, "y": "2.5"}, {"x": 3}, {"x": 0, "y": 0, "conf": 0.4}, {"class_id": "7", "x": 5, "y": 6, "confidence": "bad"}, {"class": "abc", "keypoint_id": 9, "x": 7, "y": 8, "confidence": null, "conf": 0.2}]'
+    want = [(0, 1.0, 2.5, 1.0), (2, None, None, 0.4), (7, 5.0, 6.0, 0.0), (9, 7.0, 8.0, 0.2)]
+    forms = [
+        f'{{"predictions": [{{"keypoints": {points}}}]}}', f'[{{"predictions": {{"items": [{{"keypoints": {{"items": {points}}}}}]}}}}, {{"predictions": []}}]', f'{{"predictions": {{"keypoints": {{"keypoints": {points}}}}}}}',
+        f'{{"keypoints": {{"predictions": {points}}}}}', f'{{"predictions": {{"predictions": [{{"keypoints": {points}}}], "items": 3}}}}', f'{{"predictions": [], "keypoints": {points}}}',
+    ]
+    values = '{"predictions": [{"keypoints": {"z": {"x": 1, "y": 2}, "a": {"x": 3, "y": 4}, "m": 5}}]}'
+    none = [None, "", "x", "[]", "{}", "7", '{"predictions": null}', '{"predictions": [{"keypoints": null}, {}]}', '{"predictions": 5}']
+    rows = [(0, k, t) for k, t in enumerate([*forms, values, *none])]
+    got = {}
+    for r in scans.nested_keypoints(spark.createDataFrame(rows, "game_id int, frame_idx long, json string")).collect():
+        got.setdefault(r.frame_idx, []).append((r.kp_idx, r.x, r.y, r.conf))
+    assert [sorted(got.get(k, []), key=str) for k in range(len(forms))] == [sorted(want, key=str)] * len(forms)
+    assert sorted(got[len(forms)]) == [(0, 1.0, 2.0, 1.0), (1, 3.0, 4.0, 1.0)] and len(got) == len(forms) + 1
+
+
+def test_switch_rules(spark):
+    """A removed track that lived too briefly, or that still had a mask, is no source."""
+    cfg = Config(buffer=3, switch_dt=3, source_life=10)
+    track = lambda t, frames, x: [(0, f, False, t, x, 0, x + 10, 20) for f in frames]
+    rows = track(1, range(0, 8), 0) + track(2, [14], 2) + track(3, range(0, 5), 300) + track(4, [11], 302) + track(5, range(0, 8), 600) + track(6, [14], 602)
+    t = spark.createDataFrame(rows, "game_id int, frame_idx long, is_referee boolean, track_id long, x1 long, y1 long, x2 long, y2 long")
+    links = lambda holding=None: {(r.source_kind, r.source_id, r.new_id) for r in lifecycle.switch_links(t, cfg, holding).collect()}
+    held = spark.createDataFrame([(0, False, 5, 11)], "game_id int, is_referee boolean, track_id long, frame_idx long")
+    assert links() == {("rm", 1, 2), ("rm", 5, 6)} and links(held) == {("rm", 1, 2)}

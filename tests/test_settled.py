@@ -57,7 +57,14 @@ def test_links(spark, tmp_path):
     assert {w[2] for w in want} == {"lost", "rm"}
 
 
-def test_owners(spark, tmp_path):
+@pytest.fixture(params=["UTC", "America/New_York"])
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_owners(spark, tmp_path, zone):
     reads = T.ocr_reads(spark, SMALL).withColumn("track_id", F.col("track_id") % 12).withColumn("text", F.concat(F.lit("#"), (F.col("det_id") % 3).cast("string"))).cache()
     want = sorted((r.track_id, r.lock_frame, r.voted, r.owner, r.jersey) for r in jersey.locks(jersey.votes(reads)).collect())
     last = closing(reads, "frame_idx").withColumns({"text": F.lit("1"), "conf": F.lit(1.0)})

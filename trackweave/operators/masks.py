@@ -105,13 +105,14 @@ def lookup(tracks: DataFrame, owners: DataFrame) -> DataFrame:
 
 def track_masks(tracks: DataFrame, owners: DataFrame, runs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Runs of each player's own mask, clipped to its grown box (columns as of runs, and track_id); only of masks that stay valid so."""
-    t = lookup(with_wide(tracks, cfg), owners)
-    both = t.join(runs, [*FRAME, "mask_id"])
+    both = lookup(with_wide(tracks, cfg), owners).join(runs, [*FRAME, "mask_id"])
     inside = F.when((F.col("y") >= F.col("wy1")) & (F.col("y") < F.col("wy2")), clipped(F.col("wx1"), F.col("wx2"))).otherwise(0)
-    cut = both.withColumn("_in", inside).withColumn("x_start", F.greatest("x_start", "wx1")).withColumn("x_end", F.col("x_start") + F.col("_in"))
-    per = both.withColumn("_in", inside).groupBy(*FRAME, "track_id").agg(F.sum("_in").alias("wide"), F.sum(F.col("x_end") - F.col("x_start")).alias("area"))
-    good = valid(per.withColumn("inside_ratio", F.col("wide").cast("double") / F.greatest(F.lit(1), F.col("area"))), cfg).select(*FRAME, "track_id", "inside_ratio")
-    return cut.where("_in > 0").join(good, [*FRAME, "track_id"]).select(*FRAME, "track_id", "mask_id", "y", "x_start", "x_end", "inside_ratio")
+    start = F.greatest("x_start", "wx1")
+    cut = F.when(inside > 0, F.struct("y", start.alias("x_start"), (start + inside).alias("x_end")))
+    # A mask has no more runs than a picture has rows and breaks in them, so they go through the group as an array.
+    per = both.groupBy(*FRAME, "track_id", "mask_id").agg(F.sum(inside).alias("wide"), F.sum(F.col("x_end") - F.col("x_start")).alias("area"), F.collect_list(cut).alias("cut"))
+    good = valid(per.withColumn("inside_ratio", F.col("wide").cast("double") / F.greatest(F.lit(1), F.col("area"))), cfg)
+    return good.select(*FRAME, "track_id", "mask_id", "inside_ratio", F.inline("cut")).select(*FRAME, "track_id", "mask_id", "y", "x_start", "x_end", "inside_ratio")
 
 
 def court_overlap(runs: DataFrame, h: list[float], key: str = "mask_id", cfg: Config = DEFAULT, most: int = 2500) -> DataFrame:

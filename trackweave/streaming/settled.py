@@ -60,12 +60,11 @@ class Settled(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ms = None
         for frame in rows:
-            times = (frame["ts"] - pd.Timestamp(0)).dt.total_seconds().mul(1000).round().astype("int64")
-            self.waiting.appendList(list(zip(*(frame[c].tolist() for c in self.fields), times.tolist())))
-            ms = min(times) if ms is None else min(ms, *times)
+            self.waiting.appendList(list(zip(*(frame[c].tolist() for c in (*self.fields, "ms")))))
+            ms = int(frame["ms"].min()) if ms is None else min(ms, int(frame["ms"].min()))
         if ms is not None:
             before = self.timer.get()[0] if self.timer.exists() else None
-            at = int(ms) + self.margin
+            at = ms + self.margin
             self.plan(at if before is None else min(before, at))
         yield pd.DataFrame([], columns=[c.split()[0] for c in self.output.split(", ")])
 
@@ -217,7 +216,7 @@ class Votes(Settled):
             if n >= self.votes:
                 self.locked.update((r["frame_idx"],))
                 self.bank.clear()
-                yield key[0], r["number"], key[1], r["frame_idx"], r["det_id"], pd.Timestamp(max(watermark, r["ms"]), unit="ms")
+                yield key[0], r["number"], key[1], r["frame_idx"], r["det_id"], pd.Timestamp(max(watermark, r["ms"]), unit="ms", tz="UTC")
 
 
 class Owners(Settled):
@@ -242,10 +241,15 @@ class Owners(Settled):
             self.count.update((n,))
 
 
+def timed(rows: DataFrame, fps: int, late: str) -> DataFrame:
+    """Rows with their time, as the watermark takes it and in milliseconds, whatever the session's time zone."""
+    return with_time(rows, fps).withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+
+
 def lifecycle_stream(tracks: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late: str = "2 seconds") -> DataFrame:
     """Events of tracks, as `lifecycle.edges` has them, up to the watermark."""
     tracks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    rows = with_time(tracks.select("game_id", "is_referee", "track_id", "frame_idx"), fps).withWatermark("ts", late)
+    rows = timed(tracks.select("game_id", "is_referee", "track_id", "frame_idx"), fps, late)
     return rows.groupBy("game_id", "is_referee", "track_id").transformWithStateInPandas(Lifecycle(cfg, fps), EVENTS, "append", "eventTime")
 
 
@@ -253,7 +257,7 @@ def links_stream(tracks: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late:
     """Switches of identity by place, as `lifecycle.switch_links` has them, up to the watermark. A role's tracks of one game go through one state."""
     tracks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     x, y = center(box())
-    rows = with_time(tracks.select("game_id", "is_referee", "track_id", "frame_idx", x.cast("double").alias("x"), y.cast("double").alias("y")), fps).withWatermark("ts", late)
+    rows = timed(tracks.select("game_id", "is_referee", "track_id", "frame_idx", x.cast("double").alias("x"), y.cast("double").alias("y")), fps, late)
     return rows.groupBy("game_id", "is_referee").transformWithStateInPandas(Links(cfg), LINKS, "append", "eventTime")
 
 
@@ -261,9 +265,9 @@ def owners_stream(reads: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late:
     """Locked numbers of tracks with the cap on owners, as `jersey.locks` has them: two stateful steps in a row, by track and then by number."""
     reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     accepted = cleaned(reads).where((F.col("conf") > cfg.ocr_conf) & F.col("number").isNotNull() & (F.col("frame_idx") % cfg.ocr_every == 0))
-    rows = with_time(accepted.select("game_id", "track_id", "frame_idx", "det_id", "number"), fps).withWatermark("ts", late)
+    rows = timed(accepted.select("game_id", "track_id", "frame_idx", "det_id", "number"), fps, late)
     locks = rows.groupBy("game_id", "track_id").transformWithStateInPandas(Votes(cfg), LOCKS, "append", "eventTime", eventTimeColumnName="ts")
-    return locks.groupBy("game_id", "number").transformWithStateInPandas(Owners(cfg), OWNED, "append", "eventTime")
+    return locks.withColumn("ms", F.unix_millis("ts")).groupBy("game_id", "number").transformWithStateInPandas(Owners(cfg), OWNED, "append", "eventTime")
 
 
 def report_sink(stream: DataFrame, path: str, checkpoint: str):
