@@ -17,7 +17,7 @@ def broadcasts(frame) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("name", ["court_active", "mask_court_overlap", "mask_dominant", "mask_duplicates", "mask_lookup", "mask_reuse", "ref_conflict"])
+@pytest.mark.parametrize("name", ["court_active", "mask_court_overlap", "mask_dominant", "mask_duplicates", "mask_lookup", "mask_pairs", "mask_reuse", "ref_conflict"])
 def test_runs_are_not_broadcast(spark, name):
     """A mask's runs, a hundred rows of each row of the table that they come from, aren't broadcast; what has a row for a mask may be."""
     for below in broadcasts(QUERIES[name](spark, SMALL)):
