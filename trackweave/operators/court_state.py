@@ -7,11 +7,13 @@ on what earlier ones accepted, so a game is one machine, fed in order; games run
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from trackweave.config import DEFAULT, Config
-from trackweave.operators.homography import H, apply, estimate_all, mirror
+from trackweave.operators.homography import H, apply, draws_of, estimate_all, medians, mirror
 from trackweave.operators.ordered import Rows, in_order
 from trackweave.sources import court_template as T
 
@@ -32,12 +34,66 @@ def length(v: np.ndarray) -> np.ndarray:
     return np.sqrt((v * v).sum(-1))
 
 
+#: All pairs of keypoints of one line across the court.
+PAIRS = np.array([(i, j) for line in (T.LEFT, T.CENTER, T.LEFT_INNER, T.RIGHT, T.RIGHT_INNER) for k, i in enumerate(line) for j in line[k + 1 :]])
+TARGET = np.array([(tx, ty) for _, tx, ty, _ in T.TEMPLATE], float)
+#: Frames whose homographies are estimated at once: their arrays stay in a core's cache.
+CHUNK = 16
+
+
+@dataclass
+class Ready:
+    """What an update is before its game's state is known: points within the border, the side of their layout, its random numbers, and (H, whether it passes, residual)
+    of its sure points."""
+
+    xy: np.ndarray
+    conf: np.ndarray
+    line_side: str | None
+    draws: np.ndarray
+    first: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def inside(p: np.ndarray, cfg: Config) -> np.ndarray:
+    m = cfg.border
+    return (p[..., 0] >= m) & (p[..., 0] < cfg.frame_w - m) & (p[..., 1] >= m) & (p[..., 1] < cfg.frame_h - m)
+
+
+def layouts(xy: np.ndarray, conf: np.ndarray, cfg: Config) -> list[str | None]:
+    """The side that each update's layout says."""
+    usable, (i, j) = (xy > 0).all(2) & (conf >= cfg.slope_conf), PAIRS.T
+    d = xy[:, j] - xy[:, i]
+    good = usable[:, i] & usable[:, j] & (np.abs(d[..., 1]) >= cfg.slope_dy)
+    slopes = np.where(good, d[..., 0] / np.where(good, d[..., 1], 1.0), np.nan)
+    known = good.sum(1) >= cfg.slope_pairs
+    return [None if not k or abs(s) < cfg.slope_min else "left" if s < 0 else "right" for k, s in zip(known.tolist(), medians(slopes).tolist())]
+
+
+def sure_points(xy: np.ndarray, conf: np.ndarray, cfg: Config) -> np.ndarray:
+    return np.where((conf >= cfg.geometry_conf)[..., None] & (xy > 0), xy, 0.0)
+
+
+def prepared(rows: Rows, cuts: list[int], cfg: Config = DEFAULT) -> list[Ready]:
+    """Updates as they come in, many at once."""
+    n = len(cuts) - 1
+    of, at, frames = np.repeat(np.arange(n), np.diff(cuts)), rows["kp_idx"], rows["frame_idx"][cuts[:-1]]
+    xy, conf = np.zeros((n, COUNT, 2)), np.zeros((n, COUNT))
+    xy[of, at], conf[of, at] = np.nan_to_num(np.stack([rows["x"], rows["y"]], axis=1).astype(float)), rows["conf"]
+    xy[~inside(xy, cfg)] = 0.0
+    sides, out = layouts(xy, conf, cfg), []
+    for a in range(0, n, CHUNK):
+        b = min(n, a + CHUNK)
+        sure, draws = sure_points(xy[a:b], conf[a:b], cfg), draws_of(frames[a:b], COUNT)
+        found = estimate_all(sure, np.broadcast_to(TARGET, sure.shape), (sure > 0).all(2), frames[a:b], cfg, draws=draws)
+        out += [Ready(xy[k], conf[k], sides[k], draws[k - a : k - a + 1], tuple(v[k - a : k - a + 1] for v in found)) for k in range(a, b)]
+    return out
+
+
 class Court:
     """State of one game. A missing point is (0, 0)."""
 
     def __init__(self, game: int, cfg: Config = DEFAULT):
         self.game, self.cfg = game, cfg
-        self.target = np.array([(tx, ty) for _, tx, ty, _ in T.TEMPLATE], float)
+        self.target = TARGET
         self.good: np.ndarray | None = None
         self.before = np.zeros((COUNT, 2))
         self.still = np.zeros(COUNT, int)
@@ -52,26 +108,12 @@ class Court:
         self.line_side: str | None = None
 
     def inner(self, p: np.ndarray) -> np.ndarray:
-        m = self.cfg.border
-        return (p[:, 0] >= m) & (p[:, 0] < self.cfg.frame_w - m) & (p[:, 1] >= m) & (p[:, 1] < self.cfg.frame_h - m)
-
-    def layout(self, xy: np.ndarray, conf: np.ndarray) -> str | None:
-        usable, slopes = (xy > 0).all(1) & (conf >= self.cfg.slope_conf), []
-        for line in (T.LEFT, T.CENTER, T.LEFT_INNER, T.RIGHT, T.RIGHT_INNER):
-            p = xy[[k for k in line if usable[k]]]
-            i, j = np.triu_indices(len(p), 1)
-            d = p[j] - p[i]
-            d = d[np.abs(d[:, 1]) >= self.cfg.slope_dy]
-            slopes += (d[:, 0] / d[:, 1]).tolist()
-        if len(slopes) < self.cfg.slope_pairs:
-            return None
-        slope = float(np.median(slopes))
-        return None if abs(slope) < self.cfg.slope_min else "left" if slope < 0 else "right"
+        return inside(p, self.cfg)
 
-    def observe(self, xy: np.ndarray, conf: np.ndarray) -> str | None:
+    def observe(self, xy: np.ndarray, conf: np.ndarray, line_side: str | None) -> str | None:
         """The side that the frame shows: by layout, centre line, its last place, or counts."""
         cfg, seen = self.cfg, (xy > 0).all(1) & (conf >= self.cfg.keypoint_conf)
-        self.line_side = self.layout(xy, conf)
+        self.line_side = line_side
         if self.line_side:
             return self.line_side
         middle = [xy[k, 0] for k in T.CENTER if seen[k]]
@@ -118,7 +160,8 @@ class Court:
         self.forget(slice(None))
         return True
 
-    def drop_still(self, xy: np.ndarray, conf: np.ndarray) -> None:
+    def drop_still(self, xy: np.ndarray, conf: np.ndarray) -> bool:
+        """Drop points that hang still; whether there were any."""
         cfg, here = self.cfg, self.inner(xy)
         bx, by = cfg.frame_w * cfg.edge_band, cfg.frame_h * cfg.edge_band
         band = (xy[:, 0] <= bx) | (xy[:, 0] >= cfg.frame_w - bx) | (xy[:, 1] <= by) | (xy[:, 1] >= cfg.frame_h - by)
@@ -127,11 +170,15 @@ class Court:
         self.before = np.where(here[:, None], xy, 0.0)
         gone = self.still >= cfg.still_updates
         xy[gone], conf[gone] = 0.0, 0.0
+        return bool(gone.any())
+
+    def estimated(self, xy: np.ndarray, frame: int, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return estimate_all(xy[None], self.target[None], (xy > 0).all(1)[None], np.array([frame]), self.cfg, draws=draws)
 
-    def choose(self, xy: np.ndarray, observed: str | None, stable: bool, seed: int) -> tuple[np.ndarray, str, float, float] | None:
+    def choose(self, xy: np.ndarray, observed: str | None, stable: bool, estimated: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, str, float, float] | None:
         """(H, mode, score, median residual) of the better of both templates; None without a homography."""
         cfg, use = self.cfg, (xy > 0).all(1)
-        found, ok, residual = estimate_all(xy[None], self.target[None], use[None], np.array([seed]), cfg)
+        found, ok, residual = estimated
         if not ok[0]:
             return None
         mean, best = float(self.target[use, 0].mean()), None
@@ -172,16 +219,13 @@ class Court:
         shift, part = self.shift(h), cfg.strictness if strict else 1.0
         return bool(np.isfinite(shift).all() and shift.mean() <= cfg.mean_shift * part and shift.max() <= cfg.point_shift * part)
 
-    def step(self, frame: int, rows: Rows) -> list[tuple]:
-        cfg, xy, conf = self.cfg, np.zeros((COUNT, 2)), np.zeros(COUNT)
-        at = rows["kp_idx"]
-        xy[at], conf[at] = np.nan_to_num(np.stack([rows["x"], rows["y"]], axis=1).astype(float)), rows["conf"]
-        xy[~self.inner(xy)] = 0.0
-        observed = self.observe(xy, conf)
+    def step(self, frame: int, ready: Ready) -> list[tuple]:
+        cfg, xy, conf = self.cfg, ready.xy, ready.conf
+        observed = self.observe(xy, conf, ready.line_side)
         switched, reset = self.turn(observed), self.jumped(xy)
-        self.drop_still(xy, conf)
-        sure = np.where((conf >= cfg.geometry_conf)[:, None] & (xy > 0), xy, 0.0)
-        if first := self.choose(sure, observed, False, frame):
+        dropped = self.drop_still(xy, conf)
+        sure = sure_points(xy, conf, cfg)
+        if first := self.choose(sure, observed, False, self.estimated(sure, frame, ready.draws) if dropped else ready.first):
             image = self.target if first[1] == "normal" else np.c_[cfg.court_w - self.target[:, 0], self.target[:, 1]]
             xy[(xy[:, 0] > 0) & (length(apply(first[0], xy) - image) > cfg.outlier_px)] = 0.0
         here = self.inner(xy)
@@ -196,7 +240,7 @@ class Court:
         out = ~self.inner(xy)
         xy[out], conf[out] = 0.0, 0.0
         n = int((xy > 0).all(1).sum())
-        best = self.choose(xy, observed, True, frame)
+        best = self.choose(xy, observed, True, self.estimated(xy, frame, ready.draws))
         if best and self.accepts(best[0], n, best[3]):
             self.h, self.mode, self.good, self.reseed, status = best[0], best[1], xy.copy(), False, "ok"
             if observed in ("left", "right"):
@@ -215,4 +259,4 @@ class Court:
 def court_run(keypoints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """A row for each update: what became of its homography, the side, the resets, and the keypoints that hold after it ((0, 0): none)."""
     rows = keypoints.select("game_id", "frame_idx", "kp_idx", "x", "y", "conf")
-    return in_order(rows, ["game_id"], "frame_idx", ["kp_idx"], lambda key: Court(key[0], cfg).step, SCHEMA)
+    return in_order(rows, ["game_id"], "frame_idx", ["kp_idx"], lambda key: Court(key[0], cfg).step, SCHEMA, lambda rows, cuts: prepared(rows, cuts, cfg))

@@ -44,14 +44,34 @@ def apply(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q[..., :2] / w
 
 
+def normalized(p: np.ndarray, q: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Normalizers of both sides of the pairs, and the points under them: both sides at once, for a small array costs more than its numbers."""
+    n, both = len(p), np.concatenate([p, q])
+    m = normalizer(both, np.concatenate([use, use]))
+    moved = apply(m, both)
+    return m[:n], m[n:], moved[:n], moved[n:]
+
+
 def least_squares(p: np.ndarray, q: np.ndarray, use: np.ndarray) -> np.ndarray:
     """The homography of least squares of each frame's used, normalized points."""
-    a, b = normalizer(p, use), normalizer(q, use)
-    rows = equations(apply(a, p), apply(b, q)) * np.concatenate([use, use], axis=1)[..., None]
+    a, b, p, q = normalized(p, q, use)
+    rows = equations(p, q) * np.concatenate([use, use], axis=1)[..., None]
     _, vectors = np.linalg.eigh(np.swapaxes(rows, 1, 2) @ rows)
     return np.linalg.inv(b) @ vectors[:, :, 0].reshape(-1, 3, 3) @ a
 
 
+def draws_of(seeds: np.ndarray, points: int, tries: int = TRIES) -> np.ndarray:
+    """The random numbers by which each frame draws its fours."""
+    return np.stack([np.random.default_rng(int(s)).random((tries, points)) for s in seeds])
+
+
+def medians(values: np.ndarray) -> np.ndarray:
+    """The median of each row's entries that aren't NaN; NaN without any."""
+    v = np.sort(values, axis=1)
+    n, at = (~np.isnan(v)).sum(1), np.arange(len(v))
+    return (v[at, np.maximum(n - 1, 0) // 2] + v[at, np.minimum(n // 2, v.shape[1] - 1)]) / 2
+
+
 def of_fours(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The homography through each set of four pairs (arrays of shape ..., 4, 2) whose last entry is 1; nonsense for degenerate sets."""
     rows = equations(p, q)
@@ -61,26 +81,24 @@ def of_fours(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.concatenate([solved[..., 0], np.ones((*solved.shape[:-2], 1))], axis=-1).reshape(*solved.shape[:-2], 3, 3)
 
 
-def estimate_all(src: np.ndarray, dst: np.ndarray, use: np.ndarray, seeds: np.ndarray, cfg: Config = DEFAULT, tries: int = TRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def estimate_all(src: np.ndarray, dst: np.ndarray, use: np.ndarray, seeds: np.ndarray, cfg: Config = DEFAULT, tries: int = TRIES, draws: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(H, whether it passes the gates, median residual) of each frame: src and dst of shape (frames, points, 2), `use` says which pairs count.
 
     RANSAC takes the inliers of the best of some random fours, the same for a frame whatever its company, and fits all of them; a result
-    needs four points, finite entries, a determinant away from 0 and a small median residual."""
+    needs four points, finite entries, a determinant away from 0 and a small median residual. `draws` are `draws_of(seeds)`, where they are at hand."""
     enough = np.flatnonzero(use.sum(1) >= 4)
     h, ok, residual = np.zeros((len(use), 3, 3)), np.zeros(len(use), bool), np.full(len(use), np.inf)
     if len(enough):
-        h[enough], ok[enough], residual[enough] = _estimate(src[enough], dst[enough], use[enough], seeds[enough], cfg, tries)
+        h[enough], ok[enough], residual[enough] = _estimate(src[enough], dst[enough], use[enough], draws_of(seeds[enough], use.shape[1], tries) if draws is None else draws[enough], cfg)
     return h, ok, residual
 
 
-def _estimate(src: np.ndarray, dst: np.ndarray, use: np.ndarray, seeds: np.ndarray, cfg: Config, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    frames, points = use.shape
+def _estimate(src: np.ndarray, dst: np.ndarray, use: np.ndarray, draws: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    frames = len(use)
     src, dst = np.where(use[..., None], src, 0.0), np.where(use[..., None], dst, 0.0)
-    draws = np.stack([np.random.default_rng(int(s)).random((tries, points)) for s in seeds]) + 2.0 * ~use[:, None, :]
-    picks = np.argsort(draws, axis=2, kind="stable")[:, :, :4]
+    picks = np.argsort(draws + 2.0 * ~use[:, None, :], axis=2, kind="stable")[:, :, :4]
     at = np.arange(frames)[:, None, None]
-    a, b = normalizer(src, use), normalizer(dst, use)
-    p, q = apply(a, src), apply(b, dst)
+    a, b, p, q = normalized(src, dst, use)
     with np.errstate(all="ignore"):
         tried = np.linalg.inv(b)[:, None] @ of_fours(p[at, picks], q[at, picks]) @ a[:, None]
         err = np.sqrt(((apply(tried, src[:, None]) - dst[:, None]) ** 2).sum(-1))
@@ -88,7 +106,7 @@ def _estimate(src: np.ndarray, dst: np.ndarray, use: np.ndarray, seeds: np.ndarr
         best = good[np.arange(frames), good.sum(2).argmax(1)]
         h = least_squares(src, dst, best)
         h = h / np.where(np.abs(h[:, 2:, 2:]) < 1e-12, 1e-12, h[:, 2:, 2:])
-        residual = np.nanmedian(np.where(use, np.sqrt(((apply(h, src) - dst) ** 2).sum(-1)), np.nan), axis=1)
+        residual = medians(np.where(use, np.sqrt(((apply(h, src) - dst) ** 2).sum(-1)), np.nan))
         ok = (best.sum(1) >= 4) & np.isfinite(h).all((1, 2)) & (np.abs(np.linalg.det(h)) >= 1e-8) & (residual <= cfg.max_reproj)
     return h, ok, residual
 

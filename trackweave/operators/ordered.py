@@ -35,10 +35,13 @@ def by_table(step: Callable[[int, dict[str, Rows]], list[tuple]], columns: dict[
     return run
 
 
-def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make: Callable[[tuple], Callable[[int, Rows], list[tuple]]], schema: str) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make: Callable[[tuple], Callable[[int, Rows], list[tuple]]], schema: str, prepare: Callable[[Rows, list[int]], list] | None = None) -> DataFrame:
     """Rows of each key, in order of `step` and then `order`, through one machine each: `make(key)` gives a function of a step's number and rows
     (arrays by column) that returns output rows.
 
+    What a step doesn't need the state for can be made for a batch's steps at once: `prepare(rows, where steps begin, and the end)` gives what each step's
+    machine gets in place of its rows.
+
     Keys are dealt to all shuffle partitions, however few bytes they have, for a key is much work, and sorted there, so a task streams its keys' rows in batches and never gathers a key; different keys run apart."""
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -53,11 +56,12 @@ def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
             cuts, out = [0, *np.flatnonzero(change).tolist(), len(part)], []
-            for a, b in zip(cuts[:-1], cuts[1:]):
+            ready = prepare(arrays, cuts) if prepare else None
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                 now = tuple(c[a].item() for c in columns[:-1])
                 if machine is None or now != key:
                     key, machine = now, make(now)
-                out += machine(int(columns[-1][a]), {c: v[a:b] for c, v in arrays.items()})
+                out += machine(int(columns[-1][a]), ready[k] if prepare else {c: v[a:b] for c, v in arrays.items()})
             return pd.DataFrame(out, columns=names)
 
         for batch in frames:
