@@ -6,7 +6,7 @@ from test_streaming import as_stream  # noqa: F401
 
 from trackweave.operators import tactical
 from trackweave.sources import tables as T
-from trackweave.streaming import stateful
+from trackweave.streaming import settled, stateful
 
 
 @pytest.mark.parametrize("name", ["smooth", "jersey"])
@@ -20,3 +20,9 @@ def test_few_states(spark, as_stream, name):  # noqa: F811
         q.stop()
     games = rows.select("game_id").distinct().count()
     assert 0 < most <= games * stateful.LANES < rows.select("game_id", "track_id").distinct().count()
+
+
+def test_settled_keys(spark, as_stream):  # noqa: F811
+    tracks, reads = (as_stream(t, "frame_idx", 1) for t in (T.tracks(spark, SMALL), T.ocr_reads(spark, SMALL)))
+    for out in (settled.lifecycle_stream(tracks), settled.owners_stream(reads)):
+        assert "AS lane" in out._jdf.queryExecution().logical().toString()

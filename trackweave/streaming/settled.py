@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from trackweave.config import DEFAULT, Config
 from trackweave.functions.geometry import box, center
 from trackweave.operators.jersey import cleaned
-from trackweave.streaming.stateful import FPS, with_time
+from trackweave.streaming.stateful import FPS, by_lane, with_time
 
 EVENTS = "game_id int, is_referee boolean, track_id long, frame_idx long, kind string, n long"
 LOCKS = "game_id int, number string, track_id long, frame_idx long, det_id long, ts timestamp"
@@ -91,57 +91,60 @@ class Settled(StatefulProcessor):
 
 
 class Lifecycle(Settled):
-    """One track: new, lost, recovered, and removed once it has been unseen for longer than the buffer."""
+    """A lane of tracks: new, lost, recovered, and removed once they have been unseen for longer than the buffer."""
 
-    output = EVENTS
+    columns, output, order = "is_referee boolean, track_id long, frame_idx long", EVENTS, ("frame_idx",)
 
     def __init__(self, cfg: Config = DEFAULT, fps: int = FPS):
         self.buffer, self.fps = cfg.buffer, fps
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.track = handle.getValueState("track", "birth long, last long, lost boolean, out boolean, told boolean")
+        self.tracks = handle.getListState("tracks", "is_referee boolean, track_id long, birth long, last long, lost boolean, out boolean, told boolean")
+        self.next = None
 
     def ms(self, frame: int) -> int:
         return (frame + 1) * 1000 // self.fps
 
     def settle(self, key, rows, watermark):
-        birth, last, lost, out, told = self.track.get() if self.track.exists() else (None, None, False, False, False)
+        known = {(role, track): tuple(v) for role, track, *v in (self.tracks.get() if self.tracks.exists() else ())}
 
-        def passed(upto: int | None):
-            """What became of the track before a frame, or before the watermark."""
-            nonlocal lost, out, told
+        def passed(birth, last, lost, out, told, upto: int | None, events: list) -> tuple:
+            """What became of a track before a frame, or before the watermark."""
             reached = lambda frame: frame < upto if upto is not None else self.ms(frame) < watermark
             if not lost and reached(last + 1):
                 lost = True
-                yield *key, last + 1, "lost", 0
+                events.append((last + 1, "lost", 0))
             gone = last + self.buffer + 1
             if not out and reached(gone):
                 out = True
                 if not told:
                     told = True
-                    yield *key, gone, "removed", gone - birth
+                    events.append((gone, "removed", gone - birth))
+            return birth, last, lost, out, told
 
         for r in rows:
-            frame = r["frame_idx"]
+            name, frame, events = (r["is_referee"], r["track_id"]), r["frame_idx"], []
+            birth, last, lost, out, told = known.get(name, (None, None, False, False, False))
             if last is not None and frame <= last:
                 continue
             if last is not None:
-                yield from passed(frame)
+                birth, last, lost, out, told = passed(birth, last, lost, out, told, frame, events)
             if last is None or out:
-                yield *key, frame, "new", 0
+                events.append((frame, "new", 0))
             elif frame - last > 1:
-                yield *key, frame, "recovered", frame - last - 1
-            birth, last, lost, out = birth if birth is not None else frame, frame, False, False
-        if last is not None:
-            yield from passed(None)
-            self.track.update((birth, last, lost, out, told))
+                events.append((frame, "recovered", frame - last - 1))
+            known[name] = birth if birth is not None else frame, frame, False, False, told
+            yield from ((key[0], *name, *e) for e in events)
+        for name, v in known.items():
+            events = []
+            known[name] = passed(*v, None, events)
+            yield from ((key[0], *name, *e) for e in events)
+        self.tracks.put([(*name, *v) for name, v in known.items()])
+        self.next = min((self.ms(last + (1 if not lost else self.buffer + 1)) + 1 for _, last, lost, out, _ in known.values() if not out), default=None)
 
     def due(self):
-        if not self.track.exists():
-            return None
-        _, last, lost, out, _ = self.track.get()
-        return self.ms(last + (1 if not lost else self.buffer + 1)) + 1 if not out else None
+        return self.next
 
 
 class Links(Settled):
@@ -194,35 +197,45 @@ class Links(Settled):
 
 
 class Votes(Settled):
-    """One track's votes: a row when its first number has enough; the votes are a map that goes with the lock."""
+    """Votes of a lane of tracks: a row when a track's first number has enough; the votes go with the lock."""
 
-    columns, output, order = "frame_idx long, det_id long, number string", LOCKS, ("frame_idx", "det_id")
+    columns, output, order = "track_id long, frame_idx long, det_id long, number string", LOCKS, ("frame_idx", "det_id")
 
     def __init__(self, cfg: Config = DEFAULT):
         self.votes = cfg.votes
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.bank = handle.getMapState("bank", "number string", "n int")
-        self.locked = handle.getValueState("locked", "at long")
+        self.bank = handle.getListState("bank", "track_id long, number string, n int")
+        self.locked = handle.getListState("locked", "track_id long")
 
     def settle(self, key, rows, watermark):
+        if not rows:
+            return
+        bank = {(t, number): n for t, number, n in (self.bank.get() if self.bank.exists() else ())}
+        locked, fresh = {t for (t,) in (self.locked.get() if self.locked.exists() else ())}, []
         for r in rows:
-            if self.locked.exists():
-                return
-            number = (r["number"],)
-            n = (self.bank.getValue(number)[0] if self.bank.containsKey(number) else 0) + 1
-            self.bank.updateValue(number, (n,))
+            track, number = r["track_id"], r["number"]
+            if track in locked:
+                continue
+            n = bank[track, number] = bank.get((track, number), 0) + 1
             if n >= self.votes:
-                self.locked.update((r["frame_idx"],))
-                self.bank.clear()
-                yield key[0], r["number"], key[1], r["frame_idx"], r["det_id"], pd.Timestamp(max(watermark, r["ms"]), unit="ms", tz="UTC")
+                locked.add(track)
+                fresh.append((track,))
+                yield key[0], number, track, r["frame_idx"], r["det_id"], pd.Timestamp(max(watermark, r["ms"]), unit="ms", tz="UTC")
+        rest = [(*k, n) for k, n in bank.items() if k[0] not in locked]
+        if rest:
+            self.bank.put(rest)
+        else:
+            self.bank.clear()
+        if fresh:
+            self.locked.appendList(fresh)
 
 
 class Owners(Settled):
-    """One number of a game: its first owners have it, later ones stay locked without it. Locks come settled, at the watermark's own time."""
+    """A game's numbers: the first owners of one have it, later ones stay locked without it. Locks come settled, at the watermark's own time."""
 
-    columns, output, order = "track_id long, frame_idx long, det_id long", OWNED, ("frame_idx", "det_id")
+    columns, output, order = "number string, track_id long, frame_idx long, det_id long", OWNED, ("frame_idx", "det_id")
     margin = -1
 
     def __init__(self, cfg: Config = DEFAULT):
@@ -230,15 +243,17 @@ class Owners(Settled):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.count = handle.getValueState("owners", "n long")
+        self.counts = handle.getListState("owners", "number string, n long")
 
     def settle(self, key, rows, watermark):
-        n = self.count.get()[0] if self.count.exists() else 0
+        if not rows:
+            return
+        counts = dict(tuple(r) for r in self.counts.get()) if self.counts.exists() else {}
         for r in rows:
-            n += 1
-            yield key[0], r["track_id"], r["frame_idx"], r["det_id"], key[1], n, key[1] if n <= self.most else None
-        if rows:
-            self.count.update((n,))
+            number = r["number"]
+            n = counts[number] = counts.get(number, 0) + 1
+            yield key[0], r["track_id"], r["frame_idx"], r["det_id"], number, n, number if n <= self.most else None
+        self.counts.put(list(counts.items()))
 
 
 def timed(rows: DataFrame, fps: int, late: str) -> DataFrame:
@@ -250,7 +265,7 @@ def lifecycle_stream(tracks: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, l
     """Events of tracks, as `lifecycle.edges` has them, up to the watermark."""
     tracks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = timed(tracks.select("game_id", "is_referee", "track_id", "frame_idx"), fps, late)
-    return rows.groupBy("game_id", "is_referee", "track_id").transformWithStateInPandas(Lifecycle(cfg, fps), EVENTS, "append", "eventTime")
+    return by_lane(rows).transformWithStateInPandas(Lifecycle(cfg, fps), EVENTS, "append", "eventTime")
 
 
 def links_stream(tracks: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late: str = "2 seconds") -> DataFrame:
@@ -262,12 +277,12 @@ def links_stream(tracks: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late:
 
 
 def owners_stream(reads: DataFrame, cfg: Config = DEFAULT, fps: int = FPS, late: str = "2 seconds") -> DataFrame:
-    """Locked numbers of tracks with the cap on owners, as `jersey.locks` has them: two stateful steps in a row, by track and then by number."""
+    """Locked numbers of tracks with the cap on owners, as `jersey.locks` has them: two stateful steps in a row, by lanes of tracks and then by game."""
     reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     accepted = cleaned(reads).where((F.col("conf") > cfg.ocr_conf) & F.col("number").isNotNull() & (F.col("frame_idx") % cfg.ocr_every == 0))
     rows = timed(accepted.select("game_id", "track_id", "frame_idx", "det_id", "number"), fps, late)
-    locks = rows.groupBy("game_id", "track_id").transformWithStateInPandas(Votes(cfg), LOCKS, "append", "eventTime", eventTimeColumnName="ts")
-    return locks.withColumn("ms", F.unix_millis("ts")).groupBy("game_id", "number").transformWithStateInPandas(Owners(cfg), OWNED, "append", "eventTime")
+    locks = by_lane(rows).transformWithStateInPandas(Votes(cfg), LOCKS, "append", "eventTime", eventTimeColumnName="ts")
+    return locks.withColumn("ms", F.unix_millis("ts")).groupBy("game_id").transformWithStateInPandas(Owners(cfg), OWNED, "append", "eventTime")
 
 
 def report_sink(stream: DataFrame, path: str, checkpoint: str):
