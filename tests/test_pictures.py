@@ -1,8 +1,8 @@
-"""Pictures look a box up once."""
+"""Pictures look a box up once; feet are those of all pixels' percentiles."""
 
 import numpy as np
 
-from trackweave.operators import mask_state
+from trackweave.operators import game, mask_state
 
 
 def picture():
@@ -27,3 +27,18 @@ def test_an_empty_mask_is_no_mask():
     none = np.zeros(0, np.int64)
     p = mask_state.Picture({"mask_id": np.array([2, 9]), "ys": [none, np.arange(100, 140)], "starts": [none, np.full(40, 10)], "ends": [none, np.full(40, 40)]}, set())
     assert p.best((5, 95, 50, 155))[0] == 9 and p.cut(2, (5, 95, 50, 155))[0] == 0
+
+
+def test_feet_take_percentiles_of_sorted_pixels(monkeypatch):
+    rng, want, percentile = np.random.default_rng(3), [], np.percentile
+    some = []
+    for n in rng.integers(1, 60, 200):
+        start = rng.integers(0, 50, n)
+        some.append(np.stack([rng.integers(0, 300, n), start, start + rng.integers(1, 12, n)], axis=1))
+        p = game.pixels(some[-1])
+        low = p[:, 1] >= percentile(p[:, 1], 88)
+        if low.sum() < 4:
+            low = p[:, 1] >= max(p[:, 1].max() - 3.0, 0.0)
+        want.append((float(np.median(p[low, 0])), float(percentile(p[low, 1], 96))))
+    monkeypatch.setattr(np, "percentile", None)
+    assert [game.mask_foot(r) for r in some] == want

@@ -48,6 +48,8 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     if not cost.size:
         return []
     open_ = cost <= limit
+    if open_.sum(1).max() <= 1 and open_.sum(0).max() <= 1:
+        return list(zip(*(a.tolist() for a in np.nonzero(open_))))
     out = []
     for rows, cols in groups(open_):
         part = np.ix_(rows, cols)

@@ -47,13 +47,21 @@ def mask_overlap(runs: np.ndarray, h: np.ndarray, cfg: Config) -> tuple[float, i
     return share, round(len(p) * share)
 
 
+def of_sorted(v: np.ndarray, share: float) -> float:
+    """`np.percentile` of sorted values, without looking at all of them."""
+    at = (len(v) - 1) * share
+    k = int(at)
+    low, high, t = float(v[k]), float(v[min(k + 1, len(v) - 1)]), at - k
+    return high - (high - low) * (1 - t) if t >= 0.5 else low + (high - low) * t
+
+
 def mask_foot(runs: np.ndarray) -> tuple[float, float]:
     """Of the pixels at or below the 88th percentile of y, or of the last rows where these are few, the median x and the 96th percentile of y."""
-    p = pixels(runs)
-    low = p[:, 1] >= np.percentile(p[:, 1], 88)
-    if low.sum() < 4:
-        low = p[:, 1] >= max(p[:, 1].max() - 3.0, 0.0)
-    return float(np.median(p[low, 0])), float(np.percentile(p[low, 1], 96))
+    x, y = pixels(runs).T
+    low = int(np.searchsorted(y, of_sorted(y, 0.88)))
+    if len(y) - low < 4:
+        low = int(np.searchsorted(y, max(y[-1] - 3.0, 0.0)))
+    return float(np.median(x[low:])), of_sorted(y[low:], 0.96)
 
 
 class Game:

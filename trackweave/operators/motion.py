@@ -30,7 +30,9 @@ def diagonal(h: np.ndarray, place: float, aspect: float, speed: float | None = N
     if speed is not None:
         parts += [speed * h, speed * h, turning * full, speed * h]
     std = np.stack(parts, axis=1)
-    return np.einsum("ni,ij->nij", std**2, np.eye(std.shape[1]))
+    out, k = np.zeros((*std.shape, std.shape[1])), np.arange(std.shape[1])
+    out[:, k, k] = std**2
+    return out
 
 
 def begin(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
