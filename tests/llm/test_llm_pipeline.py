@@ -77,3 +77,37 @@ def test_empty_and_null_tables(spark):
         for _, stage in P.STAGES:
             now = materialize(stage(spark, now, SMALL), "test")
         assert now.collect() == []
+
+
+def test_few_files_between(spark, tmp_path, monkeypatch):
+    """However many partitions a shuffle has, tables in between that hold little are written in two files a core or an eighth of them: each file costs processes."""
+    from pathlib import Path
+
+    import corpus_pipeline as P
+    from test_llm_odd_inputs import DOCS, brute_classes, chains
+    from trackweave.llm import common, components, families
+    from trackweave.sources import written
+
+    monkeypatch.setattr(written, "shared_dir", lambda spark: str(tmp_path))
+    files, drop = {}, written.discard
+
+    def counted(df):
+        files[df.written_at] = len(list(Path(df.written_at).glob("part-*")))
+        drop(df)
+
+    for module in (common, components, families):
+        monkeypatch.setattr(module, "discard", counted)
+    held = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(chains(10), DOCS).coalesce(4)
+        kept = common.materialize(P.near_duplicates(spark, docs, SMALL), "test")
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _, _ in brute_classes(chains(10))})
+        P.mixture(spark, docs, SMALL).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files |= {str(p): len(list(p.glob("part-*"))) for p in tmp_path.iterdir() if not p.name.startswith("test-")}
+    assert len(files) > 15 and max(files.values()) <= 16, files

@@ -74,6 +74,12 @@ def in_files(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
     return df.coalesce(max(8, -(-rows // each)))
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A table of which each of a shuffle's partitions holds little, in an eighth of the shuffle's partitions, or two for each core where that is more."""
+    context = df.sparkSession.sparkContext
+    return df.coalesce(max(2 * context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def few(rows: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it is small."""
     return F.broadcast(rows) if written_bytes(rows) <= BROADCAST_BYTES and rows.count() <= BROADCAST_ROWS else rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import discard, in_files, materialize
+from trackweave.llm.common import discard, gathered, in_files, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Stars alternate until a round changes nothing; there is no other end. Every written table is removed but the last round's, which the result reads; the caller
     finds it as the result's attribute `reads` and can remove it in its turn, and a bound of the result's rows as `size`."""
-    now = materialize(edges.where("a <> b").select("a", "b").distinct(), "cc")
+    now = materialize(gathered(edges.where("a <> b").select("a", "b").distinct()), "cc")
     count, sign = now.count(), None
     while True:
         stars, least = _large_star(now, count)

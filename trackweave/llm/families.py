@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trackweave.llm.common import Scratch, bounded_batches, discard, few, group_bounds, in_files, map_batches, materialize, part_of, runs_of, text_key
+from trackweave.llm.common import Scratch, bounded_batches, discard, few, gathered, group_bounds, in_files, map_batches, materialize, part_of, runs_of, text_key
 from trackweave.llm.components import components
 from trackweave.llm.hashing import grams, mix, word_hashes
 
@@ -251,11 +251,11 @@ def candidate_edges(nodes: DataFrame, method: Method, scratch: Scratch) -> DataF
 
     def grouped(rows: DataFrame, at_least: str) -> tuple[DataFrame, DataFrame]:
         """Rows of groups that fit into a block, as such, and those of larger groups, written."""
-        met = scratch(rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("cls") == 0).alias("free")).where(at_least), "near-met")
+        met = scratch(gathered(rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("cls") == 0).alias("free")).where(at_least)), "near-met")
         # Shuffled at any size, for this table grows with the input: its cost is in proportion from the start.
         shared = rows.join(met.hint("merge"), "key")
         small = shared.where(F.col("m") <= BLOCK).select("key", "node", F.lit(0).alias("cls"), F.array(F.lit(1)).alias("blocks"))
-        return small, scratch(shared.where(F.col("m") > BLOCK).select("key", "node", "cls"), "near-large")
+        return small, scratch(gathered(shared.where(F.col("m") > BLOCK).select("key", "node", "cls")), "near-large")
 
     def peeled(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         """Rows by class, and the number of rows of each class by key."""
@@ -383,24 +383,24 @@ def join(docs: DataFrame, method: Method, count_links: bool = True) -> tuple[Dat
     repeats = not signed.groupBy("doc_id", "tkey").count().where("count > 1").limit(1).isEmpty()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("rep")
     nodes = signed.where("print IS NOT NULL").groupBy("print").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = scratch(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "rep.doc_id", "rep.tkey", "copies", "n", "sig", "bands"), "near-nodes")
+    nodes = scratch(gathered(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "rep.doc_id", "rep.tkey", "copies", "n", "sig", "bands")), "near-nodes")
     candidates = components(candidate_edges(nodes, method, scratch))
     families = scratch(in_files(candidates, candidates.size), "near-families")
     discard(candidates.reads)
     size = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("comp").agg(size(F.lit(True)).alias("open_blocks"))
     members = families.join(nodes.select("node", "doc_id", "tkey", "copies"), "node").join(sizes, "comp")
-    members = scratch(members.select("node", "comp", "doc_id", "tkey", "copies", F.lit(0).alias("cls"), F.array("open_blocks").alias("blocks"), "open_blocks"), "near-members")
+    members = scratch(gathered(members.select("node", "comp", "doc_id", "tkey", "copies", F.lit(0).alias("cls"), F.array("open_blocks").alias("blocks"), "open_blocks")), "near-members")
     if count_links or members.where("open_blocks > 1").isEmpty():
-        checked = scratch(verified(shingle_rows(docs, part_of(members, members.drop("open_blocks")), repeats, method)), "near-checked")
+        checked = scratch(gathered(verified(shingle_rows(docs, part_of(members, members.drop("open_blocks")), repeats, method))), "near-checked")
     else:
         large = members.where("open_blocks > 1").withColumn("first", F.col("comp"))  # a component is named after its least node
-        told = scratch(linked_to_first(docs, part_of(members, large.drop("cls", "blocks", "copies")), repeats, method), "near-told")
+        told = scratch(gathered(linked_to_first(docs, part_of(members, large.drop("cls", "blocks", "copies")), repeats, method)), "near-told")
         counts = told.join(nodes.select("node", "n"), "node").groupBy("comp").agg(F.array(F.coalesce(size(~F.col("tied")), F.lit(0)), F.coalesce(size(F.col("tied")), F.lit(0))).alias("blocks"))
         rest = large.select("node", "comp", "doc_id", "tkey", "copies").join(told.select("node", F.col("tied").cast("int").alias("cls")), "node").join(counts.where("blocks[0] > 0"), "comp")
         rest = members.where("open_blocks = 1").drop("open_blocks").unionByName(rest.select("node", "comp", "doc_id", "tkey", "copies", "cls", "blocks"))
-        found = verified(shingle_rows(docs, scratch(rest, "near-open"), repeats, method))
-        checked = scratch(found.unionByName(told.where("tied").select("node", F.col("first").alias("root"), F.lit(0).cast("long").alias("links"))), "near-checked")
+        found = verified(shingle_rows(docs, scratch(gathered(rest), "near-open"), repeats, method))
+        checked = scratch(gathered(found.unionByName(told.where("tied").select("node", F.col("first").alias("root"), F.lit(0).cast("long").alias("links")))), "near-checked")
     linked = components(checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     named = linked.join(nodes.select("node", "doc_id", "tkey"), "node")
@@ -409,7 +409,7 @@ def join(docs: DataFrame, method: Method, count_links: bool = True) -> tuple[Dat
     of_node = linked.join(classes, "comp").select("node", "keeper").join(links, "node", "full")
     all_nodes = nodes.select("node", "print", "doc_id", "tkey", "copies").join(of_node, "node", "left")
     keeper = F.coalesce("keeper", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey"))
-    out = scratch(all_nodes.select("print", "copies", F.coalesce("links", F.lit(0)).alias("links"), keeper.alias("keeper")), "near-classes")
+    out = scratch(gathered(all_nodes.select("print", "copies", F.coalesce("links", F.lit(0)).alias("links"), keeper.alias("keeper"))), "near-classes")
     discard(linked.reads)
     scratch.clear(signed, out)
     return signed, out, repeats
@@ -420,7 +420,7 @@ def keep_one(docs: DataFrame, method: Method) -> DataFrame:
     signed, nodes, repeats = join(docs, method, count_links=False)
     both = signed.select("doc_id", "tkey", "print").join(nodes.select("print", "keeper"), "print")
     away = both.where(~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("tkey") == F.col("keeper.tkey"))))
-    away = materialize(away.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct(), "near-away")
+    away = materialize(gathered(away.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct()), "near-away")
     discard(signed)
     discard(nodes)
     # The document's own columns travel in a struct, so their names can't clash with those of the join.

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import materialize, text_key, word_count
+from trackweave.llm.common import gathered, materialize, text_key, word_count
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 20
 #: Buckets for each unit of the key's logarithm, and the binary logarithm of a bucket's cells.
@@ -88,11 +88,11 @@ def ending(sums: DataFrame, goal: DataFrame, part: str, before: str | None = Non
 
 def plan(rows: DataFrame) -> DataFrame:
     """A row for each source from (source, size, key): target, whole epochs, the rest, and the cell where the rest ends."""
-    by_bucket = materialize(rows.groupBy("source", bucket(F.col("key")).alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
+    by_bucket = materialize(gathered(rows.groupBy("source", bucket(F.col("key")).alias("bucket")).agg(F.sum("size").alias("words"))), "mix-buckets")
     goal = targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    goal = materialize(ending(by_bucket, goal, "bucket"), "mix-goal")
+    goal = materialize(gathered(ending(by_bucket, goal, "bucket")), "mix-goal")
     inside = of_source(rows, goal, "end_bucket").where(bucket(F.col("key")) == F.col("end_bucket"))
     cells = inside.groupBy("source", cell(F.col("key")).alias("cell")).agg(F.sum("size").alias("words"))
     return ending(cells, goal, "cell", "end_before").drop("end_bucket")
@@ -113,7 +113,7 @@ def cuts(rows: DataFrame, goal: DataFrame) -> DataFrame:
     within = Window.partitionBy("source").orderBy("key", "tie", "row").rowsBetween(Window.unboundedPreceding, 0)
     fits = both.where("cell = end_cell").withColumn("upto", F.col("end_before") + F.sum("size").over(within)).where("upto <= rest")
     last = fits.groupBy(F.col("source").alias("l")).agg(F.max(order).alias("last"), F.max("upto").alias("upto"))
-    ended = materialize(goal.join(last, F.col("source").eqNullSafe(F.col("l")), "left").drop("l").withColumn("left_over", F.col("rest") - F.coalesce("upto", "end_before", F.lit(0))), "mix-ends")
+    ended = materialize(gathered(goal.join(last, F.col("source").eqNullSafe(F.col("l")), "left").drop("l").withColumn("left_over", F.col("rest") - F.coalesce("upto", "end_before", F.lit(0)))), "mix-ends")
     out = of_source(rows, ended, "end_cell", "last", "left_over").withColumn("cell", cell(F.col("key")))
     out = out.where(~taken_before(order) & (F.abs(F.col("size") - F.col("left_over")) < F.col("left_over")))
     close = out.groupBy(F.col("source").alias("c")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("left_over")).alias("gap"), order.alias("o"))).alias("best"))
@@ -134,7 +134,7 @@ def slim(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFr
 def mix(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (the words that the mix takes) of every document."""
     rows = slim(docs, seed, weight)
-    goal = materialize(cuts(rows, materialize(plan(rows), "mix-plan")), "mix-cuts")
+    goal = materialize(gathered(cuts(rows, materialize(gathered(plan(rows)), "mix-plan"))), "mix-cuts")
     both = of_source(rows, goal, "source_size", "target", "epochs", "end_cell", "last", "closing").withColumn("cell", cell(F.col("key")))
     order = order_of(F.col("key"), F.col("tie"), F.col("row"))
     more = taken_before(order) | F.coalesce(order == F.col("closing"), F.lit(False))
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFra
 def resample(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
     """The documents, each as many times as the mix takes it; texts aren't shuffled, only the plan is joined."""
     rows = slim(docs, seed, weight)
-    goal = materialize(cuts(rows, materialize(plan(rows), "mix-plan")), "mix-cuts")
+    goal = materialize(gathered(cuts(rows, materialize(gathered(plan(rows)), "mix-plan"))), "mix-cuts")
     two = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.k").alias("k"), F.col(f"{c}.t").alias("t")))
     goal = goal.select(F.col("source").alias("_s"), F.col("epochs").alias("_epochs"), F.col("end_cell").alias("_end"), two("last").alias("_last"), two("closing").alias("_closing"))
     key = keyed(F.col("text"), F.col("doc_id"), seed, F.col(weight) if weight else None)
