@@ -1,61 +1,80 @@
-"""Optimal assignment of rows to columns under a limit: of all sets of pairs that cost no more than it, one that saves most against it."""
+"""Optimal assignment of rows to columns under a limit: of all sets of pairs that cost no more than it, one that saves most against it.
+
+A frame has few pairs within the limit, so they are numbers of Python's: small arrays cost more than what is in them."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def groups(open_: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows and columns that allowed pairs connect, group by group."""
-    label = np.where(open_.any(1), np.arange(len(open_)), -1)
-    while True:
-        at_col = np.where(open_, label[:, None], -1).max(0, initial=-1)
-        at_row = np.maximum(label, np.where(open_, at_col[None], -1).max(1, initial=-1))
-        if np.array_equal(at_row, label):
-            return [(np.flatnonzero(label == g), np.flatnonzero(at_col == g)) for g in np.unique(label[label >= 0])]
-        label = at_row
+def groups(pairs: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
+    """Rows and columns that pairs connect, group by group, each in order."""
+    of_row, of_col = {}, {}
+    for i, j in pairs:
+        of_row.setdefault(i, []).append(j)
+        of_col.setdefault(j, []).append(i)
+    out = []
+    while of_row:
+        rows, cols, todo = [], set(), [next(iter(of_row))]
+        while todo:
+            i = todo.pop()
+            if i in of_row:
+                rows.append(i)
+                for j in of_row.pop(i):
+                    if j not in cols:
+                        cols.add(j)
+                        todo += of_col[j]
+        out.append((sorted(rows), sorted(cols)))
+    return out
 
 
-def most(gain: np.ndarray) -> list[tuple[int, int]]:
+def most(gain: list[list[float]]) -> list[tuple[int, int]]:
     """Pairs of greatest total gain, by shortest augmenting paths over row and column prices; the table is made square with gains of 0."""
-    n = max(gain.shape)
-    cost = np.zeros((n, n))
-    cost[: gain.shape[0], : gain.shape[1]] = -gain
-    row_price, col_price = np.zeros(n), np.zeros(n + 1)
-    row_of = np.full(n + 1, -1)  # by column; the last one stands for the row that is being placed
+    height, width = len(gain), len(gain[0])
+    n = max(height, width)
+    cost = [[-g for g in row] + [0.0] * (n - width) for row in gain] + [[0.0] * n for _ in range(n - height)]
+    row_price, col_price = [0.0] * n, [0.0] * (n + 1)
+    row_of = [-1] * (n + 1)  # by column; the last one stands for the row that is being placed
     for r in range(n):
         row_of[n], at = r, n
-        least, back, done = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        least, back, open_, done = [float("inf")] * n, [n] * n, list(range(n)), []
         while row_of[at] >= 0:
-            done[at] = True
-            slack = np.where(done[:n], np.inf, cost[row_of[at]] - row_price[row_of[at]] - col_price[:n])
-            better = slack < least
-            least[better], back[better] = slack[better], at
-            to = int(np.argmin(np.where(done[:n], np.inf, least)))
-            step = least[to]
-            rows = row_of[done]
-            row_price[rows] += step
-            col_price[done] -= step
-            least[~done[:n]] -= step
+            done.append(at)
+            here, to, step = row_of[at], -1, float("inf")
+            line, price = cost[here], row_price[here]
+            for c in open_:
+                slack = line[c] - price - col_price[c]
+                if slack < least[c]:
+                    least[c], back[c] = slack, at
+                if least[c] < step:
+                    to, step = c, least[c]
+            for c in done:
+                row_price[row_of[c]] += step
+                col_price[c] -= step
+            open_.remove(to)
+            for c in open_:
+                least[c] -= step
             at = to
         while at != n:
-            row_of[at], at = row_of[back[at]], int(back[at])
-    return [(int(row_of[c]), c) for c in range(gain.shape[1]) if row_of[c] < gain.shape[0]]
+            row_of[at], at = row_of[back[at]], back[at]
+    return [(row_of[c], c) for c in range(width) if row_of[c] < height]
 
 
-def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Pairs (row, column), each once, of cost up to the limit, that save most against it in all."""
-    if not cost.size:
-        return []
-    open_ = cost <= limit
-    if open_.sum(1).max() <= 1 and open_.sum(0).max() <= 1:
-        return list(zip(*(a.tolist() for a in np.nonzero(open_))))
+def assigned(cost: dict[tuple[int, int], float], limit: float) -> list[tuple[int, int]]:
+    """`assign` of the pairs whose cost is known to be within the limit, in order of rows and columns."""
+    if len({i for i, _ in cost}) == len({j for _, j in cost}) == len(cost):
+        return list(cost)
     out = []
-    for rows, cols in groups(open_):
-        part = np.ix_(rows, cols)
+    for rows, cols in groups(list(cost)):
         if len(rows) == 1 or len(cols) == 1:
-            at = int(np.argmin(np.where(open_[part], cost[part], np.inf)))
-            out.append((int(rows[at // len(cols)]), int(cols[at % len(cols)])))
+            out.append(min(((i, j) for i in rows for j in cols), key=cost.__getitem__))
         else:
-            out += [(int(rows[i]), int(cols[j])) for i, j in most(np.where(open_[part], limit - cost[part], 0.0)) if open_[rows[i], cols[j]]]
+            found = most([[limit - cost[i, j] if (i, j) in cost else 0.0 for j in cols] for i in rows])
+            out += [(rows[i], cols[j]) for i, j in found if (rows[i], cols[j]) in cost]
     return sorted(out)
+
+
+def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Pairs (row, column), each once, of cost up to the limit, that save most against it in all."""
+    rows, cols = np.nonzero(cost <= limit)
+    return assigned(dict(zip(zip(rows.tolist(), cols.tolist()), cost[rows, cols].tolist())), limit)

@@ -3,7 +3,7 @@
 Each update goes through: border, observed side, side hysteresis (a switch forgets the departing side's points and asks for a new
 homography), jumps (too many forget all points), points that hang still, outliers under a first homography, smoothing and carry-over,
 choice between the normal and the mirrored template, and acceptance, or the last good state where that fails. What a step does depends
-on what earlier ones accepted, so a game is one machine, fed in order; games run apart."""
+on what earlier ones accepted, so a game is one machine, fed in order. Games run apart, but an update of each of several games is one set of arrays."""
 
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ def length(v: np.ndarray) -> np.ndarray:
 #: All pairs of keypoints of one line across the court.
 PAIRS = np.array([(i, j) for line in (T.LEFT, T.CENTER, T.LEFT_INNER, T.RIGHT, T.RIGHT_INNER) for k, i in enumerate(line) for j in line[k + 1 :]])
 TARGET = np.array([(tx, ty) for _, tx, ty, _ in T.TEMPLATE], float)
-#: Frames whose homographies are estimated at once: their arrays stay in a core's cache.
+#: Frames whose homographies are estimated at once, and games that go on at once: their arrays stay in a core's cache.
 CHUNK = 16
 
 
@@ -93,7 +93,6 @@ class Court:
 
     def __init__(self, game: int, cfg: Config = DEFAULT):
         self.game, self.cfg = game, cfg
-        self.target = TARGET
         self.good: np.ndarray | None = None
         self.before = np.zeros((COUNT, 2))
         self.still = np.zeros(COUNT, int)
@@ -107,9 +106,6 @@ class Court:
         self.center: float | None = None
         self.line_side: str | None = None
 
-    def inner(self, p: np.ndarray) -> np.ndarray:
-        return inside(p, self.cfg)
-
     def observe(self, xy: np.ndarray, conf: np.ndarray, line_side: str | None) -> str | None:
         """The side that the frame shows: by layout, centre line, its last place, or counts."""
         cfg, seen = self.cfg, (xy > 0).all(1) & (conf >= self.cfg.keypoint_conf)
@@ -149,62 +145,27 @@ class Court:
     def forget(self, which) -> None:
         self.before[which], self.still[which], self.missing[which] = 0.0, 0, self.cfg.carry_updates + 1
 
-    def jumped(self, xy: np.ndarray) -> bool:
-        if self.good is None:
-            return False
-        both = self.inner(xy) & self.inner(self.good)
-        far = length(xy[both] - self.good[both]) > self.cfg.jump_reset_px
-        if not both.any() or far.sum() <= self.cfg.jump_reset_share * both.sum():
-            return False
-        self.good = None
-        self.forget(slice(None))
-        return True
-
-    def drop_still(self, xy: np.ndarray, conf: np.ndarray) -> bool:
-        """Drop points that hang still; whether there were any."""
-        cfg, here = self.cfg, self.inner(xy)
-        bx, by = cfg.frame_w * cfg.edge_band, cfg.frame_h * cfg.edge_band
-        band = (xy[:, 0] <= bx) | (xy[:, 0] >= cfg.frame_w - bx) | (xy[:, 1] <= by) | (xy[:, 1] >= cfg.frame_h - by)
-        hangs = here & band & self.inner(self.before) & (length(xy - self.before) <= cfg.still_px)
-        self.still = np.where(hangs, self.still + 1, 0)
-        self.before = np.where(here[:, None], xy, 0.0)
-        gone = self.still >= cfg.still_updates
-        xy[gone], conf[gone] = 0.0, 0.0
-        return bool(gone.any())
-
-    def estimated(self, xy: np.ndarray, frame: int, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return estimate_all(xy[None], self.target[None], (xy > 0).all(1)[None], np.array([frame]), self.cfg, draws=draws)
-
-    def choose(self, xy: np.ndarray, observed: str | None, stable: bool, estimated: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, str, float, float] | None:
-        """(H, mode, score, median residual) of the better of both templates; None without a homography."""
-        cfg, use = self.cfg, (xy > 0).all(1)
-        found, ok, residual = estimated
-        if not ok[0]:
-            return None
-        mean, best = float(self.target[use, 0].mean()), None
-        for mode, h, x in (("normal", found[0], mean), ("mirrored", mirror(cfg) @ found[0], cfg.court_w - mean)):
-            score = float(residual[0])
-            if stable and self.h is not None:
-                shift = self.shift(h)
-                score += cfg.stability * shift.mean() + cfg.shift_weight * shift.max()
+    def choose(self, observed: str | None, mean: float, residual: float, shifts: list[tuple[float, float]] | None) -> tuple[int, float]:
+        """(0 for the normal template or 1 for the mirrored one, score) of the better of both. `mean` is that of the used points' x on the court, `shifts` are the
+        means and maxima by which either moves the last homography's frame, where that counts."""
+        cfg, best = self.cfg, None
+        for k, (mode, x) in enumerate((("normal", mean), ("mirrored", cfg.court_w - mean))):
+            score = residual
+            if shifts is not None:
+                score += cfg.stability * shifts[k][0] + cfg.shift_weight * shifts[k][1]
                 if self.mode not in (None, mode) and not self.reseed:
                     score += cfg.mode_penalty
             side = "left" if x < cfg.side_low * cfg.court_w else "right" if x > cfg.side_high * cfg.court_w else "center"
             if "left" in (observed, side) and "right" in (observed, side):
                 score += cfg.side_penalty
-            if best is None or score < best[2]:
-                best = (h, mode, score, float(residual[0]))
+            if best is None or score < best[1]:
+                best = (k, score)
         return best
 
-    def shift(self, h: np.ndarray) -> np.ndarray:
-        points = nine(self.cfg)
-        return length(apply(h, points) - apply(self.h, points))
-
-    def accepts(self, h: np.ndarray, n: int, reproj: float) -> bool:
+    def accepts(self, n: int, reproj: float, shift: tuple[float, float] | None) -> bool:
+        """Whether a homography that passes the gates, of n points, becomes the state."""
         cfg = self.cfg
-        if not np.isfinite(h).all() or abs(np.linalg.det(h)) < 1e-8:
-            return False
-        if self.h is None:
+        if shift is None:
             return n >= max(cfg.update_min, cfg.cold_min)
         if n < cfg.update_min:
             return False
@@ -216,47 +177,115 @@ class Court:
         strict = self.transition > 0
         if strict and n < cfg.transition_min:
             return False
-        shift, part = self.shift(h), cfg.strictness if strict else 1.0
-        return bool(np.isfinite(shift).all() and shift.mean() <= cfg.mean_shift * part and shift.max() <= cfg.point_shift * part)
+        part = cfg.strictness if strict else 1.0
+        return bool(np.isfinite(shift).all() and shift[0] <= cfg.mean_shift * part and shift[1] <= cfg.point_shift * part)
 
     def step(self, frame: int, ready: Ready) -> list[tuple]:
-        cfg, xy, conf = self.cfg, ready.xy, ready.conf
-        observed = self.observe(xy, conf, ready.line_side)
-        switched, reset = self.turn(observed), self.jumped(xy)
-        dropped = self.drop_still(xy, conf)
-        sure = sure_points(xy, conf, cfg)
-        if first := self.choose(sure, observed, False, self.estimated(sure, frame, ready.draws) if dropped else ready.first):
-            image = self.target if first[1] == "normal" else np.c_[cfg.court_w - self.target[:, 0], self.target[:, 1]]
-            xy[(xy[:, 0] > 0) & (length(apply(first[0], xy) - image) > cfg.outlier_px)] = 0.0
-        here = self.inner(xy)
-        self.missing = np.where(here, 0, self.missing + 1)
-        carried = 0
-        if self.good is not None:
-            known = self.inner(self.good)
-            both, held = here & known, ~here & known & (self.missing <= cfg.carry_updates)
-            xy[both] = cfg.ema_new * xy[both] + (1 - cfg.ema_new) * self.good[both]
-            xy[held] = self.good[held]
-            carried = int(held.sum())
-        out = ~self.inner(xy)
-        xy[out], conf[out] = 0.0, 0.0
-        n = int((xy > 0).all(1).sum())
-        best = self.choose(xy, observed, True, self.estimated(xy, frame, ready.draws))
-        if best and self.accepts(best[0], n, best[3]):
-            self.h, self.mode, self.good, self.reseed, status = best[0], best[1], xy.copy(), False, "ok"
-            if observed in ("left", "right"):
-                self.side = observed
+        return steps([self], [frame], [ready])
+
+
+def estimated(xy: np.ndarray, frames: np.ndarray, draws: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return estimate_all(xy, np.broadcast_to(TARGET, xy.shape), (xy > 0).all(2), frames, cfg, draws=draws)
+
+
+def both_ways(found: np.ndarray, cfg: Config) -> np.ndarray:
+    """Homographies to the normal template, and those to the mirrored one."""
+    return np.stack([found, mirror(cfg) @ found], axis=1)
+
+
+def mean_x(xy: np.ndarray) -> list[float]:
+    """Where the used points of each update lie on the court, on average."""
+    use = (xy > 0).all(2)
+    return ((use * TARGET[:, 0]).sum(1) / np.maximum(1, use.sum(1))).tolist()
+
+
+def moves(found: np.ndarray, last: np.ndarray, cfg: Config) -> list[list[tuple[float, float]]]:
+    """(mean, maximum) of how far the frame moves on the court between the last homography and each of those found."""
+    points = nine(cfg)
+    shift = length(apply(found, points) - apply(last, points)[:, None])
+    return [list(zip(*p)) for p in zip(shift.mean(2).tolist(), shift.max(2).tolist())]
+
+
+def steps(courts: list[Court], frames: list[int], ready: list[Ready]) -> list[tuple]:
+    """An update of each of several games."""
+    cfg, every, frame_of = courts[0].cfg, range(len(courts)), np.array(frames)
+    xy, conf, draws = np.stack([r.xy for r in ready]), np.stack([r.conf for r in ready]), np.concatenate([r.draws for r in ready])
+    observed = [c.observe(p, k, r.line_side) for c, p, k, r in zip(courts, xy, conf, ready)]
+    switched = [c.turn(o) for c, o in zip(courts, observed)]
+
+    # Too many jumps forget all points.
+    here, had = inside(xy, cfg), np.array([c.good is not None for c in courts])
+    good = np.stack([np.zeros((COUNT, 2)) if c.good is None else c.good for c in courts])
+    known = inside(good, cfg) & had[:, None]
+    both = here & known
+    far = both & (length(xy - good) > cfg.jump_reset_px)
+    reset = both.any(1) & (far.sum(1) > cfg.jump_reset_share * both.sum(1))
+    for g in np.flatnonzero(reset).tolist():
+        courts[g].good = None
+        courts[g].forget(slice(None))
+    known &= ~reset[:, None]
+
+    # Points that hang still are dropped.
+    before, bx, by = np.stack([c.before for c in courts]), cfg.frame_w * cfg.edge_band, cfg.frame_h * cfg.edge_band
+    x, y = xy[..., 0], xy[..., 1]
+    band = (x <= bx) | (x >= cfg.frame_w - bx) | (y <= by) | (y >= cfg.frame_h - by)
+    hangs = here & band & inside(before, cfg) & (length(xy - before) <= cfg.still_px)
+    still = np.where(hangs, np.stack([c.still for c in courts]) + 1, 0)
+    before = np.where(here[..., None], xy, 0.0)
+    gone = still >= cfg.still_updates
+    xy[gone], conf[gone] = 0.0, 0.0
+
+    # Outliers under a first homography.
+    sure = sure_points(xy, conf, cfg)
+    found, ok, residual = (np.concatenate([r.first[k] for r in ready]) for k in range(3))
+    again = np.flatnonzero(gone.any(1))
+    if len(again):
+        found[again], ok[again], residual[again] = estimated(sure[again], frame_of[again], draws[again], cfg)
+    some = np.flatnonzero(ok)
+    if len(some):
+        means, left = mean_x(sure), residual.tolist()
+        mode = np.array([courts[g].choose(observed[g], means[g], left[g], None)[0] for g in some.tolist()])
+        image = np.stack([TARGET, np.c_[cfg.court_w - TARGET[:, 0], TARGET[:, 1]]])[mode]
+        seen = xy[some]
+        seen[(seen[..., 0] > 0) & (length(apply(both_ways(found[some], cfg)[np.arange(len(some)), mode], seen) - image) > cfg.outlier_px)] = 0.0
+        xy[some] = seen
+
+    # Smoothing and carry-over.
+    here = inside(xy, cfg)
+    missing = np.where(here, 0, np.stack([c.missing for c in courts]) + 1)
+    both, held = here & known, ~here & known & (missing <= cfg.carry_updates)
+    xy = np.where(both[..., None], cfg.ema_new * xy + (1 - cfg.ema_new) * good, np.where(held[..., None], good, xy))
+    carried = held.sum(1).tolist()
+    out = ~inside(xy, cfg)
+    xy[out], conf[out] = 0.0, 0.0
+
+    # Choice and acceptance.
+    n = (xy > 0).all(2).sum(1).tolist()
+    found, ok, residual = estimated(xy, frame_of, draws, cfg)
+    ways, means, left = both_ways(found, cfg), mean_x(xy), residual.tolist()
+    then = [g for g in every if ok[g] and courts[g].h is not None]
+    shifts = dict(zip(then, moves(ways[then], np.stack([courts[g].h for g in then]), cfg))) if then else {}
+    told = []
+    for g, c in enumerate(courts):
+        c.before, c.still, c.missing, status, p = before[g], still[g], missing[g], None, xy[g]
+        best = c.choose(observed[g], means[g], left[g], shifts.get(g)) if ok[g] else None
+        if best and c.accepts(n[g], left[g], shifts[g][best[0]] if g in shifts else None):
+            c.h, c.mode, c.good, c.reseed, status = ways[g, best[0]], ("normal", "mirrored")[best[0]], p.copy(), False, "ok"
+            if observed[g] in ("left", "right"):
+                c.side = observed[g]
         else:
-            status = "fallback" if self.h is not None else "fail"
-            if self.h is not None and self.good is not None:
-                xy = self.good.copy()
-        self.transition = max(0, self.transition - 1)
-        self.streak = 0 if status == "ok" else self.streak + 1
-        h = [None] * 9 if self.h is None else self.h.ravel().tolist()
-        told = (status, self.mode, observed, self.line_side, self.side, switched, reset, self.streak, n, carried, best and best[2], best and best[3])
-        return [(self.game, frame, *told, *h, xy[:, 0].tolist(), xy[:, 1].tolist(), conf.tolist())]
+            status = "fallback" if c.h is not None else "fail"
+            if c.h is not None and c.good is not None:
+                p = c.good
+        c.transition = max(0, c.transition - 1)
+        c.streak = 0 if status == "ok" else c.streak + 1
+        h = [None] * 9 if c.h is None else c.h.ravel().tolist()
+        what = (status, c.mode, observed[g], c.line_side, c.side, switched[g], bool(reset[g]), c.streak, n[g], carried[g], best and best[1], best and left[g])
+        told.append((c.game, frames[g], *what, *h, p[:, 0].tolist(), p[:, 1].tolist(), conf[g].tolist()))
+    return told
 
 
 def court_run(keypoints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """A row for each update: what became of its homography, the side, the resets, and the keypoints that hold after it ((0, 0): none)."""
     rows = keypoints.select("game_id", "frame_idx", "kp_idx", "x", "y", "conf")
-    return in_order(rows, ["game_id"], "frame_idx", ["kp_idx"], lambda key: Court(key[0], cfg).step, SCHEMA, lambda rows, cuts: prepared(rows, cuts, cfg))
+    return in_order(rows, ["game_id"], "frame_idx", ["kp_idx"], lambda key: Court(key[0], cfg), SCHEMA, lambda rows, cuts: prepared(rows, cuts, cfg), steps, CHUNK)

@@ -6,16 +6,18 @@ projection and smoothing."""
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.config import DEFAULT, Config
-from trackweave.operators.association import Tracker, distances, overlaps
+from trackweave.operators.association import Tracker, whole_overlap
 from trackweave.operators.homography import H, apply
-from trackweave.operators.mask_state import Ownership, Player, Seen, packed
+from trackweave.operators.mask_state import Drawn, Ownership, Player, Seen, packed, prepared
 from trackweave.operators.matching import BOX, FRAME, targets
-from trackweave.operators.ordered import Rows, by_table, in_order, merged
+from trackweave.operators.ordered import Rows, in_order, merged
 
 OUT = (
     "game_id int, frame_idx long, kind string, is_referee boolean, track_id long, det_id long, x1 long, y1 long, x2 long, y2 long, confidence double, "
@@ -32,36 +34,50 @@ def on_court(points: np.ndarray, h: np.ndarray, cfg: Config) -> np.ndarray:
     return (p[:, 0] >= 0) & (p[:, 0] < cfg.court_w) & (p[:, 1] >= 0) & (p[:, 1] < cfg.court_h)
 
 
-def pixels(runs: np.ndarray) -> np.ndarray:
-    """(x, y) of all pixels of runs, row by row."""
+def pixels(runs: np.ndarray, every: int = 1) -> np.ndarray:
+    """(x, y) of all pixels of runs, row by row, or of each so many-th of them."""
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    n = runs[:, 2] - runs[:, 1]
-    x = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(runs[:, 1], n)
-    return np.stack([x, np.repeat(runs[:, 0], n)], axis=1)
+    upto = np.cumsum(runs[:, 2] - runs[:, 1])
+    k = np.arange(0, upto[-1] if len(upto) else 0, every)
+    of = np.searchsorted(upto, k, side="right")
+    return np.stack([runs[of, 2] + k - upto[of], runs[of, 0]], axis=1)
 
 
 def mask_overlap(runs: np.ndarray, h: np.ndarray, cfg: Config) -> tuple[float, int]:
     """Share of a mask's sampled pixels on the court, and the pixels that this stands for."""
-    p = pixels(runs)
-    share = float(on_court(p[:: max(1, len(p) // SAMPLE)].astype(float), h, cfg).mean()) if len(p) else 0.0
-    return share, round(len(p) * share)
+    n = int((runs[:, 2] - runs[:, 1]).sum())
+    share = float(on_court(pixels(runs, max(1, n // SAMPLE)).astype(float), h, cfg).mean()) if n else 0.0
+    return share, round(n * share)
 
 
-def of_sorted(v: np.ndarray, share: float) -> float:
-    """`np.percentile` of sorted values, without looking at all of them."""
-    at = (len(v) - 1) * share
+def of_sorted(v: np.ndarray, upto: np.ndarray, skip: int, share: float) -> float:
+    """`np.percentile` of sorted values, each repeated and so counted up to a number, without the first `skip`."""
+    n = int(upto[-1]) - skip
+    at = (n - 1) * share
     k = int(at)
-    low, high, t = float(v[k]), float(v[min(k + 1, len(v) - 1)]), at - k
+    low, high = (float(v[np.searchsorted(upto, skip + j, side="right")]) for j in (k, min(k + 1, n - 1)))
+    t = at - k
     return high - (high - low) * (1 - t) if t >= 0.5 else low + (high - low) * t
 
 
+def middle_x(start: np.ndarray, end: np.ndarray) -> float:
+    """The median x of the pixels of runs, counted by x and never spread out."""
+    first = int(start.min())
+    wide = int(end.max()) - first + 1
+    upto = np.cumsum(np.cumsum(np.bincount(start - first, minlength=wide) - np.bincount(end - first, minlength=wide)))
+    n = int(upto[-1])
+    return first + float(np.searchsorted(upto, (n - 1) // 2, side="right") + np.searchsorted(upto, n // 2, side="right")) / 2
+
+
 def mask_foot(runs: np.ndarray) -> tuple[float, float]:
     """Of the pixels at or below the 88th percentile of y, or of the last rows where these are few, the median x and the 96th percentile of y."""
-    x, y = pixels(runs).T
-    low = int(np.searchsorted(y, of_sorted(y, 0.88)))
-    if len(y) - low < 4:
+    y, start, end = runs[np.argsort(runs[:, 0], kind="stable")].T
+    upto = np.cumsum(end - start)
+    before = lambda r: int(upto[r - 1]) if r else 0
+    low = int(np.searchsorted(y, of_sorted(y, upto, 0, 0.88)))
+    if upto[-1] - before(low) < 4:
         low = int(np.searchsorted(y, max(y[-1] - 3.0, 0.0)))
-    return float(np.median(x[low:])), of_sorted(y[low:], 0.96)
+    return middle_x(start[low:], end[low:]), of_sorted(y, upto, before(low), 0.96)
 
 
 class Game:
@@ -83,36 +99,50 @@ class Game:
             self.birth.setdefault((role, track), (frame, (box[0] + box[2]) / 2, (box[1] + box[3]) / 2))
         if not rows:
             return []
-        role, boxes = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], float)
-        born = np.array([self.birth[r[0], r[1]] for r in rows])
-        age, v, d = frame - born[:, 0], overlaps(boxes, boxes), distances(np.c_[born[:, 1:], born[:, 1:]], np.c_[born[:, 1:], born[:, 1:]])
-        young, old = age <= cfg.young_age, age >= cfg.old_age
-        held = (young[:, None] & old[None] | old[:, None] & young[None]) & (v >= cfg.track_young_iou)
-        both = ~held & ((np.abs(born[:, None, 0] - born[None, :, 0]) > cfg.birth_gap) | (d > cfg.birth_dist))
-        bars = np.where(role[:, None] == role[None], (v >= cfg.track_same_iou) & ~both, v >= cfg.cross_role_iou)
+        born = [self.birth[r[0], r[1]] for r in rows]
+        age = [frame - b[0] for b in born]
+
+        def bars(j: int, k: int) -> bool:
+            v = whole_overlap(rows[j][2], rows[k][2])
+            if rows[j][0] != rows[k][0]:
+                return v >= cfg.cross_role_iou
+            if v < cfg.track_same_iou:
+                return False
+            young, old = sorted((age[j], age[k]))
+            if young <= cfg.young_age and old >= cfg.old_age and v >= cfg.track_young_iou:
+                return True
+            (f, x, y), (g, u, w) = born[j], born[k]
+            return abs(f - g) <= cfg.birth_gap and sqrt((x - u) ** 2 + (y - w) ** 2) <= cfg.birth_dist
+
         stay: list[int] = []
-        for k in np.lexsort((np.arange(len(rows)), [-r[3] for r in rows], -np.minimum(age, cfg.max_age_key))).tolist():
-            if not bars[k, stay].any():
+        for k in sorted(range(len(rows)), key=lambda k: (-min(age[k], cfg.max_age_key), -rows[k][3])):
+            if not any(bars(j, k) for j in stay):
                 stay.append(k)
         return [rows[k] for k in stay]
 
+    def spots_on(self, box: tuple) -> bool:
+        """Whether enough of five points of a box lie on the court."""
+        x1, y1, x2, y2 = box
+        w, high = max(1, x2 - x1), max(1, y2 - y1)
+        spots = np.array([(x1 + w * a, y2) for a in (0.5, 0.25, 0.75)] + [(x1 + w * 0.5, y1 + high * b) for b in (0.80, 0.65)])
+        return on_court(spots, self.h, self.cfg).sum() >= self.cfg.activate_points
+
     def activate(self, players: list[Player], found: dict[int, np.ndarray]) -> None:
         """Players become active, for good, by their mask on the court or by two of five points of their box."""
         cfg, doubtful = self.cfg, self.h is None or self.streak >= self.cfg.stale_streak
         for p in players:
-            if p.id in self.active:
+            if p.id in self.active or self.h is None:
+                continue
+            if not doubtful and self.spots_on(p.box):
+                self.active.add(p.id)
                 continue
-            share, area = mask_overlap(found[p.id], self.h, cfg) if p.id in found and self.h is not None else (0.0, 0)
+            share, area = mask_overlap(found[p.id], self.h, cfg) if p.id in found else (0.0, 0)
             if area == 0 and doubtful:
                 continue
-            x1, y1, x2, y2 = p.box
-            w, high = max(1, x2 - x1), max(1, y2 - y1)
-            spots = np.array([(x1 + w * a, y2) for a in (0.5, 0.25, 0.75)] + [(x1 + w * 0.5, y1 + high * b) for b in (0.80, 0.65)])
-            by_box = self.h is not None and on_court(spots, self.h, cfg).sum() >= cfg.activate_points
-            if by_box or share >= cfg.activate_overlap and area >= cfg.activate_area:
+            if share >= cfg.activate_overlap and area >= cfg.activate_area or doubtful and self.spots_on(p.box):
                 self.active.add(p.id)
 
-    def step(self, frame: int, tables: dict[str, Rows]) -> list[tuple]:
+    def step(self, frame: int, tables: dict[str, Rows | Drawn]) -> list[tuple]:
         cfg, m = self.cfg, self.masks
         if "court" in tables:
             c = tables["court"]
@@ -159,4 +189,4 @@ def game_run(detections: DataFrame, runs: DataFrame, state: DataFrame, cfg: Conf
         "mask": packed(runs).withColumn("place", F.col("mask_id")),
     }
     columns = {name: rows.columns for name, rows in tables.items()}
-    return in_order(merged(tables), ["game_id"], "frame_idx", ["_table", "place"], lambda key: by_table(Game(key[0], cfg).step, columns), OUT)
+    return in_order(merged(tables), ["game_id"], "frame_idx", ["_table", "place"], lambda key: Game(key[0], cfg).step, OUT, lambda rows, cuts: prepared(rows, cuts, columns))

@@ -72,13 +72,23 @@ def medians(values: np.ndarray) -> np.ndarray:
     return (v[at, np.maximum(n - 1, 0) // 2] + v[at, np.minimum(n // 2, v.shape[1] - 1)]) / 2
 
 
+#: Of three points, the two that stand against each.
+_NEXT, _LAST = [1, 2, 0], [2, 0, 1]
+
+
 def of_fours(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The homography through each set of four pairs (arrays of shape ..., 4, 2) whose last entry is 1; nonsense for degenerate sets."""
-    rows = equations(p, q)
-    a, b = rows[..., :8], -rows[..., 8:]
-    turned = np.swapaxes(a, -1, -2)
-    solved = np.linalg.solve(turned @ a + 1e-9 * np.eye(8), turned @ b)
-    return np.concatenate([solved[..., 0], np.ones((*solved.shape[:-2], 1))], axis=-1).reshape(*solved.shape[:-2], 3, 3)
+    """The homography through each set of four pairs (arrays of shape ..., 4, 2), up to a factor: of either side's first three points, each is weighed so that they
+    add up to the fourth, and weighed points go to weighed points. Not finite for sets with three points in a line."""
+    both = np.stack([p, q])
+    x, y = both[..., :3, 0], both[..., :3, 1]
+    x1, y1, x2, y2 = x[..., _NEXT], y[..., _NEXT], x[..., _LAST], y[..., _LAST]
+    lines = np.empty((*x.shape, 3))  # through two points each
+    lines[..., 0], lines[..., 1], lines[..., 2] = y1 - y2, x2 - x1, x1 * y2 - x2 * y1
+    weights = lines[..., 0] * both[..., 3:, 0] + lines[..., 1] * both[..., 3:, 1] + lines[..., 2]
+    to = np.ones((*q.shape[:-2], 3, 3))
+    to[..., :2, :] = np.swapaxes(q[..., :3, :], -1, -2)
+    to *= (weights[1] / weights[0])[..., None, :]
+    return to @ lines[0]
 
 
 def estimate_all(src: np.ndarray, dst: np.ndarray, use: np.ndarray, seeds: np.ndarray, cfg: Config = DEFAULT, tries: int = TRIES, draws: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,15 +104,24 @@ def estimate_all(src: np.ndarray, dst: np.ndarray, use: np.ndarray, seeds: np.nd
 
 
 def _estimate(src: np.ndarray, dst: np.ndarray, use: np.ndarray, draws: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    frames = len(use)
+    frames, tries = draws.shape[:2]
     src, dst = np.where(use[..., None], src, 0.0), np.where(use[..., None], dst, 0.0)
-    picks = np.argsort(draws + 2.0 * ~use[:, None, :], axis=2, kind="stable")[:, :, :4]
+    picks = np.argsort(draws + 2.0 * ~use[:, None, :], axis=2)[:, :, :4]
     at = np.arange(frames)[:, None, None]
-    a, b, p, q = normalized(src, dst, use)
+    _, to, p, q = normalized(src, dst, use)
     with np.errstate(all="ignore"):
-        tried = np.linalg.inv(b)[:, None] @ of_fours(p[at, picks], q[at, picks]) @ a[:, None]
-        err = np.sqrt(((apply(tried, src[:, None]) - dst[:, None]) ** 2).sum(-1))
-        good = (np.nan_to_num(err, nan=np.inf) <= cfg.ransac_px) & use[:, None]
+        # Normalizers keep distances up to a factor, so errors are measured under them.
+        tried = of_fours(p[at, picks], q[at, picks]).reshape(frames, 3 * tries, 3)
+        seen = np.ones((frames, 3, p.shape[1]))
+        seen[:, :2] = np.swapaxes(p, 1, 2)
+        x, y, w = np.moveaxis((tried @ seen).reshape(frames, tries, 3, -1), 2, 0)
+        x, y = x / w, y / w
+        x -= q[:, None, :, 0]
+        y -= q[:, None, :, 1]
+        x *= x
+        y *= y
+        x += y
+        good = (x <= ((cfg.ransac_px * to[:, 0, 0]) ** 2)[:, None, None]) & use[:, None]
         best = good[np.arange(frames), good.sum(2).argmax(1)]
         h = least_squares(src, dst, best)
         h = h / np.where(np.abs(h[:, 2:, 2:]) < 1e-12, 1e-12, h[:, 2:, 2:])

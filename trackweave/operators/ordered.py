@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Rows = dict[str, np.ndarray]
@@ -21,47 +21,51 @@ def merged(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def by_table(step: Callable[[int, dict[str, Rows]], list[tuple]], columns: dict[str, list[str]]) -> Callable[[int, Rows], list[tuple]]:
-    """A machine of several tables as one of a merged feed: it gets a step's rows of each table that has any, with that table's columns."""
-
-    def run(number: int, rows: Rows) -> list[tuple]:
-        names = rows["_table"]
-        parts = {}
-        for name in dict.fromkeys(names.tolist()):
-            at = np.flatnonzero(names == name)
-            parts[name] = {c: rows[c][at] for c in columns[name]}
-        return step(number, parts)
-
-    return run
-
-
-def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make: Callable[[tuple], Callable[[int, Rows], list[tuple]]], schema: str, prepare: Callable[[Rows, list[int]], list] | None = None) -> DataFrame:
+def in_order(
+    rows: DataFrame, keys: list[str], step: str, order: list[str], make: Callable[[tuple], Callable[[int, Rows], list[tuple]]], schema: str,
+    prepare: Callable[[Rows, list[int]], list] | None = None, together: Callable[[list, list[int], list], list[tuple]] | None = None, most: int = 1,
+) -> DataFrame:
     """Rows of each key, in order of `step` and then `order`, through one machine each: `make(key)` gives a function of a step's number and rows
     (arrays by column) that returns output rows.
 
     What a step doesn't need the state for can be made for a batch's steps at once: `prepare(rows, where steps begin, and the end)` gives what each step's
-    machine gets in place of its rows.
+    machine gets in place of its rows. With `together`, a task's keys go on side by side, by steps since their first, and the next steps of up to `most` of them
+    are made at once: `together(machines, steps' numbers, what each gets)`. The task then holds the states of all of its keys, else that of one.
 
     Keys are dealt to all shuffle partitions, however few bytes they have, for a key is much work, and sorted there, so a task streams its keys' rows in batches and never gathers a key; different keys run apart."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, extra = [c.split()[0] for c in schema.split(", ")], ["_first"] if together else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, machine, kept = None, None, None
+        machines, kept = {}, None
+
+        def machine(now: tuple):
+            if now not in machines:
+                if not together:
+                    machines.clear()
+                machines[now] = make(now)
+            return machines[now]
 
         def feed(part: pd.DataFrame) -> pd.DataFrame:
-            nonlocal key, machine
-            arrays = {c: part[c].to_numpy() for c in part.columns}
+            arrays = {c: part[c].to_numpy() for c in part.columns if c not in extra}
             columns = [arrays[c] for c in (*keys, step)]
             change = np.zeros(len(part), bool)
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
             cuts, out = [0, *np.flatnonzero(change).tolist(), len(part)], []
-            ready = prepare(arrays, cuts) if prepare else None
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                now = tuple(c[a].item() for c in columns[:-1])
-                if machine is None or now != key:
-                    key, machine = now, make(now)
-                out += machine(int(columns[-1][a]), ready[k] if prepare else {c: v[a:b] for c, v in arrays.items()})
+            given = prepare(arrays, cuts) if prepare else [{c: v[a:b] for c, v in arrays.items()} for a, b in zip(cuts[:-1], cuts[1:])]
+            number = columns[-1][cuts[:-1]].tolist()
+            key = list(zip(*(c[cuts[:-1]].tolist() for c in columns[:-1])))
+            if not together:
+                for k, now in enumerate(key):
+                    out += machine(now)(number[k], given[k])
+                return pd.DataFrame(out, columns=names)
+            at = 0
+            while at < len(key):
+                end = at + 1
+                while end < len(key) and end - at < most and key[end] not in key[at:end]:
+                    end += 1
+                out += together([machine(now) for now in key[at:end]], number[at:end], given[at:end])
+                at = end
             return pd.DataFrame(out, columns=names)
 
         for batch in frames:
@@ -79,4 +83,8 @@ def in_order(rows: DataFrame, keys: list[str], step: str, order: list[str], make
             yield feed(kept)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, step, *order).mapInPandas(run, schema)
+    dealt = rows.repartition(parts, *keys)
+    if together:
+        side = dealt.withColumn("_first", F.col(step) - F.min(step).over(Window.partitionBy(*keys)))
+        return side.sortWithinPartitions("_first", *keys, *order).mapInPandas(run, schema)
+    return dealt.sortWithinPartitions(*keys, step, *order).mapInPandas(run, schema)
