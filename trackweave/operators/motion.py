@@ -14,7 +14,6 @@ ASPECT_BEGIN, ASPECT_STEP, ASPECT_SPEED, ASPECT_SEEN = 1e-2, 1e-2, 1e-5, 1e-1
 WIDTH = 20
 #: What a standard deviation of each of the four has for each height.
 _HIGH = np.array([1.0, 1.0, 0.0, 1.0])
-_ASPECT = 1 - _HIGH
 
 
 def measured(boxes: np.ndarray) -> np.ndarray:
@@ -34,7 +33,8 @@ def corners(state: np.ndarray) -> np.ndarray:
 
 def variance(high: np.ndarray, place: float, aspect: float) -> np.ndarray:
     """Variances of the four, from standard deviations; heights come as a column."""
-    std = high * (place * _HIGH) + aspect * _ASPECT
+    std = high * place * _HIGH
+    std[:, 2] = aspect
     return std * std
 
 
